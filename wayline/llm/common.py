@@ -60,3 +60,28 @@ def _word(h: Column) -> Column:
 
 def _bit(h: Column) -> Column:
     return h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def text_key(text: Column) -> Column:
+    """64 bits of a text as it is, to tell rows with equal ids apart; null and empty differ."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that a decision keeps; decided: doc_id, text_key, kept for every row of docs.
+
+    Rows that are surely kept stream through; only those whose key may be among the dropped ones are shuffled.
+    Of rows with equal id and text one stays where any is kept and any is dropped.
+    """
+    hashed = F.xxhash64("doc_id", "text_key")
+    bitmap = written(presence_bitmap(decided.where("NOT kept"), hashed), "dropped")
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    probe = F.xxhash64("doc_id", "_key")
+    marked = keyed.withColumn("_hash", probe).join(F.broadcast(bitmap), _word(F.col("_hash")) == F.col("bm_word"), "left")
+    maybe = F.coalesce(F.getbit("bm_bits", _bit(F.col("_hash"))) == 1, F.lit(False))
+    sure = marked.where(~maybe).select(*docs.columns)
+    kept = maybe_present(decided.where("kept").select("doc_id", "text_key"), hashed, bitmap)
+    kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key"))
+    rest = marked.where(maybe).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return sure.unionByName(rest)

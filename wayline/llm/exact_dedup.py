@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import maybe_present, presence_bitmap, shared_dir, written
+from wayline.llm.common import keep_rows, maybe_present, presence_bitmap, shared_dir, text_key, written
 
 #: White space that one space replaces: fixed values.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -116,14 +116,14 @@ def _merged(runs: DataFrame) -> DataFrame:
 
 
 def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_key.
 
     digest: the index key of a normalised text. Equal digests of different texts are found by the
     verification and such groups are built on the texts themselves, so a weak digest stays exact.
     """
-    keyed = docs.select("doc_id", normalised(F.col("text")).alias("t")).withColumn("digest", digest(F.col("t")))
+    keyed = docs.select("doc_id", normalised(F.col("text")).alias("t"), text_key(F.col("text")).alias("text_key")).withColumn("digest", digest(F.col("t")))
     entries = written(
-        keyed.select("doc_id", "digest", F.monotonically_increasing_id().alias("row"), *([] if digest is sha256 else [F.sha2("t", 256).alias("sha")])),
+        keyed.select("doc_id", "digest", "text_key", F.monotonically_increasing_id().alias("row"), *([] if digest is sha256 else [F.sha2("t", 256).alias("sha")])),
         "entries",
     )
     index = index or DigestIndex(docs.sparkSession)
@@ -132,13 +132,13 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, in
     kept = index.table()
     groups = kept.where("n > 1")
     bitmap = presence_bitmap(groups, F.xxhash64("digest"))
-    hits = maybe_present(keyed, F.xxhash64("digest"), bitmap)
+    hits = maybe_present(keyed.drop("text_key"), F.xxhash64("digest"), bitmap)
     wrong = written(
         hits.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("digest"), "collisions"
     )
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.col("sha")
     found = entries.join(kept.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n"), "digest")
-    out = [F.col("doc_id"), F.col("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), sha.alias("text_sha256")]
+    out = [F.col("doc_id"), F.col("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), sha.alias("text_sha256"), F.col("text_key")]
     if not wrong.take(1):
         return found.select(*out)
     return found.join(wrong, "digest", "left_anti").select(*out).unionByName(_by_text(keyed.join(wrong, "digest", "left_semi")))
@@ -146,17 +146,14 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, in
 
 def _by_text(rows: DataFrame) -> DataFrame:
     """The same result for rows whose digests collide, from groups of the texts themselves."""
-    rows = written(rows.select("doc_id", "t", F.monotonically_increasing_id().alias("row")), "collided")
+    rows = written(rows.select("doc_id", "t", "text_key", F.monotonically_increasing_id().alias("row")), "collided")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")
     groups = rows.groupBy("t").agg(first, F.count("*").alias("n"))
     return rows.join(groups, "t").select(
-        "doc_id", F.col("k.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("k.row")).alias("kept"), F.sha2("t", 256).alias("text_sha256")
+        "doc_id", F.col("k.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("k.row")).alias("kept"), F.sha2("t", 256).alias("text_sha256"), "text_key"
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    keep = find_copies(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    key = F.sha2(normalised(F.col("text")), 256)
-    held = docs.withColumn("k_key", key).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_key") == F.col("k_sha")), "left_semi")
-    return held.dropDuplicates(["doc_id", "k_key"]).select(*docs.columns)
+    return keep_rows(docs, written(find_copies(docs).select("doc_id", "text_key", "kept"), "copies"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import chat_format, decontaminate, exact_dedup, url_filter
+from wayline.llm import chat_format, decontaminate, exact_dedup, simhash, url_filter
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -37,7 +37,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
+    return exact_dedup.find_copies(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_simhash": op6_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
 }
