@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import chat_format, decontaminate, exact_dedup, simhash, url_filter
+from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, simhash, token_counts, url_filter
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -40,6 +41,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",))
+    return bpe.decode(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=("doc_id",))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,6 +85,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
