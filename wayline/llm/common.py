@@ -54,6 +54,14 @@ def maybe_present(df: DataFrame, hashed: Column, bitmap: DataFrame) -> DataFrame
     )
 
 
+def marked(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """All rows of df with a column that says whether their hash may be in the bitmap."""
+    words = F.broadcast(bitmap.select(F.col("bm_word").alias("_bm_word"), F.col("bm_bits").alias("_bm_bits")))
+    probed = df.withColumn("_bm_hash", hashed)
+    maybe = F.coalesce(F.getbit("_bm_bits", _bit(F.col("_bm_hash"))) == 1, F.lit(False))
+    return probed.join(words, _word(F.col("_bm_hash")) == F.col("_bm_word"), "left").select(*df.columns, maybe.alias(name))
+
+
 def _word(h: Column) -> Column:
     return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
 
@@ -76,12 +84,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     hashed = F.xxhash64("doc_id", "text_key")
     bitmap = written(presence_bitmap(decided.where("NOT kept"), hashed), "dropped")
     keyed = docs.withColumn("_key", text_key(F.col("text")))
-    probe = F.xxhash64("doc_id", "_key")
-    marked = keyed.withColumn("_hash", probe).join(F.broadcast(bitmap), _word(F.col("_hash")) == F.col("bm_word"), "left")
-    maybe = F.coalesce(F.getbit("bm_bits", _bit(F.col("_hash"))) == 1, F.lit(False))
-    sure = marked.where(~maybe).select(*docs.columns)
+    split = marked(keyed, F.xxhash64("doc_id", "_key"), bitmap, "_maybe")
+    sure = split.where("NOT _maybe").select(*docs.columns)
     kept = maybe_present(decided.where("kept").select("doc_id", "text_key"), hashed, bitmap)
     kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key"))
-    rest = marked.where(maybe).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    rest = split.where("_maybe").join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
     return sure.unionByName(rest)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, simhash, token_counts, url_filter
+from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, simhash, substring, token_counts, url_filter
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -57,6 +57,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), batches=2, keep=("doc_id",))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame(ODD_CHAT, "conv_id long, turn long, role string, text string")
     turns = chat_format.canonical_turns(_table(spark, sf_dir, "conversations")).unionByName(chat_format.canonical_turns(odd))
@@ -88,6 +93,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
 }
@@ -116,6 +122,16 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT k, doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS win FROM d, unnest(range(1, len(ws) - 48)) AS u(i)),
+f AS (SELECT win, min(doc_id) AS first_id FROM w GROUP BY win),
+h AS (SELECT DISTINCT w.k, p FROM w JOIN f USING (win), unnest(range(w.i, w.i + 50)) AS u(p) WHERE w.doc_id > f.first_id),
+c AS (SELECT k, count(*) AS n_removed FROM h GROUP BY k),
+x AS (SELECT d.k, string_agg(ws[p], ' ' ORDER BY p) AS kept
+      FROM d, unnest(range(1, len(ws) + 1)) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.k = d.k AND h.p = u.p) GROUP BY d.k)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (k) LEFT JOIN x USING (k)""",
     "op8_chat_format": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
