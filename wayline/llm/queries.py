@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, simhash, substring, token_counts, url_filter
+from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -41,6 +41,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def _part(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_part(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_quality(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (F.coalesce(_part(3), F.lit(0)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").where(_part(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)), keep=("doc_id",))
+    return scored.select("doc_id", (F.coalesce(_part(5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",))
@@ -90,12 +110,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
