@@ -1,10 +1,56 @@
-"""Corpus pipeline: the stages, applied in turn to ``documents``."""
+"""Corpus pipeline: toxic documents, copies, near copies and benchmark passages go, the rest is encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of ``documents``.
+``run`` writes each stage's rows as Parquet to the shared folder and reads them for the next.
+The classifier of the first stage and the fingerprints of the third can't be said in SQL, so there is no
+ORACLE_SQL; tests compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayline.llm import bpe, decontaminate, exact_dedup, queries, simhash, toxicity
+from wayline.llm.common import written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, queries.toxic_labels(spark, sf_dir))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, keep=("doc_id",)), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", remove_benchmark),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs
