@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from wayline.functions import spatial as sp
@@ -33,14 +34,23 @@ def to_ecef(g: Column) -> Column:
 
 def from_ecef(v: Column, rounds: int = 5) -> Column:
     """By fixed-point rounds on the latitude; five are good to far below a millimetre near the ground."""
-    p = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
-    lat = F.atan2(v["z"], p * (1 - E2))
-    for _ in range(rounds):
-        s = F.sin(lat)
-        lat = F.atan2(v["z"] + E2 * SEMI_MAJOR / F.sqrt(1 - E2 * s * s) * s, p)
-    s = F.sin(lat)
-    alt = p * F.cos(lat) + v["z"] * s - SEMI_MAJOR * F.sqrt(1 - E2 * s * s)
-    return lla(F.degrees(lat), F.degrees(F.atan2(v["y"], v["x"])), alt)
+
+    def solved(v: Column) -> Column:
+        p = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+
+        def closer(lat: Column) -> Column:
+            s = F.sin(lat)
+            return F.atan2(v["z"] + E2 * SEMI_MAJOR / F.sqrt(1 - E2 * s * s) * s, p)
+
+        def done(lat: Column) -> Column:
+            s = F.sin(lat)
+            alt = p * F.cos(lat) + v["z"] * s - SEMI_MAJOR * F.sqrt(1 - E2 * s * s)
+            return lla(F.degrees(lat), F.degrees(F.atan2(v["y"], v["x"])), alt)
+
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(v["z"], p * (1 - E2)), lambda lat, _: closer(lat))
+        return sp.let(steps, done)
+
+    return sp.let(v, solved)
 
 
 def enu_basis(origin: Column) -> tuple[Column, Column, Column]:
@@ -52,14 +62,17 @@ def enu_basis(origin: Column) -> tuple[Column, Column, Column]:
 
 
 def ecef_to_enu(v: Column, origin: Column) -> Column:
-    d = sp.vsub(v, to_ecef(origin))
-    return sp.vector(*(sp.vdot(b, d) for b in enu_basis(origin)))
+    pair = F.struct(sp.vsub(v, to_ecef(origin)).alias("d"), origin.alias("o"))
+    return sp.let(pair, lambda e: sp.vector(*(sp.vdot(b, e["d"]) for b in enu_basis(e["o"]))))
 
 
 def enu_to_ecef(v: Column, origin: Column) -> Column:
-    e, n, u = enu_basis(origin)
-    out = sp.vadd(sp.vadd(sp.vscale(e, v["x"]), sp.vscale(n, v["y"])), sp.vscale(u, v["z"]))
-    return sp.vadd(out, to_ecef(origin))
+
+    def moved(p: Column) -> Column:
+        (e, n, u), v, o = enu_basis(p["o"]), p["v"], p["c"]
+        return sp.vector(*(e[k] * v["x"] + n[k] * v["y"] + u[k] * v["z"] + o[k] for k in sp.VECTOR))
+
+    return sp.let(F.struct(origin.alias("o"), v.alias("v"), to_ecef(origin).alias("c")), moved)
 
 
 def to_enu(g: Column, origin: Column) -> Column:
@@ -73,7 +86,7 @@ def local_distance(a: Column, b: Column, with_altitude: bool = False) -> Column:
     return F.sqrt(flat + d["z"] * d["z"] if with_altitude else flat)
 
 
-@pandas_udf("distance double, initial_bearing double, final_bearing double")
+@pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("distance", "initial_bearing", "final_bearing")]))
 def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     """Distance and bearings on the ellipsoid by Vincenty's inverse method, which doesn't converge near the antipode (missing there).
 

@@ -7,11 +7,13 @@ first and then b.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 VECTOR, QUATERNION = ("x", "y", "z"), ("x", "y", "z", "w")
@@ -53,15 +55,24 @@ def magnitude(a: Column) -> Column:
     return F.sqrt(vdot(a, a))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once; without it expressions that use their input many times grow out of bounds."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def qdot(a: Column, b: Column) -> Column:
     return sum((a[c] * b[c] for c in QUATERNION[1:]), a["x"] * b["x"])
 
 
 def normalised(q: Column) -> Column:
     """Unit quaternion; one of no length is an error."""
-    n = F.sqrt(qdot(q, q))
-    n = F.when((n == 0) | F.isnan(n), F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(n)
-    return quaternion(*(q[c] / n for c in QUATERNION))
+
+    def scaled(u: Column) -> Column:
+        bad = (u["n"] == 0) | F.isnan(u["n"])
+        n = F.when(bad, F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(u["n"])
+        return let(F.struct(u["q"].alias("q"), n.alias("n")), lambda v: quaternion(*(v["q"][c] / v["n"] for c in QUATERNION)))
+
+    return let(q, lambda v: let(F.struct(v.alias("q"), F.sqrt(qdot(v, v)).alias("n")), scaled))
 
 
 def hamilton(a: Column, b: Column) -> Column:
@@ -85,9 +96,17 @@ def rotation_inverse(q: Column) -> Column:
 
 def rotate(q: Column, v: Column) -> Column:
     """v turned by a unit quaternion."""
-    u = vector(q["x"], q["y"], q["z"])
-    t = vscale(cross(u, v), F.lit(2.0))
-    return vadd(vadd(v, vscale(t, q["w"])), cross(u, t))
+
+    def turned(e: Column) -> Column:
+        u, t, v = e["q"], e["t"], e["v"]
+        c = cross(u, t)
+        return vector(*(v[k] + u["w"] * t[k] + c[k] for k in VECTOR))
+
+    def doubled(e: Column) -> Column:
+        t = vscale(cross(e["q"], e["v"]), F.lit(2.0))
+        return let(F.struct(e["q"].alias("q"), e["v"].alias("v"), t.alias("t")), turned)
+
+    return let(F.struct(q.alias("q"), v.alias("v")), doubled)
 
 
 def angle(q: Column) -> Column:
@@ -130,31 +149,38 @@ def from_matrix(m: Column) -> Column:
 
 def slerp(a: Column, b: Column, alpha: Column) -> Column:
     """Shortest turn from a to b; nearly equal ones are blended and normalised; the ends are exact."""
-    a, b = normalised(a), normalised(b)
-    d0 = qdot(a, b)
-    sign, d = F.when(d0 < 0, -1.0).otherwise(1.0), F.least(F.abs(d0), F.lit(1.0))
-    theta = F.acos(d)
-    near = d > 1 - 1e-12
-    s = F.when(near, F.lit(1.0)).otherwise(F.sin(theta))
-    wa = F.when(near, 1 - alpha).otherwise(F.sin((1 - alpha) * theta) / s)
-    wb = F.when(near, alpha).otherwise(F.sin(alpha * theta) / s) * sign
-    mixed = normalised(quaternion(*(wa * a[c] + wb * b[c] for c in QUATERNION)))
-    return F.when(alpha == 0, a).when(alpha == 1, b).when(alpha.isNotNull(), mixed)
+
+    def turned(e: Column) -> Column:
+        a, b, k, d = e["a"], e["b"], e["k"], F.least(F.abs(e["d"]), F.lit(1.0))
+        theta, near, sign = F.acos(d), d > 1 - 1e-12, F.when(e["d"] < 0, -1.0).otherwise(1.0)
+        s = F.when(near, F.lit(1.0)).otherwise(F.sin(theta))
+        wa = F.when(near, 1 - k).otherwise(F.sin((1 - k) * theta) / s)
+        wb = F.when(near, k).otherwise(F.sin(k * theta) / s) * sign
+        mixed = let(F.struct(wa.alias("wa"), wb.alias("wb")), lambda w: normalised(quaternion(*(w["wa"] * a[c] + w["wb"] * b[c] for c in QUATERNION))))
+        return F.when(k == 0, a).when(k == 1, b).when(k.isNotNull(), mixed)
+
+    ends = F.struct(normalised(a).alias("a"), normalised(b).alias("b"), alpha.cast("double").alias("k"))
+    return let(ends, lambda e: let(F.struct(e["a"].alias("a"), e["b"].alias("b"), e["k"].alias("k"), qdot(e["a"], e["b"]).alias("d")), turned))
 
 
 def pose_compose(a: Column, b: Column) -> Column:
     """First a, then b."""
-    return pose(vadd(rotate(b["q"], a["p"]), b["p"]), rotation_compose(a["q"], b["q"]))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda e: pose(vadd(rotate(e["b"]["q"], e["a"]["p"]), e["b"]["p"]), rotation_compose(e["a"]["q"], e["b"]["q"])))
 
 
 def pose_inverse(a: Column) -> Column:
-    back = rotation_inverse(a["q"])
-    return pose(vscale(rotate(back, a["p"]), F.lit(-1.0)), back)
+
+    def turned(e: Column) -> Column:
+        back = rotation_inverse(e["q"])
+        return pose(vscale(rotate(back, e["p"]), F.lit(-1.0)), back)
+
+    return let(a, turned)
 
 
 def pose_apply(a: Column, v: Column) -> Column:
     """A point turned and moved; for velocities and accelerations use ``rotate`` alone."""
-    return vadd(rotate(a["q"], v), a["p"])
+    return let(F.struct(a.alias("a"), v.alias("v")), lambda e: vadd(rotate(e["a"]["q"], e["v"]), e["a"]["p"]))
 
 
 def pose_matrix(a: Column) -> Column:
@@ -182,7 +208,7 @@ def vector_of(df: DataFrame, pattern: str) -> Column:
     return F.struct(*(F.col(f"`{n}`").cast("double").alias(c) for n, c in zip(names, QUATERNION if len(names) == 4 else VECTOR, strict=True)))
 
 
-@pandas_udf("x double, y double, z double, w double")
+@pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in QUATERNION]))
 def _dominant(rows: pd.Series) -> pd.DataFrame:
     """Eigenvector of the largest eigenvalue of 4 x 4 matrices given as their upper triangles."""
     m = np.zeros((len(rows), 4, 4))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -112,7 +113,10 @@ def _each_shape(*series: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarra
         yield np.array(at), [_stacked(s.iloc[at]) for s in series]
 
 
-@pandas_udf("array<array<double>>")
+VECTOR, MATRIX = T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(T.DoubleType()))
+
+
+@pandas_udf(MATRIX)
 def inv(m: pd.Series) -> pd.Series:
     """Inverse of square matrices; a singular one is an error."""
     out: list = [None] * len(m)
@@ -122,7 +126,7 @@ def inv(m: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(VECTOR)
 def solve(m: pd.Series, v: pd.Series) -> pd.Series:
     """x with m x = v: exactly for square matrices, by least squares for others."""
     out: list = [None] * len(m)
@@ -134,7 +138,7 @@ def solve(m: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(VECTOR)
 def lstsq(m: pd.Series, v: pd.Series) -> pd.Series:
     out: list = [None] * len(m)
     for at, (a, b) in _each_shape(m, v):
@@ -146,7 +150,7 @@ def lstsq(m: pd.Series, v: pd.Series) -> pd.Series:
 def pinv(m: Column, rcond: float = 1e-15, hermitian: bool = False) -> Column:
     """Pseudo-inverse."""
 
-    @pandas_udf("array<array<double>>")
+    @pandas_udf(MATRIX)
     def run(s: pd.Series) -> pd.Series:
         out: list = [None] * len(s)
         for at, (a,) in _each_shape(s):

@@ -48,7 +48,7 @@ def concat_sequence(frames: Sequence[LaneFrame], overlap: str = "error", lanes:
     if base.clock:
         before = F.lag(base.clock).over(base.lane.orderBy("_part", base.seq))
         late = F.when(F.coalesce(before > F.col(base.clock), F.lit(False)), F.raise_error(F.lit("frames overlap on the clock"))).otherwise(F.lit(True))
-        out = out.over(out.df.where(late))
+        out = out.over(out.df.withColumn("_late", late).where("_late").drop("_late"))
     return out.renumbered("_part", base.seq).select(*base.fields)
 
 

@@ -79,7 +79,7 @@ def smooth(frame: LaneFrame, method: str = "moving_average", window: int = 5, si
     if method != "gaussian":
         raise ValueError(f"unknown method {method}")
     t = F.col(frame.clock).cast("double")
-    near = {k: (F.lag(t, -k) if k < 0 else F.lag(t, k)).over(order) if k else t for k in range(-r, r + 1)}
+    near = {k: F.lag(t, k).over(order) if k > 0 else F.lead(t, -k).over(order) if k < 0 else t for k in range(-r, r + 1)}
     df = frame.df.withColumns({f"_w{k + r}": F.exp(-0.5 * F.pow((near[k] - t) / sigma, 2)) for k in near})
     out = {}
     for c in frame.fields:

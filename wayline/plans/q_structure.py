@@ -50,7 +50,7 @@ def sel_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 6) AS net, round(l_extendedprice / l_quantity, 6) AS unit,
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 6) AS net, round(l_extendedprice / l_quantity * 0.123456789::DOUBLE, 6) AS unit,
        CASE WHEN l_linenumber = 3 THEN 'inf' ELSE CAST(CAST(round(l_quantity / (l_linenumber - 3)) AS BIGINT) AS VARCHAR) END AS pole,
        CAST(floor(l_quantity / 7) AS DOUBLE) AS whole, round(l_linenumber - 3 - floor((l_linenumber - 3) / 4::DOUBLE) * 4, 6) AS remainder, round(l_quantity ** 2, 6) AS squared
 FROM lineitem""")
@@ -62,7 +62,7 @@ def ufunc_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.select(
             "l_orderkey", "l_linenumber",
             (F.col("l_extendedprice") * (1 - F.col("l_discount")) + F.col("l_tax")).alias("net"),
-            nm.divide(F.col("l_extendedprice"), q).alias("unit"),
+            (nm.divide(F.col("l_extendedprice"), q) * 0.123456789).alias("unit"),
             F.when(pole == float("inf"), "inf").otherwise(F.round(F.when(pole != float("inf"), pole)).cast("long").cast("string")).alias("pole"),
             nm.floor_divide(q, F.lit(7.0)).alias("whole"), nm.mod(n - 3, F.lit(4.0)).alias("remainder"), nm.power(q, F.lit(2)).alias("squared"),
         )
