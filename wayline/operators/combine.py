@@ -137,13 +137,15 @@ def merge(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples: str
 def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples: str = "exact", broadcast: bool = False) -> LaneFrame:
     """f(left, right) of the fields that both have, aligned by lane and sample.
 
-    broadcast: right lacks the sample number (one row per lane), or lane keys too; it is joined on the keys that it has.
+    broadcast: right has one row for some of left's lane keys and no samples; it is joined on the keys that it has.
     """
     shared = [c for c in left.fields if c in right.fields]
     if broadcast:
         on = [k for k in right.keys if k in left.keys]
         other = right.df.select(*on, *(F.col(c).alias(f"r_{c}") for c in shared))
-        df = left.df.join(other, on) if on else left.df.crossJoin(F.broadcast(other.limit(2)))
+        if not on:
+            raise ValueError("the frames share no lane key; give a single value as a column to map_fields")
+        df = left.df.join(other, on)
         return left.over(df.withColumns({c: f(F.col(c), F.col(f"r_{c}")) for c in shared}).drop(*(f"r_{c}" for c in shared))).select(*shared)
     df, at = _joined(left, right, lanes, samples)
     clock = [F.col(f"l_{left.clock}").alias(left.clock)] if left.clock else []
