@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import asof
 from wayline.operators import events as ev
 from wayline.plans.catalog import lanes, query, rounded
 
-HIGH = F.col("value") > 20
+def high() -> Column:
+    return F.col("value") > 20
+
 
 ON = """
 o AS (SELECT *, value > 20 AS o FROM e),
@@ -45,12 +47,12 @@ def cond_eq_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {{e}}, {_events(False)} SELECT user_id, event, round(time, 6) AS time, edge_code, sample_index_before, sample_index_after FROM x")
 def events_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.events(lanes(spark, sf_dir), HIGH))
+    return rounded(ev.events(lanes(spark, sf_dir), high()))
 
 
 @query(f"WITH {{e}}, {_events(True)} SELECT user_id, event, round(time, 6) AS time, edge_code, sample_index_before, sample_index_after FROM x")
 def events_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.events(lanes(spark, sf_dir), HIGH, include_initial=True))
+    return rounded(ev.events(lanes(spark, sf_dir), high(), include_initial=True))
 
 
 @query(f"WITH {{e}}, {ON}, x AS (SELECT user_id, seq, t FROM o WHERE abs(value - 10) <= 0.6) SELECT user_id, count(*) AS n, round(sum(t), 3) AS total FROM x GROUP BY user_id")
@@ -62,36 +64,36 @@ def events_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {{e}}, {ISLANDS} SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_index) - 1 AS INT) AS segment,
   round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, start_index, end_index FROM s WHERE NOT first""")
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.intervals(lanes(spark, sf_dir), HIGH))
+    return rounded(ev.intervals(lanes(spark, sf_dir), high()))
 
 
 @query(f"WITH {{e}}, {ISLANDS} SELECT user_id, count(*) AS n, round(avg(end_time - start_time), 6) AS mean_duration FROM s WHERE NOT first GROUP BY user_id")
 def interval_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and mean length of the stretches above a threshold, per lane."""
-    found = ev.intervals(lanes(spark, sf_dir), HIGH)
+    found = ev.intervals(lanes(spark, sf_dir), high())
     return rounded(found.groupBy("user_id").agg(F.count("*").alias("n"), F.avg(F.col("end_time") - F.col("start_time")).alias("mean_duration")))
 
 
 @query(f"""WITH {{e}}, {_events(False)} SELECT x.user_id, event, round(time, 6) AS time, edge_code, sample_index_before, sample_index_after, e.value
 FROM x JOIN e ON x.user_id = e.user_id AND x.time = e.t QUALIFY row_number() OVER (PARTITION BY x.user_id, edge_code = 1 ORDER BY event) = 1 AND edge_code = 1""")
 def at_boundaries_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.at_boundaries(lanes(spark, sf_dir), HIGH, edges="enter", mode="first"))
+    return rounded(ev.at_boundaries(lanes(spark, sf_dir), high(), edges="enter", mode="first"))
 
 
 @query(f"""WITH {{e}}, {_events(False)} SELECT x.user_id, event, round(time, 6) AS time, edge_code, sample_index_before, sample_index_after, e.value
 FROM x JOIN e ON x.user_id = e.user_id AND x.time = e.t QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY event DESC) = 1""")
 def at_boundaries_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.at_boundaries(lanes(spark, sf_dir), HIGH, mode="last"))
+    return rounded(ev.at_boundaries(lanes(spark, sf_dir), high(), mode="last"))
 
 
 @query("WITH {e} SELECT user_id, seq, round(t, 6) AS t, CASE WHEN value > 20 THEN value END AS value FROM e")
 def when_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.when(lanes(spark, sf_dir), HIGH).df)
+    return rounded(ev.when(lanes(spark, sf_dir), high()).df)
 
 
 @query("WITH {e} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1 AS seq, round(t, 6) AS t, value, seq AS orig_index FROM e WHERE value <= 20")
 def when_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.when(lanes(spark, sf_dir), HIGH, "stream", inside=False).df)
+    return rounded(ev.when(lanes(spark, sf_dir), high(), "stream", inside=False).df)
 
 
 @query(f"""WITH {{e}}, {ISLANDS}, z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_index) - 1 AS segment FROM s)
@@ -99,7 +101,7 @@ SELECT z.user_id, i.seq - z.start_index AS seq, round(i.t, 6) AS t, i.value, CAS
        start_index AS segment_start_index, end_index AS segment_end_index, i.seq AS orig_index
 FROM z JOIN i ON z.user_id = i.user_id AND z.island = i.island AND i.o""")
 def when_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.when(lanes(spark, sf_dir), HIGH, "segments"))
+    return rounded(ev.when(lanes(spark, sf_dir), high(), "segments"))
 
 
 AROUND = f"""{_events(False)},
@@ -114,7 +116,7 @@ f AS (
 
 
 def _anchors(f):
-    return ev.pick(ev.events(f, HIGH), f.keys, "enter", "first_n", 3)
+    return ev.pick(ev.events(f, high()), f.keys, "enter", "first_n", 3)
 
 
 @query(f"WITH {{e}}, {AROUND} SELECT user_id, event, tau, round(time, 6) AS event_time, round(value, 6) AS value FROM f")
