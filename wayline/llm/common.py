@@ -91,3 +91,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key"))
     rest = split.where("_maybe").join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
     return sure.unionByName(rest)
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """At most ``most`` of n rows, chosen by a hash of their key; only about twice as many are ever sorted."""
+    if n > 2 * most:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(1_000_000)) < int(2_000_000 * most / n) + 1)
+    return rows.orderBy(F.xxhash64(key), key).limit(most)

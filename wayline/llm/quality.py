@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import written
+from wayline.llm.common import hashed_sample, written
 
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 15, 32, 2, 2
 #: Labelled rows that the network learns from, at most, chosen by a hash of the id.
@@ -174,7 +174,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """doc_id, score of every row of docs; labels: doc_id, label (0 or 1) of the rows to learn from."""
     vectors = document_vectors(docs)
     known = labels.where("label IN (0, 1)").select(F.col("doc_id").alias("l_id"), F.col("label").cast("double").alias("label"))
-    sample = vectors.join(known, F.col("doc_id") == F.col("l_id")).select("doc_id", "vector", "label")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "vector", "label").limit(sample_rows).toArrow()
+    chosen = F.broadcast(hashed_sample(known, "l_id", sample_rows, known.count()))  # ids and labels of a bounded number of rows
+    sample = vectors.join(chosen, F.col("doc_id") == F.col("l_id")).select("doc_id", "vector", "label")
+    rows = sample.orderBy("doc_id", "vector", "label").limit(sample_rows).toArrow()
     network = Network(_matrix(rows["vector"]), rows["label"].to_numpy())
     return vectors.mapInArrow(partial(_scored, network=network), "doc_id bigint, score double")
