@@ -24,7 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,7 @@ BATCH_ROWS, BATCH_BYTES = 100_000, 4 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 BLOCK = "key bigint, hash bigint, check bigint, doc bigint, ref bigint, start int, size int"
+SINGLE = "hash bigint, check bigint, doc bigint, ref bigint, start int"
 NO_ID = (1 << 63) - 1
 
 _powers: dict[int, np.ndarray] = {}
@@ -89,10 +90,9 @@ def blocks_of(words: list[bytes], window: int) -> tuple[np.ndarray, ...] | None:
     return grams[least[start]], rolling.spans(start, stop, 0), rolling.spans(start, stop, 1), start, size
 
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
-    names = ("key", "hash", "check", "doc", "ref", "start", "size")
-    types = (np.int64,) * 5 + (np.int32,) * 2
-    cols = [np.concatenate([h[k] for h in held]) for k in range(7)]
+def _rows(held: list[tuple], names: tuple[str, ...] = ("key", "hash", "check", "doc", "ref", "start", "size")) -> pa.RecordBatch:
+    types = [np.int32 if n in ("start", "size") else np.int64 for n in names]
+    cols = [np.concatenate([h[k] for h in held]) for k in range(len(names))]
     return pa.RecordBatch.from_arrays([pa.array(c.view(t) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip(cols, types, strict=True)], names=names)
 
 
@@ -113,20 +113,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Every window of the listed blocks, as blocks of one window."""
+    """Every window of the listed blocks."""
+    names = ("hash", "check", "doc", "ref", "start")
     held, n = [], 0
     for b in batches:
         for text, doc, ref, spans in zip(b.column("text"), b.column("doc").to_pylist(), b.column("ref").to_pylist(), b.column("spans").to_pylist(), strict=True):
             rolling = Rolling((text.as_py() or "").encode("utf-8", "replace").split())
             start = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["size"]) for s in spans]))
             hashed, check = (rolling.spans(start, start + window, k) for k in (0, 1))
-            held.append((hashed, hashed, check, np.full(len(start), doc), np.full(len(start), ref), start, np.ones(len(start), np.int32)))
+            held.append((hashed, check, np.full(len(start), doc), np.full(len(start), ref), start))
             n += len(start)
             if n >= BATCH_ROWS:
-                yield _rows(held)
+                yield _rows(held, names)
                 held, n = [], 0
     if held:
-        yield _rows(held)
+        yield _rows(held, names)
 
 
 def _referred(docs: DataFrame) -> DataFrame:
@@ -140,12 +141,15 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key", "hash", "check").agg(first, F.max("doc").alias("last")).select("key", "hash", "check", "f.*", "last")
 
 
-def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(ref, start, size) of rows whose block a smaller document has."""
-    many = firsts.where("last > doc").select(F.col("key").alias("m_key"), F.col("hash").alias("m_hash"), F.col("check").alias("m_check"), F.col("doc").alias("m_doc"))
-    same = (F.col("key") == F.col("m_key")) & (F.col("hash") == F.col("m_hash"))
-    found = rows.join(many, same & (F.col("check") == F.col("m_check")) & (F.col("doc") > F.col("m_doc")))
-    return found.select("ref", "start", "size")
+def _later(rows: DataFrame, repeated: DataFrame, size: Column) -> DataFrame:
+    """(ref, start, size) of rows whose hashes a smaller document has; repeated: hash, check and the smallest doc of those in several.
+
+    Only rows that may be among the repeated ones are shuffled.
+    """
+    few = repeated.select(F.col("hash").alias("m_hash"), F.col("check").alias("m_check"), F.col("doc").alias("m_doc"))
+    near = maybe_present(rows, F.col("hash"), written(presence_bitmap(few, F.col("m_hash")), "repeated"))
+    found = near.join(few, (F.col("hash") == F.col("m_hash")) & (F.col("check") == F.col("m_check")) & (F.col("doc") > F.col("m_doc")))
+    return found.select("ref", "start", size.cast("int").alias("size"))
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -168,19 +172,24 @@ class SubstringIndex:
         """
         rows = _referred(docs).select("text", "doc", "ref").mapInArrow(partial(_blocks, window=self.window), BLOCK)
         new = self._write(rows.sortWithinPartitions("key"))
-        everything = self._read([*self.runs, new])
+        mine, before = self._read([new]), list(self.runs)
         self.runs.append(new)
+        everything = mine
+        if before:  # of the history, the keys that the batch may have
+            asked_for = written(presence_bitmap(mine, F.col("key")), "batch_keys")
+            everything = mine.unionByName(maybe_present(self._read(before), F.col("key"), asked_for))
         keys = everything.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
         shared = written(presence_bitmap(keys, F.col("key")), "keys")
         firsts = written(_first(maybe_present(everything, F.col("key"), shared)), "firsts")
-        whole = _later(maybe_present(self._read([new]), F.col("key"), shared), firsts)
+        whole = _later(mine, firsts.where("last > doc"), F.col("size"))
 
         differ = firsts.groupBy(F.col("key").alias("d_key")).agg(F.count("*").alias("n")).where("n > 1")
         asked = written(_listed(firsts.join(differ, F.col("key") == F.col("d_key"), "left_semi")), "asked")
         texts = maybe_present(_referred(corpus).select("text", "doc", "ref"), F.col("ref"), presence_bitmap(asked, F.col("s_ref")))
-        single = texts.join(asked, F.col("ref") == F.col("s_ref")).select("text", "doc", "ref", "spans").mapInArrow(partial(_single_windows, window=self.window), BLOCK)
+        single = texts.join(asked, F.col("ref") == F.col("s_ref")).select("text", "doc", "ref", "spans").mapInArrow(partial(_single_windows, window=self.window), SINGLE)
         single = written(single, "single")
-        parts = _later(single, _first(single))
+        again = single.groupBy("hash", "check").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("last > doc")
+        parts = _later(single, written(again, "again"), F.lit(1))
         if len(self.runs) > 1:  # windows of documents indexed before served only to compare
             parts = parts.join(self._read([new]).select(F.col("ref").alias("n_ref")).distinct(), F.col("ref") == F.col("n_ref"), "left_semi")
         found = written(_listed(whole.unionByName(parts)), "found")
