@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from wayline.llm.common import written
 
 #: Words of the broadcast table, and bytes of the longest word in it: together they bound it.
-TABLE_WORDS, TABLE_WORD_BYTES = 200_000, 48
+TABLE_WORDS, TABLE_WORD_BYTES = 120_000, 48
 #: Words, and pieces, that a Python worker remembers besides the table.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text of an output batch.
 BATCH_BYTES = 4 << 20
 #: Below this character normalisation changes nothing but case, letter by letter; fixed value.
@@ -138,29 +138,43 @@ def _batched(batch: pa.RecordBatch, sizes: Iterator[int]) -> Iterator[tuple[int,
         yield start, batch.num_rows
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], known: object, path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
+    table = WordIds(path, known.value)
+    for batch in batches:
+        texts = batch.column("text")
+        for start, stop in _batched(batch, (len(t.as_py() or "") for t in texts)):
+            ids = []
+            for i in range(start, stop):
+                ids.append(b"".join(map(table.__getitem__, words_of(texts[i].as_py()))))
+                if len(table) > len(known.value) + REMEMBERED:
+                    table = WordIds(path, known.value)
+            part = batch.slice(start, stop - start)
+            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(ids, pa.binary()), counts], names=[*passed, "ids", "n_tokens"])
+
+
+def _both(batches: Iterator[pa.RecordBatch], known: object, path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
+    return _decoded(_encoded(batches, known, path, passed), path, [*passed, "ids", "n_tokens"])
+
+
+def _applied(docs: DataFrame, path: str, words: int, keep: tuple[str, ...] | None, f: Callable, added: list[T.StructField]) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r.word): bytes(r.ids) for r in word_table(docs, path, words).collect()})
+    names = [c for c in docs.columns if c not in {a.name for a in added} and (keep is None or c in keep)]
+    schema = T.StructType([*(docs.schema[c] for c in names), *added])
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(partial(f, known=known, path=path, passed=names), schema)
+
+
+IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+
+
 def encode(docs: DataFrame, path: str, words: int = TABLE_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The kept columns of docs (default all) with ids (binary: little-endian unsigned 32-bit) and n_tokens."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast({bytes(r.word): bytes(r.ids) for r in word_table(docs, path, words).collect()})
-
-    def run(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.RecordBatch]:
-        passed = [c for c in passed if keep is None or c in keep]
-        table = WordIds(path, known.value)
-        for batch in batches:
-            texts = batch.column("text")
-            for start, stop in _batched(batch, (len(t.as_py() or "") for t in texts)):
-                ids = []
-                for i in range(start, stop):
-                    ids.append(b"".join(map(table.__getitem__, words_of(texts[i].as_py()))))
-                    if len(table) > len(known.value) + REMEMBERED:
-                        table = WordIds(path, known.value)
-                part = batch.slice(start, stop - start)
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(ids, pa.binary()), counts], names=[*passed, "ids", "n_tokens"])
-
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens") and (keep is None or c in keep)]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(partial(run, passed=names), schema)
+    return _applied(docs, path, words, keep, _encoded, IDS)
+
+
+def round_trip(docs: DataFrame, path: str, words: int = TABLE_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker."""
+    return _applied(docs, path, words, keep, _both, [*IDS, T.StructField("decoded", T.StringType())])
 
 
 _pieces: dict[str, np.ndarray] = {}

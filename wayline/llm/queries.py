@@ -63,8 +63,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",))
-    return bpe.decode(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=("doc_id",))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
