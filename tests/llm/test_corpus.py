@@ -202,6 +202,26 @@ def test_repeats(docs, texts, window, batches):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept") == brute_removed(texts, window)
 
 
+@pytest.mark.parametrize(("window", "batches"), [(8, 1), (8, 3), (50, 2)])
+def test_repeats_inside_a_document(spark, window, batches):
+    rng = random.Random(window)
+
+    def new(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    texts = []
+    for k in range(12):
+        passages = [new(window + rng.randint(0, 2 * window)) for _ in range(4)]
+        texts.append((k, " ".join(f"{new(window)} {p} {new(window)}" for p in passages)))
+        inside, equal, null, both = (f"{new(window)} {p} {new(window)}" for p in passages)
+        texts.append((100 + k, f"{inside} {new(5)} {inside} {inside}"))
+        texts += [(200 + k, f"{equal} {new(9)}"), (200 + k, f"{new(3)} {equal}")]
+        texts += [(None, f"{null} {new(9)}"), (None, f"{new(3)} {null} {null}")]
+        texts += [(300 + k, both), (300 + k, both), (None, f"{both} {both}")]
+    got = substring.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), window, batches)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept") == brute_removed(texts, window)
+
+
 def test_compaction_keeps_first_blocks(spark, docs, texts):
     index = substring.SubstringIndex(spark, 8, fanout=1)
     parts = [docs.where("doc_id < 10"), docs.where("doc_id >= 10 AND doc_id < 20"), docs.where("doc_id >= 20")]

@@ -4,8 +4,8 @@ A window is a number of consecutive words. Equal windows contain equal shorter g
 under its least gram hash (its key), and neighbouring windows that share one make a block. Each batch of
 documents flushes its blocks as an immutable run sorted by key. The batch is merge-joined with the runs before it:
 a block that a document with a smaller id has too is removed whole; where the blocks of a key differ, the
-windows of each block's first document are compared one by one (another document's window can only equal one of
-those). All matches are on one 64-bit hash and verified by an independent second one. Compaction merges
+windows of each block in its first document are compared one by one, wherever rows of that id have it (another
+document's window can only equal one of those). All matches are on one 64-bit hash and verified by an independent second one. Compaction merges
 runs and keeps the first document of every block.
 
 So what is stored and shuffled is about one row for a dozen words, and windows only where shared passages end.
@@ -136,9 +136,11 @@ def _referred(docs: DataFrame) -> DataFrame:
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """The first document of every distinct block, and whether later documents have it too."""
+    """The first document of every distinct block, the last one, and whether rows of the first have it in several places (more)."""
     first = F.min(F.struct("doc", "ref", "start", "size")).alias("f")
-    return rows.groupBy("key", "hash", "check").agg(first, F.max("doc").alias("last")).select("key", "hash", "check", "f.*", "last")
+    end = F.max(F.struct(F.bitwise_not("doc"), "ref", "start")).alias("e")
+    more = ((F.col("e.ref") != F.col("f.ref")) | (F.col("e.start") != F.col("f.start"))).alias("more")
+    return rows.groupBy("key", "hash", "check").agg(first, end, F.max("doc").alias("last")).select("key", "hash", "check", "f.*", "last", more)
 
 
 def _later(rows: DataFrame, repeated: DataFrame, size: Column) -> DataFrame:
@@ -152,6 +154,17 @@ def _later(rows: DataFrame, repeated: DataFrame, size: Column) -> DataFrame:
     return found.select("ref", "start", size.cast("int").alias("size"))
 
 
+def _places(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(ref, start, size) of rows with a block in its first document that has it in several places, where a smaller document has the key."""
+    several = firsts.where("more")
+    lowest = maybe_present(firsts, F.col("key"), presence_bitmap(several, F.col("key"))).groupBy(F.col("key").alias("l_key")).agg(F.min("doc").alias("lo"))
+    few = several.join(lowest, (F.col("key") == F.col("l_key")) & (F.col("doc") > F.col("lo")))
+    few = written(few.select(F.col("hash").alias("m_hash"), F.col("check").alias("m_check"), F.col("doc").alias("m_doc")), "several")
+    near = maybe_present(rows, F.col("hash"), presence_bitmap(few, F.col("m_hash")))
+    same = (F.col("hash") == F.col("m_hash")) & (F.col("check") == F.col("m_check")) & (F.col("doc") == F.col("m_doc"))
+    return near.join(few, same).select("ref", "start", "size")
+
+
 def _listed(rows: DataFrame) -> DataFrame:
     """(s_ref, spans): spans of one document together; their number is bounded by its words."""
     return rows.groupBy(F.col("ref").alias("s_ref")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
@@ -184,7 +197,8 @@ class SubstringIndex:
         whole = _later(mine, firsts.where("last > doc"), F.col("size"))
 
         differ = firsts.groupBy(F.col("key").alias("d_key")).agg(F.count("*").alias("n")).where("n > 1")
-        asked = written(_listed(firsts.join(differ, F.col("key") == F.col("d_key"), "left_semi")), "asked")
+        singly = firsts.join(differ, F.col("key") == F.col("d_key"), "left_semi").select("ref", "start", "size")
+        asked = written(_listed(singly.unionByName(_places(mine, firsts))), "asked")
         texts = maybe_present(_referred(corpus).select("text", "doc", "ref"), F.col("ref"), presence_bitmap(asked, F.col("s_ref")))
         single = texts.join(asked, F.col("ref") == F.col("s_ref")).select("text", "doc", "ref", "spans").mapInArrow(partial(_single_windows, window=self.window), SINGLE)
         single = written(single, "single")
