@@ -47,6 +47,13 @@ def test_query_has_the_rows_of_its_sql(spark, duck, name):
     assert all(close(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
+@pytest.mark.parametrize("name", ["around_segments_all", "around_stacked_all"])
+def test_windows_are_made_round_every_enter_event(spark, name):
+    entered = catalog.QUERIES["events_edges"](spark, SF).where("edge_code = 1")
+    most = entered.groupBy("user_id").count().agg({"count": "max"}).first()[0]
+    assert most > 3 and catalog.QUERIES[name](spark, SF).count() == 5 * entered.count()
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

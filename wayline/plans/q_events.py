@@ -115,6 +115,9 @@ f AS (
 )"""
 
 
+AROUND_ALL = AROUND.replace(" QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event) <= 3", "")
+
+
 def _anchors(f):
     return ev.pick(ev.events(f, high()), f.keys, "enter", "first_n", 3)
 
@@ -133,6 +136,20 @@ def around_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("user_id", "seq", "window_event_index", "window_tau", "value"))
 
 
+@query(f"WITH {{e}}, {AROUND_ALL} SELECT user_id, event, tau, round(time, 6) AS event_time, round(value, 6) AS value FROM f")
+def around_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lanes(spark, sf_dir)
+    out = ev.around(f, ev.pick(ev.events(f, high()), f.keys, "enter"), ev.tau_grid(7200.0, 7200.0, 3600.0))
+    return rounded(out.select("user_id", "event", "tau", "event_time", "value"))
+
+
+@query(f"WITH {{e}}, {AROUND_ALL} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event, tau_index) - 1 AS seq, event AS window_event_index, tau AS window_tau, round(value, 6) AS value FROM f")
+def around_stacked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lanes(spark, sf_dir)
+    out = ev.around(f, ev.pick(ev.events(f, high()), f.keys, "enter"), ev.tau_grid(7200.0, 7200.0, 3600.0), "stacked")
+    return rounded(out.select("user_id", "seq", "window_event_index", "window_tau", "value"))
+
+
 @query("""WITH {e}, g AS (SELECT user_id, max(t) / 2 AS q FROM e GROUP BY user_id),
 n AS (SELECT g.user_id, g.q, e.value, row_number() OVER (PARTITION BY g.user_id ORDER BY abs(e.t - g.q), e.t) AS r FROM g JOIN e USING (user_id))
 SELECT user_id, round(q, 6) AS q, value FROM n WHERE r = 1""")
