@@ -160,6 +160,25 @@ def test_components(docs, texts):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_components_without_ids_of_their_own_keep_a_text_each(spark):
+    rng = random.Random(8)
+    alone = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(16)]
+    texts = [(None, t) for t in alone[:8]] + [(4, alone[8]), (4, alone[9]), (4, alone[10]), (None, alone[11]), (9, alone[11]), (7, alone[12]), (8, alone[12])]
+    texts += [(None, alone[13]), (None, alone[13]), (4, alone[14]), (4, alone[14]), (None, alone[15]), (None, alone[15].upper()), (6, "A " + alone[0]), (4, alone[10].upper())]
+    prints = [simhash.fingerprint(t) for _, t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    kept = rows(simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "text")
+    assert sorted(group[texts.index(r)] for r in kept) == sorted(set(group))
+    for d, t in kept:
+        ids = [x for (x, _), g in zip(texts, group) if g == group[texts.index((d, t))]]
+        assert d == min((x for x in ids if x is not None), default=None)
+
+
 def test_links_of_random_fingerprints(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(30)]

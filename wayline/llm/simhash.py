@@ -100,24 +100,27 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, text_key, fp, component_id (smallest doc_id reachable over links) of every row of docs."""
+    """doc_id, text_key, fp, component_id (smallest doc_id reachable over links), root (smallest fp reachable) of every row of docs.
+
+    Only root tells components apart: ids may be null or shared.
+    """
     prints = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = star_components(links(nodes.select("fp"), distance))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("n_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "text_key", "fp", "component_id")
+    named = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("n_fp"), "component_id", "root")
+    return prints.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of each component: that with the component's id."""
     found = written(components(docs, shingle, distance), "components")
     # of rows that share the id of their component, by several texts, one text stays
-    text = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("c")).agg(F.min("text_key").alias("k"), F.count("*").alias("n"))
+    text = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("root").alias("c")).agg(F.min("text_key").alias("k"), F.count("*").alias("n"))
     ties = text.where("n > 1")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("k").isNull() | (F.col("text_key") == F.col("k")))
-    decided = found.join(ties, F.col("component_id").eqNullSafe(F.col("c")), "left").select("doc_id", "text_key", kept.alias("kept"), "n")
+    decided = found.join(ties, F.col("root") == F.col("c"), "left").select("doc_id", "text_key", kept.alias("kept"), "n")
     # identical rows: mark one decision as dropped, so that keep_rows lets one of them stay
     again = decided.where("kept AND n > 1").select("doc_id", "text_key", F.lit(False).alias("kept"))
     return keep_rows(docs, decided.select("doc_id", "text_key", "kept").unionByName(again))
