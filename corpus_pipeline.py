@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of ``documents``.
 ``run`` writes each stage's rows as Parquet to the shared folder and reads them for the next.
 The classifier of the first stage and the fingerprints of the third can't be said in SQL, so there is no
-ORACLE_SQL; tests compare the stages with brute force.
+ORACLE_SQL; tests compare the stages' operators with brute force; none runs the pipeline.
 """
 
 from __future__ import annotations
