@@ -1,48 +1,53 @@
 """BPE encoding and decoding with a table of distinct words.
 
-Spark splits every text at white space and counts the distinct words of the whole corpus; each of the most
-frequent ones (a table of bounded size) is encoded once, in Spark, and the table is broadcast. A second pass
-puts the ids of each text together by looking its words up in order of position. Words outside the table are rare;
-they are encoded where they stand, by their pieces, each distinct one once per task. Decoding looks every id up
-in the id-to-piece table, whose size is that of the vocabulary.
+Spark splits every text at white space. A block of documents, bounded in words and bytes, becomes its distinct words and,
+for each document, the numbers of its words in order of position; blocks are written once, in buckets. The
+distinct words of all blocks are brought together by word, so each word of the corpus reaches the encoder once, however
+many blocks have it, and its ids go back to every block that does. Ids are joined to their pieces (a broadcast
+DataFrame of the vocabulary). Then each block meets its words' ids again, and the ids of every
+document are put together by position. Nothing is left out of the table: frequent, rare and very long words go the same way.
 
 The tokenizer splits at white space before anything else that spans characters, so the ids of a text are
-those of its words in turn.
+those of its words in turn; its decoder joins pieces by spaces, so the decoded text is that of its words in turn too.
+``decode`` turns any ids into text, by the same join at every position.
 
 Defined cases: null counts as the empty text, which has no ids and decodes to the empty string; special
 strings inside texts are special tokens, as in the library; ids outside the vocabulary are skipped when decoding;
-repeated rows give repeated rows; an empty table gives no rows; further columns pass through, of the names
-that this operator adds the input's are replaced.
+a text without white space is one word; repeated rows give repeated rows; an empty table gives no rows; further columns pass
+through, of the names that this operator adds the input's are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from wayline.llm.common import written
+from wayline.llm.common import bucketed, buckets, free, others, shared_dir
 
-#: Words of the broadcast table, and bytes of the longest word in it: together they bound it.
-TABLE_WORDS, TABLE_WORD_BYTES = 120_000, 48
-#: Words, and pieces, that a Python worker remembers besides the table.
-REMEMBERED = 150_000
-#: Bytes of text of an output batch.
+#: Words, and bytes of text, of a block; a single larger text is a block of its own.
+BLOCK_WORDS, BLOCK_BYTES = 2 << 20, 16 << 20
+#: Bytes of pieces, with their ids, that an encoder remembers; it starts afresh beyond.
+REMEMBERED_BYTES = 24 << 20
+#: Longest piece that it remembers.
+REMEMBERED_PIECE = 64
 BATCH_BYTES = 4 << 20
 #: Below this character normalisation changes nothing but case, letter by letter; fixed value.
 PLAIN = "ɐ"
 #: How the tokenizer splits words: fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+DECODED = T.StructField("decoded", T.StringType())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,159 +56,214 @@ def words_of(text: str | None) -> list[bytes]:
     return [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
 
 
-class WordIds(dict):
-    """Ids of words, as little-endian 32-bit integers; encodes a missing word once."""
+class _Codes(dict):
+    """Numbers of a block's words, in order of first appearance."""
 
-    def __init__(self, path: str, known: dict[bytes, bytes] | None = None):
-        super().__init__(known or {})
-        if path not in _loaded:
-            _loaded.clear()
-            _loaded[path] = (Tokenizer.from_file(path), {})
-            _loaded[path][0].no_truncation()
-            _loaded[path][0].no_padding()
-        self.tokenizer, self.pieces = _loaded[path]
-        self.split = regex.compile(PIECES).findall
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if b"<|" in word or max(text) >= PLAIN:
-            ids = self._encode(text)
-        else:
-            ids = b"".join(map(self._piece, self.split(text.lower())))
-        self[word] = ids
-        return ids
+def _blocks(batches: Iterator[pa.RecordBatch], passed: list[str], names: list[str], most_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with their block, codes (32-bit numbers of its words) and, in a block's first row, its words."""
+    table, held, codes, n, size = _Codes(), [], [], 0, 0
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            ids = self.pieces[piece] = self._encode(piece)
-        return ids
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        rows = pa.concat_batches(held) if passed else None
+        block = int.from_bytes(os.urandom(8), "little") >> 1
+        lists = pa.array([list(table), *[None] * (len(codes) - 1)], pa.list_(pa.binary()))
+        made = [pa.array(np.full(len(codes), block)), pa.array(codes, pa.binary()), lists]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in passed), *made], names=[*passed, *names])
 
-    seen: Counter[bytes] = Counter()
-    for b in batches:
-        for t in b.column(0):
-            seen.update(words_of(t.as_py()))
-            if len(seen) > REMEMBERED:
+    for batch in batches:
+        texts, start = batch.column("text"), 0
+        for i in range(batch.num_rows):
+            words = words_of(texts[i].as_py())
+            codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)).tobytes())
+            n, size = n + len(words), size + sum(map(len, words)) + len(words)
+            if n >= most_words or size >= BLOCK_BYTES:
+                held.append(batch.slice(start, i + 1 - start).select(passed))
                 yield out()
-                seen.clear()
-    if seen:
+                table, held, codes, n, size, start = _Codes(), [], [], 0, 0, i + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start).select(passed))
+    if codes:
         yield out()
 
 
-def _encoded_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    ids = WordIds(path)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids[w.as_py()] for w in b.column(0)], pa.binary())], names=["word", "ids"])
-
-
-def word_table(docs: DataFrame, path: str, words: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids) of the most frequent distinct words of all texts, at most ``words``, each encoded once."""
-    counts = docs.select("text").mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(F.length("word") <= TABLE_WORD_BYTES).withColumn("grade", F.floor(F.log2("n") * 8).cast("int")), "words")
-    held, least = 0, 0
-    for grade, n in sorted(((r["grade"], r["count"]) for r in counts.groupBy("grade").count().collect()), reverse=True):
-        if held + n > words:
-            least = grade + 1
-            break
-        held += n
-    return counts.where(F.col("grade") >= least).select("word").mapInArrow(partial(_encoded_words, path=path), "word binary, ids binary")
-
-
-def _with(docs: DataFrame, added: list[tuple[str, T.DataType]], f: Callable) -> DataFrame:
-    names = [n for n, _ in added]
-    passed = [c for c in docs.columns if c not in names]
-    schema = T.StructType([*(docs.schema[c] for c in passed), *(T.StructField(n, t) for n, t in added)])
-    return docs.mapInArrow(partial(f, passed=passed), schema)
-
-
-def _batched(batch: pa.RecordBatch, sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
-    """(start, stop) of parts of a batch with about BATCH_BYTES."""
-    start = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= BATCH_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield start, batch.num_rows
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], known: object, path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
-    table = WordIds(path, known.value)
-    for batch in batches:
-        texts = batch.column("text")
-        for start, stop in _batched(batch, (len(t.as_py() or "") for t in texts)):
-            ids = []
-            for i in range(start, stop):
-                ids.append(b"".join(map(table.__getitem__, words_of(texts[i].as_py()))))
-                if len(table) > len(known.value) + REMEMBERED:
-                    table = WordIds(path, known.value)
-            part = batch.slice(start, stop - start)
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(ids, pa.binary()), counts], names=[*passed, "ids", "n_tokens"])
+_loaded: dict[str, Tokenizer] = {}
 
 
-def _both(batches: Iterator[pa.RecordBatch], known: object, path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
-    return _decoded(_encoded(batches, known, path, passed), path, [*passed, "ids", "n_tokens"])
+def tokenizer_of(path: str) -> Tokenizer:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path].no_truncation()
+        _loaded[path].no_padding()
+    return _loaded[path]
 
 
-def _applied(docs: DataFrame, path: str, words: int, keep: tuple[str, ...] | None, f: Callable, added: list[T.StructField]) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast({bytes(r.word): bytes(r.ids) for r in word_table(docs, path, words).collect()})
-    names = [c for c in docs.columns if c not in {a.name for a in added} and (keep is None or c in keep)]
-    schema = T.StructType([*(docs.schema[c] for c in names), *added])
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(partial(f, known=known, path=path, passed=names), schema)
+class WordEncoder:
+    """Ids of words, as little-endian 32-bit integers; remembers short pieces up to a number of bytes."""
 
+    def __init__(self, path: str):
+        self.tokenizer, self.pieces, self.held = tokenizer_of(path), {}, 0
+        self.split = regex.compile(PIECES).findall
 
-IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    def __call__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if b"<|" in word or max(text) >= PLAIN:
+            return self._encode(text)
+        return b"".join(map(self._piece, self.split(text.lower())))
 
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def encode(docs: DataFrame, path: str, words: int = TABLE_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns of docs (default all) with ids (binary: little-endian unsigned 32-bit) and n_tokens."""
-    return _applied(docs, path, words, keep, _encoded, IDS)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+            if len(piece) <= REMEMBERED_PIECE:
+                self.held += 200 + 4 * len(piece)
+                if self.held > REMEMBERED_BYTES:
+                    self.pieces.clear()
+                    self.held = 0
+                self.pieces[piece] = ids
+        return ids
 
 
-def round_trip(docs: DataFrame, path: str, words: int = TABLE_WORDS, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker."""
-    return _applied(docs, path, words, keep, _both, [*IDS, T.StructField("decoded", T.StringType())])
+def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
+    """(block, code, ids) of rows sorted by word: a word is encoded when it first comes."""
+    encode, last, ids = encoder(path), None, b""
+    for batch in batches:
+        out = []
+        for w in batch.column("word"):
+            word = w.as_py()
+            if word != last:
+                last, ids = word, encode(word)
+            out.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary())], names=["block", "code", "ids"])
 
 
-_pieces: dict[str, np.ndarray] = {}
+def _as_lists(batches: Iterator[pa.RecordBatch], ids: str, seq: str) -> Iterator[pa.RecordBatch]:
+    """The rows with the ids as an array too; a last part of under four bytes is no id."""
+    for b in batches:
+        held = [(x.as_py() or b"") for x in b.column(ids)]
+        sizes = np.array([len(x) // 4 for x in held], np.int64)
+        flat = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(held, sizes.tolist(), strict=True)), "<i4")
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, seq])
 
 
-def piece_table(path: str) -> np.ndarray:
-    """Pieces by id; a worker keeps one table."""
-    if path not in _pieces:
-        tokenizer = Tokenizer.from_file(path)
-        _pieces.clear()
-        _pieces[path] = np.array([p.encode() if (p := tokenizer.id_to_token(i)) is not None else None for i in range(tokenizer.get_vocab_size())], object)
-    return _pieces[path]
+def _spoken(batches: Iterator[pa.RecordBatch], passed: list[str], output: str) -> Iterator[pa.RecordBatch]:
+    """Rows (passed columns in the first of a sequence, position, piece) as one row for each sequence, pieces joined by spaces."""
+    row, parts, at = None, [], -1
 
+    def out(done: list[tuple]) -> pa.RecordBatch:
+        rows = pa.concat_batches([d[0] for d in done])
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in passed), pa.array([d[1] for d in done], pa.string())], names=[*passed, output])
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
-    table = piece_table(path)
     for batch in batches:
-        column = batch.column("ids")
-        for start, stop in _batched(batch, (len(x.as_py() or b"") for x in column)):
-            texts = []
-            for i in range(start, stop):
-                ids = np.frombuffer(column[i].as_py() or b"", "<u4")
-                if len(ids) and ids.max() >= len(table):
-                    ids = ids[ids < len(table)]
-                texts.append(b" ".join(table[ids].tolist()).decode("utf-8", "replace"))
-            part = batch.slice(start, stop - start)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(texts, pa.string())], names=[*passed, "decoded"])
+        where = batch.column("pos").fill_null(0).to_numpy()
+        before = np.append(at, where[:-1])
+        if not ((where == 0) | (where == before + 1)).all():
+            raise RuntimeError("the pieces of a sequence came out of order")
+        at = where[-1] if len(where) else at
+        some = batch.column("piece").is_valid()
+        pieces, count = batch.column("piece").drop_null(), np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+        starts = np.flatnonzero(where == 0)
+        edges = np.concatenate([[0], starts, [len(where)]])
+        lists = pa.ListArray.from_arrays(pa.array(count[edges], pa.int32()), pieces)
+        said, full = pc.binary_join(lists, " ").to_pylist(), np.diff(count[edges]) > 0
+        held = batch.select(passed)
+        parts += said[:1] if full[0] else []
+        done, firsts = [], held.take(pa.array(starts)) if len(starts) else None
+        for k in range(len(starts)):
+            if row is not None:
+                done.append((row, " ".join(parts)))
+            row, parts = firsts.slice(k, 1), [said[k + 1]] if full[k + 1] else []
+        if done:
+            yield out(done)
+    if row is not None:
+        yield out([(row, " ".join(parts))])
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the vocabulary: its size, which the tokenizer's file fixes, bounds a broadcast."""
+    tokenizer = tokenizer_of(path)
+    pieces = [(i, p) for i in range(tokenizer.get_vocab_size()) if (p := tokenizer.id_to_token(i)) is not None]
+    return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "piece": [p for _, p in pieces]}))
+
+
+def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
+    """df with the text of its ids (little-endian 32-bit integers): each id is joined to its piece, position by position.
+
+    Exploding and the broadcast join keep the order of rows, so sequences are put together without a shuffle.
+    """
+    passed = others(df.columns, [output])
+    seq, pos, piece_id = free(df.columns, "seq", "pos", "piece_id")
+    listed = df.select(*passed).mapInArrow(partial(_as_lists, ids=ids, seq=seq), T.StructType([*(df.schema[c] for c in passed), T.StructField(seq, T.ArrayType(T.IntegerType()))]))
+    exploded = listed.select(*passed, F.posexplode_outer(seq).alias(pos, piece_id))
+    table = F.broadcast(piece_table(df.sparkSession, path).select(F.col("id").alias("v_id"), F.col("piece").alias("v_piece")))
+    # the passed columns go along in the first row only
+    first = F.coalesce(F.col(pos), F.lit(0)) == 0
+    kept = [F.when(first, F.col(c)).alias(f"p{i}") for i, c in enumerate(passed)]
+    joined = exploded.join(table, F.col(piece_id) == F.col("v_id"), "left").select(*kept, F.col(pos).alias("pos"), F.col("v_piece").alias("piece"))
+    names = [f"p{i}" for i in range(len(passed))]
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for n, c in zip(names, passed, strict=True)), T.StructField(output, T.StringType())])
+    said = joined.mapInArrow(partial(_spoken, passed=names, output=output), schema)
+    return said.select(*(F.col(n).alias(c) for n, c in zip(names, passed, strict=True)), output)
+
+
+def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool) -> pa.Table:
+    """Documents of a block with the ids (and texts) of their words in order of position."""
+    order = np.argsort(words["code"].to_numpy())
+    held = [words["ids"][int(i)].as_py() for i in order]
+    size = np.array([len(x) // 4 for x in held], np.int64)
+    flat = np.frombuffer(b"".join(held), "<u4")
+    start = np.cumsum(size) - size
+    said = np.array([words["said"][int(i)].as_py().encode() for i in order], object) if decoded and len(order) else np.zeros(0, object)
+    ids, counts, texts = [], [], []
+    for c in rows[codes]:
+        at = np.frombuffer(c.as_py(), np.uint32)
+        own = size[at]
+        total = int(own.sum())
+        ids.append(flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(own) - own), own)].tobytes())
+        counts.append(total)
+        if decoded:
+            texts.append(b" ".join(said[at[own > 0]].tolist()).decode("utf-8", "replace"))
+    made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array(counts, pa.int64())} | ({"decoded": pa.array(texts, pa.string())} if decoded else {})
+    return pa.table([*(rows[c] for c in passed), *made.values()], names=[*passed, *made])
+
+
+def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bool, block_words: int) -> DataFrame:
+    spark, added = docs.sparkSession, [*IDS, *([DECODED] if decoded else [])]
+    passed = [c for c in others(docs.columns, [a.name for a in added]) if keep is None or c in keep]
+    block, codes, words = names = free([*passed, *(a.name for a in added)], "block", "codes", "words")
+    fields = [docs.schema[c] for c in passed]
+    made = [T.StructField(block, T.LongType()), T.StructField(codes, T.BinaryType()), T.StructField(words, T.ArrayType(T.BinaryType()))]
+    rows = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(partial(_blocks, passed=passed, names=names, most_words=block_words), T.StructType([*fields, *made]))
+    rows = bucketed(rows, block, shared_dir(spark, "blocks"), buckets(spark), compression="zstd")
+    entries = rows.select(F.col(block).alias("block"), F.posexplode(words).alias("code", "word"))
+    entries = entries.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary")
+    if decoded:
+        entries = with_pieces(entries, "ids", path, "said")
+    entries = entries.withColumnRenamed("block", block)
+    place = partial(_placed, passed=passed, codes=codes, decoded=decoded)
+    left = rows.select(block, *passed, codes)
+    return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(lambda a, b: place(a, b), T.StructType([*fields, *added]))
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The kept columns of docs (default all) with ids (binary: little-endian unsigned 32-bit) and n_tokens."""
+    return _coded(docs, path, keep, False, block_words)
+
+
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``encode`` and ``decode`` together: ids meet their pieces once for each word of a block, not at every position."""
+    return _coded(docs, path, keep, True, block_words)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (ids, ...) with decoded: the pieces of the ids, joined by spaces (this vocabulary's word ends show them)."""
-    return _with(encoded, [("decoded", T.StringType())], partial(_decoded, path=path))
+    return with_pieces(encoded, "ids", path, "decoded")
