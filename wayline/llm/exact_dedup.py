@@ -1,11 +1,11 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
-Each task fills a memtable of (digest, smallest identifier, count), sorts it and flushes it as an
-immutable run: Parquet sorted by digest with a Bloom filter on that column, for point lookups.
-Compaction merges runs and keeps the smallest identifier of every digest. Rows whose digest has
-other rows are verified byte for byte before the index is believed.
+Each task fills a memtable of (digest, smallest identifier, count), sorts it and flushes it to an
+immutable run: Parquet sorted by digest, with a Bloom filter on that column for point lookups and bitmap filters for whole tables.
+Compaction merges runs and keeps the smallest identifier of every digest. Texts that the compacted run's filter
+lets through are verified byte for byte before the index is believed.
 
-Defined cases: a null text counts as empty; a null doc_id sorts after all others, so it is kept only
+Defined cases: doc_id is an integer or null; a null text counts as empty; a null doc_id sorts after all others, so it is kept only
 where no row of its group has an id; of rows with equal text and equal doc_id one is kept; an empty
 table gives no rows; further columns are ignored by ``find_copies`` and passed through by ``drop_copies``.
 """
@@ -13,13 +13,14 @@ table gives no rows; further columns are ignored by ``find_copies`` and passed t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import keep_rows, maybe_present, presence_bitmap, shared_dir, text_key, written
+from wayline.llm.common import Bitmap, free, keep_rows, load_manifest, presence_bitmap, save_manifest, shared_dir, text_key, written
 
 #: White space that one space replaces: fixed values.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -64,12 +65,24 @@ def _memtables(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 class DigestIndex:
-    """Immutable sorted runs of (digest, doc_id, row, n) by level, in the shared folder."""
+    """Immutable sorted runs of (digest, doc_id, row, n) by level, each with its filters, in the shared folder.
+
+    A run's filters are bitmaps over its digests (seen) and over those that it counts more than once (again). A manifest for each
+    change lists runs and filters, so that ``reopen`` goes on in another session. Runs that were compacted away are left for readers.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT):
         self.spark, self.path, self.memtable_rows, self.fanout = spark, path or shared_dir(spark, "digests"), memtable_rows, fanout
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+        self.filters: dict[str, dict[str, int]] = {}  # words of a run's bitmaps
+        self.version = self._made = 0
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, path: str) -> DigestIndex:
+        version, said = load_manifest(spark, path)
+        index = cls(spark, path, said["memtable_rows"], said["fanout"])
+        index.levels, index.filters, index.version, index._made = said["levels"], said["filters"], version, said["made"]
+        return index
 
     def add(self, entries: DataFrame) -> None:
         """Flush entries (digest, doc_id, row) as sorted runs of level 0; compact where a level is full."""
@@ -87,27 +100,54 @@ class DigestIndex:
         self.levels[: upto + 1] = [[] for _ in range(upto + 1)]
         if upto + 1 == len(self.levels):
             self.levels.append([])
-        merged = _merged(self._read(runs))
-        self._write(merged.sortWithinPartitions("digest"), upto + 1)
+        self._write(_merged(self._read(runs)).sortWithinPartitions("digest"), upto + 1)
+
+    @property
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
     def table(self) -> DataFrame:
         """One row per digest: digest, doc_id and row that stay, n; merged over the runs if there are several."""
-        runs = [r for level in self.levels for r in level]
-        return self._read(runs) if len(runs) == 1 and not self.levels[0] else _merged(self._read(runs))
+        return self._read(self.runs) if len(self.runs) == 1 and not self.levels[0] else _merged(self._read(self.runs))
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
         """Index rows of a few digests; Bloom filters and sorted statistics skip the other row groups."""
-        runs = [r for level in self.levels for r in level]
-        return _merged(self._read(runs).where(F.col("digest").isin(digests)))
+        return _merged(self._read(self.runs).where(F.col("digest").isin(digests)))
+
+    def repeated(self, rows: DataFrame) -> DataFrame:
+        """Those rows (digest, ...) whose digest may stand for several texts: what the filter of the one compacted run lets through."""
+        if len(self.runs) != 1 or self.levels[0]:
+            self.compact()
+        return self._filter(self.runs[0], "again").maybe(rows, F.xxhash64("digest"))
+
+    def known(self, rows: DataFrame) -> DataFrame:
+        """Those rows (digest, ...) whose digest some run may hold; the others are surely new."""
+        flags = free(rows.columns, *(f"in{i}" for i in range(len(self.runs))))
+        out = rows
+        for run, flag in zip(self.runs, flags, strict=True):
+            out = self._filter(run, "seen").marked(out, F.xxhash64("digest"), flag)
+        return out.where(reduce(lambda a, b: a | b, map(F.col, flags), F.lit(False))).select(*rows.columns)
+
+    def _filter(self, run: str, kind: str) -> Bitmap:
+        return Bitmap(self.spark.read.schema("bm_word int, bm_bits long").parquet(f"{self.path}/filters/{run}/{kind}"), self.filters[run][kind])
 
     def _read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*runs) if runs else self.spark.createDataFrame([], RUN)
+        return self.spark.read.schema(RUN).parquet(*(f"{self.path}/{r}" for r in runs)) if runs else self.spark.createDataFrame([], RUN)
 
     def _write(self, df: DataFrame, level: int) -> None:
         self._made += 1
-        path = f"{self.path}/level{level}/run{self._made}"
-        df.write.options(**FILTERED).parquet(path)
-        self.levels[level].append(path)
+        run = f"level{level}_run{self._made}"
+        df.write.options(**FILTERED).parquet(f"{self.path}/{run}")
+        rows = self._read([run])
+        counts = rows.agg(F.count("*").alias("seen"), F.count_if(F.col("n") > 1).alias("again")).first()
+        self.filters[run] = {}
+        for kind, part in (("seen", rows), ("again", rows.where("n > 1"))):
+            made = presence_bitmap(part, F.xxhash64("digest"), counts[kind])
+            made.rows.write.parquet(f"{self.path}/filters/{run}/{kind}")
+            self.filters[run][kind] = made.words
+        self.levels[level].append(run)
+        self.version += 1
+        save_manifest(self.spark, self.path, self.version, {"levels": self.levels, "filters": {r: self.filters[r] for r in self.runs}, "memtable_rows": self.memtable_rows, "fanout": self.fanout, "made": self._made})
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -130,9 +170,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, in
     index.add(entries)
     index.compact()
     kept = index.table()
-    groups = kept.where("n > 1")
-    bitmap = presence_bitmap(groups, F.xxhash64("digest"))
-    hits = maybe_present(keyed.drop("text_key"), F.xxhash64("digest"), bitmap)
+    hits = index.repeated(keyed.drop("text_key"))
     wrong = written(
         hits.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("digest"), "collisions"
     )
