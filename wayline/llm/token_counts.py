@@ -3,15 +3,16 @@
 The last token of the encoding of each prefix of a word follows from those of shorter prefixes: a
 vocabulary token t that ends the prefix is the last one exactly if the last token before it and t, merged
 together, stay these two tokens. So one pass over a word gives its token count at every prefix. A text's counts
-are kept as one signed byte per byte of text, the change of the count; the running sum answers how many
-tokens a prefix has and where a budget cuts, without encoding again.
+are stored as one byte per byte of text: twice the change of the count, plus one where a character ends. Running sums
+over the stored bytes answer how many tokens a prefix has (``tokens_at``) and where a budget cuts (``cut_at``), without the text and
+without encoding again.
 
 A prefix is counted as if it were the whole text: where cutting changes how the end is split into words (runs of white space,
 contractions, special strings) the changes are corrected there.
 
 Defined cases: null counts as the empty text, with no tokens; special strings inside texts are one
-token; offsets are UTF-8 bytes, and cuts fall between characters; repeated rows give repeated rows; an
-empty table gives no rows; further columns are passed through, of the names added the input's are replaced.
+token; offsets are UTF-8 bytes, and cuts fall between characters; counts at places inside a character are those of its bytes;
+repeated rows give repeated rows; an empty table gives no rows; further columns are passed through, of the names added the input's are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,15 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+from wayline.llm.common import others, written
 
 #: White space of the Unicode property, as a character class: fixed value.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -35,9 +41,18 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Chunks, words and prefixes of words that a Python worker remembers, about 0.4 GB; it starts afresh beyond.
 CHUNKS, REMEMBERED, PREFIXES = 300_000, 1_000_000, 800_000
+#: Longest chunk or word that it remembers, and longest word whose prefixes it keeps in its tree.
+LONGEST = 256
 BATCH_BYTES = 8 << 20
 
 
+def signed(changes: np.ndarray) -> bytes:
+    """Changes as signed bytes of which one bit stays free; larger ones, which no token could make, are an error."""
+    if len(changes) and (changes.max() > 63 or changes.min() < -64):
+        raise OverflowError("a token count changes by more than 63 at one byte")
+    return changes.astype(np.int8).tobytes()
+
+
 class PrefixCounter:
     """Changes of the token count along a text, for one tokenizer file of byte-level BPE."""
 
@@ -126,6 +141,8 @@ class PrefixCounter:
 
     def prefix_counts(self, word: bytes) -> list[int]:
         """Tokens of word[:0], word[:1], ... word; words share what is known of their common prefixes."""
+        if len(word) > LONGEST:
+            return self._long_counts(word)
         if len(self.tree) > PREFIXES:
             self._forget()
         tree, last, count, path, node = self.tree, self.last, self.count, [0], 0
@@ -146,23 +163,41 @@ class PrefixCounter:
             path.append(node)
         return [count[k] for k in path]
 
+    def _long_counts(self, word: bytes) -> np.ndarray:
+        """The same for a long word, in two arrays that go when it is done."""
+        last, count = np.full(len(word) + 1, -1, np.int32), np.zeros(len(word) + 1, np.int32)
+        for stop in range(1, len(word) + 1):
+            for n in self.lengths.get(word[stop - 3 : stop], (2,)) if stop > 2 else (2,):
+                if n <= stop and (t := self.ids.get(word[stop - n : stop])) is not None:
+                    before = stop - n
+                    if self._follows(int(last[before]), t) if before else self._whole(t):
+                        break
+            else:
+                t, before = self.ids[word[stop - 1 : stop]], stop - 1
+            last[stop], count[stop] = t, count[before] + 1
+        return count
+
     def _word(self, word: str) -> bytes:
         known = self.words.get(word)
         if known is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
             counts = self.prefix_counts(word.encode("utf-8", "replace"))
             if word in CONTRACTIONS:  # cut after two characters it is an apostrophe and a letter
                 counts[2] = 2
-            known = self.words[word] = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
+            known = signed(np.diff(counts))
+            if len(word) <= LONGEST:
+                if len(self.words) > REMEMBERED:
+                    self.words.clear()
+                self.words[word] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
         known = self.chunks.get(chunk)
         if known is None:
-            if len(self.chunks) > CHUNKS:
-                self.chunks.clear()
-            known = self.chunks[chunk] = b"".join(map(self._word, self.split(chunk)))
+            known = b"".join(map(self._word, self.split(chunk)))
+            if len(chunk) <= LONGEST:
+                if len(self.chunks) > CHUNKS:
+                    self.chunks.clear()
+                self.chunks[chunk] = known
         return known
 
     def _plain(self, text: str) -> bytes:
@@ -171,14 +206,14 @@ class PrefixCounter:
         if not self.runs(text):
             return out
         # A text that ends with a run of white space holds all of it as one word.
-        held, at, behind = np.frombuffer(out, np.int8).copy(), 0, 0
+        held, at, behind = np.frombuffer(out, np.int8).astype(np.int16), 0, 0
         for m in self.runs_in(text):
             at += len(text[behind : m.end()].encode("utf-8", "replace"))
             behind, run = m.end(), m.group()
             more = self._tokens(run) - self._tokens(run[:-1]) - self._tokens(run[-1])
             held[at - 1] += more
             held[at] -= more
-        return held.tobytes()
+        return signed(held)
 
     def _tokens(self, word: str) -> int:
         return int(np.frombuffer(self._word(word), np.int8).sum(dtype=np.int64))
@@ -196,9 +231,9 @@ class PrefixCounter:
             ends = [int(np.frombuffer(self._plain(before + name[:k]), np.int8).sum(dtype=np.int64)) for k in range(1, len(name))]
             sizes = [len(c.encode()) for c in name]
             steps = np.diff([base, *ends, base + 1])
-            special = np.zeros(sum(sizes), np.int8)
+            special = np.zeros(sum(sizes), np.int64)
             special[np.cumsum(sizes) - 1] = steps
-            out += [plain, special]
+            out += [plain, np.frombuffer(signed(special), np.int8)]
             at = m.end()
         return np.concatenate([*out, np.frombuffer(self._plain(text[at:]), np.int8)])
 
@@ -214,44 +249,71 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def cut_at(changes: np.ndarray, raw: bytes, budget: int) -> int:
-    """Bytes of the longest prefix, in whole characters, with at most budget tokens."""
-    fits = np.flatnonzero(np.cumsum(changes, dtype=np.int64) <= budget)
-    for i in fits[::-1]:
-        if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80:
-            return int(i) + 1
-    return 0
+def packed(changes: np.ndarray, raw: bytes) -> bytes:
+    """The stored form of a text's changes: twice each, plus one where a character ends."""
+    held = np.frombuffer(raw, np.uint8)
+    ends = np.ones(len(held), np.int8)
+    ends[:-1] = (held[1:] & 0xC0) != 0x80
+    return (changes * 2 + ends).astype(np.int8).tobytes()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str, limit: int, keep: bool, passed: list[str]) -> Iterator[pa.RecordBatch]:
+def _stored(batches: Iterator[pa.RecordBatch], path: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
     counts = counter(path)
     for batch in batches:
-        texts = batch.column("text")
-        start = held = 0
-        rows: list[tuple] = []
+        texts, start, held, rows = batch.column("text"), 0, 0, []
         for i in range(batch.num_rows):
             text = texts[i].as_py() or ""
-            changes = counts.changes(text)
-            total = int(changes.sum(dtype=np.int64))
-            cut = len(changes) if total <= limit else cut_at(changes, text.encode("utf-8", "replace"), limit)
-            rows.append((len(changes), total, total > limit, cut, changes.tobytes() if keep else None))
-            held += len(changes)
+            rows.append(packed(counts.changes(text), text.encode("utf-8", "replace")))
+            held += len(rows[-1])
             if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())[: 5 if keep else 4])]
-                names = ["n_bytes", "n_tokens", "over_limit", "cut_bytes", "prefix_changes"][: 5 if keep else 4]
                 part = batch.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *made], names=[*passed, *names])
+                made = [pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *made], names=[*passed, *PREFIXED])
                 start, held, rows = i + 1, 0, []
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024, keep_prefixes: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns of docs (default all) with n_bytes, n_tokens, over_limit and cut_bytes.
+PREFIXED = ("n_bytes", "prefixes")
+
+
+def prefix_counts(docs: DataFrame, path: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The kept columns of docs (default all) with n_bytes and prefixes (binary), from a table in the shared folder."""
+    names = [c for c in others(docs.columns, PREFIXED) if keep is None or c in keep]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("prefixes", T.BinaryType())])
+    made = docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(partial(_stored, path=path, passed=names), schema)
+    return written(made, "prefixes", compression="zstd")
+
+
+def _sums(prefixes: bytes | None) -> np.ndarray:
+    return np.cumsum(np.frombuffer(prefixes or b"", np.int8) >> 1, dtype=np.int64)
+
+
+@pandas_udf(T.LongType())
+def tokens_at(prefixes: pd.Series, n_bytes: pd.Series) -> pd.Series:
+    """Tokens of the first n_bytes of a text, from its stored prefixes: 0 for none, all of them beyond its end."""
+    out = []
+    for p, n in zip(prefixes, n_bytes, strict=True):
+        held = np.frombuffer(p or b"", np.int8)[: max(0, int(n))]
+        out.append(int((held >> 1).sum(dtype=np.int64)))
+    return pd.Series(out, dtype="int64")
+
+
+@pandas_udf(T.LongType())
+def cut_at(prefixes: pd.Series, budget: pd.Series) -> pd.Series:
+    """Bytes of the longest prefix of a text, in whole characters, with at most ``budget`` tokens, from its stored prefixes."""
+    out = []
+    for p, most in zip(prefixes, budget, strict=True):
+        fits = np.flatnonzero((_sums(p) <= most) & (np.frombuffer(p or b"", np.int8) & 1 == 1))
+        out.append(int(fits[-1]) + 1 if len(fits) else 0)
+    return pd.Series(out, dtype="int64")
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The kept columns of docs (default all) with n_bytes, n_tokens, over_limit and cut_bytes, all from the stored prefixes.
 
-    cut_bytes: length of the longest prefix within the limit. keep_prefixes: also prefix_changes, one signed
-    byte for each byte of text; the count of any prefix is their running sum.
+    cut_bytes: length of the longest prefix within the limit.
     """
-    added = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("cut_bytes", T.LongType()), ("prefix_changes", T.BinaryType())]
-    added = added if keep_prefixes else added[:4]
-    names = [c for c in docs.columns if c not in dict(added) and (keep is None or c in keep)]
-    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(n, t) for n, t in added)])
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(partial(_counted, path=path, limit=limit, keep=keep_prefixes, passed=names), schema)
+    added = ("n_bytes", "n_tokens", "over_limit", "cut_bytes", "prefixes")
+    names = [c for c in others(docs.columns, added) if keep is None or c in keep]
+    stored = prefix_counts(docs.select(*dict.fromkeys([*names, "text"])), path, tuple(names))
+    counted = stored.select(*names, "n_bytes", tokens_at("prefixes", "n_bytes").alias("n_tokens"), cut_at("prefixes", F.lit(limit)).alias("cut_bytes"))
+    return counted.select(*names, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_bytes")
