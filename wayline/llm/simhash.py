@@ -10,8 +10,8 @@ fingerprint has a bounded number of neighbours however many documents there are.
 alternating star contractions, each written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a
-shingle make one shingle; repeated rows are repeated in the result; a null doc_id is never a component's id
-unless all its members' are null; an empty table gives no rows; further columns are ignored by ``components``.
+shingle make one shingle; repeated rows are repeated in the result; ids may be of any type that has an order; a null doc_id is
+never a component's id unless all its members' are null; an empty table gives no rows; further columns are ignored by ``components``.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayline.llm.common import keep_rows, text_key, written
+from wayline.llm.common import drop, keep_rows, shared_dir, stored, text_key, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -58,8 +59,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, fp (64 bits, as a signed long) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id bigint, text_key bigint, fp bigint")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -80,20 +81,26 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def star_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge (a, b); root: the smallest node that it reaches."""
-    edges = written(edges.select("a", "b"), "edges")
-    seen = None
+    """(node, root) of every node with an edge (a, b); root: the smallest node that it reaches.
+
+    Joins are between plain tables, so Spark splits the one key of a giant component's root. A round's tables go when the next is written.
+    """
+    spark, at = edges.sparkSession, shared_dir(edges.sparkSession, "stars")
+    edges, seen, turn = stored(edges.select("a", "b"), f"{at}/edges0"), None, 0
     while True:
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{at}/low{turn}")
         large = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), "large")
+        large = stored(large.where("a <> b").distinct(), f"{at}/large{turn}")
         # now each row is (node, smaller node)
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        least = stored(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), f"{at}/least{turn}")
         small = large.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("x"), F.col("m"))
         small = small.where("x <> m").unionByName(least.select(F.col("n").alias("x"), "m")).distinct()
-        edges = written(small.select(F.col("m").alias("a"), F.col("x").alias("b")), "edges")
+        edges = stored(small.select(F.col("m").alias("a"), F.col("x").alias("b")), f"{at}/edges{turn}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for name in (f"edges{turn - 1}", f"low{turn}", f"large{turn}", f"least{turn}"):
+            drop(spark, f"{at}/{name}")
         if now == seen:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
         seen = now
@@ -107,8 +114,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     prints = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = star_components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    # the nodes of one component share a root: both sides of the join on it are plain tables
+    rooted = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "smallest")
     named = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("n_fp"), "component_id", "root")
     return prints.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "text_key", "fp", "component_id", "root")
 
