@@ -6,8 +6,9 @@ symbols shorter than the shortest window are left out. Over that text the task b
 Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions; all windows are searched
 backwards at once, their occurrences located from the samples and merged into removal spans per document.
 
-Windows reach the tasks in blocks of bounded size, one pass of a chain for each block, so the benchmark
-may be of any size and no shuffle of documents is needed.
+Windows reach the tasks as broadcast blocks, which the driver passes on one at a time; a task's worker
+searches a shard for one block after the other, so no shuffle of documents is needed. Benchmarks are small beside a corpus: work grows
+with documents times blocks of BLOCK_WINDOWS windows (with their items).
 
 Defined cases: null and empty texts have no words; an item without words has no window; items with equal
 ids count as one item, a null id as the empty string; repeated documents give repeated rows; empty tables
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayline.llm.common import others, written
+
 WINDOW = 10
-#: Windows of a block: bounds what a task is sent.
+#: Windows of a block, counted once for each item that has one: bounds what the driver passes on at once.
 BLOCK_WINDOWS = 200_000
-#: Symbols and bytes of text of a shard.
-SHARD_SYMBOLS, SHARD_BYTES = 1 << 20, 16 << 20
+#: Bytes of text of a shard.
+SHARD_BYTES = 6 << 20
 #: Every so many suffix positions are sampled, and those that start a run.
 SAMPLE = 8
 #: Every ASCII character to itself, a lower-case letter, or (if no letter or digit) a space; bytes of other characters stay.
@@ -175,31 +178,31 @@ class _Block:
         return np.repeat(window, many), place[index.locate(rows)]
 
 
-def _search(block: _Block, clean: bool, passed: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def shard(batch: pa.RecordBatch, folded: list[bytes], counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-        marks = np.concatenate([*ids, np.zeros(0, np.int32)])
-        window, place = block.occurrences(marks)
-        counts = np.array(counts, np.int64)
+def _search(blocks: list[object], clean: bool, passed: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """blocks: broadcast rows of windows and their items."""
+
+    def shard(batch: pa.RecordBatch, folded: list[bytes]) -> pa.RecordBatch:
+        words = [f.split() for f in folded]
+        counts = np.array([len(ws) for ws in words], np.int64)
         begin = np.cumsum(counts + 1) - counts - 1  # each document is followed by a separator
-        doc = np.searchsorted(begin, place, side="right") - 1
-        diff = np.zeros(len(marks) + 1, np.int32)
-        np.add.at(diff, place, 1)
-        np.add.at(diff, place + block.lengths[window], -1)
+        diff, found = np.zeros(int(counts.sum()) + len(counts) + 1, np.int32), {}
+        for k in range(len(blocks)):
+            block = _block(blocks, k)
+            marks = np.zeros(len(diff) - 1, np.int32)
+            for at, ws in zip(begin.tolist(), words, strict=True):
+                marks[at : at + len(ws)] = np.fromiter(map(block.vocabulary.get, ws, repeat(0)), np.int32, len(ws))
+            window, place = block.occurrences(marks)
+            doc = np.searchsorted(begin, place, side="right") - 1
+            np.add.at(diff, place, 1)
+            np.add.at(diff, place + block.lengths[window], -1)
+            for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                found.setdefault(d, set()).update(block.items[w])
         hit = np.cumsum(diff) > 0
-        had = batch.schema.names
-        old_spans, old_items = (batch.column(c).to_pylist() if c in had else [None] * len(counts) for c in ("spans", "items"))
-        spans, items = [s or [] for s in old_spans], [i or [] for i in old_items]
-        found: dict[int, set[str]] = {}
-        for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-            found.setdefault(d, set()).update(block.items[w])
-        for d, ids_ in found.items():
-            h = hit[begin[d] : begin[d] + counts[d]]
-            if spans[d]:
-                for s in spans[d]:
-                    h[s["start"] : s["stop"]] = True
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
+        spans, items = [[] for _ in folded], [[] for _ in folded]
+        for d, ids in found.items():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[begin[d] : begin[d] + counts[d]].astype(np.int8), [0]])))
             spans[d] = [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            items[d] = sorted({*items[d], *ids_})
+            items[d] = sorted(ids)
         made = {"n_words": counts, "spans": spans, "items": items}
         if clean:
             texts = batch.column("text").to_pylist()
@@ -208,28 +211,35 @@ def _search(block: _Block, clean: bool, passed: list[str]) -> Callable[[Iterator
         return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = block.vocabulary.get
         for batch in batches:
             texts = batch.column("text")
-            start, size, kept, folded, counts, ids = 0, 0, 0, [], [], []
+            start, size, folded = 0, 0, []
             for i in range(len(texts)):
-                f = (texts[i].as_py() or "").encode("utf-8", "replace").translate(FOLD)
-                ws = f.split()
-                own = np.zeros(len(ws) + 1, np.int32)
-                own[:-1] = np.fromiter(map(get, ws, repeat(0)), np.int32, len(ws))
-                folded.append(f if clean else b"")
-                counts.append(len(ws))
-                ids.append(own)
-                size, kept = size + len(f), kept + len(ws)
-                if size >= SHARD_BYTES or kept >= SHARD_SYMBOLS:
-                    yield shard(batch.slice(start, i + 1 - start), folded, counts, ids)
-                    start, size, kept, folded, counts, ids = i + 1, 0, 0, [], [], []
-            if counts:
-                yield shard(batch.slice(start), folded, counts, ids)
+                folded.append((texts[i].as_py() or "").encode("utf-8", "replace").translate(FOLD))
+                size += len(folded[-1])
+                if size >= SHARD_BYTES:
+                    yield shard(batch.slice(start, i + 1 - start), folded)
+                    start, size, folded = i + 1, 0, []
+            if folded:
+                yield shard(batch.slice(start), folded)
 
     return run
 
 
+#: Blocks that a worker keeps ready for searching.
+READY = 4
+_held: list[tuple[object, int, _Block]] = []
+
+
+def _block(blocks: list[object], k: int) -> _Block:
+    for owner, n, block in _held:
+        if owner is blocks and n == k:
+            return block
+    del _held[: max(0, len(_held) + 1 - READY)]
+    _held.append((blocks, k, _Block([(w.encode().split(b" "), i) for w, i in blocks[k].value])))
+    return _held[-1][2]
+
+
 def without(text: str | None, folded: bytes, spans: list[dict]) -> str | None:
     """The text without the words of the spans and the blanks behind them."""
     raw, at, words = (text or "").encode("utf-8", "replace"), 0, []
@@ -257,23 +267,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, clean: bool = Fals
 
     clean: put the text without its spans in ``text``.
     """
+    spark = docs.sparkSession
     windows = (
         benchmark.select(F.col("item_id").cast("string"), "text")
         .mapInArrow(_windows, "window string, item string")
         .groupBy("window")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    blocks = max(1, -(-windows.count() // block_windows))
-    held = docs.drop("n_words", "spans", "items")
-    keep = tuple(held.columns if keep is None else keep)
-    for k in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
-        block = _Block([(r.window.encode().split(b" "), r["items"]) for r in rows])
-        last = k == blocks - 1
-        passed = [c for c in docs.columns if c not in ADDED.names and (not last or c in keep or c == "text" and clean)]
-        out = T.StructType([*(docs.schema[c] for c in passed), *ADDED])
-        held = held.mapInArrow(_search(block, clean and last, passed), out)
-    return held
+    windows = written(windows.withColumn("n", F.size("items")), "windows")
+    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = max(1, -(-total // block_windows))
+    blocks = []
+    for k in range(count):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(count)) == k).select("window", "items").collect()
+        blocks.append(spark.sparkContext.broadcast([(r.window, list(r["items"])) for r in rows]))
+    passed = [c for c in others(docs.columns, ADDED.names) if keep is None or c in keep or (c == "text" and clean)]
+    read = docs.select(*dict.fromkeys([*passed, "text"]))
+    return read.mapInArrow(_search(blocks, clean, passed), T.StructType([*(docs.schema[c] for c in passed), *ADDED]))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
