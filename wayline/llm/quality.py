@@ -5,7 +5,7 @@ vector is the sum of the index vectors of its neighbours over the whole corpus,
 sums per task. A document is the mean and the spread of its words' vectors. The network is trained on a
 bounded sample of labelled documents and its probabilities are calibrated by a temperature on held-back rows.
 
-Defined cases: null and empty texts have zero vectors and get a score like any other; documents without a
+Defined cases: doc_id is an integer or null; null and empty texts have zero vectors and get a score like any other; documents without a
 label are scored; labels other than 0 and 1 are left out; without both labels in the sample every score
 is the share of label 1, or 0.5 where there is none; repeated rows give repeated rows, and repeated labels of one id
 count as often; an empty table gives no rows; further columns are ignored.
@@ -29,16 +29,20 @@ BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 15, 32, 2, 2
 #: Labelled rows that the network learns from, at most, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, SEED = 32, 40, 3e-3, 7
-#: Words of a chunk that is summed at once, and words a worker remembers the bucket of.
-CHUNK, REMEMBERED = 1 << 20, 500_000
+#: Steps of 64 rows that training takes, within EPOCHS to MOST_EPOCHS passes.
+STEPS, MOST_EPOCHS = 40_000, 400
+#: Words of a chunk that is summed at once; words a worker remembers the bucket of, and the bytes of the longest of these.
+CHUNK, REMEMBERED, LONGEST = 1 << 20, 500_000, 64
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]+").findall
 
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = k = zlib.crc32(word) % BUCKETS
+        k = zlib.crc32(word) % BUCKETS
+        if len(word) <= LONGEST:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = k
         return k
 
 
@@ -131,8 +135,7 @@ class Network:
         z, d = (x - self.shift) / self.scale, x.shape[1]
         self.w = [rng.normal(0, np.sqrt(2 / d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)]
         m, v, step = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        rounds = max(EPOCHS, min(400, 40_000 // max(1, len(train) // 64)))
-        for _ in range(rounds if len(train) < 2000 else EPOCHS):
+        for _ in range(max(EPOCHS, min(MOST_EPOCHS, STEPS * 64 // len(train)))):
             for rows in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
                 step += 1
                 for k, g in enumerate(self._gradients(z[rows], y[rows])):

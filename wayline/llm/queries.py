@@ -78,7 +78,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), batches=2, keep=("doc_id",))
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), batches=3, keep=("doc_id",), fanout=1)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
