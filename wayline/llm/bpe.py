@@ -2,8 +2,8 @@
 
 Spark splits every text at white space. A block of documents, bounded in words and bytes, becomes its distinct words and,
 for each document, the numbers of its words in order of position; blocks are written once, in buckets. The
-distinct words of all blocks are brought together by word, so each word of the corpus reaches the encoder once, however
-many blocks have it, and its ids go back to every block that does. Ids are joined to their pieces (a broadcast
+distinct words of all blocks are brought together by word (packed, as lists of a block's words for each part of the word space), so
+each word of the corpus reaches the encoder once, however many blocks have it, and its ids go back to every block that does. Ids are joined to their pieces (a broadcast
 DataFrame of the vocabulary). Then each block meets its words' ids again, and the ids of every
 document are put together by position. Nothing is left out of the table: frequent, rare and very long words go the same way.
 
@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,8 @@ BLOCK_WORDS, BLOCK_BYTES = 2 << 20, 16 << 20
 REMEMBERED_BYTES = 24 << 20
 #: Longest piece that it remembers.
 REMEMBERED_PIECE = 64
-BATCH_BYTES = 4 << 20
+#: Bytes of words and ids that a task holds before it sends them back to their blocks.
+GATHERED_BYTES = 96 << 20
 #: Below this character normalisation changes nothing but case, letter by letter; fixed value.
 PLAIN = "ɐ"
 #: How the tokenizer splits words: fixed value.
@@ -132,6 +135,60 @@ class WordEncoder:
         return ids
 
 
+def _parted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Lists of words (sorted, one a line) and their codes, for each block and part of the word space."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for block, listed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            part = np.array([xxhash.xxh64_intdigest(w) % parts for w in listed], np.int64)
+            order = sorted(range(len(listed)), key=listed.__getitem__)
+            order = np.array(order, np.int64)[np.argsort(part[order], kind="stable")]
+            edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+            made = [(part[order[a]], block, pack(b"\n".join([listed[i] for i in order[a:b].tolist()])), pack(order[a:b].astype(np.uint32).tobytes())) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "words", "codes"])
+
+
+def _unparted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for block, packed, codes in zip(batch.column("block").to_pylist(), batch.column("words"), batch.column("codes"), strict=True):
+            words, at = unpack(packed.as_py()).split(b"\n"), np.frombuffer(unpack(codes.as_py()), np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(at.astype(np.int32))], names=["word", "block", "code"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], said: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, code, ids, said) packed by block, again and again before they take much memory."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    held: dict[int, list[list]] = {}
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        made = []
+        for block, (codes, ids, texts) in held.items():
+            sizes = np.array([len(x) // 4 for x in ids], np.uint32)
+            made.append((block, pack(np.array(codes, np.uint32).tobytes()), pack(sizes.tobytes()), pack(b"".join(ids)), pack("\n".join(texts).encode()) if said else None))
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=list(GATHERED))
+
+    for batch in batches:
+        texts = batch.column("said").to_pylist() if said else [""] * batch.num_rows
+        for block, code, ids, text in zip(batch.column("block").to_pylist(), batch.column("code").to_pylist(), batch.column("ids").to_pylist(), texts, strict=True):
+            own = held.get(block)
+            if own is None:
+                own = held[block] = [[], [], []]
+            own[0].append(code)
+            own[1].append(ids)
+            own[2].append(text)
+            size += 250 + len(ids) + len(text)
+        if size > GATHERED_BYTES:
+            yield out()
+            held, size = {}, 0
+    if held:
+        yield out()
+
+
+GATHERED = ("block", "codes", "sizes", "ids", "said")
+
+
 def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
     """(block, code, ids) of rows sorted by word: a word is encoded when it first comes."""
     encode, last, ids = encoder(path), None, b""
@@ -217,12 +274,17 @@ def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
 
 def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool) -> pa.Table:
     """Documents of a block with the ids (and texts) of their words in order of position."""
-    order = np.argsort(words["code"].to_numpy())
-    held = [words["ids"][int(i)].as_py() for i in order]
-    size = np.array([len(x) // 4 for x in held], np.int64)
-    flat = np.frombuffer(b"".join(held), "<u4")
-    start = np.cumsum(size) - size
-    said = np.array([words["said"][int(i)].as_py().encode() for i in order], object) if decoded and len(order) else np.zeros(0, object)
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(unpack(x.as_py()) for x in words[name]), kind)
+
+    at, size, flat = column("codes", np.uint32), column("sizes", np.uint32).astype(np.int64), column("ids", "<u4")
+    order = np.argsort(at)
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    said = np.zeros(0, object)
+    if decoded and len(order):
+        said = np.array([t for x in words["said"] for t in unpack(x.as_py()).split(b"\n")], object)[order]
     ids, counts, texts = [], [], []
     for c in rows[codes]:
         at = np.frombuffer(c.as_py(), np.uint32)
@@ -244,11 +306,13 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bo
     made = [T.StructField(block, T.LongType()), T.StructField(codes, T.BinaryType()), T.StructField(words, T.ArrayType(T.BinaryType()))]
     rows = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(partial(_blocks, passed=passed, names=names, most_words=block_words), T.StructType([*fields, *made]))
     rows = bucketed(rows, block, shared_dir(spark, "blocks"), buckets(spark), compression="zstd")
-    entries = rows.select(F.col(block).alias("block"), F.posexplode(words).alias("code", "word"))
-    entries = entries.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary")
+    parts = buckets(spark)
+    entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=parts), "part int, block long, words binary, codes binary")
+    entries = entries.repartitionById(parts, F.col("part")).mapInArrow(_unparted, "word binary, block long, code int")
+    entries = entries.sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary")
     if decoded:
         entries = with_pieces(entries, "ids", path, "said")
-    entries = entries.withColumnRenamed("block", block)
+    entries = entries.mapInArrow(partial(_gathered, said=decoded), "block long, codes binary, sizes binary, ids binary, said binary").withColumnRenamed("block", block)
     place = partial(_placed, passed=passed, codes=codes, decoded=decoded)
     left = rows.select(block, *passed, codes)
     return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(lambda a, b: place(a, b), T.StructType([*fields, *added]))
