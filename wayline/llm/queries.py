@@ -58,7 +58,7 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)), keep=("doc_id",))
-    return scored.select("doc_id", (F.coalesce(_part(5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (F.coalesce(_part(5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
