@@ -2,7 +2,7 @@
 
 Each row is one sample of one lane (an independent run). ``keys`` name the lane, ``seq`` orders its samples,
 ``clock`` is the time-like parameter, ``fields`` are the payload. Samples past the end of a lane are simply not
-there, and a missing value is NULL: NaN is turned into NULL once, on entry.
+there, and a missing value is NULL: NaN is turned into NULL on entry and wherever a field is set.
 """
 
 from __future__ import annotations
@@ -89,6 +89,30 @@ class LaneFrame:
         """Change some of keys, seq, clock and fields; the others stay."""
         return replace(self, **{k: tuple(v) if k in ("keys", "fields") else v for k, v in roles.items()})
 
+    def merge_schema(self, other: LaneFrame) -> LaneFrame:
+        """Components and attributes of both; the same roles are needed, and what both name must agree."""
+        if (self.keys, self.seq, self.clock) != (other.keys, other.seq, other.clock):
+            raise RoleError("frames with different lane keys, numbers or clocks have no common schema")
+        for mine, theirs in ((self.components, other.components), (self.attrs, other.attrs)):
+            if differ := sorted(k for k in mine.keys() & theirs.keys() if mine[k] != theirs[k]):
+                raise RoleError(f"the frames disagree about {differ}")
+        parts = {k: v for k, v in {**other.components, **self.components}.items() if set(v) <= set(self.fields)}
+        return replace(self, components=parts, attrs={**other.attrs, **self.attrs})
+
+    @classmethod
+    def compose_components(cls, parts: Mapping[str, LaneFrame]) -> LaneFrame:
+        """Frames of the same lanes and samples as components of one; their fields have names of their own."""
+        (name, out), *rest = parts.items()
+        found, at = {name: out.fields}, [*out.keys, out.seq]
+        for label, part in rest:
+            if set(part.fields) & set(out.fields):
+                raise RoleError(f"component {label} repeats fields")
+            new = part.df.select(*(F.col(a).alias(b) for a, b in zip((*part.keys, part.seq), at, strict=True)), *part.fields, F.lit(True).alias("_there"))
+            matched = F.when(F.col("_there") & F.col("_here"), F.lit(True)).otherwise(F.raise_error(F.lit("components have different samples")))
+            joined = out.df.withColumn("_here", F.lit(True)).join(new, at, "full").where(matched).drop("_there", "_here")
+            out, found = out.over(joined, fields=(*out.fields, *part.fields)), {**found, label: part.fields}
+        return out.define_components(**found)
+
     def define_components(self, **components: Sequence[str]) -> LaneFrame:
         return replace(self, components={**self.components, **{k: tuple(v) for k, v in components.items()}})
 
@@ -115,6 +139,12 @@ class LaneFrame:
         kept = {**self.attrs, **ids}
         return replace(self, attrs={k: v for k, v in kept.items() if v is not None})
 
+    def remap_ids(self, names: Mapping[str, str]) -> LaneFrame:
+        """Frame ids renamed by a mapping that must not bring two together."""
+        if len(set(names.values())) < len(names):
+            raise RoleError("two frame ids would become one")
+        return replace(self, attrs={k: names.get(v, v) if k in ("parent", "child", "expressed_in") else v for k, v in self.attrs.items()})
+
     def to_json(self) -> str:
         return json.dumps({"keys": self.keys, "seq": self.seq, "clock": self.clock, "fields": self.fields, "components": dict(self.components), "attrs": dict(self.attrs)})
 
@@ -155,8 +185,10 @@ class LaneFrame:
         return LaneFrame(self.df.withColumnsRenamed(names), tuple(map(new, self.keys)), new(self.seq), self.clock and new(self.clock), tuple(map(new, self.fields)), parts, self.attrs)
 
     def with_fields(self, **columns: Column) -> LaneFrame:
-        """Payload columns added or replaced."""
-        return replace(self, df=self.df.withColumns(columns), fields=tuple(dict.fromkeys([*self.fields, *columns])))
+        """Payload columns added or replaced; NaN becomes a missing value."""
+        df = self.df.withColumns(columns)
+        floats = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        return replace(self, df=df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}), fields=tuple(dict.fromkeys([*self.fields, *columns])))
 
     def map_fields(self, f: Callable[[Column], Column]) -> LaneFrame:
         return self.with_fields(**{c: f(F.col(c)) for c in self.fields})
@@ -191,9 +223,23 @@ class LaneFrame:
         df = numbered.df.withColumn("_n", n).join(F.broadcast(wanted), p == F.when(F.col("_p") >= 0, F.col("_p")).otherwise(F.col("_n") + F.col("_p")))
         return numbered.over(df.withColumn(self.seq, F.col("_i")).drop("_n", "_i", "_p")).renumbered()
 
-    def sel(self, **labels: object) -> LaneFrame:
-        """Rows by label: a value, a list of values, or a slice with both ends included."""
-        cond = F.lit(True)
+    def sel(self, method: str | None = None, tolerance: float | None = None, **labels: object) -> LaneFrame:
+        """Rows by label: a value, a list of values, or a slice with both ends included.
+
+        method: nearest, pad (the last label not above the value) or backfill (the first not below) for single numbers, at most
+        ``tolerance`` away: of a lane key among all lanes, of other columns in each lane. Ties go to the smaller label.
+        """
+        cond, df = F.lit(True), self.df
+        if method is not None:
+            for i, (c, want) in enumerate(labels.items()):
+                away = {"nearest": F.abs(F.col(c) - want), "pad": F.lit(want) - F.col(c), "backfill": F.col(c) - want}[method]
+                near = F.when((away >= 0) & (F.lit(True) if tolerance is None else away <= tolerance), F.struct(away, F.col(c).alias("at")))
+                if c in self.keys:
+                    best = df.agg(F.min(near)["at"].alias(f"_best{i}"))
+                    df = df.join(F.broadcast(best), F.col(c) == F.col(f"_best{i}")).drop(f"_best{i}")
+                else:
+                    df = df.withColumn(f"_best{i}", F.min(near).over(self.lane)["at"]).where(F.col(c) == F.col(f"_best{i}")).drop(f"_best{i}")
+            return self.over(df)
         for c, want in labels.items():
             if isinstance(want, slice):
                 if want.step is not None:
