@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 INF, NAN = float("inf"), float("nan")
 
@@ -92,17 +96,48 @@ def fmin(a: Column, b: Column) -> Column:
     return F.least(a, b)
 
 
+def signbit(x: Column) -> Column:
+    """Whether the sign is minus, of zeros and infinities too."""
+    return F.atan2(x.cast("double"), F.lit(-1.0)) < 0
+
+
 def copysign(a: Column, b: Column) -> Column:
-    return F.when(b < 0, -F.abs(a)).otherwise(F.abs(a))
+    a = F.abs(a.cast("double"))
+    return F.when(signbit(b), -a).when(b.isNotNull(), a)
 
 
 def logaddexp(a: Column, b: Column) -> Column:
-    top = F.greatest(a, b)
-    return top + F.log1p(F.exp(-F.abs(a - b)))
+    """log(exp(a) + exp(b)); equal infinities stay what they are."""
+    return F.when(a == b, a + math.log(2)).otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
 
 
 def logaddexp2(a: Column, b: Column) -> Column:
-    return F.greatest(a, b) + F.log1p(exp2(-F.abs(a - b))) / math.log(2)
+    return F.when(a == b, a + 1.0).otherwise(F.greatest(a, b) + F.log1p(exp2(-F.abs(a - b))) / math.log(2))
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of whole numbers, by a bounded number of Euclid's steps; 0 and 0 give 0."""
+    pair = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
+    # numbers of 63 bits take at most 91 steps
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(91)), pair, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"))))
+    return F.when(a.isNotNull() & b.isNotNull(), done["a"])
+
+
+def lcm(a: Column, b: Column) -> Column:
+    a, b = F.abs(a.cast("long")), F.abs(b.cast("long"))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.expr("1L") * (a / F.nullif(gcd(a, b), F.lit(0).cast("long"))).cast("long") * b)
+
+
+@pandas_udf(T.DoubleType())
+def nextafter(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The next double from a towards b."""
+    return pd.Series(np.nextafter(a.to_numpy(float), b.to_numpy(float))).where(a.notna() & b.notna(), None)
+
+
+@pandas_udf(T.DoubleType())
+def spacing(x: pd.Series) -> pd.Series:
+    """Distance from x to the next double away from zero."""
+    return pd.Series(np.spacing(x.to_numpy(float))).where(x.notna(), None)
 
 
 def heaviside(x: Column, half: Column) -> Column:
@@ -127,7 +162,7 @@ UNARY = {n: _unary(n) for n in ("abs", "cbrt", "exp", "expm1", "sin", "cos", "ta
     "absolute": _unary("abs"), "fabs": _unary("abs"), "arcsin": _unary("asin"), "arccos": _unary("acos"), "arctan": _unary("atan"), "arcsinh": _unary("asinh"), "arccosh": _unary("acosh"), "arctanh": _unary("atanh"),
     "deg2rad": _unary("radians"), "rad2deg": _unary("degrees"), "sign": _unary("signum"), "sqrt": sqrt, "exp2": exp2, "log": log, "log2": log2, "log10": log10, "log1p": log1p, "trunc": trunc, "ceil": ceil, "floor": floor,
     "reciprocal": reciprocal, "square": lambda x: x * x, "negative": lambda x: -x, "positive": lambda x: x,
-    "isnan": lambda x: F.isnan(x), "isfinite": lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != INF), "isinf": lambda x: F.coalesce(F.abs(x) == INF, F.lit(False)), "signbit": lambda x: x < 0,
+    "isnan": lambda x: x.isNull() | F.isnan(x), "isfinite": lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != INF), "isinf": lambda x: F.coalesce(F.abs(x) == INF, F.lit(False)), "signbit": signbit, "spacing": spacing, "conj": lambda x: x, "conjugate": lambda x: x, "angle": lambda x: F.atan2(F.lit(0.0), x.cast("double")),
     "invert": F.bitwise_not, "logical_not": lambda x: ~x,
 }
 
@@ -135,7 +170,7 @@ UNARY = {n: _unary(n) for n in ("abs", "cbrt", "exp", "expm1", "sin", "cos", "ta
 BINARY = {
     "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": divide, "true_divide": divide, "floor_divide": floor_divide, "mod": mod, "remainder": mod, "fmod": fmod,
     "power": power, "pow": power, "float_power": power, "maximum": maximum, "minimum": minimum, "fmax": fmax, "fmin": fmin, "arctan2": F.atan2, "atan2": F.atan2, "hypot": F.hypot, "copysign": copysign,
-    "logaddexp": logaddexp, "logaddexp2": logaddexp2, "heaviside": heaviside, "bitwise_and": lambda a, b: a.bitwiseAND(b), "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
+    "logaddexp": logaddexp, "logaddexp2": logaddexp2, "heaviside": heaviside, "gcd": gcd, "lcm": lcm, "nextafter": nextafter, "bitwise_and": lambda a, b: a.bitwiseAND(b), "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
     "left_shift": lambda a, b: F.call_function("shiftleft", a, b.cast("int")), "right_shift": lambda a, b: F.call_function("shiftright", a, b.cast("int")), "ldexp": lambda a, b: a * exp2(b),
     "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b,
     "logical_and": lambda a, b: a & b, "logical_or": lambda a, b: a | b, "logical_xor": lambda a, b: (a | b) & ~(a & b),
