@@ -26,7 +26,10 @@ def bracket(samples: LaneFrame, queries: DataFrame, at: str, last_of_equal: bool
     """
     keys, t = samples.keys, samples.clock
     lane = W.partitionBy(*keys)
-    source = samples.df.where(F.col(t).isNotNull()).withColumn("_again", F.coalesce(F.lead(t).over(lane.orderBy(t, samples.seq)) == F.col(t), F.lit(False)))
+    order = lane.orderBy(t, samples.seq)
+    # in the order of a clock that never goes back, numbers never go back either
+    back = F.when(F.lag(samples.seq).over(order) > F.col(samples.seq), F.raise_error(F.lit("the clock of a lane goes back")).cast("boolean"))
+    source = samples.df.where(F.col(t).isNotNull()).withColumn("_again", F.coalesce(back, F.lead(t).over(order) == F.col(t), F.lit(False)))
     sample = F.struct(F.col(samples.seq).alias("seq"), F.col(t).alias("t"), F.col("_again").alias("again"), *(F.col(c) for c in samples.fields))
     extra = [c for c in queries.columns if c not in keys]
     held = source.select(*keys, F.col(t).alias("_t"), F.col(samples.seq).alias("_n"), sample.alias("_s"), F.lit(1).alias("_kind")).unionByName(
@@ -34,8 +37,9 @@ def bracket(samples: LaneFrame, queries: DataFrame, at: str, last_of_equal: bool
     )
     up = lane.orderBy("_t", "_kind", "_n").rowsBetween(W.unboundedPreceding, 0)
     down = lane.orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_n").desc()).rowsBetween(W.unboundedPreceding, 0)
-    held = held.withColumn("left", F.last("_s", ignorenulls=True).over(up)).withColumn("right", F.last("_s", ignorenulls=True).over(down))
-    held = held.withColumn("end", F.max(F.when(F.col("_kind") == 1, F.col("_t"))).over(lane))
+    held = held.withColumn("left", F.last("_s", ignorenulls=True).over(up))
+    # running from the end, the greatest clock value of a sample so far is the lane's last one as soon as there is a right neighbour
+    held = held.withColumns({"right": F.last("_s", ignorenulls=True).over(down), "end": F.max(F.when(F.col("_kind") == 1, F.col("_t"))).over(down)})
     more = []
     if last_of_equal:
         held = held.withColumn("upto", F.last("_s", ignorenulls=True).over(lane.orderBy("_t", F.col("_kind").desc(), "_n").rowsBetween(W.unboundedPreceding, 0)))
@@ -113,8 +117,10 @@ def select_points(samples: LaneFrame, queries: DataFrame, on: str) -> DataFrame:
 
 
 def select_range(samples: LaneFrame, start: object, stop: object) -> LaneFrame:
-    """Samples with start <= clock <= stop, numbered anew; sample_index is their number before."""
+    """Samples with start <= clock <= stop, numbered anew; sample_index is their number before. A clock that goes back is an error."""
     t = F.col(samples.clock)
+    back = F.when(F.lag(samples.clock).over(samples.ordered) > t, F.raise_error(F.lit("the clock of a lane goes back")).cast("boolean"))
+    samples = samples.over(samples.df.withColumn("_back", back).where(F.col("_back").isNull()).drop("_back"))
     cond = (F.lit(True) if start is None else t >= start) & (F.lit(True) if stop is None else t <= stop)
     kept = samples.over(samples.df.where(cond).withColumn("sample_index", F.col(samples.seq)))
     out = kept.renumbered()
@@ -149,18 +155,25 @@ def _thinned(times: Column, tol: float) -> Column:
     return F.aggregate(times, first, lambda kept, x: F.when(x - F.element_at(kept, -1) > tol, F.concat(kept, F.array(x))).otherwise(kept))
 
 
-def join_clocks(frames: Sequence[LaneFrame], join: str = "outer", tol: float = 0.0) -> DataFrame:
-    """Lane keys, seq and clock of a common grid per lane, for lanes that all frames have.
+def join_clocks(frames: Sequence[LaneFrame], join: str = "outer", tol: float = 0.0, lanes: str = "inner") -> DataFrame:
+    """Lane keys, seq and clock of a common grid per lane.
+
+    lanes: those that all frames have (inner), the first has (left), any has (outer), or all must be the same (exact).
 
     outer: all clock values; inner: those of the first that every frame has within tol; domain: outer between the
-    latest start and the earliest end; exact: all frames must have the same; left and right: the first's and last's.
+    latest start and the earliest end; exact: all frames must have the same, sample for sample within tol, and the first's are taken; left
+    and right: the first's and last's. In lanes that some frames lack, inner, domain and exact leave nothing.
     """
     base = frames[0]
     keys, t, n = list(base.keys), base.clock, len(frames)
     clocks = [f.df.where(F.col(f.clock).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(f.keys, keys, strict=True)), F.col(f.clock).alias(t), F.lit(i).alias("_f")) for i, f in enumerate(frames)]
     every = reduce(DataFrame.unionByName, clocks)
     lane = W.partitionBy(*keys)
-    every = every.withColumn("_all", F.size(F.collect_set("_f").over(lane))).where(F.col("_all") == n)
+    every = every.withColumns({"_all": F.size(F.collect_set("_f").over(lane)), "_first": F.min("_f").over(lane) == 0})
+    whole = F.col("_all") == n
+    every = every.where({"inner": whole, "left": F.col("_first"), "outer": F.lit(True), "exact": F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes])
+    if join in ("inner", "domain", "exact"):
+        every = every.where(whole)
     if join in ("left", "right", "override"):
         grid = every.where(F.col("_f") == (n - 1 if join == "right" else 0)).select(*keys, t).distinct()
     elif tol > 0 and join == "inner":
@@ -170,8 +183,10 @@ def join_clocks(frames: Sequence[LaneFrame], join: str = "outer", tol: float = 0
             near = at(other, grid, t, "nearest")
             grid = near.where(F.abs(F.col("_v") - F.col(t)) <= tol).select(*keys, t)
     elif join == "exact":
-        counted = every.groupBy(*keys, t).agg(F.count_distinct("_f").alias("_c"))
-        grid = counted.where(F.when(F.col("_c") == n, F.lit(True)).otherwise(F.raise_error(F.lit("the clocks differ")))).select(*keys, t)
+        ranked = every.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_f").orderBy(t)))
+        counted = ranked.groupBy(*keys, "_k").agg(F.count("*").alias("_c"), F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.min(F.when(F.col("_f") == 0, F.col(t))).alias(t))
+        same = (F.col("_c") == n) & (F.col("_hi") - F.col("_lo") <= tol)
+        grid = counted.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("the clocks differ")))).select(*keys, t).distinct()
     elif join == "inner":
         grid = every.groupBy(*keys, t).agg(F.count_distinct("_f").alias("_c")).where(F.col("_c") == n).select(*keys, t)
     elif join in ("outer", "domain"):
@@ -188,17 +203,61 @@ def join_clocks(frames: Sequence[LaneFrame], join: str = "outer", tol: float = 0
     return grid.withColumn(base.seq, (F.row_number().over(lane.orderBy(t)) - 1).cast("long"))
 
 
-def synchronize(frames: Sequence[LaneFrame], join: str = "left", how: str = "interp", grid: DataFrame | None = None, tol: float = 0.0, fill: float | None = None) -> list[LaneFrame]:
-    """All frames on one clock per lane; how: interp, nearest, or fill (the nearest within tol, else ``fill``)."""
-    points = join_clocks(frames, join, tol) if grid is None else grid
-    base, out = frames[0], []
-    for f in frames:
-        f = f.rename(**dict(zip((*f.keys, f.seq, f.clock), (*base.keys, base.seq, base.clock), strict=True)))
-        if how == "fill":
-            marked = f.with_fields(_at=F.col(f.clock))
-            near = resample_to(marked, points, "nearest")
-            close = F.coalesce(F.abs(F.col("_at") - F.col(f.clock)) <= tol, F.lit(False))
-            out.append(near.over(near.df.withColumn("_close", close)).with_fields(**{c: F.when(F.col("_close"), F.col(c)).otherwise(F.lit(fill)) for c in f.fields}).select(*f.fields))
-        else:
-            out.append(resample_to(f, points, "linear" if how == "interp" else "nearest"))
-    return out
+def synchronized(frames: Sequence[LaneFrame], join: str = "left", how: str = "interp", grid: DataFrame | None = None, tol: float = 0.0, fill: float | None = None, lanes: str = "inner") -> LaneFrame:
+    """The fields of all frames, which have names of their own, on one clock per lane; how: interp, nearest, or fill (the nearest within tol, else ``fill``).
+
+    All frames and the grid are put in one order per lane, so the neighbours of every frame come from one pair of windows.
+    """
+    if how not in ("interp", "nearest", "fill"):
+        raise ValueError(f"unknown way {how}")
+    base = frames[0]
+    keys, seq, t = list(base.keys), base.seq, base.clock
+    held = [f.rename(**{a: b for a, b in zip((*f.keys, f.seq, f.clock), (*keys, seq, t), strict=True) if a != b}) for f in frames]
+    fields = [c for f in held for c in f.fields]
+    if len(set(fields)) < len(fields):
+        raise ValueError("frames to be put together need fields with names of their own")
+    points = join_clocks(held, join, tol, lanes) if grid is None else grid
+    parts = [points.select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_n"), F.lit(0).alias("_kind"))]
+    for i, f in enumerate(held):
+        parts.append(f.df.where(F.col(t).isNotNull()).select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_n"), F.lit(1 + i).alias("_kind"), F.struct(F.col(t).alias("t"), F.col(seq).alias("n"), *f.fields).alias(f"_s{i}")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lane = W.partitionBy(*keys)
+    up = lane.orderBy("_t", "_kind", "_n").rowsBetween(W.unboundedPreceding, 0)
+    down = lane.orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_n").desc()).rowsBetween(W.unboundedPreceding, 0)
+    several = range(len(held))
+    rows = rows.withColumns({f"_l{i}": F.last(f"_s{i}", ignorenulls=True).over(up) for i in several})
+    before = {f"_b{i}": F.lag(f"_l{i}").over(lane.orderBy("_t", "_kind", "_n"))["n"] > F.col(f"_s{i}.n") for i in several}
+    rows = rows.withColumns(before)
+    back = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"_b{i}"), F.lit(False)) for i in several))
+    rows = rows.withColumn("_back", F.when(back, F.raise_error(F.lit("the clock of a lane goes back")).cast("boolean")))
+    right = {f"_r{i}": F.last(f"_s{i}", ignorenulls=True).over(down) for i in several}
+    ends = {f"_e{i}": F.max(f"_s{i}.t").over(down) for i in several}
+    rows = rows.where(F.col("_back").isNull()).withColumns({**right, **ends})
+    if how == "interp":  # whether the right neighbour's clock value comes again in the sample after it
+        after = lane.orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_n").desc())
+        rows = rows.withColumns({f"_d{i}": F.when(F.col(f"_s{i}").isNotNull(), F.coalesce(F.lag(f"_r{i}").over(after)["t"] == F.col(f"_s{i}.t"), F.lit(False))) for i in several})
+        rows = rows.withColumns({f"_again{i}": F.last(f"_d{i}", ignorenulls=True).over(down) for i in several})
+    q, out = F.col("_t"), {}
+    for i, f in enumerate(held):
+        left, near_left = F.col(f"_l{i}"), F.col(f"_r{i}").isNull() | (F.col(f"_l{i}").isNotNull() & (q - F.col(f"_l{i}.t") <= F.col(f"_r{i}.t") - q))
+        close = F.when(near_left, q - F.col(f"_l{i}.t")).otherwise(F.col(f"_r{i}.t") - q) <= tol
+        width = F.col(f"_r{i}.t") - F.col(f"_l{i}.t")
+        alpha = (q - F.col(f"_l{i}.t")).cast("double") / F.when(width != 0, width.cast("double"))
+        end = (q == F.col(f"_r{i}.t")) & (left.isNull() | (q == F.col(f"_e{i}")))
+        for c in f.fields:
+            nearest = F.when(near_left, F.col(f"_l{i}.{c}")).otherwise(F.col(f"_r{i}.{c}"))
+            if how == "interp":
+                blend = (1 - alpha) * F.col(f"_l{i}.{c}") + alpha * F.col(f"_r{i}.{c}")
+                many = (q == F.col(f"_r{i}.t")) & F.col(f"_again{i}")
+                out[c] = F.when(many, F.lit(None)).when(end, F.col(f"_r{i}.{c}").cast("double")).otherwise(blend)
+            else:
+                out[c] = nearest if how == "nearest" else F.when(F.coalesce(close, F.lit(False)), nearest).otherwise(F.lit(fill))
+    df = rows.where("_kind = 0").select(*keys, F.col("_n").alias(seq), F.col("_t").alias(t), *(x.alias(c) for c, x in out.items()))
+    return LaneFrame(df, tuple(keys), seq, t, tuple(fields))
+
+
+def synchronize(frames: Sequence[LaneFrame], join: str = "left", how: str = "interp", grid: DataFrame | None = None, tol: float = 0.0, fill: float | None = None, lanes: str = "inner") -> list[LaneFrame]:
+    """``synchronized``, each frame for itself under its own field names."""
+    own = [f.rename(**{c: f"_{i}_{c}" for c in f.fields}) for i, f in enumerate(frames)]
+    whole = synchronized(own, join, how, grid, tol, fill, lanes)
+    return [whole.select(*mine.fields).rename(**dict(zip(mine.fields, f.fields, strict=True))) for mine, f in zip(own, frames, strict=True)]

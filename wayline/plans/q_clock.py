@@ -123,8 +123,7 @@ UNION = "SELECT * FROM (SELECT user_id, t FROM a UNION SELECT user_id, t FROM b)
 
 
 def _synced(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    a, b = asof.synchronize(_two(spark, sf_dir), **options)
-    return rounded(a.df.join(b.df.drop("seq"), ["user_id", "t"]).select("user_id", "seq", "t", "a", "b"))
+    return rounded(asof.synchronized(_two(spark, sf_dir), **options).df.select("user_id", "seq", "t", "a", "b"))
 
 
 @query(f"WITH {{e}}, {TWO}, g AS ({UNION}), {BOTH}")
@@ -148,8 +147,8 @@ def sync_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH {e} SELECT user_id, seq, round(t, 6) AS t, round(value, 6) AS a, round(value + 1, 6) AS b FROM e")
 def sync_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lanes(spark, sf_dir)
-    a, b = asof.synchronize([f.rename(value="a"), f.with_fields(b=F.col("value") + 1).select("b")], join="exact")
-    return rounded(a.df.join(b.df.drop("t"), ["user_id", "seq"]).select("user_id", "seq", "t", "a", "b"))
+    out = asof.synchronized([f.rename(value="a"), f.with_fields(b=F.col("value") + 1).select("b")], join="exact")
+    return rounded(out.df.select("user_id", "seq", "t", "a", "b"))
 
 
 @query(f"""WITH {{e}}, {TWO}, g AS (SELECT user_id, t FROM a WHERE user_id IN (SELECT user_id FROM u))
