@@ -56,10 +56,20 @@ def magnitude(a: Column) -> Column:
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x worked out once; without it expressions that use their input many times grow out of bounds."""
+    """f(x) with x worked out once; without it expressions that use their input many times grow out of bounds.
+
+    Higher-order functions are outside generated code: functions of plain columns do without, and ``staged`` serves whole tables.
+    """
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def staged(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """df with columns added step by step: each step is worked out once and later ones use it, all in generated code."""
+    for step in steps:
+        df = df.withColumns(step)
+    return df
+
+
 def qdot(a: Column, b: Column) -> Column:
     return sum((a[c] * b[c] for c in QUATERNION[1:]), a["x"] * b["x"])
 
@@ -95,18 +105,10 @@ def rotation_inverse(q: Column) -> Column:
 
 
 def rotate(q: Column, v: Column) -> Column:
-    """v turned by a unit quaternion."""
-
-    def turned(e: Column) -> Column:
-        u, t, v = e["q"], e["t"], e["v"]
-        c = cross(u, t)
-        return vector(*(v[k] + u["w"] * t[k] + c[k] for k in VECTOR))
-
-    def doubled(e: Column) -> Column:
-        t = vscale(cross(e["q"], e["v"]), F.lit(2.0))
-        return let(F.struct(e["q"].alias("q"), e["v"].alias("v"), t.alias("t")), turned)
-
-    return let(F.struct(q.alias("q"), v.alias("v")), doubled)
+    """v turned by a unit quaternion; both should be columns or small expressions."""
+    t = [2.0 * (q[j] * v[k] - q[k] * v[j]) for j, k in (("y", "z"), ("z", "x"), ("x", "y"))]
+    turned = [q["y"] * t[2] - q["z"] * t[1], q["z"] * t[0] - q["x"] * t[2], q["x"] * t[1] - q["y"] * t[0]]
+    return vector(*(v[c] + q["w"] * t[i] + turned[i] for i, c in enumerate(VECTOR)))
 
 
 def angle(q: Column) -> Column:
@@ -163,24 +165,48 @@ def slerp(a: Column, b: Column, alpha: Column) -> Column:
     return let(ends, lambda e: let(F.struct(e["a"].alias("a"), e["b"].alias("b"), e["k"].alias("k"), qdot(e["a"], e["b"]).alias("d")), turned))
 
 
+def with_slerp(df: DataFrame, a: Column, b: Column, alpha: Column, output: str) -> DataFrame:
+    """df with ``slerp(a, b, alpha)``, staged."""
+    n = {f"_{x}n": F.sqrt(qdot(q, q)) for x, q in (("a", a), ("b", b))}
+    unit = {}
+    for x, q in (("a", a), ("b", b)):
+        size = F.when((F.col(f"_{x}n") == 0) | F.isnan(f"_{x}n"), F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(F.col(f"_{x}n"))
+        unit |= {f"_{x}{c}": q[c] / size for c in QUATERNION}
+    d = sum((F.col(f"_a{c}") * F.col(f"_b{c}") for c in QUATERNION[1:]), F.col("_ax") * F.col("_bx"))
+    near = F.abs(F.col("_d")) > 1 - 1e-12
+    sign = F.when(F.col("_d") < 0, -1.0).otherwise(1.0)
+    k, theta = F.col("_k"), F.col("_theta")
+    s = F.when(near, F.lit(1.0)).otherwise(F.sin("_theta"))
+    weights = {"_wa": F.when(near, 1 - k).otherwise(F.sin((1 - k) * theta) / s), "_wb": F.when(near, k).otherwise(F.sin(k * theta) / s) * sign}
+    mixed = {f"_m{c}": F.col("_wa") * F.col(f"_a{c}") + F.col("_wb") * F.col(f"_b{c}") for c in QUATERNION}
+    size = F.sqrt(sum((F.col(f"_m{c}") * F.col(f"_m{c}") for c in QUATERNION[1:]), F.col("_mx") * F.col("_mx")))
+    out = {c: F.when(k == 0, F.col(f"_a{c}")).when(k == 1, F.col(f"_b{c}")).otherwise(F.col(f"_m{c}") / F.col("_mn")) for c in QUATERNION}
+    done = F.when(k.isNotNull() & F.col("_d").isNotNull(), quaternion(*out.values()))
+    steps = staged(df, {**n, "_k": alpha.cast("double")}, unit, {"_d": d}, {"_theta": F.acos(F.least(F.abs("_d"), F.lit(1.0)))}, weights, mixed, {"_mn": size}, {output: done})
+    return steps.drop("_k", "_d", "_theta", "_wa", "_wb", "_mn", *(f"_{x}{c}" for x in "abm" for c in QUATERNION), "_an", "_bn")
+
+
 def pose_compose(a: Column, b: Column) -> Column:
-    """First a, then b."""
-    both = F.struct(a.alias("a"), b.alias("b"))
-    return let(both, lambda e: pose(vadd(rotate(e["b"]["q"], e["a"]["p"]), e["b"]["p"]), rotation_compose(e["a"]["q"], e["b"]["q"])))
+    """First a, then b; both should be columns or small expressions (``with_composed`` stages longer chains)."""
+    return pose(vadd(rotate(b["q"], a["p"]), b["p"]), rotation_compose(a["q"], b["q"]))
 
 
-def pose_inverse(a: Column) -> Column:
+def with_composed(df: DataFrame, poses: list[Column], output: str) -> DataFrame:
+    """df with poses put together, the first one first, a step at a time."""
+    df = df.withColumn(output, poses[0])
+    for p in poses[1:]:
+        df = df.withColumn("_next", p).withColumn(output, pose_compose(F.col(output), F.col("_next")))
+    return df.drop("_next")
 
-    def turned(e: Column) -> Column:
-        back = rotation_inverse(e["q"])
-        return pose(vscale(rotate(back, e["p"]), F.lit(-1.0)), back)
 
-    return let(a, turned)
+def pose_inverse(a: Column) -> Column:
+    back = rotation_inverse(a["q"])
+    return pose(vscale(rotate(back, a["p"]), F.lit(-1.0)), back)
 
 
 def pose_apply(a: Column, v: Column) -> Column:
     """A point turned and moved; for velocities and accelerations use ``rotate`` alone."""
-    return let(F.struct(a.alias("a"), v.alias("v")), lambda e: vadd(rotate(e["a"]["q"], e["v"]), e["a"]["p"]))
+    return vadd(rotate(a["q"], v), a["p"])
 
 
 def pose_matrix(a: Column) -> Column:
@@ -211,21 +237,32 @@ def vector_of(df: DataFrame, pattern: str) -> Column:
 @pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in QUATERNION]))
 def _dominant(rows: pd.Series) -> pd.DataFrame:
     """Eigenvector of the largest eigenvalue of 4 x 4 matrices given as their upper triangles."""
-    m = np.zeros((len(rows), 4, 4))
-    at = np.triu_indices(4)
-    m[:, at[0], at[1]] = np.stack(rows)
-    m[:, at[1], at[0]] = np.stack(rows)
-    v = np.linalg.eigh(m)[1][:, :, -1]
-    v = v * np.where(v[:, 3:] < 0, -1, 1)
-    return pd.DataFrame(v, columns=list(QUATERNION))
-
-
-def rotation_mean(df: DataFrame, keys: list[str], q: str, weight: str | None = None, output: str = "mean") -> DataFrame:
-    """Mean rotation of each group: ten sums of products that Spark adds up, then one eigenvector per group."""
+    there = rows.notna().to_numpy()
+    out = np.full((len(rows), 4), np.nan)
+    if there.any():
+        m = np.zeros((int(there.sum()), 4, 4))
+        at = np.triu_indices(4)
+        m[:, at[0], at[1]] = m[:, at[1], at[0]] = np.stack(rows[there])
+        v = np.linalg.eigh(m)[1][:, :, -1]
+        out[there] = v * np.where(v[:, 3:] < 0, -1, 1)
+    return pd.DataFrame(out, columns=list(QUATERNION))
+
+
+def rotation_mean(df: DataFrame, keys: list[str], q: str, weight: str | None = None, output: str = "mean", skipna: bool = True) -> DataFrame:
+    """Mean rotation of each group: ten sums of products that Spark adds up, then one eigenvector per group.
+
+    Rows with a missing or non-finite rotation are skipped; with skipna=False they make their group's mean missing. A
+    rotation without length is an error. Groups without rotations, or whose weights add up to nothing, have none.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    u = df.where(F.col(q).isNotNull()).withColumn("_u", normalised(F.col(q)))
+    good = F.lit(True)
+    for c in QUATERNION:
+        good = good & F.coalesce(F.abs(F.col(q)[c]) < float("inf"), F.lit(False))
+    u = df.withColumn("_good", good).withColumn("_u", F.when(F.col("_good"), normalised(F.col(q))))
     sums = [F.sum(w * F.col(f"_u.{a}") * F.col(f"_u.{b}")) for i, a in enumerate(QUATERNION) for b in QUATERNION[i:]]
-    packed = u.groupBy(*keys).agg(F.array(*sums).alias("_m"))
+    some = F.sum(F.when(F.col("_good"), w)) > 0
+    some = some if skipna else some & F.bool_and("_good")
+    packed = u.groupBy(*keys).agg(F.when(some, F.array(*sums)).alias("_m"))
     return packed.select(*keys, _dominant("_m").alias(output))
 
 

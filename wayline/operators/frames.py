@@ -120,36 +120,114 @@ def identity_pose() -> Column:
     return sp.pose(sp.vector(zero, zero, zero), sp.quaternion(zero, zero, zero, one))
 
 
-def interpolated_poses(poses: LaneFrame, name: str, queries: DataFrame, on: str, output: str) -> DataFrame:
-    """queries with the pose at their clock: position blended, rotation by slerp; missing outside the clock."""
+def _alpha(q: Column) -> Column:
+    width = (F.col("right.t") - F.col("left.t")).cast("double")
+    return (q - F.col("left.t")).cast("double") / F.when(width != 0, width)
+
+
+def _policy(q: Column, duplicates: str, exact: Column, first: Column, last: Column, inner: Column) -> Column:
+    """The value at a query: the sample itself at the lane's ends, by the policy at repeated clock values, else the blend."""
+    many = F.col("right.again") & (q == F.col("right.t"))
+    end = (q == F.col("right.t")) & (F.col("left").isNull() | (q == F.col("end")))
+    fault = F.when(F.raise_error(F.lit("a query meets repeated clock values")).cast("boolean"), exact)
+    taken = {"invalid": F.when(F.lit(False), exact), "left": first, "right": last, "raise": fault}[duplicates]
+    return F.when(many, taken).when(end, exact).otherwise(inner)
+
+
+def _bracketed(samples: LaneFrame, name: str, queries: DataFrame, on: str, duplicates: str) -> tuple[DataFrame, Column]:
+    if duplicates not in asof.POLICIES:
+        raise ValueError(f"unknown policy {duplicates}")
+    found = asof.bracket(samples.select(name), queries, on, last_of_equal=duplicates == "right")
+    return found, F.col(f"upto.{name}") if duplicates == "right" else F.col(f"right.{name}")
+
+
+def interpolated_rotations(samples: LaneFrame, name: str, queries: DataFrame, on: str, output: str, method: str = "slerp", duplicates: str = "invalid") -> DataFrame:
+    """queries with the rotation at their clock; method: slerp, linear (blended and normalised) or nearest (clamped outside, ties go left)."""
     q = F.col(on)
-    found = asof.bracket(poses.select(name), queries, on)
+    found, last = _bracketed(samples, name, queries, on, duplicates)
     a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
-    alpha = (q - F.col("left.t")).cast("double") / (F.col("right.t") - F.col("left.t")).cast("double")
-    p = sp.vadd(sp.vscale(a["p"], 1 - alpha), sp.vscale(b["p"], alpha))
-    end = (q == F.col("right.t")) & (F.col("left").isNull() | (q == F.col("end")))
-    inner = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), sp.pose(p, sp.slerp(a["q"], b["q"], alpha)))
-    return found.select(*queries.columns, F.when(F.col("right.again") & (q == F.col("right.t")), F.lit(None)).when(end, b).otherwise(inner).alias(output))
+    if method == "nearest":
+        return found.select(*queries.columns, F.when(q.isNotNull(), F.when(asof._nearest_left(q), a).otherwise(b)).alias(output))
+    if method == "slerp":
+        found = sp.with_slerp(found, a, b, _alpha(q), "_inner")
+    elif method == "linear":
+        k = _alpha(q)
+        sign = F.when(sp.qdot(a, b) < 0, -1.0).otherwise(1.0)
+        found = found.withColumn("_mixed", sp.quaternion(*((1 - k) * a[c] + k * sign * b[c] for c in sp.QUATERNION))).withColumn("_inner", F.when(k.isNotNull(), sp.normalised(F.col("_mixed"))))
+    else:
+        raise ValueError(f"unknown method {method}")
+    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, F.col("_inner")).alias(output))
+
+
+def interpolated_poses(poses: LaneFrame, name: str, queries: DataFrame, on: str, output: str, duplicates: str = "invalid", rotation: str = "slerp", position: str = "linear") -> DataFrame:
+    """queries with the pose at their clock: position blended, rotation by slerp, or either from the nearest sample; missing outside the clock."""
+    q = F.col(on)
+    found, last = _bracketed(poses, name, queries, on, duplicates)
+    a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
+    left, k = asof._nearest_left(q), F.col("_alpha")
+    found = found.withColumn("_alpha", _alpha(q))
+    if rotation == "slerp":
+        found = sp.with_slerp(found, a["q"], b["q"], k, "_turn")
+    else:
+        found = found.withColumn("_turn", F.when(left, a["q"]).otherwise(b["q"]))
+    p = sp.vadd(sp.vscale(a["p"], 1 - k), sp.vscale(b["p"], k)) if position == "linear" else F.when(left, a["p"]).otherwise(b["p"])
+    inner = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), sp.pose(p, F.col("_turn")))
+    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, inner).alias(output))
 
 
-def with_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, output: str = "transform", pose_field: str = "pose") -> DataFrame:
-    """rows with the pose that takes src into dst, edges over time taken at the rows' clock.
+def resampled_rotations(samples: LaneFrame, name: str, grid: DataFrame, method: str = "slerp", duplicates: str = "invalid") -> LaneFrame:
+    """A frame of rotations on another clock (lane keys, seq, clock)."""
+    at = grid.select(*samples.keys, samples.seq, samples.clock)
+    return samples.select(name).over(interpolated_rotations(samples, name, at, samples.clock, name, method, duplicates))
 
-    A LaneFrame edge has the rows' lane keys; it is joined as of the clock.
+
+def resampled_poses(poses: LaneFrame, name: str, grid: DataFrame, duplicates: str = "invalid", rotation: str = "slerp", position: str = "linear") -> LaneFrame:
+    """A frame of poses on another clock (lane keys, seq, clock)."""
+    at = grid.select(*poses.keys, poses.seq, poses.clock)
+    return poses.select(name).over(interpolated_poses(poses, name, at, poses.clock, name, duplicates, rotation, position))
+
+
+def _edge_values(graph: FrameGraph, rows: LaneFrame, path: list[Step], field: str, interpolate: Callable) -> tuple[DataFrame, list[Column]]:
+    """rows with the value of every edge of a path at their clock, and the columns of these values in the path's order.
+
+    An edge is a Column, a LaneFrame of the rows' lanes over time, or a function of the step that gives either.
     """
-    df, path = rows.df, graph.path(src, dst)
-    made: dict[str, Column] = {}
+    df, made = rows.df, []
     for i, step in enumerate(path):
         edge = graph.edges.get(step.child)
+        edge = edge(step) if callable(edge) and not isinstance(edge, Column) else edge
         if edge is None:
             raise ValueError(f"no pose for {step.child} in {step.parent}")
         if isinstance(edge, LaneFrame):
-            df = interpolated_poses(edge, pose_field, df, rows.clock, f"_edge{i}")
-            made[step.child] = F.col(f"_edge{i}")
-        else:
-            made[step.child] = edge
-    whole = fold_path(path, lambda s: made[s.child], sp.pose_compose, sp.pose_inverse, None)
-    return df.withColumn(output, identity_pose() if whole is None else whole).drop(*(f"_edge{i}" for i in range(len(path))))
+            df = interpolate(edge, field, df, rows.clock, f"_edge{i}")
+            edge = F.col(f"_edge{i}")
+        made.append(edge)
+    return df, made
+
+
+def with_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, output: str = "transform", pose_field: str = "pose") -> DataFrame:
+    """rows with the pose that takes src into dst, edges over time taken at the rows' clock.
+
+    A LaneFrame edge has the rows' lane keys; it is joined as of the clock.
+    """
+    path = graph.path(src, dst)
+    df, edges = _edge_values(graph, rows, path, pose_field, interpolated_poses)
+    if not path:
+        return df.withColumn(output, identity_pose())
+    walked = [sp.pose_inverse(e) if s.inverted else e for s, e in zip(path, edges, strict=True)]
+    return sp.with_composed(df, walked, output).drop(*(f"_edge{i}" for i in range(len(path))))
+
+
+def with_rotation_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, output: str = "rotation", rotation_field: str = "rotation", poses: bool = False) -> DataFrame:
+    """rows with the rotation that takes the basis of src into that of dst; edges are rotations, or with ``poses`` poses of which only the turn counts."""
+    path = graph.path(src, dst)
+    df, edges = _edge_values(graph, rows, path, rotation_field, interpolated_poses if poses else interpolated_rotations)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    df = df.withColumn(output, sp.quaternion(zero, zero, zero, one))
+    for step, e in zip(path, edges, strict=True):
+        turn = e["q"] if poses else e
+        df = df.withColumn(output, sp.rotation_compose(F.col(output), sp.rotation_inverse(turn) if step.inverted else turn))
+    return df.drop(*(f"_edge{i}" for i in range(len(path))))
 
 
 def to_frame(graph: FrameGraph, rows: LaneFrame, point: str, src: str, dst: str) -> LaneFrame:
