@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -145,3 +145,101 @@ def direction_vector(d: Column) -> Column:
     """Unit vector (east, north, up) of an (altitude, azimuth)."""
     a, z = F.radians(d["altitude"]), F.radians(d["azimuth"])
     return sp.vector(F.cos(a) * F.sin(z), F.cos(a) * F.cos(z), F.sin(a))
+
+
+@pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("lat", "lon")]))
+def geodesic_point(lat: pd.Series, lon: pd.Series, bearing: pd.Series, distance: pd.Series) -> pd.DataFrame:
+    """The point at a distance and initial bearing, by Vincenty's direct method."""
+    f, b = FLATTENING, SEMI_MINOR
+    s, turn = distance.to_numpy(float), np.radians(bearing.to_numpy(float))
+    sa1, ca1 = np.sin(turn), np.cos(turn)
+    u1 = np.arctan((1 - f) * np.tan(np.radians(lat.to_numpy(float))))
+    su, cu = np.sin(u1), np.cos(u1)
+    with np.errstate(all="ignore"):
+        sigma1, sa = np.arctan2(np.tan(u1), ca1), cu * sa1
+        c2 = 1 - sa * sa
+        k = c2 * (SEMI_MAJOR**2 - b**2) / b**2
+        big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+        small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+        sigma = s / (b * big)
+        for _ in range(50):
+            cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
+            d = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+            sigma, before = s / (b * big) + d, sigma
+            if np.nanmax(np.abs(sigma - before), initial=0) < 1e-14:
+                break
+        cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
+        t = su * ss - cu * cs * ca1
+        out = np.arctan2(su * cs + cu * ss * ca1, (1 - f) * np.hypot(sa, t))
+        lam = np.arctan2(ss * sa1, cu * cs - su * ss * ca1)
+        c = f / 16 * c2 * (4 + f * (4 - 3 * c2))
+        span = lam - (1 - c) * f * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+    east = (lon.to_numpy(float) + np.degrees(span) + 180) % 360 - 180
+    return pd.DataFrame({"lat": np.degrees(out), "lon": east})
+
+
+# the universal transverse Mercator projection, by Krueger's series in the third flattening
+
+N = FLATTENING / (2 - FLATTENING)
+RECTIFYING = SEMI_MAJOR / (1 + N) * (1 + N**2 / 4 + N**4 / 64 + N**6 / 256)
+SCALE, FALSE_EAST, FALSE_NORTH = 0.9996, 500_000.0, 10_000_000.0
+#: Coefficients of the series, forward and back, to the fourth order in the third flattening: fixed values.
+FORWARD = (
+    N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180,
+    13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440,
+    61 * N**3 / 240 - 103 * N**4 / 140,
+    49561 * N**4 / 161280,
+)
+BACK = (
+    N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360,
+    N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440,
+    17 * N**3 / 480 - 37 * N**4 / 840,
+    4397 * N**4 / 161280,
+)
+
+
+def utm_zone(lon: Column) -> Column:
+    """Zone of a longitude in [-180, 180); the exceptions of Norway and Svalbard are not made."""
+    return (F.floor((lon + 180.0) / 6.0) + 1).cast("int")
+
+
+def with_utm(df: DataFrame, g: str, output: str, zone: Column | None = None) -> DataFrame:
+    """df with (east, north, zone, south) of a geodetic column, in metres; good to well below a millimetre within its zone, staged."""
+    lat, e = F.radians(F.col(f"{g}.lat")), E2**0.5
+    steps = [
+        {"_zone": utm_zone(F.col(f"{g}.lon")) if zone is None else zone.cast("int"), "_s": F.sin(lat)},
+        {"_l": F.radians(F.col(f"{g}.lon") - (F.col("_zone") * 6 - 183)), "_c": F.sinh(F.atanh(F.col("_s")) - e * F.atanh(e * F.col("_s")))},
+        {"_x": F.atan2(F.col("_c"), F.cos("_l")), "_y": F.atanh(F.sin("_l") / F.sqrt(1 + F.col("_c") * F.col("_c")))},
+    ]
+    east, north = F.col("_y"), F.col("_x")
+    for j, a in enumerate(FORWARD, 1):
+        east = east + a * F.cos(2 * j * F.col("_x")) * F.sinh(2 * j * F.col("_y"))
+        north = north + a * F.sin(2 * j * F.col("_x")) * F.cosh(2 * j * F.col("_y"))
+    south = F.col(f"{g}.lat") < 0
+    made = F.struct(
+        (FALSE_EAST + SCALE * RECTIFYING * east).alias("east"),
+        (SCALE * RECTIFYING * north + F.when(south, FALSE_NORTH).otherwise(0.0)).alias("north"),
+        F.col("_zone").alias("zone"),
+        south.alias("south"),
+    )
+    return sp.staged(df, *steps, {output: F.when(F.col(f"{g}.lat").isNotNull(), made)}).drop("_zone", "_s", "_l", "_c", "_x", "_y")
+
+
+def with_lla_of_utm(df: DataFrame, u: str, output: str, alt: Column | None = None) -> DataFrame:
+    """df with the geodetic position of a UTM column (east, north, zone, south), staged."""
+    xi = (F.col(f"{u}.north") - F.when(F.col(f"{u}.south"), FALSE_NORTH).otherwise(0.0)) / (SCALE * RECTIFYING)
+    steps = [{"_x": xi, "_y": (F.col(f"{u}.east") - FALSE_EAST) / (SCALE * RECTIFYING)}]
+    east, north = F.col("_y"), F.col("_x")
+    for j, b in enumerate(BACK, 1):
+        east = east - b * F.cos(2 * j * F.col("_x")) * F.sinh(2 * j * F.col("_y"))
+        north = north - b * F.sin(2 * j * F.col("_x")) * F.cosh(2 * j * F.col("_y"))
+    steps.append({"_x1": north, "_y1": east})
+    t = F.sin("_x1") / F.sqrt(F.sinh("_y1") * F.sinh("_y1") + F.cos("_x1") * F.cos("_x1"))
+    steps.append({"_t": t, "_lat": F.atan(t)})
+    e = E2**0.5
+    for _ in range(5):  # conformal to geodetic latitude: rounds gain about a factor of 150 each
+        s = F.sin("_lat")
+        steps.append({"_lat": F.atan(F.sinh(F.asinh(F.col("_t")) + e * F.atanh(e * s)))})
+    lon = F.degrees(F.atan2(F.sinh("_y1"), F.cos("_x1"))) + (F.col(f"{u}.zone") * 6 - 183)
+    done = F.when(F.col(f"{u}.east").isNotNull(), lla(F.degrees("_lat"), lon, F.lit(0.0) if alt is None else alt))
+    return sp.staged(df, *steps, {output: done}).drop("_x", "_y", "_x1", "_y1", "_t", "_lat")

@@ -20,6 +20,46 @@ def sub(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def by_label(a: Column, have: list[str], want: list[str]) -> Column:
+    """A vector's numbers in the order of wanted labels; a label that it lacks is an error."""
+    if missing := [x for x in want if x not in have]:
+        raise ValueError(f"no labels {missing}")
+    return a if have == want else F.array(*(F.get(a, F.lit(have.index(x))) for x in want))
+
+
+def add_labelled(a: Column, have: list[str], b: Column, other: list[str]) -> Column:
+    """Sum of two labelled vectors, in the order of the first one's labels, which both must have."""
+    if len(have) != len(other):
+        raise ValueError("vectors with different labels")
+    return add(a, by_label(b, other, have))
+
+
+def sub_labelled(a: Column, have: list[str], b: Column, other: list[str]) -> Column:
+    if len(have) != len(other):
+        raise ValueError("vectors with different labels")
+    return sub(a, by_label(b, other, have))
+
+
+def dot_labelled(a: Column, have: list[str], b: Column, other: list[str]) -> Column:
+    if len(have) != len(other):
+        raise ValueError("vectors with different labels")
+    return dot(a, by_label(b, other, have))
+
+
+def matrix_norm(m: Column, order: str | float = "fro") -> Column:
+    """Norm of a matrix: fro, 1 and -1 (columns), inf and -inf (rows), nuc, 2 and -2 (singular values)."""
+    size = F.transform(m, lambda row: F.transform(row, lambda x: F.abs(x.cast("double"))))
+    if order == "fro":
+        return F.sqrt(total(F.transform(m, lambda row: dot(row, row))))
+    if order in (1, -1, float("inf"), float("-inf")):
+        sums = F.transform(transpose(size) if order in (1, -1) else size, total)
+        return F.array_max(sums) if order > 0 else F.array_min(sums)
+    if order not in ("nuc", 2, -2):
+        raise ValueError(f"unknown order {order}")
+    values = singular_values(m)
+    return total(values) if order == "nuc" else F.array_max(values) if order == 2 else F.array_min(values)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -116,6 +156,16 @@ def _each_shape(*series: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarra
 VECTOR, MATRIX = T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
+@pandas_udf(VECTOR)
+def singular_values(m: pd.Series) -> pd.Series:
+    """Singular values, the greatest first."""
+    out: list = [None] * len(m)
+    for at, (a,) in _each_shape(m):
+        for i, x in zip(at, np.linalg.svd(a, compute_uv=False), strict=True):
+            out[i] = x.tolist()
+    return pd.Series(out)
+
+
 @pandas_udf(MATRIX)
 def inv(m: pd.Series) -> pd.Series:
     """Inverse of square matrices; a singular one is an error."""
@@ -138,13 +188,18 @@ def solve(m: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf(VECTOR)
-def lstsq(m: pd.Series, v: pd.Series) -> pd.Series:
-    out: list = [None] * len(m)
-    for at, (a, b) in _each_shape(m, v):
-        for i, p, q in zip(at, a, b, strict=True):
-            out[i] = np.linalg.lstsq(p, q, rcond=None)[0].tolist()
-    return pd.Series(out)
+def lstsq(m: Column, v: Column, rcond: float | None = None) -> Column:
+    """x that makes m x nearest to v; singular values below rcond times the greatest count as zero."""
+
+    @pandas_udf(VECTOR)
+    def run(m: pd.Series, v: pd.Series) -> pd.Series:
+        out: list = [None] * len(m)
+        for at, (a, b) in _each_shape(m, v):
+            for i, p, q in zip(at, a, b, strict=True):
+                out[i] = np.linalg.lstsq(p, q, rcond=rcond)[0].tolist()
+        return pd.Series(out)
+
+    return run(m, v)
 
 
 def pinv(m: Column, rcond: float = 1e-15, hermitian: bool = False) -> Column:

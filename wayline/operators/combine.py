@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayline.frame import LaneFrame
 from wayline.operators import asof
 
-COMPAT = ("no_conflicts", "identical", "override")
+COMPAT = ("no_conflicts", "identical", "equals", "broadcast_equals", "override")
 
 
 def _common(frames: Sequence[LaneFrame]) -> list[LaneFrame]:
@@ -20,12 +20,21 @@ def _common(frames: Sequence[LaneFrame]) -> list[LaneFrame]:
 
 
 def concat_batch(frames: dict[str, LaneFrame], batch: str = "batch", sequence: str = "outer", fill: float | None = None) -> LaneFrame:
-    """Frames under a further lane key with their label; sequence: outer keeps all samples, inner only numbers that every frame has."""
+    """Frames under a further lane key with their label.
+
+    sequence: outer keeps all samples, inner only numbers that every frame has, exact wants the same numbers in all.
+    """
+    if sequence not in ("outer", "inner", "exact"):
+        raise ValueError(f"unknown join {sequence}")
     base = next(iter(frames.values()))
     held = dict(zip(frames, _common(list(frames.values())), strict=True))
     fields = tuple(dict.fromkeys(c for f in held.values() for c in f.fields))
     parts = [f.df.withColumn(batch, F.lit(name)).withColumns({c: F.lit(fill).cast("double") for c in fields if c not in f.fields}) for name, f in held.items()]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if sequence == "exact":
+        counted = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("_n"))
+        same = F.when(F.col("_n") == len(frames), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))
+        df = df.join(counted.where(same).select(base.seq), base.seq, "left_semi")
     if sequence == "inner":
         shared = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("_n")).where(F.col("_n") == len(frames)).select(base.seq)
         df = df.join(shared, base.seq, "left_semi")
@@ -104,27 +113,38 @@ def align_many(frames: Sequence[LaneFrame], lanes: str = "inner", samples: str =
     return out
 
 
-def merge(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples: str = "exact", compat: str = "no_conflicts", fill: float | None = None, prealign: dict | None = None) -> LaneFrame:
-    """The fields of both frames over joined lanes and samples.
+def _agreed(a: Column, b: Column, compat: str, name: str, kind: str) -> Column:
+    """A field of both frames as the policy takes it."""
+    if compat == "override":
+        return F.coalesce(a, b)
+    bad = F.coalesce(a != b, F.lit(False)) if compat == "no_conflicts" else ~a.eqNullSafe(b)
+    return F.when(bad, F.raise_error(F.lit(f"the frames disagree about {name}")).cast(kind)).otherwise(F.coalesce(a, b))
+
 
-    A field of both must agree where both have it (no_conflicts), everywhere (identical), or the left one wins and the
-    right one fills its holes (override). prealign: options of ``asof.synchronize`` to bring both to one clock first.
+def merge(left: LaneFrame, right: LaneFrame, *more: LaneFrame, lanes: str = "inner", samples: str = "exact", compat: str = "no_conflicts", fill: float | None = None, prealign: dict | None = None) -> LaneFrame:
+    """The fields of two or more frames over joined lanes and samples, one after another.
+
+    A field of several must agree where both have it (no_conflicts), everywhere (equals; broadcast_equals is the same here, where a lane's
+    samples always have rows of their own; identical: their attributes too), or the first one wins and later ones fill its holes (override). prealign:
+    options of ``asof.synchronize`` to bring all to one clock first.
     """
     if compat not in COMPAT:
         raise ValueError(f"unknown compat {compat}")
+    frames = [left, right, *more]
     if prealign is not None:
-        left, right = asof.synchronize([left, right], **prealign)
+        frames = asof.synchronize(frames, **prealign)
+    if compat == "identical" and any(f.attrs != frames[0].attrs for f in frames):
+        raise ValueError("the frames have different attributes")
+    return reduce(lambda a, b: _merged(a, b, lanes, samples, compat, fill), frames)
+
+
+def _merged(left: LaneFrame, right: LaneFrame, lanes: str, samples: str, compat: str, fill: float | None) -> LaneFrame:
+    right = _common([left, right])[1]
     df, at = _joined(left, right, lanes, samples)
     cols = []
     for c in dict.fromkeys([*left.fields, *right.fields]):
         if c in left.fields and c in right.fields:
-            a, b = F.col(f"l_{c}"), F.col(f"r_{c}")
-            if compat == "override":
-                x = F.coalesce(a, b)
-            else:
-                bad = ~a.eqNullSafe(b) if compat == "identical" else F.coalesce(a != b, F.lit(False))
-                x = F.when(bad, F.raise_error(F.lit(f"the frames disagree about {c}")).cast(left.df.schema[c].dataType)).otherwise(F.coalesce(a, b))
-            hole = F.lit(False)
+            x, hole = _agreed(F.col(f"l_{c}"), F.col(f"r_{c}"), compat, c, left.df.schema[c].dataType), F.lit(False)
         else:
             side = "l" if c in left.fields else "r"
             x, hole = F.col(f"{side}_{c}"), F.col(f"_{side}").isNull()
@@ -134,9 +154,20 @@ def merge(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples: str
     return LaneFrame(out, left.keys, left.seq, left.clock, tuple(dict.fromkeys([*left.fields, *right.fields])), {**right.components, **left.components}, left.attrs)
 
 
-def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples: str = "exact", broadcast: bool = False) -> LaneFrame:
+def topology(left: LaneFrame, right: LaneFrame, semantic: bool = False) -> str:
+    """How two frames meet: same (lanes and samples of the same keys), or, semantically, broadcast (right lacks some of left's keys or its samples)."""
+    if set(left.keys) == set(right.keys):
+        return "same"
+    if semantic and set(right.keys) < set(left.keys):
+        return "broadcast"
+    raise ValueError(f"lane keys {left.keys} and {right.keys} do not match")
+
+
+def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples: str = "exact", broadcast: bool = False, on: str = "sequence") -> LaneFrame:
     """f(left, right) of the fields that both have, aligned by lane and sample.
 
+    on: sequence, by sample number; param, by equal clock values, which both must have alike (exact) and once each; auto, by the clock where both
+    have one.
     broadcast: right has one row for some of left's lane keys and no samples; it is joined on the keys that it has.
     """
     shared = [c for c in left.fields if c in right.fields]
@@ -147,14 +178,74 @@ def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples:
             raise ValueError("the frames share no lane key; give a single value as a column to map_fields")
         df = left.df.join(other, on)
         return left.over(df.withColumns({c: f(F.col(c), F.col(f"r_{c}")) for c in shared}).drop(*(f"r_{c}" for c in shared))).select(*shared)
+    topology(left, right)
+    if on not in ("sequence", "param", "auto"):
+        raise ValueError(f"unknown alignment {on}")
+    right = _common([left, right])[1]
+    if on == "param" or on == "auto" and left.clock and right.clock:
+        if samples != "exact":
+            raise ValueError("clocks are aligned exactly")
+        a, b = _by_clock(left), _by_clock(right.rename(**{right.clock: left.clock}) if right.clock != left.clock else right)
+        df, at = _joined(a, b, lanes, "exact")
+        out = df.select(*left.keys, F.col(f"l_{left.seq}").alias(left.seq), F.col(left.clock), *(f(F.col(f"l_{c}"), F.col(f"r_{c}")).alias(c) for c in shared))
+        return left.over(out, fields=tuple(shared), components={})
     df, at = _joined(left, right, lanes, samples)
     clock = [F.col(f"l_{left.clock}").alias(left.clock)] if left.clock else []
     return left.over(df.select(*at, *clock, *(f(F.col(f"l_{c}"), F.col(f"r_{c}")).alias(c) for c in shared)), fields=tuple(shared), components={})
 
 
+def _by_clock(frame: LaneFrame) -> LaneFrame:
+    """The frame with its clock as sample number and its number as clock; clock values that repeat are an error."""
+    again = F.lead(frame.clock).over(frame.lane.orderBy(frame.clock)) == F.col(frame.clock)
+    once = F.when(F.coalesce(again, F.lit(False)), F.raise_error(F.lit("a clock value repeats in a lane")).cast("boolean"))
+    df = frame.df.withColumn("_once", once).where(F.col("_once").isNull()).drop("_once")
+    return LaneFrame(df, frame.keys, frame.clock, frame.seq, frame.fields)
+
+
 # core axes
 
 
+def assemble_core(values: Sequence, output: str, lanes: str = "exact", samples: str = "exact") -> LaneFrame:
+    """Frames of one scalar field each, in nested lists, as one field of nested arrays of the same shape."""
+    flat: list[LaneFrame] = []
+
+    def laid(v) -> Column:
+        if isinstance(v, LaneFrame):
+            if len(v.fields) != 1:
+                raise ValueError("a core is assembled from frames of one field each")
+            flat.append(v)
+            return F.col(f"_c{len(flat) - 1}")
+        if not v or len({_shape(x) for x in v}) > 1:
+            raise ValueError("a core needs lists of the same shape")
+        return F.array(*map(laid, v))
+
+    core = laid(values)
+    named = [f.rename(**{f.fields[0]: f"_c{i}"}) for i, f in enumerate(_common(flat))]
+    out = reduce(lambda a, b: _merged(a, b, lanes, samples, "no_conflicts", None), named)
+    return out.over(out.df.withColumn(output, core), fields=(*out.fields, output), components={}).select(output)
+
+
+def _shape(v) -> tuple[int, ...]:
+    return () if isinstance(v, LaneFrame) else (len(v), *(_shape(v[0]) if v else ()))
+
+
+def stack_frames(frames: Sequence[LaneFrame], output: str) -> LaneFrame:
+    """Frames of one scalar field each as one array field."""
+    return assemble_core(list(frames), output)
+
+
+def block_frames(rows: Sequence[Sequence[LaneFrame]], output: str) -> LaneFrame:
+    """Frames of one scalar field each as one matrix field, row by row."""
+    return assemble_core([list(r) for r in rows], output)
+
+
+def concat_frames(frames: Sequence[LaneFrame], output: str, lanes: str = "exact", samples: str = "exact") -> LaneFrame:
+    """Frames of one array field each, end to end."""
+    named = [f.rename(**{f.fields[0]: f"_c{i}"}) for i, f in enumerate(_common(list(frames)))]
+    out = reduce(lambda a, b: _merged(a, b, lanes, samples, "no_conflicts", None), named)
+    return out.over(out.df.withColumn(output, F.concat(*(f"_c{i}" for i in range(len(named))))), fields=(*out.fields, output), components={}).select(output)
+
+
 def stack_core(frame: LaneFrame, fields: Sequence[str], output: str) -> LaneFrame:
     """Scalar fields as one array field, in the given order."""
     return frame.with_fields(**{output: F.array(*fields)}).select(*(c for c in (*frame.fields, output) if c not in fields))
@@ -171,9 +262,11 @@ def concat_core(frame: LaneFrame, fields: Sequence[str], output: str) -> LaneFra
     return frame.with_fields(**{output: F.concat(*fields)}).select(*(c for c in (*frame.fields, output) if c not in fields))
 
 
-def decompose_core(frame: LaneFrame, field: str, labels: Sequence[str]) -> dict[str, LaneFrame]:
-    """Label -> frame of the scalar at its place in an array field."""
-    return {name: frame.with_fields(**{name: F.get(field, F.lit(i))}).select(name) for i, name in enumerate(labels)}
+def decompose_core(frame: LaneFrame, field: str, labels: Sequence[str], key_mode: str = "label") -> dict:
+    """Label (or, with key_mode="index", place) -> frame of the scalar at its place in an array field."""
+    if key_mode not in ("label", "index"):
+        raise ValueError(f"unknown keys {key_mode}")
+    return {(name if key_mode == "label" else i): frame.with_fields(**{name: F.get(field, F.lit(i))}).select(name) for i, name in enumerate(labels)}
 
 
 def overlay_core(frame: LaneFrame, field: str, labels: Sequence[str], patches: Sequence[dict[str, Column]], on_overlap: str = "error") -> LaneFrame:

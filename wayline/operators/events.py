@@ -31,6 +31,21 @@ def equals(a: Column, b: Column, atol: float = 1e-9, rtol: float = 1e-12) -> Col
     return isclose(a, b, atol, rtol)
 
 
+def with_operands(frame: LaneFrame, others: dict[str, LaneFrame], interp: str = "linear") -> LaneFrame:
+    """The frame with fields of other frames on its own clock, for conditions across frames.
+
+    others: a name to the frame whose one field it becomes; interp: linear or nearest. Lanes that another frame lacks have missing values.
+    """
+    out = frame
+    for name, other in others.items():
+        if len(other.fields) != 1:
+            raise ValueError(f"operand {name} needs one field")
+        value = other.rename(**dict(zip((*other.keys, other.seq, other.clock, other.fields[0]), (*frame.keys, frame.seq, frame.clock, name), strict=True)))
+        on_clock = asof.at(value.select(name), out.df.select(*out.df.columns), frame.clock, interp)
+        out = out.over(on_clock.select(*out.df.columns, name), fields=(*out.fields, name))
+    return out
+
+
 def _edges(frame: LaneFrame, cond: Column) -> DataFrame:
     order = frame.ordered
     df = mask(frame, cond, "_on")
@@ -48,11 +63,24 @@ def _event(code: int, time: Column, before: Column, after: Column) -> Column:
     return F.struct(time.alias("time"), F.lit(code).alias("edge_code"), before.cast("long").alias("sample_index_before"), after.cast("long").alias("sample_index_after"))
 
 
-def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigger: bool = False, max_events: int | None = None) -> DataFrame:
+def _deduped(rows: DataFrame, keys: Sequence[str], atol: float) -> DataFrame:
+    """Events without those within atol of the last one kept of the same code; a lane's close events are folded in its order."""
+    order = W.partitionBy(*keys, "edge_code").orderBy("time", "sample_index_before", "sample_index_after")
+    # a chain of events each within atol of the one before it; only inside a chain does the fold matter
+    rows = rows.withColumn("_start", F.when(F.col("time") - F.lag("time").over(order) <= atol, 0).otherwise(1))
+    rows = rows.withColumn("_chain", F.sum("_start").over(order))
+    whole = W.partitionBy(*keys, "edge_code", "_chain").orderBy("time", "sample_index_before", "sample_index_after")
+    times = F.collect_list("time").over(whole.rowsBetween(W.unboundedPreceding, 0))
+    last = F.aggregate(times, F.struct(F.lit(None).cast("double").alias("at"), F.lit(False).alias("kept")), lambda s, x: F.when(s["at"].isNull() | (x - s["at"] > atol), F.struct(x.alias("at"), F.lit(True).alias("kept"))).otherwise(F.struct(s["at"].alias("at"), F.lit(False).alias("kept"))))
+    return rows.withColumn("_kept", last["kept"]).where("_kept").drop("_start", "_chain", "_kept")
+
+
+def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigger: bool = False, max_events: int | None = None, dedupe_atol: float | None = None) -> DataFrame:
     """Lane keys, event, time, edge_code, sample_index_before and _after of every boundary.
 
     include_initial: a lane that begins true enters at its first sample. trigger: also an event at every true sample
-    (for equality conditions).
+    (for equality conditions). dedupe_atol: leave out events so close to the last kept one of their code (with clocks that increase by more
+    it never happens).
     """
     e, seq, t = _edges(frame, cond), F.col(frame.seq), F.col(frame.clock)
     began = (F.col("_was") == F.lit(False)) | (F.col("_was").isNull() if include_initial else F.lit(False))
@@ -60,6 +88,7 @@ def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigge
     leave = F.when(F.col("_on") & ~F.coalesce(F.col("_will"), F.lit(False)), _event(EXIT, t, seq, F.col("_after")))
     found = [enter, *([F.when(F.col("_on"), _event(TRIGGER, t, seq, seq))] if trigger else []), leave]
     rows = e.select(*frame.keys, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(*frame.keys, "x.*")
+    rows = rows if dedupe_atol is None else _deduped(rows, frame.keys, dedupe_atol)
     rank = F.when(F.col("edge_code") == ENTER, 0).when(F.col("edge_code") == TRIGGER, 1).otherwise(2)
     order = W.partitionBy(*frame.keys).orderBy("time", rank, "sample_index_before", "sample_index_after")
     out = rows.withColumn("event", (F.row_number().over(order) - 1).cast("int"))
@@ -67,10 +96,11 @@ def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigge
     return out.select(*frame.keys, "event", "time", "edge_code", "sample_index_before", "sample_index_after")
 
 
-def intervals(frame: LaneFrame, cond: Column, include_initial: bool = False, max_segments: int | None = None) -> DataFrame:
+def intervals(frame: LaneFrame, cond: Column, include_initial: bool = False, max_segments: int | None = None, trigger: bool = False) -> DataFrame:
     """Lane keys, segment, start_time, end_time, start_index, end_index of every true stretch.
 
-    One that begins with its lane counts only with include_initial.
+    One that begins with its lane counts only with include_initial. trigger (for equality conditions): every true sample is a stretch of
+    its own too, with a column is_trigger, and stretches of one sample are told only once, as triggers.
     """
     order = frame.ordered
     df = mask(frame, cond, "_on").withColumn("_was", F.lag("_on").over(order))
@@ -80,9 +110,14 @@ def intervals(frame: LaneFrame, cond: Column, include_initial: bool = False, max
         F.min(frame.clock).alias("start_time"), F.max(frame.clock).alias("end_time"), F.min(frame.seq).alias("start_index"), F.max(frame.seq).alias("end_index"), F.bool_or("_first").alias("_first")
     )
     on = on if include_initial else on.where("NOT _first")
-    out = on.withColumn("segment", (F.row_number().over(frame.lane.orderBy("start_index")) - 1).cast("int"))
+    on = on.withColumn("is_trigger", F.lit(False))
+    if trigger:
+        t, n = F.col(frame.clock), F.col(frame.seq)
+        single = df.where("_on").select(*frame.keys, t.alias("start_time"), t.alias("end_time"), n.alias("start_index"), n.alias("end_index"), F.lit(True).alias("is_trigger"))
+        on = on.where(F.col("start_index") < F.col("end_index")).unionByName(single, allowMissingColumns=True)
+    out = on.withColumn("segment", (F.row_number().over(frame.lane.orderBy("start_index", "is_trigger")) - 1).cast("int"))
     out = out if max_segments is None else out.where(F.col("segment") < max_segments)
-    return out.select(*frame.keys, "segment", "start_time", "end_time", "start_index", "end_index")
+    return out.select(*frame.keys, "segment", "start_time", "end_time", "start_index", "end_index", *(["is_trigger"] if trigger else []))
 
 
 def pick(found: DataFrame, keys: Sequence[str], edges: str = "all", mode: str = "all", n: int = 1) -> DataFrame:
@@ -95,13 +130,27 @@ def pick(found: DataFrame, keys: Sequence[str], edges: str = "all", mode: str =
     return kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= (n if mode == "first_n" else 1)).drop("_r")
 
 
-def at_boundaries(frame: LaneFrame, cond: Column, edges: str = "all", mode: str = "all", n: int = 1, include_initial: bool = False) -> DataFrame:
-    """The chosen events with the fields at their times."""
+def at_boundaries(frame: LaneFrame, cond: Column, edges: str = "all", mode: str = "all", n: int = 1, include_initial: bool = False, on_empty: str = "empty") -> DataFrame:
+    """The chosen events with the fields at their times; on_empty="error": an error when no lane has any."""
     chosen = pick(events(frame, cond, include_initial), frame.keys, edges, mode, n)
-    return asof.at(frame, chosen, "time")
+    return _or_error(asof.at(frame, chosen, "time"), on_empty)
+
+
+def _or_error(df: DataFrame, on_empty: str) -> DataFrame:
+    if on_empty not in ("empty", "error"):
+        raise ValueError(f"unknown policy {on_empty}")
+    if on_empty == "error" and df.isEmpty():
+        raise ValueError("the condition holds nowhere")
+    return df
+
+
+def stream_segments(segments: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """Segments (of ``when``) one after another as one sequence per lane, with stream_segment_index."""
+    order = W.partitionBy(*keys).orderBy("segment", seq)
+    return segments.withColumn("_n", (F.row_number().over(order) - 1).cast("long")).withColumn(seq, F.col("_n")).drop("_n").withColumnRenamed("segment", "stream_segment_index")
 
 
-def when(frame: LaneFrame, cond: Column, layout: str = "mask", inside: bool = True, max_segments: int | None = None) -> LaneFrame | DataFrame:
+def when(frame: LaneFrame, cond: Column, layout: str = "mask", inside: bool = True, max_segments: int | None = None, on_empty: str = "empty") -> LaneFrame | DataFrame:
     """Samples where the condition holds (or, with inside=False, doesn't).
 
     mask: all samples, fields missing elsewhere; stream: only those, numbered anew with orig_index; segments: those with
@@ -111,6 +160,7 @@ def when(frame: LaneFrame, cond: Column, layout: str = "mask", inside: bool = Tr
         raise ValueError(f"unknown layout {layout}")
     cond = F.coalesce(cond, F.lit(False))
     cond = cond if inside else ~cond
+    _or_error(frame.df.where(cond), on_empty)
     if layout == "mask":
         return frame.where(cond)
     if layout == "stream":

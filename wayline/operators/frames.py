@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.frame import LaneFrame
+from wayline.functions import motion as mo
 from wayline.functions import spatial as sp
 from wayline.operators import asof
 
 
+#: Classes of motion and inertial statuses: fixed values.
+MOTIONS, INERTIAL = ("static", "galilean", "dynamic", "unknown"), ("inertial", "non_inertial", "unknown")
+
+
 @dataclass(frozen=True)
 class Step:
     """One edge of a path; inverted: walked from parent to child."""
@@ -33,6 +38,8 @@ class FrameGraph:
     parents: dict[str, str | None] = field(default_factory=dict)
     edges: dict[str, Any] = field(default_factory=dict)  # child -> its pose in the parent
     frozen: bool = False
+    motions: dict[str, str] = field(default_factory=dict)  # child -> class of its motion in the parent
+    inertial: dict[str, str] = field(default_factory=dict)  # frame -> inertial status
 
     def _open(self) -> None:
         if self.frozen:
@@ -69,8 +76,46 @@ class FrameGraph:
             self.parents.pop(k)
             self.edges.pop(k, None)
 
+    def set_motion_class(self, child: str, kind: str) -> None:
+        """How a frame moves in its parent: static, galilean (evenly), dynamic or unknown."""
+        if kind not in MOTIONS:
+            raise ValueError(f"unknown edge motion class {kind}")
+        self._open()
+        self.motions[child] = kind
+
+    def motion_class(self, child: str) -> str:
+        return self.motions.get(child, "unknown")
+
+    def set_inertial(self, name: str, status: str) -> None:
+        if status not in INERTIAL:
+            raise ValueError(f"unknown inertial status {status}")
+        self._open()
+        self.inertial[name] = status
+
+    def inertial_status(self, name: str) -> str:
+        """The frame's own status, or what follows from its parent's and the motion between them."""
+        if name in self.inertial or self.parents[name] is None:
+            return self.inertial.get(name, "unknown")
+        above, kind = self.inertial_status(self.parents[name]), self.motion_class(name)
+        if above != "inertial" or kind == "unknown":
+            return "unknown"
+        return "non_inertial" if kind == "dynamic" else "inertial"
+
+    def resolve(self, frame: LaneFrame) -> dict[str, str | None]:
+        """The frame ids of a LaneFrame, which must be in the graph."""
+        ids = frame.frame_ids()
+        if missing := [v for v in ids.values() if v is not None and v not in self.parents]:
+            raise KeyError(f"no frames {missing}")
+        return ids
+
+    def snapshot(self, seeds: list[str] | None = None, include_unreachable: bool = True) -> dict[str, dict]:
+        """What is known of every frame; with seeds, of those in their trees, and of the others only if asked for."""
+        roots = {self.ancestors(s)[-1] for s in seeds} if seeds else None
+        kept = [n for n in self.parents if roots is None or include_unreachable or self.ancestors(n)[-1] in roots]
+        return {n: {"parent": self.parents[n], "bound": n in self.edges, "motion": self.motion_class(n), "inertial": self.inertial_status(n), "reachable": roots is None or self.ancestors(n)[-1] in roots} for n in kept}
+
     def bind(self, parent: str, child: str, provider: Any, on_conflict: str = "error") -> None:
-        """The pose of child in parent: a pose Column, or a LaneFrame with a pose field."""
+        """The pose of child in parent: a pose Column, a LaneFrame with a pose field, or a function of the step that gives either."""
         if child in self.edges and on_conflict == "error":
             raise ValueError(f"{child} already has a pose")
         self.add(child, parent, reparent=on_conflict == "replace")
@@ -242,12 +287,26 @@ def express_in(graph: FrameGraph, rows: LaneFrame, vector: str, src: str, dst: s
     return rows.over(df.withColumn(vector, sp.rotate(F.col("_transform.q"), F.col(vector))).drop("_transform")).retag(expressed_in=dst)
 
 
-def couple_motion(graph: FrameGraph, rows: LaneFrame, vector: str, src: str, dst: str, motion: Callable[[Step], Column | None]) -> LaneFrame:
-    """A velocity or acceleration field of src in dst: turned, with each edge's own motion (in dst's basis) added, or taken off on inverted steps."""
-    moved = express_in(graph, rows, vector, src, dst)
-    out = F.col(vector)
+def express_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str) -> LaneFrame:
+    """A motion field (linear and angular part) with its components in the basis of dst."""
+    df = with_path(graph, rows, src, dst, "_transform")
+    return rows.over(df.withColumn(field, mo.turned(F.col("_transform.q"), F.col(field))).drop("_transform")).retag(expressed_in=dst)
+
+
+def couple_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str, motion: Callable[[Step], Column | None], pair: bool = False) -> LaneFrame:
+    """A velocity or acceleration field of src in dst: turned, with each edge's own motion (in dst's basis) added, or taken off on inverted steps.
+
+    pair: the field and the edges' motions have a linear and an angular part. Edges that are declared static move nothing and
+    are not asked; edges of unknown class must give a motion, or it is an error.
+    """
+    moved = express_motion(graph, rows, field, src, dst) if pair else express_in(graph, rows, field, src, dst)
+    add, sub = (mo.madd, mo.msub) if pair else (sp.vadd, sp.vsub)
+    out = F.col(field)
     for step in graph.path(src, dst):
+        if graph.motion_class(step.child) == "static":
+            continue
         m = motion(step)
-        if m is not None:
-            out = sp.vsub(out, m) if step.inverted else sp.vadd(out, m)
-    return moved.with_fields(**{vector: out}).retag(parent=dst)
+        if m is None:
+            raise ValueError(f"no motion of {step.child} in {step.parent}, which is not declared static")
+        out = sub(out, m) if step.inverted else add(out, m)
+    return moved.with_fields(**{field: out}).retag(parent=dst)

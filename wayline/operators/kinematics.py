@@ -1,25 +1,89 @@
-"""Derivatives, integrals and smoothing along the clock of each lane."""
+"""Derivatives, integrals and smoothing along the clock of each lane.
+
+Fields are numbers, or structs of numbers however nested (positions, velocities, pairs of linear and angular parts): then
+every number of the struct is worked on for itself and the structs are put together again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from wayline.frame import LaneFrame
 
 
+#: What a derivative, and an integral, of each kind of quantity is.
+DERIVED = {"position": "linear_velocity", "linear_velocity": "linear_acceleration", "angular_velocity": "angular_acceleration", "velocity": "acceleration"}
+INTEGRATED = {"linear_velocity": "position", "linear_acceleration": "linear_velocity", "angular_acceleration": "angular_velocity", "acceleration": "velocity"}
+
+
+def _leaves(kind: T.DataType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    if isinstance(kind, T.StructType):
+        return [p for f in kind for p in _leaves(f.dataType, (*path, f.name))]
+    return [path]
+
+
+def _rebuilt(kind: T.DataType, path: tuple[str, ...], names: dict[tuple[str, ...], str]) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*(_rebuilt(f.dataType, (*path, f.name), names).alias(f.name) for f in kind))
+    return F.col(names[path])
+
+
+def by_component(work: Callable) -> Callable:
+    """A lane operator on numbers that takes structs of numbers too, whatever their parts."""
+
+    @wraps(work)
+    def run(frame: LaneFrame, *args, **options) -> LaneFrame:
+        kinds = {c: frame.df.schema[c].dataType for c in frame.fields}
+        if not any(isinstance(k, T.StructType) for k in kinds.values()):
+            return work(frame, *args, **options)
+        names = {p: f"_part_{'_'.join(p)}" for c, k in kinds.items() for p in _leaves(k, (c,))}
+        flat = frame.df.select(*frame.keys, frame.seq, frame.clock, *(F.col(".".join(f"`{x}`" for x in p)).alias(n) for p, n in names.items()))
+        done = work(frame.over(flat, fields=tuple(names.values()), components={}), *args, **options)
+        cols = [_rebuilt(k, (c,), names).alias(c) for c, k in kinds.items()]
+        return frame.over(done.df.select(*frame.keys, frame.seq, frame.clock, *cols))
+
+    return run
+
+
+def _kind(frame: LaneFrame, table: dict[str, str], what: str) -> LaneFrame:
+    """The frame with the kind of quantity that it becomes, if it says what it is."""
+    kind = frame.attrs.get("kind")
+    if kind is None:
+        return frame
+    if kind not in table:
+        raise ValueError(f"{kind} has no {what}")
+    return frame.retag(kind=table[kind])
+
+
 def _dt(frame: LaneFrame) -> Column:
     """Clock step from the sample before; a step that isn't positive is an error."""
     step = F.col(frame.clock) - F.lag(frame.clock).over(frame.ordered)
     return F.when(step <= 0, F.raise_error(F.lit("the clock must increase")).cast("double")).otherwise(step.cast("double"))
 
 
-def differentiate(frame: LaneFrame, method: str = "finite_difference", window: int = 5, poly_order: int = 2) -> LaneFrame:
-    """Slope to the sample before; the first sample has the slope of the first pair, a lane of one sample none."""
+def differentiate(frame: LaneFrame, method: str = "finite_difference", window: int = 5, poly_order: int = 2, order: int = 1) -> LaneFrame:
+    """Slope to the sample before, ``order`` times; the first sample has the slope of the first pair, a lane of one sample none.
+
+    A frame whose attribute ``kind`` says position, velocity and so on becomes the kind of its derivative.
+    """
+    if method not in ("finite_difference", "local_polynomial") or order < 1:
+        raise ValueError(f"unknown method {method} or order {order}")
+    for _ in range(order):
+        frame = _kind(_slope(frame, method, window, poly_order), DERIVED, "derivative")
+    return frame
+
+
+@by_component
+def _slope(frame: LaneFrame, method: str, window: int, poly_order: int) -> LaneFrame:
     if method == "local_polynomial":
         return local_polynomial(frame, window, poly_order, derivative=True)
     df = frame.df.withColumn("_dt", _dt(frame))
@@ -39,7 +103,15 @@ def _running(frame: LaneFrame, steps: dict[str, Column], initial: float) -> Lane
 
 
 def integrate(frame: LaneFrame, method: str = "cumulative_trapezoid", initial: float = 0.0) -> LaneFrame:
-    """Cumulative integral by trapezoids, or by parabolas through three samples (cumulative_simpson)."""
+    """Cumulative integral by trapezoids, or by parabolas through three samples (cumulative_simpson), from the initial value on.
+
+    A frame whose attribute ``kind`` says velocity, acceleration and so on becomes the kind of its integral.
+    """
+    return _kind(_area(frame, method, initial), INTEGRATED, "integral")
+
+
+@by_component
+def _area(frame: LaneFrame, method: str, initial: float) -> LaneFrame:
     order = frame.ordered
     if method == "cumulative_trapezoid":
         frame = frame.over(frame.df.withColumn("_dt", _dt(frame)))
@@ -66,6 +138,7 @@ def integrate(frame: LaneFrame, method: str = "cumulative_trapezoid", initial: f
     return out.over(out.df.drop("_dt", "_k", "_next", "_prior"))
 
 
+@by_component
 def smooth(frame: LaneFrame, method: str = "moving_average", window: int = 5, sigma: float = 1.0, poly_order: int = 2) -> LaneFrame:
     """Centred smoothing over an odd number of samples, fewer at the ends; a missing value makes its windows missing."""
     if window < 1 or window % 2 == 0:
@@ -94,22 +167,41 @@ def smooth(frame: LaneFrame, method: str = "moving_average", window: int = 5, si
 
 
 def local_polynomial(frame: LaneFrame, window: int, poly_order: int, derivative: bool) -> LaneFrame:
-    """Value or slope at the centre of a least-squares polynomial over a centred window; lanes must fit in a task."""
-    fields, t, seq = frame.fields, frame.clock, frame.seq
-    cols = [*frame.keys, seq, t, *fields]
-    schema = T.StructType([*(frame.df.schema[c] for c in (*frame.keys, seq, t)), *(T.StructField(c, T.DoubleType()) for c in fields)])
-
-    def fit(lane: pd.DataFrame) -> pd.DataFrame:
-        lane = lane.sort_values(seq)
-        x, r = lane[t].to_numpy(float), window // 2
-        at = np.arange(len(x))[:, None] + np.arange(-r, r + 1)
-        inside = (at >= 0) & (at < len(x))
-        at = np.clip(at, 0, len(x) - 1)
-        design = np.where(inside[..., None], (x[at] - x[:, None])[..., None] ** np.arange(poly_order + 1), 0.0)
-        weights = np.linalg.pinv(np.swapaxes(design, 1, 2) @ design, rcond=1e-12) @ np.swapaxes(design, 1, 2)
-        row = weights[:, 1 if derivative else 0]
-        enough = inside.sum(axis=1) >= poly_order + 1
-        return lane.assign(**{c: np.where(enough, np.sum(np.where(inside, row * lane[c].to_numpy(float)[at], 0.0), axis=1), np.nan) for c in fields})
-
-    out = frame.df.select(*cols).groupBy(*frame.keys).applyInPandas(fit, schema)
-    return frame.over(out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fields}))
+    """Value or slope at the centre of a least-squares polynomial over a centred window of samples.
+
+    A sample's window is gathered by a window function, as an array of bounded length, and fitted in Arrow batches of samples, so no
+    lane has to fit in memory. With fewer samples than the polynomial has coefficients, or a missing value in the window, the result is missing.
+    """
+    r, fields, t = window // 2, frame.fields, frame.clock
+    around = frame.ordered.rowsBetween(-r, r)
+    numbers = F.struct(F.col(t).cast("double").alias("t"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(fields)))
+    df = frame.df.withColumn("_near", F.collect_list(numbers).over(around))
+    offsets = F.transform("_near", lambda s: s["t"] - F.col(t).cast("double"))
+    values = F.array(*(F.col(f"_near.v{i}") for i in range(len(fields))))
+    fitted = _fitted(poly_order, 1 if derivative else 0)(offsets, values)
+    df = df.withColumn("_fit", fitted)
+    return frame.over(df.withColumns({c: F.when(~F.isnan(F.get("_fit", F.lit(i))), F.get("_fit", F.lit(i))) for i, c in enumerate(fields)}).drop("_near", "_fit"))
+
+
+def _fitted(poly_order: int, which: int) -> Callable:
+    """Coefficient of the least-squares polynomial of each row's window, for each of its fields."""
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(offsets: pd.Series, values: pd.Series) -> pd.Series:
+        out, sizes = [None] * len(offsets), offsets.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            y = np.stack([np.stack([np.asarray(v, float) for v in values.iloc[i]]) for i in at])
+            if n <= poly_order:
+                fit = np.full(y.shape[:2], np.nan)
+            else:
+                x = np.stack([np.asarray(offsets.iloc[i], float) for i in at])
+                design = x[..., None] ** np.arange(poly_order + 1)
+                back = np.swapaxes(design, 1, 2)
+                row = (np.linalg.pinv(back @ design, rcond=1e-12) @ back)[:, which]
+                fit = np.einsum("rn,rfn->rf", row, y)
+            for i, f in zip(at, fit, strict=True):
+                out[i] = f.tolist()
+        return pd.Series(out)
+
+    return run

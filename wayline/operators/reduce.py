@@ -7,18 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.frame import LaneFrame
 
 REDUCERS = ("mean", "sum", "std", "var", "median", "min", "max", "count", "any", "all")
 
 
-def reducer(op: str, x: Column, skipna: bool = True, ddof: int = 0, weight: Column | None = None) -> Column:
+def reducer(op: str, x: Column, skipna: bool = True, ddof: int = 0, weight: Column | None = None, numeric: bool = False) -> Column:
     """One aggregate over a column in which missing values are NULL.
 
     Sums of nothing are 0, other reducers of nothing missing. skipna=False: any missing value makes the result missing.
-    Weights (mean and sum) count only where the value is there and must not be negative.
+    Weights (mean and sum) count only where the value is there and must not be negative. NaN counts as missing. The median is exact,
+    so all values of one key pass through one task; give keys, or use an approximate percentile, for tables as a whole.
     """
+    if numeric:
+        x = F.nullif(x.cast("double"), F.lit(float("nan")))
     if weight is not None and op not in ("mean", "sum"):
         raise ValueError(f"{op} takes no weights")
     n = F.count(x)
@@ -42,7 +46,8 @@ def reducer(op: str, x: Column, skipna: bool = True, ddof: int = 0, weight: Colu
 
 def reduce_by(df: DataFrame, keys: Sequence[str], op: str, fields: Sequence[str], **options) -> DataFrame:
     """One row per key, the fields reduced under their own names; no keys: one row in all."""
-    return df.groupBy(*keys).agg(*(reducer(op, F.col(c), **options).alias(c) for c in fields))
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.groupBy(*keys).agg(*(reducer(op, F.col(c), numeric=c in floats, **options).alias(c) for c in fields))
 
 
 def reduce_lanes(frame: LaneFrame, op: str, over: str = "sequence", **options) -> DataFrame:
@@ -110,20 +115,47 @@ class Grouped:
         over = W.partitionBy(*self.lanes).orderBy("_first") if self.lanes else W.orderBy("_first")
         return firsts.withColumn("group_rank", (F.row_number().over(over) - 1).cast("long")).drop("_first")
 
+    def _numbered(self) -> DataFrame:
+        """Rows with member, their place in their group in order of lane and sample.
+
+        Samples are numbered in their lane, and lanes get the number of the group's samples before them; so what one task sorts is
+        a lane of a group, or a row for each lane of a group, never all samples of a group.
+        """
+        by, keys = [*self.lanes, *self.names], list(dict.fromkeys([*self.lanes, *self.names, *self.frame.keys]))
+        own = F.row_number().over(W.partitionBy(*keys).orderBy(self.frame.seq))
+        counts = self.df.groupBy(*keys).agg(F.count("*").alias("_n"))
+        lanes = W.partitionBy(*by).orderBy(*self.frame.keys).rowsBetween(W.unboundedPreceding, -1)
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(lanes), F.lit(0))).drop("_n")
+        found = self.df.withColumn("_own", own).join(before, keys)
+        return found.withColumn("member", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_own", "_before")
+
     def padded(self) -> DataFrame:
         """Group keys, member (position in the group, in row order) and the fields."""
-        order = W.partitionBy(*self.lanes, *self.names).orderBy(*self.frame.keys, self.frame.seq)
-        return self.df.withColumn("member", (F.row_number().over(order) - 1).cast("long")).select(*self.lanes, *self.names, "member", *self.frame.fields)
+        return self._numbered().select(*self.lanes, *self.names, "member", *self.frame.fields)
 
     def stacked(self) -> DataFrame:
         """Samples with their group's rank and original number; sort by group_rank and member for the one sequence."""
-        order = W.partitionBy(*self.lanes, *self.names).orderBy(*self.frame.keys, self.frame.seq)
-        held = self.df.withColumn("member", (F.row_number().over(order) - 1).cast("long"))
-        return held.join(F.broadcast(self.ranks()) if not self.lanes and self.domain is not None else self.ranks(), [*self.lanes, *self.names]).select(
+        ranks = self.ranks()
+        return self._numbered().join(F.broadcast(ranks) if not self.lanes and self.domain is not None else ranks, [*self.lanes, *self.names]).select(
             *self.lanes, *self.names, "group_rank", "member", F.col(self.frame.seq).alias("sequence_index"), *self.frame.fields
         )
 
 
+def weighted(frame: LaneFrame, weights: DataFrame, name: str = "weight") -> LaneFrame:
+    """The frame with a weight for each sample from labelled weights: rows of some of its lane keys, sample number or clock, and the weight.
+
+    Labels must be there once each (rows are not multiplied), and a sample without a weight is an error.
+    """
+    on = [c for c in weights.columns if c in (*frame.keys, frame.seq, frame.clock)]
+    if not on or name not in weights.columns:
+        raise ValueError("weights need labels that the frame has")
+    once = weights.groupBy(*on).agg(F.count("*").alias("_n"), F.first(name).alias("_w"))
+    once = once.select(*on, F.when(F.col("_n") > 1, F.raise_error(F.lit("a label has several weights")).cast("double")).otherwise(F.col("_w").cast("double")).alias("_w"))
+    joined = frame.df.join(once, on, "left")
+    there = F.when(F.col("_w").isNull(), F.raise_error(F.lit("a sample has no weight")).cast("double")).otherwise(F.col("_w"))
+    return frame.over(joined.withColumn(name, there).drop("_w").select(*frame.df.columns, name))
+
+
 def group_lanes(frame: LaneFrame, attributes: DataFrame, by: str, op: str, empty: Sequence[object] | None = None, **options) -> DataFrame:
     """Fields reduced over all samples of the lanes that share an attribute (lane keys, by)."""
     joined = frame.df.join(attributes.select(*frame.keys, by), list(frame.keys))

@@ -57,9 +57,12 @@ def smooth_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kn.smooth(_hours(spark, sf_dir), "gaussian", window=3, sigma=12.0).df.select("user_id", "seq", "value"))
 
 
-@query()
+@query(f"""WITH {{e}}, {HOURS}, x AS (SELECT a.user_id, a.seq, b.value AS v, b.t - a.t AS d FROM h AS a JOIN h AS b ON a.user_id = b.user_id AND abs(b.seq - a.seq) <= 2),
+s AS (SELECT user_id, seq, count(*) AS n, sum(d) AS s1, sum(d ** 2) AS s2, sum(d ** 3) AS s3, sum(d ** 4) AS s4, sum(v) AS y0, sum(v * d) AS y1, sum(v * d ** 2) AS y2 FROM x GROUP BY user_id, seq)
+SELECT user_id, seq, CASE WHEN n >= 3 THEN round((y0 * (s2 * s4 - s3 ** 2) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)) / (n * (s2 * s4 - s3 ** 2) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 ** 2)), 3) END AS value FROM s""")
 def smooth_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(kn.smooth(_hours(spark, sf_dir), "local_polynomial", window=5, poly_order=2).df)
+    """The SQL solves the normal equations of each window."""
+    return rounded(kn.smooth(_hours(spark, sf_dir), "local_polynomial", window=5, poly_order=2).df.select("user_id", "seq", "value"), 3)
 
 
 def _poses(spark: SparkSession, sf_dir: str) -> LaneFrame:
@@ -183,13 +186,42 @@ def enu_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("user_id", "seq", "v.x", "v.y", "v.z"), 3)
 
 
-@query()
+PLACES = "g AS (SELECT user_id, seq, t, least(value, 80) AS lat, t / 20000 - 60 AS lon FROM e)"
+F1, B1 = geo.FLATTENING, geo.SEMI_MINOR
+STEP = """lateral (SELECT sin({l}) AS sl, cos({l}) AS cl) AS p{i}, lateral (SELECT sqrt((cu2 * p{i}.sl) ** 2 + (cu1 * su2 - su1 * cu2 * p{i}.cl) ** 2) AS ss, su1 * su2 + cu1 * cu2 * p{i}.cl AS cs) AS q{i},
+lateral (SELECT atan2(q{i}.ss, q{i}.cs) AS sigma, cu1 * cu2 * p{i}.sl / q{i}.ss AS sa) AS r{i}, lateral (SELECT 1 - r{i}.sa ** 2 AS c2) AS s{i}, lateral (SELECT q{i}.cs - 2 * su1 * su2 / s{i}.c2 AS cm) AS t{i}"""
+
+
+def _vincenty(rounds: int = 5) -> str:
+    """Vincenty's inverse method with a fixed number of rounds, to (40, 10)."""
+    parts, at = [], "span"
+    for i in range(rounds):
+        parts.append(STEP.format(l=at, i=i))
+        c = f"({F1!r}::DOUBLE / 16 * s{i}.c2 * (4 + {F1!r}::DOUBLE * (4 - 3 * s{i}.c2)))"
+        parts.append(f"lateral (SELECT span + (1 - {c}) * {F1!r}::DOUBLE * r{i}.sa * (r{i}.sigma + {c} * q{i}.ss * (t{i}.cm + {c} * q{i}.cs * (2 * t{i}.cm ** 2 - 1))) AS l) AS u{i}")
+        at = f"u{i}.l"
+    z = rounds - 1
+    ratio = (geo.SEMI_MAJOR**2 - B1**2) / B1**2
+    return f"""WITH {{e}}, {PLACES}, w AS (SELECT *, atan((1 - {F1!r}::DOUBLE) * tan(radians(lat))) AS u1, atan((1 - {F1!r}::DOUBLE) * tan(radians(40))) AS u2, radians(10 - lon) AS span FROM g),
+y AS (SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2 FROM w),
+d AS (SELECT user_id, seq, y.*, {at} AS l, q{z}.ss AS ss, q{z}.cs AS cs, r{z}.sigma AS sigma, t{z}.cm AS cm, s{z}.c2 * {ratio!r}::DOUBLE AS k FROM y, {', '.join(parts)}),
+n AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS big, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS small FROM d)
+SELECT user_id, seq, round({B1!r}::DOUBLE * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm ** 2 - 1) - small / 6 * cm * (4 * ss ** 2 - 3) * (4 * cm ** 2 - 3)))), 3) AS distance,
+  round((degrees(atan2(cu2 * sin(l), cu1 * su2 - su1 * cu2 * cos(l))) + 360) % 360, 3) AS initial_bearing, round((degrees(atan2(cu1 * sin(l), -su1 * cu2 + cu1 * su2 * cos(l))) + 360) % 360, 3) AS final_bearing FROM n"""
+
+
+@query(_vincenty())
 def geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _places(spark, sf_dir).select("user_id", "seq", geo.geodesic(F.col("g.lat"), F.col("g.lon"), F.lit(40.0), F.lit(10.0)).alias("d"))
     return rounded(df.select("user_id", "seq", "d.*"), 3)
 
 
-@query()
+@query(f"""WITH {{e}}, {PLACES}, n AS (SELECT *, (t + 1704067200) / 86400 - 10957.5 AS n FROM g),
+a AS (SELECT *, radians((280.460 + 0.9856474 * n) % 360) AS mean, radians((357.528 + 0.9856003 * n) % 360) AS an FROM n),
+l AS (SELECT *, mean + radians(1.915 * sin(an) + 0.020 * sin(2 * an)) AS el, radians(23.439 - 0.0000004 * n) AS tilt FROM a),
+q AS (SELECT *, asin(sin(tilt) * sin(el)) AS de, radians((280.46061837::DOUBLE + 360.98564736629::DOUBLE * n) % 360) + radians(lon) - atan2(cos(tilt) * sin(el), cos(el)) AS h, radians(lat) AS p FROM l)
+SELECT user_id, seq, round(degrees(asin(sin(p) * sin(de) + cos(p) * cos(de) * cos(h))), 4) AS altitude,
+  round((degrees(atan2(-cos(de) * sin(h), sin(de) * cos(p) - cos(de) * cos(h) * sin(p))) + 360) % 360, 4) AS azimuth FROM q""")
 def sun(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _places(spark, sf_dir).select("user_id", "seq", geo.sun_direction(F.col("t") + 1_704_067_200, F.col("g.lat"), F.col("g.lon")).alias("s"))
     return rounded(df.select("user_id", "seq", "s.*"), 4)

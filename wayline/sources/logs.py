@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.frame import LaneFrame, RoleError
+from wayline.functions import spatial as sp
 
 #: Names that a time column may have when none is given: fixed values.
 TIME_NAMES = ("time", "t", "timestamp", "stamp", "time_s")
@@ -17,47 +18,105 @@ TIME_NAMES = ("time", "t", "timestamp", "stamp", "time_s")
 
 @dataclass(frozen=True)
 class CsvOptions:
+    """How CSV logs are read.
+
+    order: what a lane's times must be as they are read (after sorting, with sort_time): nondecreasing, increasing, or any.
+    normalize: repeated times of an increasing order are left out but for their first sample, instead of being an error.
+    metadata: columns that say the same in every row of a file; they become lane attributes (``lane_metadata``) and leave the samples.
+    """
+
     time: str | None = None
     values: Sequence[str] | None = None
+    metadata: Sequence[str] = ()
     sort_time: bool = True
+    order: str = "nondecreasing"
+    normalize: bool = False
     invalid_time: str = "fail"  # or drop
     exact_integers: bool = False  # times as BIGINT
     lane: str = "trial"
 
 
-def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOptions = CsvOptions()) -> LaneFrame:
-    """Many CSV files as one LaneFrame; a file's name without its ending is its lane.
+@dataclass(frozen=True)
+class CsvExport:
+    """How CSV logs are written; float_format: such as ``%.3f`` (default: all digits)."""
 
-    The header is read once on the driver's side by Spark; empty and repeated names fail. Value columns must be numbers.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    head = spark.read.text(paths[0]).limit(1).first()
-    if head is None:
+    float_format: str | None = None
+    header: bool = True
+
+
+def _header(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Names of the columns, which the first lines of all files must agree on; each file's first line is found where the file is read."""
+    lines = spark.read.text(paths, wholetext=False).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    firsts = lines.where("at = 0").groupBy("f").agg(F.min_by("value", "n").alias("head"))
+    heads = [r["head"] for r in firsts.select(F.regexp_replace("head", "^\ufeff", "").alias("head")).distinct().limit(2).collect()]
+    if not heads:
         raise RoleError("no header")
-    names = [h.strip() for h in head[0].lstrip("﻿").split(",")]
-    if "" in names or len(set(names)) < len(names):
-        raise RoleError(f"empty or repeated names in the header {names}")
+    names = [[h.strip() for h in head.split(",")] for head in heads]
+    if len(names) > 1 and names[0] != names[1]:
+        raise RoleError(f"files have different headers, {names[0]} and {names[1]}")
+    if "" in names[0] or len(set(names[0])) < len(names[0]) or any("\x00" in n for n in names[0]):
+        raise RoleError(f"empty, repeated or broken names in the header {names[0]}")
+    return names[0]
+
+
+def _csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> tuple[DataFrame, str, list[str]]:
+    paths = [path] if isinstance(path, str) else list(path)
+    names = _header(spark, paths)
     time = options.time or next((n for n in TIME_NAMES if n in names), None)
     if time not in names:
         raise RoleError("no time column")
-    values = list(options.values or [n for n in names if n != time])
-    schema = T.StructType([T.StructField(n, T.LongType() if n == time and options.exact_integers else T.DoubleType() if n == time or n in values else T.StringType()) for n in names])
+    if missing := [n for n in (*(options.values or ()), *options.metadata) if n not in names]:
+        raise RoleError(f"no columns {missing}")
+    values = list(options.values or [n for n in names if n != time and n not in options.metadata])
+    kinds = {n: T.DoubleType() for n in values} | {time: T.LongType() if options.exact_integers else T.DoubleType()}
+    schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
     df = spark.read.csv(paths, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
     lane = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    df = df.select(lane.alias(options.lane), F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("_row"))
-    bad = F.col("time").isNull() if options.exact_integers else F.col("time").isNull() | F.isnan("time")
-    df = df.where(~bad) if options.invalid_time == "drop" else df.withColumn("time", F.when(bad, F.raise_error(F.lit("a time is missing")).cast(schema[time].dataType)).otherwise(F.col("time")))
-    names_ = {v: v.replace(".", "_") for v in values}
-    df = df.withColumnsRenamed({**names_, "_row": "seq"})
-    out = LaneFrame.of(df, [options.lane], "time", list(names_.values()))
-    return out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"]))
+    return df.withColumn(options.lane, lane), time, values
 
 
-def write_csv_logs(frame: LaneFrame, path: str) -> None:
+def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOptions = CsvOptions()) -> LaneFrame:
+    """Many CSV files as one LaneFrame; a file's name without its ending is its lane.
+
+    All files must have the same header; empty, repeated and broken names fail. Value columns must be numbers.
+    """
+    if options.order not in ("nondecreasing", "increasing", "any"):
+        raise ValueError(f"unknown order {options.order}")
+    df, time, values = _csv(spark, path, options)
+    kind = df.schema[time].dataType
+    df = df.select(options.lane, F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("_row"))
+    bad = F.col("time").isNull() if options.exact_integers else F.col("time").isNull() | F.isnan("time")
+    df = df.where(~bad) if options.invalid_time == "drop" else df.withColumn("time", F.when(bad, F.raise_error(F.lit("a time is missing")).cast(kind)).otherwise(F.col("time")))
+    names = {v: v.replace(".", "_") for v in values}
+    out = LaneFrame.of(df.withColumnsRenamed({**names, "_row": "seq"}), [options.lane], "time", list(names.values()))
+    out = out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"]))
+    if options.order == "any":
+        return out
+    before = F.lag("time").over(out.ordered)
+    if options.order == "increasing" and options.normalize:
+        out = out.over(out.df.withColumn("_again", F.coalesce(before == F.col("time"), F.lit(False))).where("NOT _again").drop("_again")).renumbered()
+        before = F.lag("time").over(out.ordered)
+    fault = F.coalesce(before > F.col("time") if options.order == "nondecreasing" else before >= F.col("time"), F.lit(False))
+    checked = F.when(fault, F.raise_error(F.lit(f"times are not {options.order}")).cast("boolean")).otherwise(F.lit(True))
+    return out.over(out.df.withColumn("_good", checked).where("_good").drop("_good"))
+
+
+def lane_metadata(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> DataFrame:
+    """Lane and its metadata columns, one row for each file; a file that says several things in one is an error."""
+    df, _, _ = _csv(spark, path, options)
+    one = [F.when(F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")), F.min(f"`{c}`")).otherwise(F.raise_error(F.lit(f"{c} changes inside a file")).cast("string")).alias(c.replace(".", "_")) for c in options.metadata]
+    return df.groupBy(options.lane).agg(*one) if one else df.select(options.lane).distinct()
+
+
+def write_csv_logs(frame: LaneFrame, path: str, options: CsvExport = CsvExport()) -> None:
     """One folder per lane with its samples in order, in one file each: lanes are not split between tasks."""
     keys = [F.col(k) for k in frame.keys]
     df = frame.df.repartition(*keys).sortWithinPartitions(*frame.keys, frame.seq)
-    df.select(*frame.keys, *([frame.clock] if frame.clock else []), *frame.fields).write.partitionBy(*frame.keys).option("header", True).csv(path)
+    df = df.select(*frame.keys, *([frame.clock] if frame.clock else []), *frame.fields)
+    if options.float_format:
+        floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in frame.keys]
+        df = df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(options.float_format, F.col(c))) for c in floats})
+    df.write.partitionBy(*frame.keys).option("header", options.header).csv(path)
 
 
 def save(frame: LaneFrame, path: str, replace: bool = False) -> None:
@@ -90,3 +149,37 @@ def poses_from_messages(messages: DataFrame, lane: str = "trial") -> LaneFrame:
     stamp = F.col("header.stamp.sec").cast("long") * 1_000_000_000 + F.col("header.stamp.nanosec").cast("long")
     df = messages.select(lane, stamp.alias("time"), F.struct(p.alias("p"), q.alias("q")).alias("pose"))
     return LaneFrame.of(df, [lane], "time", ["pose"])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Roles to be given to many tables: which columns are lane keys, sample number, clock and fields."""
+
+    keys: Sequence[str]
+    clock: str | None
+    fields: Sequence[str] | None = None
+    seq: str = "seq"
+    size: str | None = None
+    order: Sequence[str] = ()
+
+    def frame(self, df: DataFrame) -> LaneFrame:
+        """df in these roles; without named fields all other numbers are fields."""
+        taken = {*self.keys, self.clock, self.seq, self.size, *self.order}
+        fields = self.fields or [f.name for f in df.schema if f.name not in taken and isinstance(f.dataType, T.NumericType)]
+        return LaneFrame.of(df, self.keys, self.clock, fields, self.order, self.seq, self.size)
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """A position, a rotation, or with both a pose, from columns named by patterns such as ``drone.position.{x,y,z}``."""
+
+    position: str | None = None
+    rotation: str | None = None
+
+    def build(self, frame: LaneFrame, output: str, prefix: str = "", **ids: str | None) -> LaneFrame:
+        """The frame with the field added; ids: frame ids (parent, child, expressed_in)."""
+        if not self.position and not self.rotation:
+            raise ValueError("a recipe names a position or a rotation")
+        parts = [sp.vector_of(frame.df, prefix + p) if p else None for p in (self.position, self.rotation)]
+        field = sp.pose(*parts) if all(p is not None for p in parts) else next(p for p in parts if p is not None)
+        return frame.with_fields(**{output: field}).retag(**ids)
