@@ -39,11 +39,11 @@ from wayline.llm.common import bucketed, buckets, free, others, shared_dir
 #: Words, and bytes of text, of a block; a single larger text is a block of its own.
 BLOCK_WORDS, BLOCK_BYTES = 2 << 20, 16 << 20
 #: Bytes of pieces, with their ids, that an encoder remembers; it starts afresh beyond.
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 16 << 20
 #: Longest piece that it remembers.
 REMEMBERED_PIECE = 64
 #: Bytes of words and ids that a task holds before it sends them back to their blocks.
-GATHERED_BYTES = 96 << 20
+GATHERED_BYTES = 32 << 20
 #: Below this character normalisation changes nothing but case, letter by letter; fixed value.
 PLAIN = "ɐ"
 #: How the tokenizer splits words: fixed value.
@@ -190,7 +190,7 @@ GATHERED = ("block", "codes", "sizes", "ids", "said")
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
-    """(block, code, ids) of rows sorted by word: a word is encoded when it first comes."""
+    """(block, code, ids, seq) of rows sorted by word: a word is encoded when it first comes; seq: its ids as an array."""
     encode, last, ids = encoder(path), None, b""
     for batch in batches:
         out = []
@@ -199,17 +199,20 @@ def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = Word
             if word != last:
                 last, ids = word, encode(word)
             out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary())], names=["block", "code", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary()), _listed(out)], names=["block", "code", "ids", "seq"])
+
+
+def _listed(held: list[bytes]) -> pa.ListArray:
+    """Ids as arrays; a last part of under four bytes is no id."""
+    sizes = np.array([len(x) // 4 for x in held], np.int64)
+    flat = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(held, sizes.tolist(), strict=True)), "<i4")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
 
 
 def _as_lists(batches: Iterator[pa.RecordBatch], ids: str, seq: str) -> Iterator[pa.RecordBatch]:
-    """The rows with the ids as an array too; a last part of under four bytes is no id."""
+    """The rows with the ids as an array too."""
     for b in batches:
-        held = [(x.as_py() or b"") for x in b.column(ids)]
-        sizes = np.array([len(x) // 4 for x in held], np.int64)
-        flat = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(held, sizes.tolist(), strict=True)), "<i4")
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, seq])
+        yield pa.RecordBatch.from_arrays([*b.columns, _listed([x.as_py() or b"" for x in b.column(ids)])], names=[*b.schema.names, seq])
 
 
 def _spoken(batches: Iterator[pa.RecordBatch], passed: list[str], output: str) -> Iterator[pa.RecordBatch]:
@@ -252,26 +255,37 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "piece": [p for _, p in pieces]}))
 
 
-def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
-    """df with the text of its ids (little-endian 32-bit integers): each id is joined to its piece, position by position.
+def _joined(listed: DataFrame, seq: str, passed: list[str], path: str) -> DataFrame:
+    """Rows (passed columns, in the first row of each sequence, as p0, p1 ...; pos, piece): each id of an array joined to its piece.
 
-    Exploding and the broadcast join keep the order of rows, so sequences are put together without a shuffle.
+    Exploding and the broadcast join keep the order of rows, so sequences are put together behind it without a shuffle.
     """
-    passed = others(df.columns, [output])
-    seq, pos, piece_id = free(df.columns, "seq", "pos", "piece_id")
-    listed = df.select(*passed).mapInArrow(partial(_as_lists, ids=ids, seq=seq), T.StructType([*(df.schema[c] for c in passed), T.StructField(seq, T.ArrayType(T.IntegerType()))]))
+    pos, piece_id = free(passed, "pos", "piece_id")
     exploded = listed.select(*passed, F.posexplode_outer(seq).alias(pos, piece_id))
-    table = F.broadcast(piece_table(df.sparkSession, path).select(F.col("id").alias("v_id"), F.col("piece").alias("v_piece")))
-    # the passed columns go along in the first row only
+    table = F.broadcast(piece_table(listed.sparkSession, path).select(F.col("id").alias("v_id"), F.col("piece").alias("v_piece")))
     first = F.coalesce(F.col(pos), F.lit(0)) == 0
     kept = [F.when(first, F.col(c)).alias(f"p{i}") for i, c in enumerate(passed)]
-    joined = exploded.join(table, F.col(piece_id) == F.col("v_id"), "left").select(*kept, F.col(pos).alias("pos"), F.col("v_piece").alias("piece"))
+    exploded = exploded.select(*kept, F.col(pos).alias("pos"), F.col(piece_id).alias("piece_id"))
+    return exploded.join(table, F.col("piece_id") == F.col("v_id"), "left").select(*(f"p{i}" for i in range(len(passed))), "pos", F.col("v_piece").alias("piece"))
+
+
+def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
+    """df with the text of its ids (little-endian 32-bit integers): each id is joined to its piece, position by position."""
+    passed = others(df.columns, [output])
+    (seq,) = free(df.columns, "seq")
+    listed = df.select(*passed).mapInArrow(partial(_as_lists, ids=ids, seq=seq), T.StructType([*(df.schema[c] for c in passed), T.StructField(seq, T.ArrayType(T.IntegerType()))]))
     names = [f"p{i}" for i in range(len(passed))]
     schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for n, c in zip(names, passed, strict=True)), T.StructField(output, T.StringType())])
-    said = joined.mapInArrow(partial(_spoken, passed=names, output=output), schema)
+    said = _joined(listed, seq, passed, path).mapInArrow(partial(_spoken, passed=names, output=output), schema)
     return said.select(*(F.col(n).alias(c) for n, c in zip(names, passed, strict=True)), output)
 
 
+def _said_and_gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One Python worker for both steps."""
+    said = _spoken(batches, ["p0", "p1", "p2"], "said")
+    return _gathered((b.rename_columns(["block", "code", "ids", "said"]) for b in said), True)
+
+
 def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool) -> pa.Table:
     """Documents of a block with the ids (and texts) of their words in order of position."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -309,10 +323,13 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bo
     parts = buckets(spark)
     entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=parts), "part int, block long, words binary, codes binary")
     entries = entries.repartitionById(parts, F.col("part")).mapInArrow(_unparted, "word binary, block long, code int")
-    entries = entries.sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary")
+    entries = entries.sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary, seq array<int>")
+    packed = "block long, codes binary, sizes binary, ids binary, said binary"
     if decoded:
-        entries = with_pieces(entries, "ids", path, "said")
-    entries = entries.mapInArrow(partial(_gathered, said=decoded), "block long, codes binary, sizes binary, ids binary, said binary").withColumnRenamed("block", block)
+        entries = _joined(entries, "seq", ["block", "code", "ids"], path).mapInArrow(_said_and_gathered, packed)
+    else:
+        entries = entries.mapInArrow(partial(_gathered, said=False), packed)
+    entries = entries.withColumnRenamed("block", block)
     place = partial(_placed, passed=passed, codes=codes, decoded=decoded)
     left = rows.select(block, *passed, codes)
     return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(lambda a, b: place(a, b), T.StructType([*fields, *added]))
