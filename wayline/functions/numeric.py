@@ -98,7 +98,7 @@ def fmin(a: Column, b: Column) -> Column:
 
 def signbit(x: Column) -> Column:
     """Whether the sign is minus, of zeros and infinities too."""
-    return F.atan2(x.cast("double"), F.lit(-1.0)) < 0
+    return x.cast("double").cast("string").startswith("-")
 
 
 def copysign(a: Column, b: Column) -> Column:
