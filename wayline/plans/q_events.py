@@ -105,7 +105,7 @@ def when_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AROUND = f"""{_events(False)},
-c AS (SELECT user_id, event, time FROM x WHERE edge_code = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event) <= 3),
+c AS (SELECT user_id, event, time FROM x WHERE edge_code = 1),
 g AS (SELECT user_id, event, time, i AS tau_index, (i - 2) * 3600::DOUBLE AS tau, time + (i - 2) * 3600::DOUBLE AS q FROM c, range(5) AS r(i)),
 f AS (
   SELECT g.user_id, g.event, g.tau_index, g.tau, g.time,
@@ -115,11 +115,8 @@ f AS (
 )"""
 
 
-AROUND_ALL = AROUND.replace(" QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event) <= 3", "")
-
-
 def _anchors(f):
-    return ev.pick(ev.events(f, high()), f.keys, "enter", "first_n", 3)
+    return ev.pick(ev.events(f, high()), f.keys, "enter")
 
 
 @query(f"WITH {{e}}, {AROUND} SELECT user_id, event, tau, round(time, 6) AS event_time, round(value, 6) AS value FROM f")
@@ -136,20 +133,27 @@ def around_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("user_id", "seq", "window_event_index", "window_tau", "value"))
 
 
-@query(f"WITH {{e}}, {AROUND_ALL} SELECT user_id, event, tau, round(time, 6) AS event_time, round(value, 6) AS value FROM f")
+@query(f"WITH {{e}}, {AROUND} SELECT user_id, event, tau, round(time, 6) AS event_time, round(value, 6) AS value FROM f")
 def around_segments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lanes(spark, sf_dir)
-    out = ev.around(f, ev.pick(ev.events(f, high()), f.keys, "enter"), ev.tau_grid(7200.0, 7200.0, 3600.0))
+    out = ev.around(f, _anchors(f), ev.tau_grid(7200.0, 7200.0, 3600.0))
     return rounded(out.select("user_id", "event", "tau", "event_time", "value"))
 
 
-@query(f"WITH {{e}}, {AROUND_ALL} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event, tau_index) - 1 AS seq, event AS window_event_index, tau AS window_tau, round(value, 6) AS value FROM f")
+@query(f"WITH {{e}}, {AROUND} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event, tau_index) - 1 AS seq, event AS window_event_index, tau AS window_tau, round(value, 6) AS value FROM f")
 def around_stacked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lanes(spark, sf_dir)
-    out = ev.around(f, ev.pick(ev.events(f, high()), f.keys, "enter"), ev.tau_grid(7200.0, 7200.0, 3600.0), "stacked")
+    out = ev.around(f, _anchors(f), ev.tau_grid(7200.0, 7200.0, 3600.0), "stacked")
     return rounded(out.select("user_id", "seq", "window_event_index", "window_tau", "value"))
 
 
+@query(f"""WITH {{e}}, {_events(False)} SELECT x.user_id, event, round(time, 6) AS time, edge_code, sample_index_before, sample_index_after, e.value
+FROM x JOIN e ON x.user_id = e.user_id AND x.time = e.t WHERE edge_code = 1 QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY event) <= 3""")
+def at_boundaries_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three enter events of each lane, which is what this mode is for."""
+    return rounded(ev.at_boundaries(lanes(spark, sf_dir), high(), edges="enter", mode="first_n", n=3))
+
+
 @query("""WITH {e}, g AS (SELECT user_id, max(t) / 2 AS q FROM e GROUP BY user_id),
 n AS (SELECT g.user_id, g.q, e.value, row_number() OVER (PARTITION BY g.user_id ORDER BY abs(e.t - g.q), e.t) AS r FROM g JOIN e USING (user_id))
 SELECT user_id, round(q, 6) AS q, value FROM n WHERE r = 1""")
