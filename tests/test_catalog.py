@@ -47,7 +47,7 @@ def test_query_has_the_rows_of_its_sql(spark, duck, name):
     assert all(close(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
-@pytest.mark.parametrize("name", ["around_segments_all", "around_stacked_all"])
+@pytest.mark.parametrize("name", ["around_segments", "around_stacked", "around_segments_all", "around_stacked_all"])
 def test_windows_are_made_round_every_enter_event(spark, name):
     entered = catalog.QUERIES["events_edges"](spark, SF).where("edge_code = 1")
     most = entered.groupBy("user_id").count().agg({"count": "max"}).first()[0]
