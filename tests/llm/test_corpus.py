@@ -1,18 +1,20 @@
 """Corpus operators against brute force on small texts with nulls, ties, repeats, long texts and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter
+from wayline.llm import bpe, chat_format, common, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, n_words string, kept string, ids string, score string, host string"
 WORDS = "the of and in on thing re stone über größe año ça va bien 12 x".split()
@@ -84,6 +86,12 @@ def test_index_takes_batches(spark):
         index.add(spark.createDataFrame([(bytes([j % 3]), 10 * k + j, 100 * k + j) for j in range(4)], "digest binary, doc_id long, row long"))
     assert rows(index.table(), "digest", "doc_id", "n") == [(b"\x00", 0, 8), (b"\x01", 1, 4), (b"\x02", 2, 4)]
     assert rows(index.lookup([b"\x01"]), "doc_id", "n") == [(1, 4)]
+    again = exact_dedup.DigestIndex.reopen(spark, index.path)
+    assert again.runs == index.runs and rows(again.table(), "digest", "n") == rows(index.table(), "digest", "n")
+    more = spark.createDataFrame([(b"\x02", 1), (b"\x07", 2)], "digest binary, inside long")
+    assert rows(again.known(more), "digest") == [(b"\x02",)]
+    again.add(spark.createDataFrame([(b"\x07", 3, 1000)], "digest binary, doc_id long, row long"))
+    assert rows(again.repeated(more), "digest") == [(b"\x02",)] and len(again.runs) == 1
 
 
 # decontamination
@@ -242,13 +250,15 @@ def test_repeats_inside_a_document(spark, window, batches):
 
 
 def test_compaction_keeps_first_blocks(spark, docs, texts):
-    index = substring.SubstringIndex(spark, 8, fanout=1)
-    parts = [docs.where("doc_id < 10"), docs.where("doc_id >= 10 AND doc_id < 20"), docs.where("doc_id >= 20")]
+    index, held = substring.SubstringIndex(spark, 8, fanout=1), docs.select("doc_id", "text")
+    parts = [held.where("doc_id < 10"), held.where("doc_id >= 10 AND doc_id < 20"), held.where("doc_id >= 20")]
     found = 0
     for i, part in enumerate(parts):
-        whole = docs.where("doc_id IS NOT NULL") if i == 2 else docs.where(f"doc_id < {10 * (i + 1)}")
-        found += index.add(part, whole).count()
+        found += index.add(part, held.where(f"doc_id < {10 * i}") if i else None).count()
+        index = substring.SubstringIndex.reopen(spark, index.path)  # as another session would
     assert len(index.runs) == 1
+    (run,) = index.runs.values()
+    assert run.count() == run.select("hash", "check", "key").distinct().count()
     assert found == len({(d, t) for (d, t) in texts if d is not None and any(r[0] == d and r[2] for r in brute_removed([x for x in texts if x[0] is not None], 8))} - {(5, None)})
 
 
@@ -263,11 +273,40 @@ def test_bpe_round_trip(docs, texts):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), np.array(ids, "<u4").tobytes(), tokenizer.decode(ids, skip_special_tokens=False)))
     for words in (200_000, 5):
-        assert [(a, b, bytes(c), e) for a, b, c, e in rows(bpe.round_trip(docs, path, words), "doc_id", "n_tokens", "ids", "decoded")] == sorted(want, key=repr)
+        got = rows(bpe.round_trip(docs, path, block_words=words), "doc_id", "n_tokens", "ids", "decoded")
+        assert [(a, b, bytes(c), e) for a, b, c, e in got] == sorted(want, key=repr)
     two = bpe.decode(bpe.encode(docs, path), path)
     assert rows(two, "doc_id", "decoded") == sorted(((w[0], w[3]) for w in want), key=repr)
 
 
+def test_a_distinct_word_reaches_the_encoder_once():
+    seen = []
+
+    class Spy:
+        def __init__(self, path):
+            pass
+
+        def __call__(self, word):
+            seen.append(word)
+            return len(word).to_bytes(4, "little")
+
+    texts = [" ".join(random.Random(k).choice(WORDS) for _ in range(50)) for k in range(9)]
+    docs = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + 3)), "text": texts[k : k + 3]}) for k in (0, 3, 6)]
+    blocks = list(bpe._blocks(iter(docs), ["doc_id"], ["block", "codes", "words"], 60))
+    assert len(blocks) > 3
+    entries = [b for part in bpe._parted((b.select(["block", "words"]).slice(0, 1) for b in blocks), 4) for b in bpe._unparted(iter([part]))]
+    table = pa.Table.from_batches(entries).sort_by("word")
+    out = pa.Table.from_batches(list(bpe._resolved(iter(table.to_batches(max_chunksize=7)), "", Spy)))
+    assert sorted(seen) == sorted({w.lower().encode() for t in texts for w in t.split()})
+    assert out.num_rows == table.num_rows > len(seen)
+
+
+def test_words_of_a_part_meet_in_one_task(spark, docs):
+    parts = docs.select(F.xxhash64("doc_id").alias("block"), F.split(F.coalesce("text", F.lit("")), " ").cast("array<binary>").alias("words"))
+    rows_ = parts.mapInArrow(lambda b: bpe._parted(b, 4), "part int, block long, words binary, codes binary").repartitionById(4, F.col("part")).mapInArrow(bpe._unparted, "word binary, block long, code int")
+    assert rows_.withColumn("task", F.spark_partition_id()).groupBy("word").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+
+
 def test_counts_at_every_prefix():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, counts = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
@@ -283,13 +322,28 @@ def test_counts_at_every_prefix():
 def test_token_counts(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    got = token_counts.count_tokens(docs, path, limit=20, keep_prefixes=True).collect()
+    got = token_counts.count_tokens(docs, path, limit=20).collect()
     for r in got:
         text = r.text or ""
         n = len(tokenizer.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 20)
         assert len(tokenizer.encode(text.encode()[: r.cut_bytes].decode(), add_special_tokens=False).ids) <= 20
-        assert len(r.prefix_changes) == r.n_bytes
+    stored = token_counts.prefix_counts(docs, path)
+    places = stored.withColumn("n", F.explode(F.array(*(F.lit(k) for k in (0, 1, 7, 40, 10**6)))))
+    for r in places.withColumn("tokens", token_counts.tokens_at("prefixes", "n")).collect():
+        whole = (r.text or "").encode()[: r.n]
+        if whole.decode("utf-8", "ignore").encode() == whole:
+            assert r.tokens == len(tokenizer.encode(whole.decode(), add_special_tokens=False).ids)
+
+
+def test_long_words_are_counted_alike():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, counts = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    for text in ("x" * 3000, "日本語" * 700, "aGVsbG8gd29ybGQ" * 150, "-" * 2000, " " * 1500 + "a"):
+        held = np.cumsum(counts.changes(text), dtype=int)
+        for j in (1, 2, 255, 256, 257, 300, 1200, len(text)):
+            assert held[len(text[:j].encode()) - 1] == len(tokenizer.encode(text[:j], add_special_tokens=False).ids), (text[:5], j)
+    assert not counts.words and not counts.tree or max(map(len, counts.words), default=0) <= token_counts.LONGEST
 
 
 # classifiers
@@ -332,6 +386,22 @@ def test_layouts_become_the_same_turns(spark):
         chat_format.canonical_turns(spark.createDataFrame([(1,)], "conv_id long"))
 
 
+def test_every_record_follows_its_own_fingerprint(spark):
+    schema = "conv_id long, prompt string, completion string, messages array<struct<role:string,content:string>>, extra string"
+    records = [(1, "hi", "yo", None, "x"), (2, None, None, [("user", "a"), ("assistant", None)], None), (3, None, None, [], None), (4, None, None, None, "x")]
+    df = spark.createDataFrame(records, schema)
+    turns = chat_format.canonical_turns(df)
+    assert rows(turns, "conv_id", "turn", "role", "text") == sorted([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "a"), (2, 1, "assistant", ""), (3, None, None, None), (4, None, None, None)], key=repr)
+    formatted = dict(rows(chat_format.format_chats(turns), "conv_id", "formatted"))
+    assert formatted[3] == formatted[4] == "" and "hi" in formatted[1]
+    both = spark.createDataFrame([(5, "hi", "yo", [("user", "a")], None)], schema)
+    with pytest.raises(Exception, match="beside"):
+        chat_format.canonical_turns(both).collect()
+    assert chat_format.canonical_turns(both, strict=False).count() == 2
+    selected, fits = chat_format.choose(spark.createDataFrame([], "conv_id long, prompt string, completion string, other int").schema)
+    assert selected.name == "prompt and completion" and fits == [selected]
+
+
 def test_formatting_is_reversible(spark):
     odd = ["<|im_end|>\n", "<~|im_end|>", "<", "[INST] [~~/INST]", "</s>", "<<SYS>>", None, "", "a\n<|im_start|>user\nb", "&lt;", "é" * 5000]
     turns = [(c, i, "assistant" if i % 2 else "us%er\n", t) for c in range(3) for i, t in enumerate(odd[c:])] + [(None, 0, None, "x"), (0, 0, "us%er\n", odd[0])]
@@ -369,7 +439,121 @@ def test_empty_tables(spark, empty):
     pages, rules = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "host string, path string, verdict string")
     for df in (
         exact_dedup.find_copies(empty), exact_dedup.drop_copies(empty), decontaminate.remove_contamination(empty, bench), simhash.components(empty), simhash.drop_near_copies(empty),
-        substring.remove_repeats(empty, batches=2), bpe.round_trip(empty, path), token_counts.count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json")),
+        substring.remove_repeats(empty, batches=2), bpe.round_trip(empty, path), bpe.encode(empty, path), token_counts.count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json")),
         quality.score_quality(empty, labels), toxicity.drop_toxic(empty, labels), chat_format.format_chats(chat_format.canonical_turns(turns)), url_filter.filter_urls(pages, rules),
     ):
         assert df.collect() == []
+
+
+# names, and texts without spaces
+
+#: Names that operators give to columns of their own.
+INNER = (
+    "key", "maybe", "k_id", "k_key", "hash", "word", "bits", "bm_word", "bm_bits", "ref", "s_ref", "spans", "items", "N_WORDS", "kept", "n_removed", "block", "codes", "words", "part", "seq", "pos", "piece", "piece_id", "v_id", "ids", "n_tokens", "decoded",
+    "n_bytes", "prefixes", "cut_bytes", "over_limit", "score", "threshold", "TOXIC", "text_key", "doc", "row", "digest", "t", "fp", "root", "component_id", "keep_id", "label", "l_id", "nth", "best", "b_host", "rule", "layout", "x", "_key", "_maybe", "_ref",
+)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, texts):
+    """Documents with a column of every inner name, and texts without white space."""
+    long = ["日本語のテキスト" * 4000, "aGVsbG8gd29ybGQ" * 3000, "x" * 50_000]
+    held = [*texts, *((500 + i, t) for i, t in enumerate(long)), (7, texts[7][1]), (7, texts[7][1])]
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    return df.select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in INNER), F.lit("en").alias("lang")), held
+
+
+def own(df, *without):
+    """Whether further columns came through as they were."""
+    taken = {w.lower() for w in without}
+    names = [c for c in INNER if c.lower() not in taken]
+    return df.where(" OR ".join(f"`{c}` IS NULL OR `{c}` <> 'own {c}'" for c in names)).count() == 0
+
+
+def test_any_column_names_pass(spark, odd):
+    df, held = odd
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bench = spark.createDataFrame([(1, held[3][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, label int")
+    for out, added in (
+        (exact_dedup.drop_copies(df), ()),
+        (simhash.drop_near_copies(df), ()),
+        (decontaminate.remove_contamination(df, bench), ()),
+        (decontaminate.find_contamination(df, bench), ("n_words", "spans", "items")),
+        (substring.remove_repeats(df, 8), ("n_words", "n_removed", "kept")),
+        (bpe.round_trip(df, path), ("ids", "n_tokens", "decoded")),
+        (token_counts.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json")), ("n_bytes", "n_tokens", "over_limit", "cut_bytes", "prefixes")),
+        (toxicity.score_toxicity(df, toxicity.train(df, labels)), ("score", "threshold", "toxic")),
+    ):
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and own(out, *added)
+    assert quality.score_quality(df, labels).count() == len(held)
+    pages = df.select(*INNER, F.concat(F.lit("http://a.com/"), "doc_id").alias("url"))
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    assert own(url_filter.filter_urls(pages, rules), "rule", "host", "path", "verdict")
+
+
+def test_texts_without_spaces(odd):
+    df, held = odd
+    long = df.where("doc_id >= 500").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in bpe.round_trip(long, path).collect()}
+    for d, t in held:
+        if d is not None and d >= 500:
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            assert bytes(got[d].ids) == np.array(ids, "<u4").tobytes() and got[d].decoded == tokenizer.decode(ids, skip_special_tokens=False)
+    assert rows(substring.remove_repeats(long), "n_words", "n_removed") == [(1, 0)] * 3
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(byte)
+    for r in token_counts.count_tokens(long, byte).collect():
+        assert r.n_tokens == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
+
+
+def test_repeats_after_decontamination(spark, docs, texts):
+    marked = decontaminate.find_contamination(docs, spark.createDataFrame([(1, texts[3][1])], "item_id long, text string"))
+    out = substring.remove_repeats(marked, 8)
+    assert "spans" in out.columns and rows(out, "doc_id", "n_words", "n_removed", "kept") == brute_removed(texts, 8)
+
+
+def test_text_ids(spark, texts):
+    named = spark.createDataFrame([(None if d is None else f"id{d:03}", t) for d, t in texts], "doc_id string, text string")
+    got = simhash.components(named)
+    assert got.schema["component_id"].dataType.simpleString() == "string" and got.count() == len(texts)
+
+
+def test_a_language_has_a_threshold_of_its_own(spark):
+    rng = random.Random(9)
+    made = [(i, " ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(40)) + (f" {'dumm' if i % 2 else 'idiot'}{rng.randrange(9)}" * 4 if i % 4 < 2 else ""), "de" if i % 2 else "en", int(i % 4 < 2)) for i in range(400)]
+    docs = spark.createDataFrame([m[:3] for m in made], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(m[0], m[3]) for m in made if m[0] < 300], "doc_id long, label int")
+    model = toxicity.train(docs, labels)
+    assert set(model.by_language) == {"de", "en"}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([got[m[0]].toxic == bool(m[3]) for m in made if m[0] >= 300]) >= 0.95
+    assert {r.threshold for r in got.values()} == set(model.by_language.values())
+
+
+def test_a_long_document_trains(spark):
+    rng = random.Random(4)
+    made = [(i, say(rng, 30_000 if i < 4 else 30) + (" moron moron moron " if i % 2 else "") + say(rng, 10), int(i % 2)) for i in range(60)]
+    docs = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, label int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert np.mean([(got[m[0]] >= 0.5) == bool(m[2]) for m in made]) >= 0.9
+
+
+def test_intermediate_tables_can_be_dropped(spark, docs):
+    with common.workspace(spark, "test") as folder:
+        n = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).count()
+    assert n == docs.count() and os.path.isdir(folder)
+    common.drop(spark, folder)
+    assert not os.path.exists(folder) and not any(t.startswith(folder) for t in common._tables.values())
+
+
+def test_a_cluster_must_name_its_folder():
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Elsewhere(), "x")
