@@ -77,24 +77,36 @@ def buckets(spark: SparkSession) -> int:
     return min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucketed(df: DataFrame, key: str, path: str, n: int, sort: bool = False, **options: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, path: str, n: int, **options: str) -> DataFrame:
     """The rows of df from a new table at path with n buckets by key: joins and groups on the key shuffle only other sides."""
-    writer = df.write.bucketBy(n, key)
-    (writer.sortBy(key) if sort else writer).options(path=path, **options).format("parquet").saveAsTable(name := _table_name(path))
+    df.write.bucketBy(n, key).options(path=path, **options).format("parquet").saveAsTable(name := _table_name(path))
     return df.sparkSession.table(name)
 
 
+def append_run(df: DataFrame, run: int, key: str, path: str, n: int, table: str | None) -> str:
+    """df as one more partition of a table of runs at path, in n buckets by key, sorted in them; the table's name.
+
+    All runs are one table, so that a single scan reads a bucket of all of them together (a union of bucketed tables is not to be
+    relied on: Spark 4.1.2 takes it for partitioned by the key and then does not bring the tables' buckets together).
+    """
+    table = table or _table_name(path)
+    writer = df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").bucketBy(n, key).sortBy(key)
+    writer.option("path", path).format("parquet").saveAsTable(table)
+    return table
+
+
 def _table_name(path: str) -> str:
     name = f"wayline_{uuid.uuid4().hex}"
     _tables[name] = path
     return name
 
 
-def reopened(spark: SparkSession, key: str, path: str, n: int, schema: str) -> DataFrame:
-    """A table that ``bucketed`` wrote, perhaps in another session."""
+def reopened(spark: SparkSession, key: str, path: str, n: int, schema: str) -> str:
+    """The name of a table of runs that ``append_run`` wrote, perhaps in another session."""
     name = _table_name(path)
-    spark.sql(f"CREATE TABLE `{name}` ({schema}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
+    spark.sql(f"CREATE TABLE `{name}` ({schema}, run int) USING parquet PARTITIONED BY (run) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return name
 
 
 def save_manifest(spark: SparkSession, path: str, version: int, content: dict) -> None:
@@ -126,6 +138,14 @@ def free(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names (in any case) renamed, and their names by the new ones, for ``withColumnsRenamed`` back."""
+    taken = {n.casefold() for n in names}
+    clash = [c for c in df.columns if c.casefold() in taken]
+    renamed = free([*df.columns, *names], *(f"own_{c}" for c in clash))
+    return df.withColumnsRenamed(dict(zip(clash, renamed, strict=True))), dict(zip(renamed, clash, strict=True))
+
+
 @dataclass(frozen=True)
 class Bitmap:
     """Bits of 64-bit hashes as rows (bm_word, bm_bits), at most MOST_WORDS of them whatever the input's size.

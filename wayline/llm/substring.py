@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import bucketed, buckets, drop, free, load_manifest, others, presence_bitmap, reopened, save_manifest, shared_dir, text_key, written
+from wayline.llm.common import append_run, buckets, drop, free, load_manifest, others, presence_bitmap, reopened, save_manifest, shared_dir, text_key, written
 
 WINDOW = 50
 #: Runs before they are compacted into one.
@@ -202,17 +202,21 @@ class SubstringIndex:
     def __init__(self, spark: SparkSession, window: int = WINDOW, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.window, self.path, self.fanout = spark, window, path or shared_dir(spark, "windows"), fanout
         self.n = buckets(spark)
-        self.runs: dict[str, DataFrame] = {}
-        self.version = 0
+        self.runs: list[int] = []
+        self.version, self._table = 0, None
 
     @classmethod
     def reopen(cls, spark: SparkSession, path: str) -> SubstringIndex:
         version, said = load_manifest(spark, path)
         index = cls(spark, said["window"], path, said["fanout"])
-        index.n, index.version = said["buckets"], version
-        index.runs = {r: reopened(spark, "hash", f"{path}/{r}", index.n, RUN) for r in said["runs"]}
+        index.n, index.version, index.runs = said["buckets"], version, said["runs"]
+        index._table = reopened(spark, "hash", f"{path}/runs", index.n, RUN)
         return index
 
+    def table(self, runs: list[int] | None = None) -> DataFrame:
+        """Blocks of some runs (default: all), a bucket of all of them in one task."""
+        return self.spark.table(self._table).where(F.col("run").isin(self.runs if runs is None else runs)).drop("run")
+
     def add(self, docs: DataFrame, former: DataFrame | None = None) -> DataFrame:
         """Index a batch (doc_id, text); (s_ref, spans) of its documents with windows that a smaller document has.
 
@@ -220,20 +224,19 @@ class SubstringIndex:
         """
         rows = _referred(docs)
         folded = rows.mapInArrow(partial(_blocks, window=self.window, fold=True), RUN)
-        before = list(self.runs.values())
+        before = list(self.runs)
         new = self._write(_merged(folded.repartition(self.n, "hash")))
         size = new.count()
         # keys that documents of the batch share with others: of the history, only rows of the batch's keys are looked at
         by_key = new.select("key", "doc", "last", "hash", "check")
         if before:
             mine = presence_bitmap(new, F.col("key"), size)
-            by_key = reduce(DataFrame.unionByName, [by_key, *(mine.maybe(r.select(*by_key.columns), F.col("key")) for r in before)])
+            by_key = by_key.unionByName(mine.maybe(self.table(before).select(*by_key.columns), F.col("key")))
         sides = [f(c).alias(f"{c}_{name}") for c in ("hash", "check") for name, f in (("lo", F.min), ("hi", F.max))]
         keys = by_key.groupBy("key").agg(F.min("doc").alias("lo"), F.max("last").alias("hi"), *sides).where("lo < hi")
         keys = written(keys.select("key", ((F.col("hash_lo") != F.col("hash_hi")) | (F.col("check_lo") != F.col("check_hi"))).alias("differ"), "lo"), "keys")
         shared = presence_bitmap(keys, F.col("key"), keys.count())
-        runs = reduce(DataFrame.unionByName, [shared.maybe(r, F.col("key")) for r in (new, *before)])
-        firsts = written(_merged(runs), "firsts")
+        firsts = written(_merged(shared.maybe(self.table(), F.col("key"))), "firsts")
 
         # whole blocks, and places of blocks that the first document has several times; both sides are plain tables, so Spark splits hot keys
         differ = keys.where("differ").select(F.col("key").alias("d_key"), "lo")
@@ -264,18 +267,19 @@ class SubstringIndex:
 
     def compact(self) -> None:
         """Merge all runs, bucket by bucket, into one that has the first document of every block."""
-        old = dict(self.runs)
-        self._write(_merged(reduce(DataFrame.unionByName, old.values())), replaced=tuple(old))
+        old = list(self.runs)
+        self._write(_merged(self.table(old)), replaced=old)
         for run in old:
-            drop(self.spark, f"{self.path}/{run}")
+            self.spark.sql(f"ALTER TABLE `{self._table}` DROP IF EXISTS PARTITION (run = {run})")
+            drop(self.spark, f"{self.path}/runs/run={run}")
 
-    def _write(self, rows: DataFrame, replaced: tuple[str, ...] = ()) -> DataFrame:
-        run = f"run{self.version + 1}"
-        made = bucketed(rows, "hash", f"{self.path}/{run}", self.n, sort=True)
-        self.runs = {r: x for r, x in self.runs.items() if r not in replaced} | {run: made}
+    def _write(self, rows: DataFrame, replaced: list[int] = ()) -> DataFrame:
+        run = self.version + 1
+        self._table = append_run(rows, run, "hash", f"{self.path}/runs", self.n, self._table)
+        self.runs = [*(r for r in self.runs if r not in replaced), run]
         self.version += 1
-        save_manifest(self.spark, self.path, self.version, {"runs": list(self.runs), "window": self.window, "fanout": self.fanout, "buckets": self.n})
-        return made
+        save_manifest(self.spark, self.path, self.version, {"runs": self.runs, "window": self.window, "fanout": self.fanout, "buckets": self.n})
+        return self.table([run])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, passed: list[str], spans: str) -> Iterator[pa.RecordBatch]:
