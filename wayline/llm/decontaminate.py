@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import others, written
+from wayline.llm.common import others, set_aside, written
 
 WINDOW = 10
 #: Windows of a block, counted once for each item that has one: bounds what the driver passes on at once.
@@ -288,7 +288,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, clean: bool = Fals
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with contaminated passages cut out of their texts; every document stays, n_chars follows its text."""
-    out = find_contamination(docs, benchmark, clean=True)
+    held, back = set_aside(docs, ADDED.names)
+    out = find_contamination(held, benchmark, clean=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*held.columns).withColumnsRenamed(back)
