@@ -139,7 +139,8 @@ def _parted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     """Lists of words (sorted, one a line) and their codes, for each block and part of the word space."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for block, listed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+        for block, held in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+            listed = held.as_py()
             part = np.array([xxhash.xxh64_intdigest(w) % parts for w in listed], np.int64)
             order = sorted(range(len(listed)), key=listed.__getitem__)
             order = np.array(order, np.int64)[np.argsort(part[order], kind="stable")]

@@ -20,7 +20,19 @@ URL_RULES = [
 ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+#: Rows of a batch that Spark hands to Python: texts are long, so batches of Spark's default size would take much memory.
+BATCH_ROWS = 2_000
+
+
+def for_long_texts(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for_long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
