@@ -24,26 +24,31 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below their language's threshold stay; null and empty texts score by the bias alone; repeated rows fare alike."""
+    queries.for_long_texts(spark)
     return toxicity.drop_toxic(docs, queries.toxic_labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts (white space folded, null as empty) the one with the least id stays, a null id only without any other; of repeated rows one."""
+    queries.for_long_texts(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the row with the least id stays, ties by text; texts without words are one group; of repeated rows one."""
+    queries.for_long_texts(spark)
     return simhash.drop_near_copies(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows stay; passages of the benchmark go from their texts, and n_chars follows; null and empty texts stay as they are."""
+    queries.for_long_texts(spark)
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each row: doc_id, n_tokens, and digests of ids and of their text; null counts as empty, which has no tokens."""
+    queries.for_long_texts(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe.round_trip(docs.select("doc_id", "text"), path, keep=("doc_id",))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
