@@ -403,7 +403,7 @@ def test_merges_and_cores_of_frames(spark):
     assert combine.topology(a, b) == "same"
     with pytest.raises(ValueError):
         combine.topology(a, LaneFrame(b.df.withColumnRenamed("k", "z"), ("z",), "seq", "t", ("v",)))
-    with pytest.raises(PySparkException, match="samples"):
+    with pytest.raises(Exception, match="samples"):  # several tasks may report it at once, which Spark wraps in another error
         combine.concat_batch({"x": a, "y": b.isel(slice(0, 1))}, sequence="exact").df.collect()
 
 
@@ -447,3 +447,21 @@ def test_geodesic_points_and_places(spark):
         got = places.at(f, "g", queries(spark, 1.0), "q", "g", method).first().g
         assert abs(got.lon) == pytest.approx(180.0, abs=1e-6) and got.lat == pytest.approx(0.0, abs=1e-9)
     assert places.at(f, "g", queries(spark, 9.0), "q", "g", "nearest").first().g.lon == -179.0
+
+
+def test_displacements_are_only_turned(spark):
+    f = frame(spark, [("a", 0.0, 1.0)])
+    g = frames.FrameGraph()
+    g.bind("world", "ship", sp.pose(sp.vector(F.lit(5.0), F.lit(0.0), F.lit(0.0)), sp.yaw(F.lit(math.pi / 2))))
+    rows = f.with_fields(p=sp.vector(F.lit(1.0), F.lit(0.0), F.lit(0.0))).select("p")
+    assert list(frames.to_frame(g, frames.as_delta(rows), "p", "ship", "world").df.first().p) == pytest.approx([0.0, 1.0, 0.0])
+
+
+def test_labels_of_missing_groups(spark, ramp):
+    key = {"g": F.when(F.col("k") == "a", F.lit("x"))}
+    assert {r.g for r in rd.Grouped(ramp, key, "group", "none").reduce("count").collect()} == {"x", "none"}
+    with pytest.raises(PySparkException, match="label"):
+        rd.Grouped(ramp, key, "group", "x").reduce("count").collect()
+    assert {r.g for r in rd.Grouped(ramp, key, "drop").reduce("count").collect()} == {"x"}
+    with pytest.raises(PySparkException, match="missing"):
+        rd.Grouped(ramp, key).reduce("count").collect()

@@ -256,6 +256,13 @@ class LaneFrame:
             return self.over(self.df.where(true)).renumbered()
         return self.over(self.df.withColumn("_true", true).withColumns({c: F.when(F.col("_true"), F.col(c)).otherwise(F.lit(other)) for c in self.fields}).drop("_true"))
 
+    def tidy(self, *by: str) -> DataFrame:
+        """Rows for plotting: lane keys, number, clock, columns ``by`` that group lines, and a row for each numeric field and value that is there."""
+        numbers = [f.name for f in self.df.schema if f.name in self.fields and f.name not in by and isinstance(f.dataType, T.NumericType)]
+        kept = list(dict.fromkeys([*self.keys, self.seq, *([self.clock] if self.clock else []), *by]))
+        cells = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in numbers))
+        return self.df.select(*kept, F.explode(cells).alias("x")).select(*kept, "x.field", "x.value").where("value IS NOT NULL")
+
     def lane_sizes(self) -> DataFrame:
         return self.df.groupBy(*self.keys).agg(F.count("*").alias("size"))
 

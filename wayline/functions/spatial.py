@@ -150,7 +150,11 @@ def from_matrix(m: Column) -> Column:
 
 
 def slerp(a: Column, b: Column, alpha: Column) -> Column:
-    """Shortest turn from a to b; nearly equal ones are blended and normalised; the ends are exact."""
+    """Shortest turn from a to b; nearly equal ones are blended and normalised; the ends are exact.
+
+    At half turns, where two ways are equally short, the sign of the quaternions' product decides as it comes: a product of zero or
+    more turns forward, as the principal rotation vector of the turn between them does.
+    """
 
     def turned(e: Column) -> Column:
         a, b, k, d = e["a"], e["b"], e["k"], F.least(F.abs(e["d"]), F.lit(1.0))

@@ -276,9 +276,15 @@ def with_rotation_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, o
 
 
 def to_frame(graph: FrameGraph, rows: LaneFrame, point: str, src: str, dst: str) -> LaneFrame:
-    """A point field given in src, in dst."""
+    """A point field given in src, in dst; a frame of displacements (``as_delta``) is turned only."""
     df = with_path(graph, rows, src, dst, "_transform")
-    return rows.over(df.withColumn(point, sp.pose_apply(F.col("_transform"), F.col(point))).drop("_transform")).retag(parent=dst)
+    turned = sp.rotate(F.col("_transform.q"), F.col(point)) if rows.attrs.get("intent") == "delta" else sp.pose_apply(F.col("_transform"), F.col(point))
+    return rows.over(df.withColumn(point, turned).drop("_transform")).retag(parent=dst)
+
+
+def as_delta(rows: LaneFrame) -> LaneFrame:
+    """The frame's positions as displacements."""
+    return rows.retag(intent="delta")
 
 
 def express_in(graph: FrameGraph, rows: LaneFrame, vector: str, src: str, dst: str) -> LaneFrame:

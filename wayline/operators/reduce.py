@@ -67,7 +67,7 @@ def bin_of(x: Column, edges: Sequence[float], right: bool = True, include_lowest
 
 
 def group_key(keys: dict[str, Column], missing: str = "error", label: object = None):
-    """A function that adds group key columns to rows; missing keys: error, drop, or group under ``label``."""
+    """A function that adds group key columns to rows; missing keys: error, drop, or group under ``label``, which no key may be already."""
 
     def add(df: DataFrame) -> DataFrame:
         df = df.withColumns(keys)
@@ -75,7 +75,8 @@ def group_key(keys: dict[str, Column], missing: str = "error", label: object = N
             if missing == "drop":
                 df = df.where(F.col(k).isNotNull())
             elif missing == "group":
-                df = df.withColumn(k, F.coalesce(k, F.lit(label)))
+                taken = F.raise_error(F.lit(f"a group key {k} is the label of missing keys")).cast(df.schema[k].dataType)
+                df = df.withColumn(k, F.when(F.col(k) == F.lit(label), taken).otherwise(F.coalesce(k, F.lit(label))))
             else:
                 df = df.withColumn(k, F.when(F.col(k).isNull(), F.raise_error(F.lit(f"a group key {k} is missing"))).otherwise(F.col(k)))
         return df

@@ -258,3 +258,11 @@ def components_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(LaneFrame.compose_components({"first": a, "second": b}).df.select("user_id", "seq", "a", "b"))
 
 
+
+
+@query("WITH {e} SELECT user_id, seq, round(t, 6) AS t, event_type, 'value' AS field, round(value, 6) AS value FROM e UNION ALL SELECT user_id, seq, round(t, 6), event_type, 'half', round(value / 2, 6) FROM e WHERE value > 1")
+def tidy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows for plotting, without missing values."""
+    f = lanes(spark, sf_dir, "event_type").set_roles(fields=("value",))
+    f = f.over(f.df.withColumn("half", F.when(F.col("value") > 1, F.col("value") / 2)), fields=("value", "half"))
+    return rounded(f.tidy("event_type"))
