@@ -20,7 +20,7 @@ through, of the names that this operator adds the input's are replaced.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -67,8 +67,21 @@ class _Codes(dict):
         return n
 
 
+def _short(codes: np.ndarray) -> bytes:
+    """Numbers in two bytes each, those that need more behind them: most words of a text are among the first of its block."""
+    low = np.minimum(codes, 0xFFFF).astype("<u2")
+    return len(codes).to_bytes(4, "little") + low.tobytes() + codes[codes >= 0xFFFF].astype("<u4").tobytes()
+
+
+def _long(held: bytes) -> np.ndarray:
+    n = int.from_bytes(held[:4], "little")
+    codes = np.frombuffer(held, "<u2", n, 4).astype(np.int64)
+    codes[codes == 0xFFFF] = np.frombuffer(held, "<u4", -1, 4 + 2 * n)
+    return codes
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], passed: list[str], names: list[str], most_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows of documents with their block, codes (32-bit numbers of its words) and, in a block's first row, its words."""
+    """Rows of documents with their block, codes (numbers of its words, as ``_short`` has them) and, in a block's first row, its words."""
     table, held, codes, n, size = _Codes(), [], [], 0, 0
 
     def out() -> pa.RecordBatch:
@@ -82,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], passed: list[str], names: list[st
         texts, start = batch.column("text"), 0
         for i in range(batch.num_rows):
             words = words_of(texts[i].as_py())
-            codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)).tobytes())
+            codes.append(_short(np.fromiter(map(table.__getitem__, words), np.uint32, len(words))))
             n, size = n + len(words), size + sum(map(len, words)) + len(words)
             if n >= most_words or size >= BLOCK_BYTES:
                 held.append(batch.slice(start, i + 1 - start).select(passed))
@@ -158,21 +171,27 @@ def _unparted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], said: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (block, code, ids, said) packed by block, again and again before they take much memory."""
+    """Rows (block, code, ids, said) packed by block, again and again before they take much memory; a row without ids has those of the row before."""
     pack = zstandard.ZstdCompressor(level=3).compress
     held: dict[int, list[list]] = {}
-    size = 0
+    size, last = 0, (b"", "")
 
     def out() -> pa.RecordBatch:
         made = []
         for block, (codes, ids, texts) in held.items():
-            sizes = np.array([len(x) // 4 for x in ids], np.uint32)
-            made.append((block, pack(np.array(codes, np.uint32).tobytes()), pack(sizes.tobytes()), pack(b"".join(ids)), pack("\n".join(texts).encode()) if said else None))
+            order = np.argsort(codes)  # in order of code, so that numbers pack well
+            ids, texts = [ids[i] for i in order], [texts[i] for i in order] if said else []
+            sizes, flat = np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")
+            narrow = flat.astype("<u2") if len(flat) == 0 or flat.max() <= 0xFFFF else flat
+            made.append((block, pack(np.diff(np.sort(codes), prepend=0).astype(np.uint32).tobytes()), pack(sizes.tobytes()), pack(bytes([narrow.itemsize]) + narrow.tobytes()), pack("\n".join(texts).encode()) if said else None))
         return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=list(GATHERED))
 
     for batch in batches:
         texts = batch.column("said").to_pylist() if said else [""] * batch.num_rows
         for block, code, ids, text in zip(batch.column("block").to_pylist(), batch.column("code").to_pylist(), batch.column("ids").to_pylist(), texts, strict=True):
+            if ids is not None:
+                last = ids, text
+            ids, text = last
             own = held.get(block)
             if own is None:
                 own = held[block] = [[], [], []]
@@ -191,16 +210,15 @@ GATHERED = ("block", "codes", "sizes", "ids", "said")
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
-    """(block, code, ids, seq) of rows sorted by word: a word is encoded when it first comes; seq: its ids as an array."""
-    encode, last, ids = encoder(path), None, b""
+    """(block, code, ids, seq) of rows sorted by word: a word is encoded when it first comes, and only there has ids and, as an array, seq."""
+    encode, last = encoder(path), None
     for batch in batches:
         out = []
         for w in batch.column("word"):
             word = w.as_py()
-            if word != last:
-                last, ids = word, encode(word)
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary()), _listed(out)], names=["block", "code", "ids", "seq"])
+            out.append(None if word == last else encode(word))
+            last = word
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary()), _listed([x or b"" for x in out])], names=["block", "code", "ids", "seq"])
 
 
 def _listed(held: list[bytes]) -> pa.ListArray:
@@ -291,10 +309,12 @@ def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, deco
     """Documents of a block with the ids (and texts) of their words in order of position."""
     unpack = zstandard.ZstdDecompressor().decompress
 
-    def column(name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(unpack(x.as_py()) for x in words[name]), kind)
+    def column(name: str, read: Callable[[bytes], np.ndarray], kind: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(read(unpack(x.as_py())) for x in words[name])])
 
-    at, size, flat = column("codes", np.uint32), column("sizes", np.uint32).astype(np.int64), column("ids", "<u4")
+    at = column("codes", lambda b: np.cumsum(np.frombuffer(b, np.uint32), dtype=np.int64), np.int64)
+    size = column("sizes", lambda b: np.frombuffer(b, np.uint32), np.int64)
+    flat = column("ids", lambda b: np.frombuffer(b, f"<u{b[0]}", offset=1), np.uint32).astype("<u4")
     order = np.argsort(at)
     start, size = (np.cumsum(size) - size)[order], size[order]
     said = np.zeros(0, object)
@@ -302,7 +322,7 @@ def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, deco
         said = np.array([t for x in words["said"] for t in unpack(x.as_py()).split(b"\n")], object)[order]
     ids, counts, texts = [], [], []
     for c in rows[codes]:
-        at = np.frombuffer(c.as_py(), np.uint32)
+        at = _long(c.as_py())
         own = size[at]
         total = int(own.sum())
         ids.append(flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(own) - own), own)].tobytes())
