@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, chat_format, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter
+from wayline.llm import bpe, chat_format, clustering, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter, whitening
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -119,6 +119,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -130,8 +141,18 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 
+#: A round of clustering in SQL: z has a row for each component of each centroid, e one for each component of each vector.
+_NEAREST = """
+n{i} AS MATERIALIZED (SELECT k, c, dist FROM (SELECT k, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS dist FROM e JOIN z{i} USING (d) GROUP BY k, c)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY dist, c) = 1)"""
+_MOVED = """,
+z{j} AS MATERIALIZED (SELECT z.c, z.d, CAST(coalesce((s - ((s % m) + m) % m) // m, y) AS BIGINT) AS y
+  FROM z{i} AS z LEFT JOIN (SELECT c, d, sum(x) AS s, count(*) AS m FROM e JOIN n{i} USING (k) GROUP BY c, d) AS t ON z.c = t.c AND z.d = t.d),"""
+
 ORACLE_SQL = {
     "op1_decontaminate": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id,
@@ -195,4 +216,18 @@ WITH r(r_host, r_path, r_verdict) AS (
   FROM p LEFT JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
 )
 SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE n = 1""",
+    "op12_centroids": """
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+u AS (SELECT k, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM r),
+w AS (SELECT k FROM u GROUP BY k HAVING count(*) FILTER (WHERE x IS NOT NULL AND isfinite(x)) = 64),
+e AS MATERIALIZED (SELECT k, d, CAST(floor(1024 * x) AS BIGINT) AS x FROM u JOIN w USING (k)),
+f AS (SELECT k, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM r JOIN w USING (k) QUALIFY c < 8),
+z0 AS MATERIALIZED (SELECT c, d, x AS y FROM f JOIN e USING (k)),"""
+    + "".join(_NEAREST.format(i=i) + _MOVED.format(i=i, j=i + 1) for i in range(clustering.ROUNDS))
+    + _NEAREST.format(i=clustering.ROUNDS)
+    + f""",
+h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM z{clustering.ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM n{clustering.ROUNDS} JOIN r USING (k) JOIN h USING (c)""",
 }
