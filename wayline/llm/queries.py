@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, chat_format, clustering, decontaminate, exact_dedup, quality, simhash, substring, token_counts, toxicity, url_filter, whitening
+from wayline.llm import bpe, chat_format, clustering, decontaminate, exact_dedup, quality, simhash, substring, suffixes, token_counts, toxicity, url_filter, whitening
 
 #: Rules of the URL query: fixed values.
 URL_RULES = [
@@ -119,6 +119,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clustering.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.digest(F.col("centroid")).alias("centroid_sha256"))
@@ -141,6 +146,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_centroids": op12_centroids,
     "op13_whitening": op13_whitening,
 }
@@ -216,6 +222,19 @@ WITH r(r_host, r_path, r_verdict) AS (
   FROM p LEFT JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
 )
 SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE n = 1""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT k, doc_id, base, len(h) // 2 AS n, substring(h, 2 * base + 1, 1198) AS part FROM d, unnest(range(0, len(h) // 2, 500)) AS u(base)),
+w AS (SELECT k, doc_id, base + i AS i, md5_number(substring(part, 2 * i + 1, 200)) AS win FROM b, unnest(range(0, least(500, n - 99 - base))) AS u(i)),
+f AS (SELECT win, min(doc_id) AS first_id FROM w GROUP BY win HAVING count(*) > 1),
+r AS (SELECT DISTINCT k, i FROM (SELECT k, i, coalesce(doc_id > first_id, first_id IS NOT NULL) AS later, min(i) OVER (PARTITION BY win, k) AS own FROM w JOIN f USING (win)) WHERE later OR i > own),
+g AS (SELECT k, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM r)),
+s AS (SELECT k, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY k, run),
+n AS (SELECT k, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY k),
+p AS (SELECT k, hi AS a, coalesce(lead(lo) OVER (PARTITION BY k ORDER BY lo), 1000000000) AS b FROM s UNION ALL SELECT k, 0, min(lo) FROM s GROUP BY k),
+c AS (SELECT k, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM p JOIN d USING (k) GROUP BY k)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (k) LEFT JOIN c USING (k)""",
     "op12_centroids": """
 WITH r AS (SELECT row_number() OVER () AS k, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
 u AS (SELECT k, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM r),
