@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,10 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: How the names of columns begin that operators add and take away again.
+RESERVED = "__"
+
+
 class RoleError(ValueError):
     """Roles that the columns can't have."""
 
 
+def meet(a: DataFrame, b: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join on columns that both have, null with null; each of them once in the result, then the others of a and of b."""
+    named = {c: f"__on{i}" for i, c in enumerate(on)}
+    other = b.withColumnsRenamed(named)
+    same = reduce(lambda x, y: x & y, (a[c].eqNullSafe(other[n]) for c, n in named.items()))
+    taken = {"right": lambda c, n: F.col(n), "full": lambda c, n: F.coalesce(c, n)}.get(how, lambda c, n: F.col(c))
+    rest = [c for df in (a, other) for c in df.columns if c not in named and c not in named.values()]
+    return a.join(other, same, how).select(*(taken(c, n).alias(c) for c, n in named.items()), *rest)
+
+
 @dataclass(frozen=True)
 class LaneFrame:
     df: DataFrame
@@ -30,6 +45,8 @@ class LaneFrame:
     fields: tuple[str, ...] = ()
     components: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     attrs: Mapping[str, str] = field(default_factory=dict)
+    #: Clock values between the ranges of long lanes, in ticks (see operators.scan).
+    cuts: DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         named = [*self.keys, self.seq, *([self.clock] if self.clock else []), *self.fields]
@@ -53,6 +70,8 @@ class LaneFrame:
 
         size: column with the number of real samples of padded lanes; the padding goes.
         """
+        if own := [c for c in df.columns if c.startswith(RESERVED)]:
+            raise RoleError(f"names that begin with {RESERVED} are the library's own: {own}")
         if seq not in df.columns:
             by = [*([clock] if clock else []), *order]
             if not by:
@@ -80,14 +99,19 @@ class LaneFrame:
         return self.lane.orderBy(self.seq)
 
     def renumbered(self, *by: str | Column) -> LaneFrame:
-        """Samples numbered from 0 again, in order of ``by`` (default: as they are)."""
+        """Samples numbered from 0 again, in order of ``by`` (default: as they are). Lanes with cuts are numbered range by range where the clock's order is asked for."""
+        if self.cuts is not None and by and by[0] == self.clock:
+            from wayline.operators import scan
+
+            return self.over(scan.numbered(self, by))
         return self.over(self.df.withColumn(self.seq, (F.row_number().over(self.lane.orderBy(*(by or (self.seq,)))) - 1).cast("long")))
 
     # roles
 
     def set_roles(self, **roles) -> LaneFrame:
         """Change some of keys, seq, clock and fields; the others stay."""
-        return replace(self, **{k: tuple(v) if k in ("keys", "fields") else v for k, v in roles.items()})
+        held = {"cuts": None} if {"keys", "clock"} & set(roles) else {}
+        return replace(self, **held, **{k: tuple(v) if k in ("keys", "fields") else v for k, v in roles.items()})
 
     def merge_schema(self, other: LaneFrame) -> LaneFrame:
         """Components and attributes of both; the same roles are needed, and what both name must agree."""
@@ -107,9 +131,9 @@ class LaneFrame:
         for label, part in rest:
             if set(part.fields) & set(out.fields):
                 raise RoleError(f"component {label} repeats fields")
-            new = part.df.select(*(F.col(a).alias(b) for a, b in zip((*part.keys, part.seq), at, strict=True)), *part.fields, F.lit(True).alias("_there"))
-            matched = F.when(F.col("_there") & F.col("_here"), F.lit(True)).otherwise(F.raise_error(F.lit("components have different samples")))
-            joined = out.df.withColumn("_here", F.lit(True)).join(new, at, "full").where(matched).drop("_there", "_here")
+            new = part.df.select(*(F.col(a).alias(b) for a, b in zip((*part.keys, part.seq), at, strict=True)), *part.fields, F.lit(True).alias("__there"))
+            matched = F.when(F.col("__there") & F.col("__here"), F.lit(True)).otherwise(F.raise_error(F.lit("components have different samples")))
+            joined = meet(out.df.withColumn("__here", F.lit(True)), new, at, "full").where(matched).drop("__there", "__here")
             out, found = out.over(joined, fields=(*out.fields, *part.fields)), {**found, label: part.fields}
         return out.define_components(**found)
 
@@ -126,10 +150,10 @@ class LaneFrame:
         if set(values.fields) != set(labels):
             raise RoleError(f"component {name} has the fields {labels}")
         at = [*self.keys, self.seq]
-        new = values.df.select(*at, *(F.col(c).alias(f"_new_{c}") for c in labels), F.lit(True).alias("_there"))
-        matched = F.when(F.col("_there") & F.col("_here"), F.lit(True)).otherwise(F.raise_error(F.lit("patch and base have different samples")))
-        joined = self.df.withColumn("_here", F.lit(True)).join(new, at, "full").where(matched)
-        return self.over(joined.withColumns({c: F.col(f"_new_{c}") for c in labels}).select(*self.df.columns))
+        new = values.df.select(*at, *(F.col(c).alias(f"__new_{c}") for c in labels), F.lit(True).alias("__there"))
+        matched = F.when(F.col("__there") & F.col("__here"), F.lit(True)).otherwise(F.raise_error(F.lit("patch and base have different samples")))
+        joined = meet(self.df.withColumn("__here", F.lit(True)), new, at, "full").where(matched)
+        return self.over(joined.withColumns({c: F.col(f"__new_{c}") for c in labels}).select(*self.df.columns))
 
     def frame_ids(self) -> dict[str, str | None]:
         return {k: self.attrs.get(k) for k in ("parent", "child", "expressed_in")}
@@ -182,7 +206,7 @@ class LaneFrame:
             return names.get(c, c)
 
         parts = {k: tuple(map(new, v)) for k, v in self.components.items()}
-        return LaneFrame(self.df.withColumnsRenamed(names), tuple(map(new, self.keys)), new(self.seq), self.clock and new(self.clock), tuple(map(new, self.fields)), parts, self.attrs)
+        return LaneFrame(self.df.withColumnsRenamed(names), tuple(map(new, self.keys)), new(self.seq), self.clock and new(self.clock), tuple(map(new, self.fields)), parts, self.attrs, self.cuts and self.cuts.withColumnsRenamed(names))
 
     def with_fields(self, **columns: Column) -> LaneFrame:
         """Payload columns added or replaced; NaN becomes a missing value."""
@@ -198,13 +222,13 @@ class LaneFrame:
         numbered = self.renumbered()
         p, n = F.col(self.seq), F.count("*").over(self.lane)
         if isinstance(at, int):
-            return self.over(numbered.df.withColumn("_n", n).where(p == (F.lit(at) if at >= 0 else F.col("_n") + at)).drop("_n"))
+            return self.over(numbered.df.withColumn("__n", n).where(p == (F.lit(at) if at >= 0 else F.col("__n") + at)).drop("__n"))
         if isinstance(at, slice):
             step = 1 if at.step is None else at.step
             if step == 0:
                 raise ValueError("a slice's step is not 0")
-            df = numbered.df.withColumn("_n", n)
-            size = F.col("_n")
+            df = numbered.df.withColumn("__n", n)
+            size = F.col("__n")
 
             def bound(x, default):
                 if x is None:
@@ -217,11 +241,11 @@ class LaneFrame:
             stop = bound(at.stop, size if step > 0 else F.lit(-1))
             inside = (p >= start) & (p < stop) if step > 0 else (p <= start) & (p > stop)
             hit = inside & (F.abs(p - start) % abs(step) == 0)
-            picked = numbered.over(df.where(hit).drop("_n"))
+            picked = numbered.over(df.where(hit).drop("__n"))
             return picked.renumbered(F.col(self.seq) if step > 0 else F.col(self.seq).desc())
-        wanted = self.df.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(at)], "_i long, _p long")
-        df = numbered.df.withColumn("_n", n).join(F.broadcast(wanted), p == F.when(F.col("_p") >= 0, F.col("_p")).otherwise(F.col("_n") + F.col("_p")))
-        return numbered.over(df.withColumn(self.seq, F.col("_i")).drop("_n", "_i", "_p")).renumbered()
+        wanted = self.df.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(at)], "__i long, __p long")
+        df = numbered.df.withColumn("__n", n).join(F.broadcast(wanted), p == F.when(F.col("__p") >= 0, F.col("__p")).otherwise(F.col("__n") + F.col("__p")))
+        return numbered.over(df.withColumn(self.seq, F.col("__i")).drop("__n", "__i", "__p")).renumbered()
 
     def sel(self, method: str | None = None, tolerance: float | None = None, **labels: object) -> LaneFrame:
         """Rows by label: a value, a list of values, or a slice with both ends included.
@@ -235,10 +259,10 @@ class LaneFrame:
                 away = {"nearest": F.abs(F.col(c) - want), "pad": F.lit(want) - F.col(c), "backfill": F.col(c) - want}[method]
                 near = F.when((away >= 0) & (F.lit(True) if tolerance is None else away <= tolerance), F.struct(away, F.col(c).alias("at")))
                 if c in self.keys:
-                    best = df.agg(F.min(near)["at"].alias(f"_best{i}"))
-                    df = df.join(F.broadcast(best), F.col(c) == F.col(f"_best{i}")).drop(f"_best{i}")
+                    best = df.agg(F.min(near)["at"].alias(f"__best{i}"))
+                    df = df.join(F.broadcast(best), F.col(c) == F.col(f"__best{i}")).drop(f"__best{i}")
                 else:
-                    df = df.withColumn(f"_best{i}", F.min(near).over(self.lane)["at"]).where(F.col(c) == F.col(f"_best{i}")).drop(f"_best{i}")
+                    df = df.withColumn(f"__best{i}", F.min(near).over(self.lane)["at"]).where(F.col(c) == F.col(f"__best{i}")).drop(f"__best{i}")
             return self.over(df)
         for c, want in labels.items():
             if isinstance(want, slice):
@@ -254,7 +278,7 @@ class LaneFrame:
         true = F.coalesce(cond, F.lit(False))
         if drop:
             return self.over(self.df.where(true)).renumbered()
-        return self.over(self.df.withColumn("_true", true).withColumns({c: F.when(F.col("_true"), F.col(c)).otherwise(F.lit(other)) for c in self.fields}).drop("_true"))
+        return self.over(self.df.withColumn("__true", true).withColumns({c: F.when(F.col("__true"), F.col(c)).otherwise(F.lit(other)) for c in self.fields}).drop("__true"))
 
     def tidy(self, *by: str) -> DataFrame:
         """Rows for plotting: lane keys, number, clock, columns ``by`` that group lines, and a row for each numeric field and value that is there."""

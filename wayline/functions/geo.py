@@ -207,39 +207,39 @@ def with_utm(df: DataFrame, g: str, output: str, zone: Column | None = None) ->
     """df with (east, north, zone, south) of a geodetic column, in metres; good to well below a millimetre within its zone, staged."""
     lat, e = F.radians(F.col(f"{g}.lat")), E2**0.5
     steps = [
-        {"_zone": utm_zone(F.col(f"{g}.lon")) if zone is None else zone.cast("int"), "_s": F.sin(lat)},
-        {"_l": F.radians(F.col(f"{g}.lon") - (F.col("_zone") * 6 - 183)), "_c": F.sinh(F.atanh(F.col("_s")) - e * F.atanh(e * F.col("_s")))},
-        {"_x": F.atan2(F.col("_c"), F.cos("_l")), "_y": F.atanh(F.sin("_l") / F.sqrt(1 + F.col("_c") * F.col("_c")))},
+        {"__zone": utm_zone(F.col(f"{g}.lon")) if zone is None else zone.cast("int"), "__s": F.sin(lat)},
+        {"__l": F.radians(F.col(f"{g}.lon") - (F.col("__zone") * 6 - 183)), "__c": F.sinh(F.atanh(F.col("__s")) - e * F.atanh(e * F.col("__s")))},
+        {"__x": F.atan2(F.col("__c"), F.cos("__l")), "__y": F.atanh(F.sin("__l") / F.sqrt(1 + F.col("__c") * F.col("__c")))},
     ]
-    east, north = F.col("_y"), F.col("_x")
+    east, north = F.col("__y"), F.col("__x")
     for j, a in enumerate(FORWARD, 1):
-        east = east + a * F.cos(2 * j * F.col("_x")) * F.sinh(2 * j * F.col("_y"))
-        north = north + a * F.sin(2 * j * F.col("_x")) * F.cosh(2 * j * F.col("_y"))
+        east = east + a * F.cos(2 * j * F.col("__x")) * F.sinh(2 * j * F.col("__y"))
+        north = north + a * F.sin(2 * j * F.col("__x")) * F.cosh(2 * j * F.col("__y"))
     south = F.col(f"{g}.lat") < 0
     made = F.struct(
         (FALSE_EAST + SCALE * RECTIFYING * east).alias("east"),
         (SCALE * RECTIFYING * north + F.when(south, FALSE_NORTH).otherwise(0.0)).alias("north"),
-        F.col("_zone").alias("zone"),
+        F.col("__zone").alias("zone"),
         south.alias("south"),
     )
-    return sp.staged(df, *steps, {output: F.when(F.col(f"{g}.lat").isNotNull(), made)}).drop("_zone", "_s", "_l", "_c", "_x", "_y")
+    return sp.staged(df, *steps, {output: F.when(F.col(f"{g}.lat").isNotNull(), made)}).drop("__zone", "__s", "__l", "__c", "__x", "__y")
 
 
 def with_lla_of_utm(df: DataFrame, u: str, output: str, alt: Column | None = None) -> DataFrame:
     """df with the geodetic position of a UTM column (east, north, zone, south), staged."""
     xi = (F.col(f"{u}.north") - F.when(F.col(f"{u}.south"), FALSE_NORTH).otherwise(0.0)) / (SCALE * RECTIFYING)
-    steps = [{"_x": xi, "_y": (F.col(f"{u}.east") - FALSE_EAST) / (SCALE * RECTIFYING)}]
-    east, north = F.col("_y"), F.col("_x")
+    steps = [{"__x": xi, "__y": (F.col(f"{u}.east") - FALSE_EAST) / (SCALE * RECTIFYING)}]
+    east, north = F.col("__y"), F.col("__x")
     for j, b in enumerate(BACK, 1):
-        east = east - b * F.cos(2 * j * F.col("_x")) * F.sinh(2 * j * F.col("_y"))
-        north = north - b * F.sin(2 * j * F.col("_x")) * F.cosh(2 * j * F.col("_y"))
-    steps.append({"_x1": north, "_y1": east})
-    t = F.sin("_x1") / F.sqrt(F.sinh("_y1") * F.sinh("_y1") + F.cos("_x1") * F.cos("_x1"))
-    steps.append({"_t": t, "_lat": F.atan(t)})
+        east = east - b * F.cos(2 * j * F.col("__x")) * F.sinh(2 * j * F.col("__y"))
+        north = north - b * F.sin(2 * j * F.col("__x")) * F.cosh(2 * j * F.col("__y"))
+    steps.append({"__x1": north, "__y1": east})
+    t = F.sin("__x1") / F.sqrt(F.sinh("__y1") * F.sinh("__y1") + F.cos("__x1") * F.cos("__x1"))
+    steps.append({"__t": t, "__lat": F.atan(t)})
     e = E2**0.5
     for _ in range(5):  # conformal to geodetic latitude: rounds gain about a factor of 150 each
-        s = F.sin("_lat")
-        steps.append({"_lat": F.atan(F.sinh(F.asinh(F.col("_t")) + e * F.atanh(e * s)))})
-    lon = F.degrees(F.atan2(F.sinh("_y1"), F.cos("_x1"))) + (F.col(f"{u}.zone") * 6 - 183)
-    done = F.when(F.col(f"{u}.east").isNotNull(), lla(F.degrees("_lat"), lon, F.lit(0.0) if alt is None else alt))
-    return sp.staged(df, *steps, {output: done}).drop("_x", "_y", "_x1", "_y1", "_t", "_lat")
+        s = F.sin("__lat")
+        steps.append({"__lat": F.atan(F.sinh(F.asinh(F.col("__t")) + e * F.atanh(e * s)))})
+    lon = F.degrees(F.atan2(F.sinh("__y1"), F.cos("__x1"))) + (F.col(f"{u}.zone") * 6 - 183)
+    done = F.when(F.col(f"{u}.east").isNotNull(), lla(F.degrees("__lat"), lon, F.lit(0.0) if alt is None else alt))
+    return sp.staged(df, *steps, {output: done}).drop("__x", "__y", "__x1", "__y1", "__t", "__lat")

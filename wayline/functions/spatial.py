@@ -171,23 +171,23 @@ def slerp(a: Column, b: Column, alpha: Column) -> Column:
 
 def with_slerp(df: DataFrame, a: Column, b: Column, alpha: Column, output: str) -> DataFrame:
     """df with ``slerp(a, b, alpha)``, staged."""
-    n = {f"_{x}n": F.sqrt(qdot(q, q)) for x, q in (("a", a), ("b", b))}
+    n = {f"__{x}n": F.sqrt(qdot(q, q)) for x, q in (("a", a), ("b", b))}
     unit = {}
     for x, q in (("a", a), ("b", b)):
-        size = F.when((F.col(f"_{x}n") == 0) | F.isnan(f"_{x}n"), F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(F.col(f"_{x}n"))
-        unit |= {f"_{x}{c}": q[c] / size for c in QUATERNION}
-    d = sum((F.col(f"_a{c}") * F.col(f"_b{c}") for c in QUATERNION[1:]), F.col("_ax") * F.col("_bx"))
-    near = F.abs(F.col("_d")) > 1 - 1e-12
-    sign = F.when(F.col("_d") < 0, -1.0).otherwise(1.0)
-    k, theta = F.col("_k"), F.col("_theta")
-    s = F.when(near, F.lit(1.0)).otherwise(F.sin("_theta"))
-    weights = {"_wa": F.when(near, 1 - k).otherwise(F.sin((1 - k) * theta) / s), "_wb": F.when(near, k).otherwise(F.sin(k * theta) / s) * sign}
-    mixed = {f"_m{c}": F.col("_wa") * F.col(f"_a{c}") + F.col("_wb") * F.col(f"_b{c}") for c in QUATERNION}
-    size = F.sqrt(sum((F.col(f"_m{c}") * F.col(f"_m{c}") for c in QUATERNION[1:]), F.col("_mx") * F.col("_mx")))
-    out = {c: F.when(k == 0, F.col(f"_a{c}")).when(k == 1, F.col(f"_b{c}")).otherwise(F.col(f"_m{c}") / F.col("_mn")) for c in QUATERNION}
-    done = F.when(k.isNotNull() & F.col("_d").isNotNull(), quaternion(*out.values()))
-    steps = staged(df, {**n, "_k": alpha.cast("double")}, unit, {"_d": d}, {"_theta": F.acos(F.least(F.abs("_d"), F.lit(1.0)))}, weights, mixed, {"_mn": size}, {output: done})
-    return steps.drop("_k", "_d", "_theta", "_wa", "_wb", "_mn", *(f"_{x}{c}" for x in "abm" for c in QUATERNION), "_an", "_bn")
+        size = F.when((F.col(f"__{x}n") == 0) | F.isnan(f"__{x}n"), F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(F.col(f"__{x}n"))
+        unit |= {f"__{x}{c}": q[c] / size for c in QUATERNION}
+    d = sum((F.col(f"__a{c}") * F.col(f"__b{c}") for c in QUATERNION[1:]), F.col("__ax") * F.col("__bx"))
+    near = F.abs(F.col("__d")) > 1 - 1e-12
+    sign = F.when(F.col("__d") < 0, -1.0).otherwise(1.0)
+    k, theta = F.col("__k"), F.col("__theta")
+    s = F.when(near, F.lit(1.0)).otherwise(F.sin("__theta"))
+    weights = {"__wa": F.when(near, 1 - k).otherwise(F.sin((1 - k) * theta) / s), "__wb": F.when(near, k).otherwise(F.sin(k * theta) / s) * sign}
+    mixed = {f"__m{c}": F.col("__wa") * F.col(f"__a{c}") + F.col("__wb") * F.col(f"__b{c}") for c in QUATERNION}
+    size = F.sqrt(sum((F.col(f"__m{c}") * F.col(f"__m{c}") for c in QUATERNION[1:]), F.col("__mx") * F.col("__mx")))
+    out = {c: F.when(k == 0, F.col(f"__a{c}")).when(k == 1, F.col(f"__b{c}")).otherwise(F.col(f"__m{c}") / F.col("__mn")) for c in QUATERNION}
+    done = F.when(k.isNotNull() & F.col("__d").isNotNull(), quaternion(*out.values()))
+    steps = staged(df, {**n, "__k": alpha.cast("double")}, unit, {"__d": d}, {"__theta": F.acos(F.least(F.abs("__d"), F.lit(1.0)))}, weights, mixed, {"__mn": size}, {output: done})
+    return steps.drop("__k", "__d", "__theta", "__wa", "__wb", "__mn", *(f"__{x}{c}" for x in "abm" for c in QUATERNION), "__an", "__bn")
 
 
 def pose_compose(a: Column, b: Column) -> Column:
@@ -199,8 +199,8 @@ def with_composed(df: DataFrame, poses: list[Column], output: str) -> DataFrame:
     """df with poses put together, the first one first, a step at a time."""
     df = df.withColumn(output, poses[0])
     for p in poses[1:]:
-        df = df.withColumn("_next", p).withColumn(output, pose_compose(F.col(output), F.col("_next")))
-    return df.drop("_next")
+        df = df.withColumn("__next", p).withColumn(output, pose_compose(F.col(output), F.col("__next")))
+    return df.drop("__next")
 
 
 def pose_inverse(a: Column) -> Column:
@@ -262,12 +262,12 @@ def rotation_mean(df: DataFrame, keys: list[str], q: str, weight: str | None = N
     good = F.lit(True)
     for c in QUATERNION:
         good = good & F.coalesce(F.abs(F.col(q)[c]) < float("inf"), F.lit(False))
-    u = df.withColumn("_good", good).withColumn("_u", F.when(F.col("_good"), normalised(F.col(q))))
-    sums = [F.sum(w * F.col(f"_u.{a}") * F.col(f"_u.{b}")) for i, a in enumerate(QUATERNION) for b in QUATERNION[i:]]
-    some = F.sum(F.when(F.col("_good"), w)) > 0
-    some = some if skipna else some & F.bool_and("_good")
-    packed = u.groupBy(*keys).agg(F.when(some, F.array(*sums)).alias("_m"))
-    return packed.select(*keys, _dominant("_m").alias(output))
+    u = df.withColumn("__good", good).withColumn("__u", F.when(F.col("__good"), normalised(F.col(q))))
+    sums = [F.sum(w * F.col(f"__u.{a}") * F.col(f"__u.{b}")) for i, a in enumerate(QUATERNION) for b in QUATERNION[i:]]
+    some = F.sum(F.when(F.col("__good"), w)) > 0
+    some = some if skipna else some & F.bool_and("__good")
+    packed = u.groupBy(*keys).agg(F.when(some, F.array(*sums)).alias("__m"))
+    return packed.select(*keys, _dominant("__m").alias(output))
 
 
 def yaw(theta: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.frame import LaneFrame
+from wayline.frame import LaneFrame, meet
 from wayline.operators import asof
 
 COMPAT = ("no_conflicts", "identical", "equals", "broadcast_equals", "override")
@@ -32,11 +32,11 @@ def concat_batch(frames: dict[str, LaneFrame], batch: str = "batch", sequence: s
     parts = [f.df.withColumn(batch, F.lit(name)).withColumns({c: F.lit(fill).cast("double") for c in fields if c not in f.fields}) for name, f in held.items()]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if sequence == "exact":
-        counted = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("_n"))
-        same = F.when(F.col("_n") == len(frames), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))
+        counted = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("__n"))
+        same = F.when(F.col("__n") == len(frames), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))
         df = df.join(counted.where(same).select(base.seq), base.seq, "left_semi")
     if sequence == "inner":
-        shared = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("_n")).where(F.col("_n") == len(frames)).select(base.seq)
+        shared = df.groupBy(base.seq).agg(F.count_distinct(batch).alias("__n")).where(F.col("__n") == len(frames)).select(base.seq)
         df = df.join(shared, base.seq, "left_semi")
     return LaneFrame(df, (batch, *base.keys), base.seq, base.clock, fields)
 
@@ -48,39 +48,39 @@ def concat_sequence(frames: Sequence[LaneFrame], overlap: str = "error", lanes:
     lanes: outer, or inner for lanes that every frame has.
     """
     base, held = frames[0], _common(frames)
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.df.withColumn("_part", F.lit(i)) for i, f in enumerate(held)])
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.df.withColumn("__part", F.lit(i)) for i, f in enumerate(held)])
     out = base.over(df)
     if lanes == "inner":
-        out = out.over(out.df.withColumn("_n", F.size(F.collect_set("_part").over(base.lane))).where(F.col("_n") == len(frames)).drop("_n"))
+        out = out.over(out.df.withColumn("__n", F.size(F.collect_set("__part").over(base.lane))).where(F.col("__n") == len(frames)).drop("__n"))
     if overlap == "sort":
-        return out.renumbered(base.clock, "_part", base.seq).select(*base.fields)
+        return out.renumbered(base.clock, "__part", base.seq).select(*base.fields)
     if base.clock:
-        before = F.lag(base.clock).over(base.lane.orderBy("_part", base.seq))
+        before = F.lag(base.clock).over(base.lane.orderBy("__part", base.seq))
         late = F.when(F.coalesce(before > F.col(base.clock), F.lit(False)), F.raise_error(F.lit("frames overlap on the clock"))).otherwise(F.lit(True))
-        out = out.over(out.df.withColumn("_late", late).where("_late").drop("_late"))
-    return out.renumbered("_part", base.seq).select(*base.fields)
+        out = out.over(out.df.withColumn("__late", late).where("__late").drop("__late"))
+    return out.renumbered("__part", base.seq).select(*base.fields)
 
 
 def _joined(left: LaneFrame, right: LaneFrame, lanes: str, samples: str) -> tuple[DataFrame, list[str]]:
-    """Rows of both by lane and sample; _l and _r say which side is there."""
+    """Rows of both by lane (null keys too) and sample; __l and __r say which side is there."""
     at = [*left.keys, left.seq]
     if lanes not in ("inner", "outer", "exact", "left", "right") or samples not in ("inner", "outer", "exact", "left", "right"):
         raise ValueError("joins are inner, outer, left, right or exact")
-    a = left.df.withColumnsRenamed({c: f"l_{c}" for c in (*left.fields, *([left.clock] if left.clock else []))}).withColumn("_l", F.lit(True))
-    b = right.df.withColumnsRenamed({c: f"r_{c}" for c in (*right.fields, *([right.clock] if right.clock else []))}).withColumn("_r", F.lit(True))
+    a = left.df.withColumnsRenamed({c: f"__l_{c}" for c in (*left.fields, *([left.clock] if left.clock else []))}).withColumn("__l", F.lit(True))
+    b = right.df.withColumnsRenamed({c: f"__r_{c}" for c in (*right.fields, *([right.clock] if right.clock else []))}).withColumn("__r", F.lit(True))
     if lanes == samples and lanes in ("inner", "left", "right"):
-        return a.join(b, at, lanes), at
-    df = a.join(b, at, "full")
+        return meet(a, b, at, lanes), at
+    df = meet(a, b, at, "full")
     lane = left.lane
-    has_l, has_r = F.bool_or(F.coalesce("_l", F.lit(False))).over(lane), F.bool_or(F.coalesce("_r", F.lit(False))).over(lane)
-    df = df.withColumn("_lane_l", has_l).withColumn("_lane_r", has_r)
-    both = F.col("_lane_l") & F.col("_lane_r")
-    keep = {"inner": both, "outer": F.lit(True), "left": F.col("_lane_l"), "right": F.col("_lane_r"), "exact": F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
+    has_l, has_r = F.bool_or(F.coalesce("__l", F.lit(False))).over(lane), F.bool_or(F.coalesce("__r", F.lit(False))).over(lane)
+    df = df.withColumn("__lane_l", has_l).withColumn("__lane_r", has_r)
+    both = F.col("__lane_l") & F.col("__lane_r")
+    keep = {"inner": both, "outer": F.lit(True), "left": F.col("__lane_l"), "right": F.col("__lane_r"), "exact": F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
     df = df.where(keep)
-    there = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    there = F.col("__l").isNotNull() & F.col("__r").isNotNull()
     same = F.when(there | ~both, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))
-    rows = {"inner": there | ~both, "outer": F.lit(True), "left": F.col("_l").isNotNull() | ~both, "right": F.col("_r").isNotNull() | ~both, "exact": same}[samples]
-    return df.where(rows).drop("_lane_l", "_lane_r"), at
+    rows = {"inner": there | ~both, "outer": F.lit(True), "left": F.col("__l").isNotNull() | ~both, "right": F.col("__r").isNotNull() | ~both, "exact": same}[samples]
+    return df.where(rows).drop("__lane_l", "__lane_r"), at
 
 
 def align_pair(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples: str = "exact", fill: float | None = None) -> tuple[LaneFrame, LaneFrame]:
@@ -88,8 +88,8 @@ def align_pair(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples:
     df, at = _joined(left, right, lanes, samples)
     out = []
     for f, side in ((left, "l"), (right, "r")):
-        clock = [F.col(f"{side}_{f.clock}").alias(f.clock)] if f.clock else []
-        cols = [F.when(F.col(f"_{side}").isNotNull(), F.col(f"{side}_{c}")).otherwise(F.lit(fill)).alias(c) for c in f.fields]
+        clock = [F.col(f"__{side}_{f.clock}").alias(f.clock)] if f.clock else []
+        cols = [F.when(F.col(f"__{side}").isNotNull(), F.col(f"__{side}_{c}")).otherwise(F.lit(fill)).alias(c) for c in f.fields]
         out.append(f.over(df.select(*at, *clock, *cols), keys=left.keys, seq=left.seq))
     return out[0], out[1]
 
@@ -98,18 +98,18 @@ def align_many(frames: Sequence[LaneFrame], lanes: str = "inner", samples: str =
     """All frames over the lanes and samples that all (inner), any (outer) or exactly all (exact) have."""
     base, held = frames[0], _common(frames)
     at = [*base.keys, base.seq]
-    every = reduce(DataFrame.unionByName, [f.df.select(*at).withColumn("_f", F.lit(i)) for i, f in enumerate(held)])
-    index = every.groupBy(*at).agg(F.count_distinct("_f").alias("_n"))
-    own = every.groupBy(*base.keys).agg(F.count_distinct("_f").alias("_m"))
-    index = index.join(own, list(base.keys))
+    every = reduce(DataFrame.unionByName, [f.df.select(*at).withColumn("__f", F.lit(i)) for i, f in enumerate(held)])
+    index = every.groupBy(*at).agg(F.count_distinct("__f").alias("__n"))
+    own = every.groupBy(*base.keys).agg(F.count_distinct("__f").alias("__m"))
+    index = meet(index, own, base.keys, "inner")
     n = len(frames)
-    keep_lane = {"inner": F.col("_m") == n, "outer": F.lit(True), "exact": F.when(F.col("_m") == n, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
-    keep = {"inner": F.col("_n") == F.col("_m"), "outer": F.lit(True), "exact": F.when(F.col("_n") == F.col("_m"), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))}[samples]
+    keep_lane = {"inner": F.col("__m") == n, "outer": F.lit(True), "exact": F.when(F.col("__m") == n, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
+    keep = {"inner": F.col("__n") == F.col("__m"), "outer": F.lit(True), "exact": F.when(F.col("__n") == F.col("__m"), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))}[samples]
     index = index.where(keep_lane).where(keep).select(*at)
     out = []
     for f in held:
-        df = index.join(f.df.withColumn("_there", F.lit(True)), at, "left")
-        out.append(f.over(df.withColumns({c: F.when(F.col("_there"), F.col(c)).otherwise(F.lit(fill)) for c in f.fields}).drop("_there")))
+        df = meet(index, f.df.withColumn("__there", F.lit(True)), at, "left")
+        out.append(f.over(df.withColumns({c: F.when(F.col("__there"), F.col(c)).otherwise(F.lit(fill)) for c in f.fields}).drop("__there")))
     return out
 
 
@@ -144,12 +144,12 @@ def _merged(left: LaneFrame, right: LaneFrame, lanes: str, samples: str, compat:
     cols = []
     for c in dict.fromkeys([*left.fields, *right.fields]):
         if c in left.fields and c in right.fields:
-            x, hole = _agreed(F.col(f"l_{c}"), F.col(f"r_{c}"), compat, c, left.df.schema[c].dataType), F.lit(False)
+            x, hole = _agreed(F.col(f"__l_{c}"), F.col(f"__r_{c}"), compat, c, left.df.schema[c].dataType), F.lit(False)
         else:
             side = "l" if c in left.fields else "r"
-            x, hole = F.col(f"{side}_{c}"), F.col(f"_{side}").isNull()
+            x, hole = F.col(f"__{side}_{c}"), F.col(f"__{side}").isNull()
         cols.append((x if fill is None else F.when(hole, F.lit(fill)).otherwise(x)).alias(c))
-    clock = [F.coalesce(F.col(f"l_{left.clock}"), *([F.col(f"r_{right.clock}")] if right.clock else [])).alias(left.clock)] if left.clock else []
+    clock = [F.coalesce(F.col(f"__l_{left.clock}"), *([F.col(f"__r_{right.clock}")] if right.clock else [])).alias(left.clock)] if left.clock else []
     out = df.select(*at, *clock, *cols)
     return LaneFrame(out, left.keys, left.seq, left.clock, tuple(dict.fromkeys([*left.fields, *right.fields])), {**right.components, **left.components}, left.attrs)
 
@@ -168,16 +168,18 @@ def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples:
 
     on: sequence, by sample number; param, by equal clock values, which both must have alike (exact) and once each; auto, by the clock where both
     have one.
-    broadcast: right has one row for some of left's lane keys and no samples; it is joined on the keys that it has.
+    broadcast: right has one row for some of left's lane keys and no samples; it is joined on the keys that it has, and several rows of a key are an error.
     """
     shared = [c for c in left.fields if c in right.fields]
     if broadcast:
         on = [k for k in right.keys if k in left.keys]
-        other = right.df.select(*on, *(F.col(c).alias(f"r_{c}") for c in shared))
+        once = right.df.groupBy(*on).agg(F.count("*").alias("__n"), *(F.first(c).alias(f"__r_{c}") for c in shared))
+        alone = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("the right side has several rows of a key")))
+        other = once.where(alone).drop("__n")
         if not on:
             raise ValueError("the frames share no lane key; give a single value as a column to map_fields")
-        df = left.df.join(other, on)
-        return left.over(df.withColumns({c: f(F.col(c), F.col(f"r_{c}")) for c in shared}).drop(*(f"r_{c}" for c in shared))).select(*shared)
+        df = meet(left.df, other, on, "inner")
+        return left.over(df.withColumns({c: f(F.col(c), F.col(f"__r_{c}")) for c in shared}).drop(*(f"__r_{c}" for c in shared))).select(*shared)
     topology(left, right)
     if on not in ("sequence", "param", "auto"):
         raise ValueError(f"unknown alignment {on}")
@@ -187,18 +189,18 @@ def binary(left: LaneFrame, right: LaneFrame, f, lanes: str = "exact", samples:
             raise ValueError("clocks are aligned exactly")
         a, b = _by_clock(left), _by_clock(right.rename(**{right.clock: left.clock}) if right.clock != left.clock else right)
         df, at = _joined(a, b, lanes, "exact")
-        out = df.select(*left.keys, F.col(f"l_{left.seq}").alias(left.seq), F.col(left.clock), *(f(F.col(f"l_{c}"), F.col(f"r_{c}")).alias(c) for c in shared))
+        out = df.select(*left.keys, F.col(f"__l_{left.seq}").alias(left.seq), F.col(left.clock), *(f(F.col(f"__l_{c}"), F.col(f"__r_{c}")).alias(c) for c in shared))
         return left.over(out, fields=tuple(shared), components={})
     df, at = _joined(left, right, lanes, samples)
-    clock = [F.col(f"l_{left.clock}").alias(left.clock)] if left.clock else []
-    return left.over(df.select(*at, *clock, *(f(F.col(f"l_{c}"), F.col(f"r_{c}")).alias(c) for c in shared)), fields=tuple(shared), components={})
+    clock = [F.col(f"__l_{left.clock}").alias(left.clock)] if left.clock else []
+    return left.over(df.select(*at, *clock, *(f(F.col(f"__l_{c}"), F.col(f"__r_{c}")).alias(c) for c in shared)), fields=tuple(shared), components={})
 
 
 def _by_clock(frame: LaneFrame) -> LaneFrame:
     """The frame with its clock as sample number and its number as clock; clock values that repeat are an error."""
     again = F.lead(frame.clock).over(frame.lane.orderBy(frame.clock)) == F.col(frame.clock)
     once = F.when(F.coalesce(again, F.lit(False)), F.raise_error(F.lit("a clock value repeats in a lane")).cast("boolean"))
-    df = frame.df.withColumn("_once", once).where(F.col("_once").isNull()).drop("_once")
+    df = frame.df.withColumn("__once", once).where(F.col("__once").isNull()).drop("__once")
     return LaneFrame(df, frame.keys, frame.clock, frame.seq, frame.fields)
 
 
@@ -214,13 +216,13 @@ def assemble_core(values: Sequence, output: str, lanes: str = "exact", samples:
             if len(v.fields) != 1:
                 raise ValueError("a core is assembled from frames of one field each")
             flat.append(v)
-            return F.col(f"_c{len(flat) - 1}")
+            return F.col(f"__c{len(flat) - 1}")
         if not v or len({_shape(x) for x in v}) > 1:
             raise ValueError("a core needs lists of the same shape")
         return F.array(*map(laid, v))
 
     core = laid(values)
-    named = [f.rename(**{f.fields[0]: f"_c{i}"}) for i, f in enumerate(_common(flat))]
+    named = [f.rename(**{f.fields[0]: f"__c{i}"}) for i, f in enumerate(_common(flat))]
     out = reduce(lambda a, b: _merged(a, b, lanes, samples, "no_conflicts", None), named)
     return out.over(out.df.withColumn(output, core), fields=(*out.fields, output), components={}).select(output)
 
@@ -241,9 +243,9 @@ def block_frames(rows: Sequence[Sequence[LaneFrame]], output: str) -> LaneFrame:
 
 def concat_frames(frames: Sequence[LaneFrame], output: str, lanes: str = "exact", samples: str = "exact") -> LaneFrame:
     """Frames of one array field each, end to end."""
-    named = [f.rename(**{f.fields[0]: f"_c{i}"}) for i, f in enumerate(_common(list(frames)))]
+    named = [f.rename(**{f.fields[0]: f"__c{i}"}) for i, f in enumerate(_common(list(frames)))]
     out = reduce(lambda a, b: _merged(a, b, lanes, samples, "no_conflicts", None), named)
-    return out.over(out.df.withColumn(output, F.concat(*(f"_c{i}" for i in range(len(named))))), fields=(*out.fields, output), components={}).select(output)
+    return out.over(out.df.withColumn(output, F.concat(*(f"__c{i}" for i in range(len(named))))), fields=(*out.fields, output), components={}).select(output)
 
 
 def stack_core(frame: LaneFrame, fields: Sequence[str], output: str) -> LaneFrame:

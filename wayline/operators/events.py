@@ -6,6 +6,7 @@ sample enters, the last true one exits.
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Sequence
 
@@ -14,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayline.frame import LaneFrame
+from wayline.functions.clocks import Clock
 from wayline.functions.numeric import isclose
-from wayline.operators import asof
+from wayline.operators import asof, folds
 
 #: Edge codes and the mark for "no sample": fixed values.
 ENTER, EXIT, TRIGGER, NONE = 1, 2, 3, -1
@@ -48,13 +50,13 @@ def with_operands(frame: LaneFrame, others: dict[str, LaneFrame], interp: str =
 
 def _edges(frame: LaneFrame, cond: Column) -> DataFrame:
     order = frame.ordered
-    df = mask(frame, cond, "_on")
+    df = mask(frame, cond, "__on")
     return df.withColumns(
         {
-            "_was": F.lag("_on").over(order),
-            "_will": F.lead("_on").over(order),
-            "_before": F.coalesce(F.lag(frame.seq).over(order), F.lit(NONE)).cast("long"),
-            "_after": F.coalesce(F.lead(frame.seq).over(order), F.lit(NONE)).cast("long"),
+            "__was": F.lag("__on").over(order),
+            "__will": F.lead("__on").over(order),
+            "__before": F.coalesce(F.lag(frame.seq).over(order), F.lit(NONE)).cast("long"),
+            "__after": F.coalesce(F.lead(frame.seq).over(order), F.lit(NONE)).cast("long"),
         }
     )
 
@@ -63,30 +65,25 @@ def _event(code: int, time: Column, before: Column, after: Column) -> Column:
     return F.struct(time.alias("time"), F.lit(code).alias("edge_code"), before.cast("long").alias("sample_index_before"), after.cast("long").alias("sample_index_after"))
 
 
-def _deduped(rows: DataFrame, keys: Sequence[str], atol: float) -> DataFrame:
-    """Events without those within atol of the last one kept of the same code; a lane's close events are folded in its order."""
-    order = W.partitionBy(*keys, "edge_code").orderBy("time", "sample_index_before", "sample_index_after")
-    # a chain of events each within atol of the one before it; only inside a chain does the fold matter
-    rows = rows.withColumn("_start", F.when(F.col("time") - F.lag("time").over(order) <= atol, 0).otherwise(1))
-    rows = rows.withColumn("_chain", F.sum("_start").over(order))
-    whole = W.partitionBy(*keys, "edge_code", "_chain").orderBy("time", "sample_index_before", "sample_index_after")
-    times = F.collect_list("time").over(whole.rowsBetween(W.unboundedPreceding, 0))
-    last = F.aggregate(times, F.struct(F.lit(None).cast("double").alias("at"), F.lit(False).alias("kept")), lambda s, x: F.when(s["at"].isNull() | (x - s["at"] > atol), F.struct(x.alias("at"), F.lit(True).alias("kept"))).otherwise(F.struct(s["at"].alias("at"), F.lit(False).alias("kept"))))
-    return rows.withColumn("_kept", last["kept"]).where("_kept").drop("_start", "_chain", "_kept")
+def _deduped(rows: DataFrame, keys: Sequence[str], atol: object) -> DataFrame:
+    """Events without those within atol of the last one kept of the same code, in one pass over a lane's events."""
+    clock = Clock.of(rows, "time")
+    ticked = rows.withColumn("__ticks", clock.ticks(F.col("time")))
+    return folds.thinned(ticked, [*keys, "edge_code"], "__ticks", clock.span(atol), ["sample_index_before", "sample_index_after"]).drop("__ticks")
 
 
-def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigger: bool = False, max_events: int | None = None, dedupe_atol: float | None = None) -> DataFrame:
+def events(frame: LaneFrame, cond: Column, include_initial: bool = False, trigger: bool = False, max_events: int | None = None, dedupe_atol: object = None) -> DataFrame:
     """Lane keys, event, time, edge_code, sample_index_before and _after of every boundary.
 
     include_initial: a lane that begins true enters at its first sample. trigger: also an event at every true sample
     (for equality conditions). dedupe_atol: leave out events so close to the last kept one of their code (with clocks that increase by more
-    it never happens).
+    it never happens); a timedelta where the clock is of instants.
     """
     e, seq, t = _edges(frame, cond), F.col(frame.seq), F.col(frame.clock)
-    began = (F.col("_was") == F.lit(False)) | (F.col("_was").isNull() if include_initial else F.lit(False))
-    enter = F.when(F.col("_on") & F.coalesce(began, F.lit(False)), _event(ENTER, t, F.col("_before"), seq))
-    leave = F.when(F.col("_on") & ~F.coalesce(F.col("_will"), F.lit(False)), _event(EXIT, t, seq, F.col("_after")))
-    found = [enter, *([F.when(F.col("_on"), _event(TRIGGER, t, seq, seq))] if trigger else []), leave]
+    began = (F.col("__was") == F.lit(False)) | (F.col("__was").isNull() if include_initial else F.lit(False))
+    enter = F.when(F.col("__on") & F.coalesce(began, F.lit(False)), _event(ENTER, t, F.col("__before"), seq))
+    leave = F.when(F.col("__on") & ~F.coalesce(F.col("__will"), F.lit(False)), _event(EXIT, t, seq, F.col("__after")))
+    found = [enter, *([F.when(F.col("__on"), _event(TRIGGER, t, seq, seq))] if trigger else []), leave]
     rows = e.select(*frame.keys, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(*frame.keys, "x.*")
     rows = rows if dedupe_atol is None else _deduped(rows, frame.keys, dedupe_atol)
     rank = F.when(F.col("edge_code") == ENTER, 0).when(F.col("edge_code") == TRIGGER, 1).otherwise(2)
@@ -103,17 +100,17 @@ def intervals(frame: LaneFrame, cond: Column, include_initial: bool = False, max
     its own too, with a column is_trigger, and stretches of one sample are told only once, as triggers.
     """
     order = frame.ordered
-    df = mask(frame, cond, "_on").withColumn("_was", F.lag("_on").over(order))
-    start = F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))
-    df = df.withColumn("_island", F.sum(start.cast("int")).over(order)).withColumn("_first", F.col("_was").isNull())
-    on = df.where("_on").groupBy(*frame.keys, "_island").agg(
-        F.min(frame.clock).alias("start_time"), F.max(frame.clock).alias("end_time"), F.min(frame.seq).alias("start_index"), F.max(frame.seq).alias("end_index"), F.bool_or("_first").alias("_first")
+    df = mask(frame, cond, "__on").withColumn("__was", F.lag("__on").over(order))
+    start = F.col("__on") & ~F.coalesce(F.col("__was"), F.lit(False))
+    df = df.withColumn("__island", F.sum(start.cast("int")).over(order)).withColumn("__first", F.col("__was").isNull())
+    on = df.where("__on").groupBy(*frame.keys, "__island").agg(
+        F.min(frame.clock).alias("start_time"), F.max(frame.clock).alias("end_time"), F.min(frame.seq).alias("start_index"), F.max(frame.seq).alias("end_index"), F.bool_or("__first").alias("__first")
     )
-    on = on if include_initial else on.where("NOT _first")
+    on = on if include_initial else on.where("NOT __first")
     on = on.withColumn("is_trigger", F.lit(False))
     if trigger:
         t, n = F.col(frame.clock), F.col(frame.seq)
-        single = df.where("_on").select(*frame.keys, t.alias("start_time"), t.alias("end_time"), n.alias("start_index"), n.alias("end_index"), F.lit(True).alias("is_trigger"))
+        single = df.where("__on").select(*frame.keys, t.alias("start_time"), t.alias("end_time"), n.alias("start_index"), n.alias("end_index"), F.lit(True).alias("is_trigger"))
         on = on.where(F.col("start_index") < F.col("end_index")).unionByName(single, allowMissingColumns=True)
     out = on.withColumn("segment", (F.row_number().over(frame.lane.orderBy("start_index", "is_trigger")) - 1).cast("int"))
     out = out if max_segments is None else out.where(F.col("segment") < max_segments)
@@ -127,7 +124,7 @@ def pick(found: DataFrame, keys: Sequence[str], edges: str = "all", mode: str =
     if mode == "all":
         return kept
     order = W.partitionBy(*keys).orderBy(F.col("event").desc() if mode == "last" else F.col("event"))
-    return kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= (n if mode == "first_n" else 1)).drop("_r")
+    return kept.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= (n if mode == "first_n" else 1)).drop("__r")
 
 
 def at_boundaries(frame: LaneFrame, cond: Column, edges: str = "all", mode: str = "all", n: int = 1, include_initial: bool = False, on_empty: str = "empty") -> DataFrame:
@@ -147,7 +144,7 @@ def _or_error(df: DataFrame, on_empty: str) -> DataFrame:
 def stream_segments(segments: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Segments (of ``when``) one after another as one sequence per lane, with stream_segment_index."""
     order = W.partitionBy(*keys).orderBy("segment", seq)
-    return segments.withColumn("_n", (F.row_number().over(order) - 1).cast("long")).withColumn(seq, F.col("_n")).drop("_n").withColumnRenamed("segment", "stream_segment_index")
+    return segments.withColumn("__n", (F.row_number().over(order) - 1).cast("long")).withColumn(seq, F.col("__n")).drop("__n").withColumnRenamed("segment", "stream_segment_index")
 
 
 def when(frame: LaneFrame, cond: Column, layout: str = "mask", inside: bool = True, max_segments: int | None = None, on_empty: str = "empty") -> LaneFrame | DataFrame:
@@ -166,37 +163,43 @@ def when(frame: LaneFrame, cond: Column, layout: str = "mask", inside: bool = Tr
     if layout == "stream":
         return frame.over(frame.df.withColumn("orig_index", F.col(frame.seq))).where(cond, drop=True)
     order = frame.ordered
-    df = mask(frame, cond, "_on")
-    start = F.col("_on") & ~F.coalesce(F.lag("_on").over(order), F.lit(False))
-    df = df.withColumn("segment", (F.sum(start.cast("int")).over(order) - 1).cast("int")).where("_on")
+    df = mask(frame, cond, "__on")
+    start = F.col("__on") & ~F.coalesce(F.lag("__on").over(order), F.lit(False))
+    df = df.withColumn("segment", (F.sum(start.cast("int")).over(order) - 1).cast("int")).where("__on")
     whole = W.partitionBy(*frame.keys, "segment")
     df = df.withColumns(
         {
             "segment_start_time": F.min(frame.clock).over(whole), "segment_end_time": F.max(frame.clock).over(whole),
             "segment_start_index": F.min(frame.seq).over(whole), "segment_end_index": F.max(frame.seq).over(whole),
-            "orig_index": F.col(frame.seq), "_n": (F.row_number().over(whole.orderBy(frame.seq)) - 1).cast("long"),
+            "orig_index": F.col(frame.seq), "__n": (F.row_number().over(whole.orderBy(frame.seq)) - 1).cast("long"),
         }
     )
     df = df if max_segments is None else df.where(F.col("segment") < max_segments)
-    return df.withColumn(frame.seq, F.col("_n")).drop("_n", "_on")
+    return df.withColumn(frame.seq, F.col("__n")).drop("__n", "__on")
 
 
-def tau_grid(pre: float, post: float, dt: float) -> list[float]:
-    """-pre, -pre + dt, ... up to post, with 0 put in where it is not hit."""
+def tau_grid(pre: object, post: object, dt: object) -> list:
+    """-pre, -pre + dt, ... up to post, with 0 put in where it is not hit; of numbers, or of timedeltas."""
+    if isinstance(dt, datetime.timedelta):
+        found = [-pre + k * dt for k in range((pre + post) // dt + 1)]
+        return sorted({*found, datetime.timedelta(0)})
     n = math.floor((pre + post) / dt + 1e-9)
     taus = [-pre + k * dt for k in range(n + 1)]
     taus = [0.0 if abs(x) < 1e-12 else x for x in taus]
     return taus if 0.0 in taus else sorted([*taus, 0.0])
 
 
-def around(frame: LaneFrame, anchors: DataFrame, taus: Sequence[float], layout: str = "segments") -> DataFrame:
+def around(frame: LaneFrame, anchors: DataFrame, taus: Sequence[object], layout: str = "segments") -> DataFrame:
     """Fields at anchor time + tau for every anchor (lane keys, event, time, edge_code) and tau; missing outside the lane.
 
-    stacked: one sequence per lane, in order of event and tau, with window_tau and window_event_index.
+    taus: numbers, or timedeltas where the clock is of instants (tau is an interval then). stacked: one sequence per lane, in order of event and tau, with
+    window_tau and window_event_index.
     """
-    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("tau")) for i, x in enumerate(taus)))
-    q = anchors.select(*frame.keys, "event", F.col("time").alias("event_time"), F.col("edge_code").alias("event_edge_code"), F.explode(grid).alias("g"))
-    q = q.select(*frame.keys, "event", "event_time", "event_edge_code", F.col("g.i").alias("tau_index"), F.col("g.tau").alias("tau"), (F.col("event_time") + F.col("g.tau")).alias("at"))
+    clock = Clock.of(frame.df, frame.clock)
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), clock.offset(x).alias("tau"), F.lit(clock.span(x) if clock.instants else float(x)).cast("long" if clock.instants else "double").alias("ticks")) for i, x in enumerate(taus)))
+    q = anchors.select(*frame.keys, "event", F.col("time").alias("event_time"), F.col("edge_code").alias("event_edge_code"), F.explode(grid).alias("__g"))
+    there = clock.same(anchors, "time").ticks(F.col("event_time")) + F.col("__g.ticks")
+    q = q.select(*frame.keys, "event", "event_time", "event_edge_code", F.col("__g.i").alias("tau_index"), F.col("__g.tau").alias("tau"), clock.value(there).alias("at"))
     out = asof.at(frame, q, "at")
     if layout == "segments":
         return out

@@ -166,14 +166,14 @@ def identity_pose() -> Column:
 
 
 def _alpha(q: Column) -> Column:
-    width = (F.col("right.t") - F.col("left.t")).cast("double")
-    return (q - F.col("left.t")).cast("double") / F.when(width != 0, width)
+    width = (F.col("__right.t") - F.col("__left.t")).cast("double")
+    return (q - F.col("__left.t")).cast("double") / F.when(width != 0, width)
 
 
 def _policy(q: Column, duplicates: str, exact: Column, first: Column, last: Column, inner: Column) -> Column:
     """The value at a query: the sample itself at the lane's ends, by the policy at repeated clock values, else the blend."""
-    many = F.col("right.again") & (q == F.col("right.t"))
-    end = (q == F.col("right.t")) & (F.col("left").isNull() | (q == F.col("end")))
+    many = F.col("__right.again") & (q == F.col("__right.t"))
+    end = (q == F.col("__right.t")) & (F.col("__left").isNull() | (q == F.col("__end")))
     fault = F.when(F.raise_error(F.lit("a query meets repeated clock values")).cast("boolean"), exact)
     taken = {"invalid": F.when(F.lit(False), exact), "left": first, "right": last, "raise": fault}[duplicates]
     return F.when(many, taken).when(end, exact).otherwise(inner)
@@ -183,40 +183,40 @@ def _bracketed(samples: LaneFrame, name: str, queries: DataFrame, on: str, dupli
     if duplicates not in asof.POLICIES:
         raise ValueError(f"unknown policy {duplicates}")
     found = asof.bracket(samples.select(name), queries, on, last_of_equal=duplicates == "right")
-    return found, F.col(f"upto.{name}") if duplicates == "right" else F.col(f"right.{name}")
+    return found, F.col(f"__upto.{name}") if duplicates == "right" else F.col(f"__right.{name}")
 
 
 def interpolated_rotations(samples: LaneFrame, name: str, queries: DataFrame, on: str, output: str, method: str = "slerp", duplicates: str = "invalid") -> DataFrame:
     """queries with the rotation at their clock; method: slerp, linear (blended and normalised) or nearest (clamped outside, ties go left)."""
-    q = F.col(on)
+    q = asof.ticks_of(queries, on)
     found, last = _bracketed(samples, name, queries, on, duplicates)
-    a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
+    a, b = F.col(f"__left.{name}"), F.col(f"__right.{name}")
     if method == "nearest":
         return found.select(*queries.columns, F.when(q.isNotNull(), F.when(asof._nearest_left(q), a).otherwise(b)).alias(output))
     if method == "slerp":
-        found = sp.with_slerp(found, a, b, _alpha(q), "_inner")
+        found = sp.with_slerp(found, a, b, _alpha(q), "__inner")
     elif method == "linear":
         k = _alpha(q)
         sign = F.when(sp.qdot(a, b) < 0, -1.0).otherwise(1.0)
-        found = found.withColumn("_mixed", sp.quaternion(*((1 - k) * a[c] + k * sign * b[c] for c in sp.QUATERNION))).withColumn("_inner", F.when(k.isNotNull(), sp.normalised(F.col("_mixed"))))
+        found = found.withColumn("__mixed", sp.quaternion(*((1 - k) * a[c] + k * sign * b[c] for c in sp.QUATERNION))).withColumn("__inner", F.when(k.isNotNull(), sp.normalised(F.col("__mixed"))))
     else:
         raise ValueError(f"unknown method {method}")
-    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, F.col("_inner")).alias(output))
+    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, F.col("__inner")).alias(output))
 
 
 def interpolated_poses(poses: LaneFrame, name: str, queries: DataFrame, on: str, output: str, duplicates: str = "invalid", rotation: str = "slerp", position: str = "linear") -> DataFrame:
     """queries with the pose at their clock: position blended, rotation by slerp, or either from the nearest sample; missing outside the clock."""
-    q = F.col(on)
+    q = asof.ticks_of(queries, on)
     found, last = _bracketed(poses, name, queries, on, duplicates)
-    a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
-    left, k = asof._nearest_left(q), F.col("_alpha")
-    found = found.withColumn("_alpha", _alpha(q))
+    a, b = F.col(f"__left.{name}"), F.col(f"__right.{name}")
+    left, k = asof._nearest_left(q), F.col("__alpha")
+    found = found.withColumn("__alpha", _alpha(q))
     if rotation == "slerp":
-        found = sp.with_slerp(found, a["q"], b["q"], k, "_turn")
+        found = sp.with_slerp(found, a["q"], b["q"], k, "__turn")
     else:
-        found = found.withColumn("_turn", F.when(left, a["q"]).otherwise(b["q"]))
+        found = found.withColumn("__turn", F.when(left, a["q"]).otherwise(b["q"]))
     p = sp.vadd(sp.vscale(a["p"], 1 - k), sp.vscale(b["p"], k)) if position == "linear" else F.when(left, a["p"]).otherwise(b["p"])
-    inner = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), sp.pose(p, F.col("_turn")))
+    inner = F.when(F.col("__left").isNotNull() & F.col("__right").isNotNull(), sp.pose(p, F.col("__turn")))
     return found.select(*queries.columns, _policy(q, duplicates, b, b, last, inner).alias(output))
 
 
@@ -244,8 +244,8 @@ def _edge_values(graph: FrameGraph, rows: LaneFrame, path: list[Step], field: st
         if edge is None:
             raise ValueError(f"no pose for {step.child} in {step.parent}")
         if isinstance(edge, LaneFrame):
-            df = interpolate(edge, field, df, rows.clock, f"_edge{i}")
-            edge = F.col(f"_edge{i}")
+            df = interpolate(edge, field, df, rows.clock, f"__edge{i}")
+            edge = F.col(f"__edge{i}")
         made.append(edge)
     return df, made
 
@@ -260,7 +260,7 @@ def with_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, output: st
     if not path:
         return df.withColumn(output, identity_pose())
     walked = [sp.pose_inverse(e) if s.inverted else e for s, e in zip(path, edges, strict=True)]
-    return sp.with_composed(df, walked, output).drop(*(f"_edge{i}" for i in range(len(path))))
+    return sp.with_composed(df, walked, output).drop(*(f"__edge{i}" for i in range(len(path))))
 
 
 def with_rotation_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, output: str = "rotation", rotation_field: str = "rotation", poses: bool = False) -> DataFrame:
@@ -272,14 +272,14 @@ def with_rotation_path(graph: FrameGraph, rows: LaneFrame, src: str, dst: str, o
     for step, e in zip(path, edges, strict=True):
         turn = e["q"] if poses else e
         df = df.withColumn(output, sp.rotation_compose(F.col(output), sp.rotation_inverse(turn) if step.inverted else turn))
-    return df.drop(*(f"_edge{i}" for i in range(len(path))))
+    return df.drop(*(f"__edge{i}" for i in range(len(path))))
 
 
 def to_frame(graph: FrameGraph, rows: LaneFrame, point: str, src: str, dst: str) -> LaneFrame:
     """A point field given in src, in dst; a frame of displacements (``as_delta``) is turned only."""
-    df = with_path(graph, rows, src, dst, "_transform")
-    turned = sp.rotate(F.col("_transform.q"), F.col(point)) if rows.attrs.get("intent") == "delta" else sp.pose_apply(F.col("_transform"), F.col(point))
-    return rows.over(df.withColumn(point, turned).drop("_transform")).retag(parent=dst)
+    df = with_path(graph, rows, src, dst, "__transform")
+    turned = sp.rotate(F.col("__transform.q"), F.col(point)) if rows.attrs.get("intent") == "delta" else sp.pose_apply(F.col("__transform"), F.col(point))
+    return rows.over(df.withColumn(point, turned).drop("__transform")).retag(parent=dst)
 
 
 def as_delta(rows: LaneFrame) -> LaneFrame:
@@ -289,14 +289,14 @@ def as_delta(rows: LaneFrame) -> LaneFrame:
 
 def express_in(graph: FrameGraph, rows: LaneFrame, vector: str, src: str, dst: str) -> LaneFrame:
     """A vector field with its components in the basis of dst: turned, not moved."""
-    df = with_path(graph, rows, src, dst, "_transform")
-    return rows.over(df.withColumn(vector, sp.rotate(F.col("_transform.q"), F.col(vector))).drop("_transform")).retag(expressed_in=dst)
+    df = with_path(graph, rows, src, dst, "__transform")
+    return rows.over(df.withColumn(vector, sp.rotate(F.col("__transform.q"), F.col(vector))).drop("__transform")).retag(expressed_in=dst)
 
 
 def express_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str) -> LaneFrame:
     """A motion field (linear and angular part) with its components in the basis of dst."""
-    df = with_path(graph, rows, src, dst, "_transform")
-    return rows.over(df.withColumn(field, mo.turned(F.col("_transform.q"), F.col(field))).drop("_transform")).retag(expressed_in=dst)
+    df = with_path(graph, rows, src, dst, "__transform")
+    return rows.over(df.withColumn(field, mo.turned(F.col("__transform.q"), F.col(field))).drop("__transform")).retag(expressed_in=dst)
 
 
 def couple_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str, motion: Callable[[Step], Column | None], pair: bool = False) -> LaneFrame:

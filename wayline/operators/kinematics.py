@@ -1,4 +1,4 @@
-"""Derivatives, integrals and smoothing along the clock of each lane.
+"""Derivatives, integrals and smoothing along the clock of each lane; on clocks of instants per second, and with sigma in seconds.
 
 Fields are numbers, or structs of numbers however nested (positions, velocities, pairs of linear and angular parts): then
 every number of the struct is worked on for itself and the structs are put together again.
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from wayline.frame import LaneFrame
+from wayline.functions.clocks import Clock
+from wayline.operators import scan
 
 
 #: What a derivative, and an integral, of each kind of quantity is.
@@ -45,7 +47,7 @@ def by_component(work: Callable) -> Callable:
         kinds = {c: frame.df.schema[c].dataType for c in frame.fields}
         if not any(isinstance(k, T.StructType) for k in kinds.values()):
             return work(frame, *args, **options)
-        names = {p: f"_part_{'_'.join(p)}" for c, k in kinds.items() for p in _leaves(k, (c,))}
+        names = {p: f"__part_{'_'.join(p)}" for c, k in kinds.items() for p in _leaves(k, (c,))}
         flat = frame.df.select(*frame.keys, frame.seq, frame.clock, *(F.col(".".join(f"`{x}`" for x in p)).alias(n) for p, n in names.items()))
         done = work(frame.over(flat, fields=tuple(names.values()), components={}), *args, **options)
         cols = [_rebuilt(k, (c,), names).alias(c) for c, k in kinds.items()]
@@ -64,10 +66,12 @@ def _kind(frame: LaneFrame, table: dict[str, str], what: str) -> LaneFrame:
     return frame.retag(kind=table[kind])
 
 
-def _dt(frame: LaneFrame) -> Column:
-    """Clock step from the sample before; a step that isn't positive is an error."""
-    step = F.col(frame.clock) - F.lag(frame.clock).over(frame.ordered)
-    return F.when(step <= 0, F.raise_error(F.lit("the clock must increase")).cast("double")).otherwise(step.cast("double"))
+def _dt(frame: LaneFrame, order: W | None = None) -> Column:
+    """Clock step from the sample before, in seconds where the clock is of instants; a step that isn't positive is an error."""
+    clock = Clock.of(frame.df, frame.clock)
+    t = clock.ticks(F.col(frame.clock))
+    step = t - F.lag(t).over(frame.ordered if order is None else order)
+    return F.when(step <= 0, F.raise_error(F.lit("the clock must increase")).cast("double")).otherwise(step.cast("double") / F.lit(clock.unit()))
 
 
 def differentiate(frame: LaneFrame, method: str = "finite_difference", window: int = 5, poly_order: int = 2, order: int = 1) -> LaneFrame:
@@ -86,20 +90,20 @@ def differentiate(frame: LaneFrame, method: str = "finite_difference", window: i
 def _slope(frame: LaneFrame, method: str, window: int, poly_order: int) -> LaneFrame:
     if method == "local_polynomial":
         return local_polynomial(frame, window, poly_order, derivative=True)
-    df = frame.df.withColumn("_dt", _dt(frame))
-    slopes = {f"_d_{c}": (F.col(c) - F.lag(c).over(frame.ordered)) / F.col("_dt") for c in frame.fields}
+    df = frame.df.withColumn("__dt", _dt(frame))
+    slopes = {f"__d_{c}": (F.col(c) - F.lag(c).over(frame.ordered)) / F.col("__dt") for c in frame.fields}
     df = df.withColumns(slopes)
-    first = F.col("_dt").isNull()
-    return frame.over(df.withColumns({c: F.when(first, F.lead(f"_d_{c}").over(frame.ordered)).otherwise(F.col(f"_d_{c}")) for c in frame.fields}).drop("_dt", *slopes))
+    first = F.col("__dt").isNull()
+    return frame.over(df.withColumns({c: F.when(first, F.lead(f"__d_{c}").over(frame.ordered)).otherwise(F.col(f"__d_{c}")) for c in frame.fields}).drop("__dt", *slopes))
 
 
 def _running(frame: LaneFrame, steps: dict[str, Column], initial: float) -> LaneFrame:
     """Running sums from the initial value; from a missing step on the sum is missing."""
     order = frame.ordered.rowsBetween(W.unboundedPreceding, 0)
-    df = frame.df.withColumns({f"_s_{c}": x for c, x in steps.items()})
+    df = frame.df.withColumns({f"__s_{c}": x for c, x in steps.items()})
     first = F.row_number().over(frame.ordered) == 1
-    sums = {c: F.when(F.count(F.when(~F.col("_first") & F.col(f"_s_{c}").isNull(), 1)).over(order) == 0, F.lit(float(initial)) + F.coalesce(F.sum(f"_s_{c}").over(order), F.lit(0.0))) for c in steps}
-    return frame.over(df.withColumn("_first", first).withColumns(sums).drop("_first", *(f"_s_{c}" for c in steps)))
+    sums = {c: F.when(F.count(F.when(~F.col("__first") & F.col(f"__s_{c}").isNull(), 1)).over(order) == 0, F.lit(float(initial)) + F.coalesce(F.sum(f"__s_{c}").over(order), F.lit(0.0))) for c in steps}
+    return frame.over(df.withColumn("__first", first).withColumns(sums).drop("__first", *(f"__s_{c}" for c in steps)))
 
 
 def integrate(frame: LaneFrame, method: str = "cumulative_trapezoid", initial: float = 0.0) -> LaneFrame:
@@ -113,15 +117,20 @@ def integrate(frame: LaneFrame, method: str = "cumulative_trapezoid", initial: f
 @by_component
 def _area(frame: LaneFrame, method: str, initial: float) -> LaneFrame:
     order = frame.ordered
+    if method == "cumulative_trapezoid" and frame.cuts is not None:
+        order = W.partitionBy(*frame.keys, scan.CHUNK).orderBy(frame.seq)
+        steps = {c: 0.5 * (F.col(c) + F.lag(c).over(order)) * F.col("__dt") for c in frame.fields}
+        sums = frame.over(scan.running(frame, steps, {"__dt": _dt(frame, order)}, [frame.seq]))
+        return sums.over(sums.df.withColumns({c: F.col(c) + F.lit(float(initial)) for c in frame.fields}))
     if method == "cumulative_trapezoid":
-        frame = frame.over(frame.df.withColumn("_dt", _dt(frame)))
-        out = _running(frame, {c: 0.5 * (F.col(c) + F.lag(c).over(order)) * F.col("_dt") for c in frame.fields}, initial)
-        return out.over(out.df.drop("_dt"))
+        frame = frame.over(frame.df.withColumn("__dt", _dt(frame)))
+        out = _running(frame, {c: 0.5 * (F.col(c) + F.lag(c).over(order)) * F.col("__dt") for c in frame.fields}, initial)
+        return out.over(out.df.drop("__dt"))
     if method != "cumulative_simpson":
         raise ValueError(f"unknown method {method}")
-    df = frame.df.withColumn("_dt", _dt(frame)).withColumn("_k", F.row_number().over(order) - 2)  # interval k ends at this sample
-    df = df.withColumn("_next", F.lead("_dt").over(order)).withColumn("_prior", F.lag("_dt").over(order))
-    ahead = (F.col("_k") % 2 == 0) & F.col("_next").isNotNull()
+    df = frame.df.withColumn("__dt", _dt(frame)).withColumn("__k", F.row_number().over(order) - 2)  # interval k ends at this sample
+    df = df.withColumn("__next", F.lead("__dt").over(order)).withColumn("__prior", F.lag("__dt").over(order))
+    ahead = (F.col("__k") % 2 == 0) & F.col("__next").isNotNull()
 
     def area(f1: Column, f2: Column, f3: Column, h: Column, g: Column) -> Column:
         """Over h of the parabola through values f1, f2 at its ends and f3 a further g away."""
@@ -131,11 +140,11 @@ def _area(frame: LaneFrame, method: str, initial: float) -> LaneFrame:
     steps = {}
     for c in frame.fields:
         here, before = F.col(c), F.lag(c).over(order)
-        forward = area(before, here, F.lead(c).over(order), F.col("_dt"), F.col("_next"))
-        back = area(here, before, F.lag(c, 2).over(order), F.col("_dt"), F.col("_prior"))
+        forward = area(before, here, F.lead(c).over(order), F.col("__dt"), F.col("__next"))
+        back = area(here, before, F.lag(c, 2).over(order), F.col("__dt"), F.col("__prior"))
         steps[c] = F.when(ahead, forward).otherwise(back)
     out = _running(frame, steps, initial)
-    return out.over(out.df.drop("_dt", "_k", "_next", "_prior"))
+    return out.over(out.df.drop("__dt", "__k", "__next", "__prior"))
 
 
 @by_component
@@ -151,19 +160,20 @@ def smooth(frame: LaneFrame, method: str = "moving_average", window: int = 5, si
         return frame.over(frame.df.withColumns({c: F.when(F.count(c).over(around) == F.count(F.lit(1)).over(around), F.avg(c).over(around)) for c in frame.fields}))
     if method != "gaussian":
         raise ValueError(f"unknown method {method}")
-    t = F.col(frame.clock).cast("double")
+    clock = Clock.of(frame.df, frame.clock)
+    t = clock.ticks(F.col(frame.clock))
     near = {k: F.lag(t, k).over(order) if k > 0 else F.lead(t, -k).over(order) if k < 0 else t for k in range(-r, r + 1)}
-    df = frame.df.withColumns({f"_w{k + r}": F.exp(-0.5 * F.pow((near[k] - t) / sigma, 2)) for k in near})
+    df = frame.df.withColumns({f"__w{k + r}": F.exp(-0.5 * F.pow((near[k] - t).cast("double") / F.lit(clock.unit() * sigma), 2)) for k in near})
     out = {}
     for c in frame.fields:
         total = weight = F.lit(0.0)
         for k in near:
             v = F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order) if k < 0 else F.col(c)
-            w = F.col(f"_w{k + r}")
+            w = F.col(f"__w{k + r}")
             total = total + F.when(w.isNotNull(), w * v).otherwise(0.0)
             weight = weight + F.coalesce(w, F.lit(0.0))
         out[c] = total / weight
-    return frame.over(df.withColumns(out).drop(*(f"_w{k + r}" for k in near)))
+    return frame.over(df.withColumns(out).drop(*(f"__w{k + r}" for k in near)))
 
 
 def local_polynomial(frame: LaneFrame, window: int, poly_order: int, derivative: bool) -> LaneFrame:
@@ -172,15 +182,16 @@ def local_polynomial(frame: LaneFrame, window: int, poly_order: int, derivative:
     A sample's window is gathered by a window function, as an array of bounded length, and fitted in Arrow batches of samples, so no
     lane has to fit in memory. With fewer samples than the polynomial has coefficients, or a missing value in the window, the result is missing.
     """
-    r, fields, t = window // 2, frame.fields, frame.clock
+    r, fields, clock = window // 2, frame.fields, Clock.of(frame.df, frame.clock)
+    t = clock.ticks(F.col(frame.clock))
     around = frame.ordered.rowsBetween(-r, r)
-    numbers = F.struct(F.col(t).cast("double").alias("t"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(fields)))
-    df = frame.df.withColumn("_near", F.collect_list(numbers).over(around))
-    offsets = F.transform("_near", lambda s: s["t"] - F.col(t).cast("double"))
-    values = F.array(*(F.col(f"_near.v{i}") for i in range(len(fields))))
+    numbers = F.struct(t.alias("t"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(fields)))
+    df = frame.df.withColumn("__near", F.collect_list(numbers).over(around))
+    offsets = F.transform("__near", lambda s: (s["t"] - t).cast("double") / F.lit(clock.unit()))
+    values = F.array(*(F.col(f"__near.v{i}") for i in range(len(fields))))
     fitted = _fitted(poly_order, 1 if derivative else 0)(offsets, values)
-    df = df.withColumn("_fit", fitted)
-    return frame.over(df.withColumns({c: F.when(~F.isnan(F.get("_fit", F.lit(i))), F.get("_fit", F.lit(i))) for i, c in enumerate(fields)}).drop("_near", "_fit"))
+    df = df.withColumn("__fit", fitted)
+    return frame.over(df.withColumns({c: F.when(~F.isnan(F.get("__fit", F.lit(i))), F.get("__fit", F.lit(i))) for i, c in enumerate(fields)}).drop("__near", "__fit"))
 
 
 def _fitted(poly_order: int, which: int) -> Callable:

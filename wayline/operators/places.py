@@ -22,27 +22,27 @@ def at(samples: LaneFrame, name: str, queries: DataFrame, on: str, output: str,
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    q = F.col(on)
+    q = asof.ticks_of(queries, on)
     found, last = _bracketed(samples, name, queries, on, duplicates)
-    a, b = F.col(f"left.{name}"), F.col(f"right.{name}")
+    a, b = F.col(f"__left.{name}"), F.col(f"__right.{name}")
     if method == "nearest":
         return found.select(*queries.columns, F.when(q.isNotNull(), F.when(asof._nearest_left(q), a).otherwise(b)).alias(output))
-    found, k = found.withColumn("_alpha", _alpha(q)), F.col("_alpha")
+    found, k = found.withColumn("__alpha", _alpha(q)), F.col("__alpha")
     if method == "geodesic_linear":
-        found = found.withColumn("_way", geo.geodesic(a["lat"], a["lon"], b["lat"], b["lon"]))
-        there = F.coalesce(F.nanvl("_way.initial_bearing", F.lit(0.0)), F.lit(0.0))
-        found = found.withColumn("_point", geo.geodesic_point(a["lat"], a["lon"], there, F.col("_way.distance") * k))
-        inner = geo.lla(F.col("_point.lat"), F.col("_point.lon"), (1 - k) * a["alt"] + k * b["alt"])
+        found = found.withColumn("__way", geo.geodesic(a["lat"], a["lon"], b["lat"], b["lon"]))
+        there = F.coalesce(F.nanvl("__way.initial_bearing", F.lit(0.0)), F.lit(0.0))
+        found = found.withColumn("__point", geo.geodesic_point(a["lat"], a["lon"], there, F.col("__way.distance") * k))
+        inner = geo.lla(F.col("__point.lat"), F.col("__point.lon"), (1 - k) * a["alt"] + k * b["alt"])
     else:
-        line = sp.vadd(sp.vscale(F.col("_a"), 1 - k), sp.vscale(F.col("_b"), k))
+        line = sp.vadd(sp.vscale(F.col("__a"), 1 - k), sp.vscale(F.col("__b"), k))
         if method == "ecef_linear":
-            found = found.withColumns({"_a": geo.to_ecef(a), "_b": geo.to_ecef(b)}).withColumn("_line", line)
-            inner = geo.from_ecef(F.col("_line"))
+            found = found.withColumns({"__a": geo.to_ecef(a), "__b": geo.to_ecef(b)}).withColumn("__line", line)
+            inner = geo.from_ecef(F.col("__line"))
         else:
-            found = found.withColumn("_o", a if origin is None else origin).withColumns({"_a": geo.to_enu(a, F.col("_o")), "_b": geo.to_enu(b, F.col("_o"))}).withColumn("_line", line)
-            inner = geo.from_ecef(geo.enu_to_ecef(F.col("_line"), F.col("_o")))
-    found = found.withColumn("_inner", F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), inner))
-    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, F.col("_inner")).alias(output))
+            found = found.withColumn("__o", a if origin is None else origin).withColumns({"__a": geo.to_enu(a, F.col("__o")), "__b": geo.to_enu(b, F.col("__o"))}).withColumn("__line", line)
+            inner = geo.from_ecef(geo.enu_to_ecef(F.col("__line"), F.col("__o")))
+    found = found.withColumn("__inner", F.when(F.col("__left").isNotNull() & F.col("__right").isNotNull(), inner))
+    return found.select(*queries.columns, _policy(q, duplicates, b, b, last, F.col("__inner")).alias(output))
 
 
 def resample_to(samples: LaneFrame, name: str, grid: DataFrame, method: str = "geodesic_linear", duplicates: str = "invalid") -> LaneFrame:

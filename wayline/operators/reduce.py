@@ -111,10 +111,10 @@ class Grouped:
 
     def ranks(self) -> DataFrame:
         """Groups in order of first appearance, or of the given list."""
-        order = [F.min(F.struct(*self.frame.keys, self.frame.seq)).alias("_first")]
+        order = [F.min(F.struct(*self.frame.keys, self.frame.seq)).alias("__first")]
         firsts = self.df.groupBy(*self.lanes, *self.names).agg(*order)
-        over = W.partitionBy(*self.lanes).orderBy("_first") if self.lanes else W.orderBy("_first")
-        return firsts.withColumn("group_rank", (F.row_number().over(over) - 1).cast("long")).drop("_first")
+        over = W.partitionBy(*self.lanes).orderBy("__first") if self.lanes else W.orderBy("__first")
+        return firsts.withColumn("group_rank", (F.row_number().over(over) - 1).cast("long")).drop("__first")
 
     def _numbered(self) -> DataFrame:
         """Rows with member, their place in their group in order of lane and sample.
@@ -124,11 +124,11 @@ class Grouped:
         """
         by, keys = [*self.lanes, *self.names], list(dict.fromkeys([*self.lanes, *self.names, *self.frame.keys]))
         own = F.row_number().over(W.partitionBy(*keys).orderBy(self.frame.seq))
-        counts = self.df.groupBy(*keys).agg(F.count("*").alias("_n"))
+        counts = self.df.groupBy(*keys).agg(F.count("*").alias("__n"))
         lanes = W.partitionBy(*by).orderBy(*self.frame.keys).rowsBetween(W.unboundedPreceding, -1)
-        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(lanes), F.lit(0))).drop("_n")
-        found = self.df.withColumn("_own", own).join(before, keys)
-        return found.withColumn("member", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_own", "_before")
+        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(lanes), F.lit(0))).drop("__n")
+        found = self.df.withColumn("__own", own).join(before, keys)
+        return found.withColumn("member", (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__own", "__before")
 
     def padded(self) -> DataFrame:
         """Group keys, member (position in the group, in row order) and the fields."""
@@ -150,11 +150,11 @@ def weighted(frame: LaneFrame, weights: DataFrame, name: str = "weight") -> Lane
     on = [c for c in weights.columns if c in (*frame.keys, frame.seq, frame.clock)]
     if not on or name not in weights.columns:
         raise ValueError("weights need labels that the frame has")
-    once = weights.groupBy(*on).agg(F.count("*").alias("_n"), F.first(name).alias("_w"))
-    once = once.select(*on, F.when(F.col("_n") > 1, F.raise_error(F.lit("a label has several weights")).cast("double")).otherwise(F.col("_w").cast("double")).alias("_w"))
+    once = weights.groupBy(*on).agg(F.count("*").alias("__n"), F.first(name).alias("__w"))
+    once = once.select(*on, F.when(F.col("__n") > 1, F.raise_error(F.lit("a label has several weights")).cast("double")).otherwise(F.col("__w").cast("double")).alias("__w"))
     joined = frame.df.join(once, on, "left")
-    there = F.when(F.col("_w").isNull(), F.raise_error(F.lit("a sample has no weight")).cast("double")).otherwise(F.col("_w"))
-    return frame.over(joined.withColumn(name, there).drop("_w").select(*frame.df.columns, name))
+    there = F.when(F.col("__w").isNull(), F.raise_error(F.lit("a sample has no weight")).cast("double")).otherwise(F.col("__w"))
+    return frame.over(joined.withColumn(name, there).drop("__w").select(*frame.df.columns, name))
 
 
 def group_lanes(frame: LaneFrame, attributes: DataFrame, by: str, op: str, empty: Sequence[object] | None = None, **options) -> DataFrame:

@@ -84,21 +84,21 @@ def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOp
         raise ValueError(f"unknown order {options.order}")
     df, time, values = _csv(spark, path, options)
     kind = df.schema[time].dataType
-    df = df.select(options.lane, F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("_row"))
+    df = df.select(options.lane, F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("__row"))
     bad = F.col("time").isNull() if options.exact_integers else F.col("time").isNull() | F.isnan("time")
     df = df.where(~bad) if options.invalid_time == "drop" else df.withColumn("time", F.when(bad, F.raise_error(F.lit("a time is missing")).cast(kind)).otherwise(F.col("time")))
     names = {v: v.replace(".", "_") for v in values}
-    out = LaneFrame.of(df.withColumnsRenamed({**names, "_row": "seq"}), [options.lane], "time", list(names.values()))
+    out = LaneFrame.of(df.withColumnsRenamed({**names, "__row": "seq"}), [options.lane], "time", list(names.values()))
     out = out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"]))
     if options.order == "any":
         return out
     before = F.lag("time").over(out.ordered)
     if options.order == "increasing" and options.normalize:
-        out = out.over(out.df.withColumn("_again", F.coalesce(before == F.col("time"), F.lit(False))).where("NOT _again").drop("_again")).renumbered()
+        out = out.over(out.df.withColumn("__again", F.coalesce(before == F.col("time"), F.lit(False))).where("NOT __again").drop("__again")).renumbered()
         before = F.lag("time").over(out.ordered)
     fault = F.coalesce(before > F.col("time") if options.order == "nondecreasing" else before >= F.col("time"), F.lit(False))
     checked = F.when(fault, F.raise_error(F.lit(f"times are not {options.order}")).cast("boolean")).otherwise(F.lit(True))
-    return out.over(out.df.withColumn("_good", checked).where("_good").drop("_good"))
+    return out.over(out.df.withColumn("__good", checked).where("__good").drop("__good"))
 
 
 def lane_metadata(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> DataFrame:
