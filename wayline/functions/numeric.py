@@ -21,8 +21,25 @@ def divide(n: Column, d: Column) -> Column:
     return F.when(n.isNull() | d.isNull(), F.lit(None)).when(d == 0, zero).otherwise(n / F.when(d != 0, d))
 
 
+def number(x: Column) -> Column:
+    """x with NaN as a missing value: Spark itself orders NaN above all numbers."""
+    return F.when(~F.isnan(x.cast("double")), x)
+
+
+def _whole(x: Column, f) -> Column:
+    """f of x where x has a fraction at all; infinities, NaN and numbers of 2 ** 53 and more are whole as they are."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < 2.0**53, f(x).cast("double")).otherwise(x)
+
+
 def floor_divide(n: Column, d: Column) -> Column:
-    return F.floor(divide(n, d)).cast("double")
+    """The whole number of divisors in n, downwards; a zero divisor gives what division gives."""
+    n, d = n.cast("double"), d.cast("double")
+    some = F.when(d != 0, d)
+    r = n % some
+    q = (n - r) / some - F.when((r != 0) & ((r < 0) != (some < 0)), 1.0).otherwise(0.0)
+    down = floor(q)
+    return F.when(d == 0, divide(n, d)).otherwise(down + F.when(q - down > 0.5, 1.0).otherwise(0.0))
 
 
 def mod(n: Column, d: Column) -> Column:
@@ -64,15 +81,15 @@ def sqrt(x: Column) -> Column:
 
 
 def trunc(x: Column) -> Column:
-    return F.signum(x) * F.floor(F.abs(x)).cast("double")
+    return _whole(x, lambda v: F.signum(v) * F.floor(F.abs(v)))
 
 
 def ceil(x: Column) -> Column:
-    return F.ceil(x).cast("double")
+    return _whole(x, F.ceil)
 
 
 def floor(x: Column) -> Column:
-    return F.floor(x).cast("double")
+    return _whole(x, F.floor)
 
 
 def exp2(x: Column) -> Column:
@@ -80,20 +97,22 @@ def exp2(x: Column) -> Column:
 
 
 def maximum(a: Column, b: Column) -> Column:
-    """Greater of two, missing where either is; ``fmax`` skips the missing one."""
+    """Greater of two, missing where either is (NaN too); ``fmax`` skips the missing one."""
+    a, b = number(a), number(b)
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
 def minimum(a: Column, b: Column) -> Column:
+    a, b = number(a), number(b)
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
 def fmax(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
+    return F.greatest(number(a), number(b))
 
 
 def fmin(a: Column, b: Column) -> Column:
-    return F.least(a, b)
+    return F.least(number(a), number(b))
 
 
 def signbit(x: Column) -> Column:
@@ -141,6 +160,7 @@ def spacing(x: pd.Series) -> pd.Series:
 
 
 def heaviside(x: Column, half: Column) -> Column:
+    x = number(x)
     return F.when(x < 0, 0.0).when(x == 0, half).when(x > 0, 1.0)
 
 
@@ -150,6 +170,7 @@ def reciprocal(x: Column) -> Column:
 
 def isclose(a: Column, b: Column, atol: float = 1e-9, rtol: float = 1e-12) -> Column:
     """|a - b| <= atol + rtol * |b|, which is not symmetric in a and b."""
+    a, b = number(a), number(b)
     return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
 
 
@@ -166,12 +187,17 @@ UNARY = {n: _unary(n) for n in ("abs", "cbrt", "exp", "expm1", "sin", "cos", "ta
     "invert": F.bitwise_not, "logical_not": lambda x: ~x,
 }
 
+def _compared(f):
+    """A comparison of numbers that is missing where one of them is, NaN too."""
+    return lambda a, b: f(number(a), number(b))
+
+
 #: Binary functions by name.
 BINARY = {
     "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": divide, "true_divide": divide, "floor_divide": floor_divide, "mod": mod, "remainder": mod, "fmod": fmod,
     "power": power, "pow": power, "float_power": power, "maximum": maximum, "minimum": minimum, "fmax": fmax, "fmin": fmin, "arctan2": F.atan2, "atan2": F.atan2, "hypot": F.hypot, "copysign": copysign,
     "logaddexp": logaddexp, "logaddexp2": logaddexp2, "heaviside": heaviside, "gcd": gcd, "lcm": lcm, "nextafter": nextafter, "bitwise_and": lambda a, b: a.bitwiseAND(b), "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
     "left_shift": lambda a, b: F.call_function("shiftleft", a, b.cast("int")), "right_shift": lambda a, b: F.call_function("shiftright", a, b.cast("int")), "ldexp": lambda a, b: a * exp2(b),
-    "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b,
+    "equal": _compared(lambda a, b: a == b), "not_equal": _compared(lambda a, b: a != b), "greater": _compared(lambda a, b: a > b), "greater_equal": _compared(lambda a, b: a >= b), "less": _compared(lambda a, b: a < b), "less_equal": _compared(lambda a, b: a <= b),
     "logical_and": lambda a, b: a & b, "logical_or": lambda a, b: a | b, "logical_xor": lambda a, b: (a | b) & ~(a & b),
 }

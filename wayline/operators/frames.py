@@ -7,7 +7,7 @@ ancestor and down again; poses over time are interpolated at the rows' clock, th
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -65,7 +65,9 @@ class FrameGraph:
         if new in self.parents:
             raise ValueError(f"there is a frame {new}")
         self.parents = {new if k == old else k: new if v == old else v for k, v in self.parents.items()}
-        self.edges = {new if k == old else k: v for k, v in self.edges.items()}
+        for held in (self.edges, self.motions, self.inertial):
+            if old in held:
+                held[new] = held.pop(old)
 
     def remove(self, name: str, subtree: bool = True) -> None:
         self._open()
@@ -74,7 +76,8 @@ class FrameGraph:
             raise ValueError(f"{name} has frames below it")
         for k in below:
             self.parents.pop(k)
-            self.edges.pop(k, None)
+            for held in (self.edges, self.motions, self.inertial):
+                held.pop(k, None)
 
     def set_motion_class(self, child: str, kind: str) -> None:
         """How a frame moves in its parent: static, galilean (evenly), dynamic or unknown."""
@@ -299,20 +302,45 @@ def express_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst
     return rows.over(df.withColumn(field, mo.turned(F.col("__transform.q"), F.col(field))).drop("__transform")).retag(expressed_in=dst)
 
 
-def couple_motion(graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str, motion: Callable[[Step], Column | None], pair: bool = False) -> LaneFrame:
+#: Motion classes whose edges add a motion of their own, by what is moved: fixed values.
+MOVING = {"velocity": ("galilean", "dynamic"), "acceleration": ("dynamic",)}
+
+
+def couple_motion(
+    graph: FrameGraph, rows: LaneFrame, field: str, src: str, dst: str, motion: Callable[[Step], Column | None] | None, pair: bool = False, kind: str | None = None,
+    edge_class: Callable[[Step], str] | None = None, inertial_roles: Sequence[str] = (), frame_status: Callable[[str], str] | None = None,
+) -> LaneFrame:
     """A velocity or acceleration field of src in dst: turned, with each edge's own motion (in dst's basis) added, or taken off on inverted steps.
 
-    pair: the field and the edges' motions have a linear and an angular part. Edges that are declared static move nothing and
-    are not asked; edges of unknown class must give a motion, or it is an error.
+    pair: the field and the edges' motions have a linear and an angular part. kind: velocity or acceleration (default: what the frame's attribute ``kind``
+    says, else velocity). Velocities need the motion of galilean and dynamic edges, accelerations of dynamic ones; static ones move nothing. An edge of unknown
+    class needs a motion. edge_class, frame_status: functions that say the classes and statuses instead of the graph. inertial_roles: parent (src) and child
+    (the frame that moves in it, the frame id ``child``) must be inertial.
     """
+    named = kind or ("acceleration" if "acceleration" in rows.attrs.get("kind", "") else "velocity")
+    if named not in MOVING:
+        raise ValueError(f"{named} is neither a velocity nor an acceleration")
+    for role in inertial_roles:
+        if role not in ("parent", "child"):
+            raise ValueError(f"unknown inertial role {role}")
+        frame = src if role == "parent" else rows.frame_ids()["child"]
+        if frame is None or frame not in graph.parents:
+            raise ValueError(f"the {role} needs a frame of the graph")
+        if (frame_status or graph.inertial_status)(frame) != "inertial":
+            raise ValueError(f"the {role} {frame} is not known to be inertial")
+    wanted = []
+    for step in graph.path(src, dst):
+        of = edge_class(step) if edge_class else graph.motion_class(step.child)
+        if of not in MOTIONS:
+            raise ValueError(f"unknown edge motion class {of}")
+        if of == "static" or of != "unknown" and of not in MOVING[named]:
+            continue
+        if motion is None or (m := motion(step)) is None:
+            raise ValueError(f"no motion of {step.child} in {step.parent}, which is {of}")
+        wanted.append((step, m))
     moved = express_motion(graph, rows, field, src, dst) if pair else express_in(graph, rows, field, src, dst)
     add, sub = (mo.madd, mo.msub) if pair else (sp.vadd, sp.vsub)
     out = F.col(field)
-    for step in graph.path(src, dst):
-        if graph.motion_class(step.child) == "static":
-            continue
-        m = motion(step)
-        if m is None:
-            raise ValueError(f"no motion of {step.child} in {step.parent}, which is not declared static")
+    for step, m in wanted:
         out = sub(out, m) if step.inverted else add(out, m)
     return moved.with_fields(**{field: out}).retag(parent=dst)

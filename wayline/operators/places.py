@@ -29,9 +29,7 @@ def at(samples: LaneFrame, name: str, queries: DataFrame, on: str, output: str,
         return found.select(*queries.columns, F.when(q.isNotNull(), F.when(asof._nearest_left(q), a).otherwise(b)).alias(output))
     found, k = found.withColumn("__alpha", _alpha(q)), F.col("__alpha")
     if method == "geodesic_linear":
-        found = found.withColumn("__way", geo.geodesic(a["lat"], a["lon"], b["lat"], b["lon"]))
-        there = F.coalesce(F.nanvl("__way.initial_bearing", F.lit(0.0)), F.lit(0.0))
-        found = found.withColumn("__point", geo.geodesic_point(a["lat"], a["lon"], there, F.col("__way.distance") * k))
+        found = found.withColumn("__point", geo.geodesic_between(a["lat"], a["lon"], b["lat"], b["lon"], k))
         inner = geo.lla(F.col("__point.lat"), F.col("__point.lon"), (1 - k) * a["alt"] + k * b["alt"])
     else:
         line = sp.vadd(sp.vscale(F.col("__a"), 1 - k), sp.vscale(F.col("__b"), k))

@@ -212,7 +212,8 @@ SELECT user_id, seq, round({B1!r}::DOUBLE * big * (sigma - small * ss * (cm + sm
 
 @query(_vincenty())
 def geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _places(spark, sf_dir).select("user_id", "seq", geo.geodesic(F.col("g.lat"), F.col("g.lon"), F.lit(40.0), F.lit(10.0)).alias("d"))
+    """Vincenty's method, as in the SQL; ``geodesic_meridian`` and ``geodesic_antipode`` try the exact one."""
+    df = _places(spark, sf_dir).select("user_id", "seq", geo.vincenty(F.col("g.lat"), F.col("g.lon"), F.lit(40.0), F.lit(10.0)).alias("d"))
     return rounded(df.select("user_id", "seq", "d.*"), 3)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +54,7 @@ def _header(spark: SparkSession, paths: list[str]) -> list[str]:
     heads = [r["head"] for r in firsts.select(F.regexp_replace("head", "^\ufeff", "").alias("head")).distinct().limit(2).collect()]
     if not heads:
         raise RoleError("no header")
-    names = [[h.strip() for h in head.split(",")] for head in heads]
+    names = [[h.strip() for h in next(csv.reader([head]), [])] for head in heads]
     if len(names) > 1 and names[0] != names[1]:
         raise RoleError(f"files have different headers, {names[0]} and {names[1]}")
     if "" in names[0] or len(set(names[0])) < len(names[0]) or any("\x00" in n for n in names[0]):
@@ -59,7 +62,8 @@ def _header(spark: SparkSession, paths: list[str]) -> list[str]:
     return names[0]
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> tuple[DataFrame, str, list[str]]:
+def _csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> tuple[DataFrame, list[str], str, list[str]]:
+    """(rows, lane keys, time, values): lane keys are the folders' (``key=value``), or else the file's name under the option's."""
     paths = [path] if isinstance(path, str) else list(path)
     names = _header(spark, paths)
     time = options.time or next((n for n in TIME_NAMES if n in names), None)
@@ -71,24 +75,30 @@ def _csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) ->
     kinds = {n: T.DoubleType() for n in values} | {time: T.LongType() if options.exact_integers else T.DoubleType()}
     schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
     df = spark.read.csv(paths, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
+    if keys := [c for c in df.columns if c not in names]:
+        return df, keys, time, values
+    again = [stem for stem, n in Counter(PurePosixPath(f).name.rpartition(".")[0] or PurePosixPath(f).name for f in df.inputFiles()).items() if n > 1]
+    if again:
+        raise RoleError(f"files of the same name in several folders would be one lane: {again[:3]}")
     lane = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return df.withColumn(options.lane, lane), time, values
+    return df.withColumn(options.lane, lane), [options.lane], time, values
 
 
 def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOptions = CsvOptions()) -> LaneFrame:
-    """Many CSV files as one LaneFrame; a file's name without its ending is its lane.
+    """Many CSV files as one LaneFrame; a file's name without its ending is its lane, or in folders as ``write_csv_logs`` makes them their keys are the lane's.
 
-    All files must have the same header; empty, repeated and broken names fail. Value columns must be numbers.
+    All files must have the same header; empty, repeated and broken names fail, and so do files of the same name in several folders. Names may be quoted.
+    Value columns must be numbers.
     """
     if options.order not in ("nondecreasing", "increasing", "any"):
         raise ValueError(f"unknown order {options.order}")
-    df, time, values = _csv(spark, path, options)
+    df, keys, time, values = _csv(spark, path, options)
     kind = df.schema[time].dataType
-    df = df.select(options.lane, F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("__row"))
+    df = df.select(*keys, F.col(f"`{time}`").alias("time"), *(F.col(f"`{v}`") for v in values), F.monotonically_increasing_id().alias("__row"))
     bad = F.col("time").isNull() if options.exact_integers else F.col("time").isNull() | F.isnan("time")
     df = df.where(~bad) if options.invalid_time == "drop" else df.withColumn("time", F.when(bad, F.raise_error(F.lit("a time is missing")).cast(kind)).otherwise(F.col("time")))
     names = {v: v.replace(".", "_") for v in values}
-    out = LaneFrame.of(df.withColumnsRenamed({**names, "__row": "seq"}), [options.lane], "time", list(names.values()))
+    out = LaneFrame.of(df.withColumnsRenamed({**names, "__row": "seq"}), keys, "time", list(names.values()))
     out = out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"]))
     if options.order == "any":
         return out
@@ -103,9 +113,9 @@ def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOp
 
 def lane_metadata(spark: SparkSession, path: str | Sequence[str], options: CsvOptions) -> DataFrame:
     """Lane and its metadata columns, one row for each file; a file that says several things in one is an error."""
-    df, _, _ = _csv(spark, path, options)
+    df, keys, _, _ = _csv(spark, path, options)
     one = [F.when(F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")), F.min(f"`{c}`")).otherwise(F.raise_error(F.lit(f"{c} changes inside a file")).cast("string")).alias(c.replace(".", "_")) for c in options.metadata]
-    return df.groupBy(options.lane).agg(*one) if one else df.select(options.lane).distinct()
+    return df.groupBy(*keys).agg(*one) if one else df.select(*keys).distinct()
 
 
 def write_csv_logs(frame: LaneFrame, path: str, options: CsvExport = CsvExport()) -> None:
