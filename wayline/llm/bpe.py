@@ -2,14 +2,14 @@
 
 Spark splits every text at white space. A block of documents, bounded in words and bytes, becomes its distinct words and,
 for each document, the numbers of its words in order of position; blocks are written once, in buckets. The
-distinct words of all blocks are brought together by word (packed, as lists of a block's words for each part of the word space), so
-each word of the corpus reaches the encoder once, however many blocks have it, and its ids go back to every block that does. Ids are joined to their pieces (a broadcast
-DataFrame of the vocabulary). Then each block meets its words' ids again, and the ids of every
+distinct words of all blocks are brought together by word (packed, as lists of a block's words for each part of the word space; a task takes its parts one after
+another), so each word of the corpus reaches the encoder once, however many blocks have it, its ids are joined to their pieces once, by id in the task's vocabulary,
+and both go back to every block that has the word. Then each block meets its words' ids again, and the ids of every
 document are put together by position. Nothing is left out of the table: frequent, rare and very long words go the same way.
 
 The tokenizer splits at white space before anything else that spans characters, so the ids of a text are
 those of its words in turn; its decoder joins pieces by spaces, so the decoded text is that of its words in turn too.
-``decode`` turns any ids into text, by the same join at every position.
+``decode`` turns any ids into text, by a join with a table of the vocabulary at every position.
 
 Defined cases: null counts as the empty text, which has no ids and decodes to the empty string; special
 strings inside texts are special tokens, as in the library; ids outside the vocabulary are skipped when decoding;
@@ -42,8 +42,6 @@ BLOCK_WORDS, BLOCK_BYTES = 2 << 20, 16 << 20
 REMEMBERED_BYTES = 16 << 20
 #: Longest piece that it remembers.
 REMEMBERED_PIECE = 64
-#: Bytes of words and ids that a task holds before it sends them back to their blocks.
-GATHERED_BYTES = 32 << 20
 #: Below this character normalisation changes nothing but case, letter by letter; fixed value.
 PLAIN = "ɐ"
 #: How the tokenizer splits words: fixed value.
@@ -154,73 +152,72 @@ def _parted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for batch in batches:
         for block, held in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
             listed = held.as_py()
-            part = np.array([xxhash.xxh64_intdigest(w) % parts for w in listed], np.int64)
-            order = sorted(range(len(listed)), key=listed.__getitem__)
-            order = np.array(order, np.int64)[np.argsort(part[order], kind="stable")]
-            edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
-            made = [(part[order[a]], block, pack(b"\n".join([listed[i] for i in order[a:b].tolist()])), pack(order[a:b].astype(np.uint32).tobytes())) for a, b in zip(edges, edges[1:])]
+            part = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed)) % np.uint64(parts)
+            order = np.array(sorted(range(len(listed)), key=listed.__getitem__), np.int64)
+            order = order[np.argsort(part[order], kind="stable")]
+            edges = np.append(np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)), len(order)).tolist()
+            made = [(int(part[order[a]]), block, pack(b"\n".join([listed[i] for i in order[a:b].tolist()])), pack(order[a:b].astype(np.uint32).tobytes())) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "words", "codes"])
 
 
-def _unparted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for block, packed, codes in zip(batch.column("block").to_pylist(), batch.column("words"), batch.column("codes"), strict=True):
-            words, at = unpack(packed.as_py()).split(b"\n"), np.frombuffer(unpack(codes.as_py()), np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.full(len(words), block)), pa.array(at.astype(np.int32))], names=["word", "block", "code"])
+#: Parts of the word space that a task takes one after another: so much less of it is in memory.
+TURNS = 4
+GATHERED = ("block", "codes", "sizes", "ids", "said")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], said: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (block, code, ids, said) packed by block, again and again before they take much memory; a row without ids has those of the row before."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    held: dict[int, list[list]] = {}
-    size, last = 0, (b"", "")
+def _repeated(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all numbers in spans."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class _Pieces:
+    """The vocabulary by id, to which ids are joined by taking them."""
+
+    def __init__(self, path: str):
+        tokenizer = tokenizer_of(path)
+        self.held = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], pa.string())
+
+    def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Texts of words of so many ids each, pieces joined by spaces."""
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), self.held.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
+    """For each block and part of the word space, in order of part: codes with the ids (and texts) of their words, packed. Each word of a part is encoded once."""
+    encode, pieces = encoder(path), _Pieces(path) if decoded else None
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    held, last = [], None
 
     def out() -> pa.RecordBatch:
+        table, rows = _Codes(), []
+        for block, words, codes in held:
+            numbers = np.fromiter(map(table.__getitem__, unpack(words).split(b"\n")), np.int64)
+            rows.append((block, np.frombuffer(unpack(codes), np.uint32), numbers))
+        ids = [encode(w) for w in table]
+        sizes, flat = np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+        starts, said = np.cumsum(sizes) - sizes, pieces(flat, sizes) if decoded else None
         made = []
-        for block, (codes, ids, texts) in held.items():
+        for block, codes, numbers in rows:
             order = np.argsort(codes)  # in order of code, so that numbers pack well
-            ids, texts = [ids[i] for i in order], [texts[i] for i in order] if said else []
-            sizes, flat = np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")
-            narrow = flat.astype("<u2") if len(flat) == 0 or flat.max() <= 0xFFFF else flat
-            made.append((block, pack(np.diff(np.sort(codes), prepend=0).astype(np.uint32).tobytes()), pack(sizes.tobytes()), pack(bytes([narrow.itemsize]) + narrow.tobytes()), pack("\n".join(texts).encode()) if said else None))
+            numbers, own = numbers[order], sizes[numbers[order]]
+            taken = flat[_repeated(starts[numbers], own)]
+            narrow = taken.astype("<u2") if len(taken) == 0 or taken.max() <= 0xFFFF else taken
+            texts = pack("\n".join(said.take(pa.array(numbers)).to_pylist()).encode()) if decoded else None
+            made.append((block, pack(np.diff(codes[order], prepend=np.uint32(0)).tobytes()), pack(own.astype(np.uint32).tobytes()), pack(bytes([narrow.itemsize]) + narrow.tobytes()), texts))
         return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=list(GATHERED))
 
     for batch in batches:
-        texts = batch.column("said").to_pylist() if said else [""] * batch.num_rows
-        for block, code, ids, text in zip(batch.column("block").to_pylist(), batch.column("code").to_pylist(), batch.column("ids").to_pylist(), texts, strict=True):
-            if ids is not None:
-                last = ids, text
-            ids, text = last
-            own = held.get(block)
-            if own is None:
-                own = held[block] = [[], [], []]
-            own[0].append(code)
-            own[1].append(ids)
-            own[2].append(text)
-            size += 250 + len(ids) + len(text)
-        if size > GATHERED_BYTES:
-            yield out()
-            held, size = {}, 0
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "codes")), strict=True):
+            if part != last and held:
+                yield out()
+                held.clear()
+            held.append(row)
+            last = part
     if held:
         yield out()
 
 
-GATHERED = ("block", "codes", "sizes", "ids", "said")
-
-
-def _resolved(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
-    """(block, code, ids, seq) of rows sorted by word: a word is encoded when it first comes, and only there has ids and, as an array, seq."""
-    encode, last = encoder(path), None
-    for batch in batches:
-        out = []
-        for w in batch.column("word"):
-            word = w.as_py()
-            out.append(None if word == last else encode(word))
-            last = word
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary()), _listed([x or b"" for x in out])], names=["block", "code", "ids", "seq"])
-
-
 def _listed(held: list[bytes]) -> pa.ListArray:
     """Ids as arrays; a last part of under four bytes is no id."""
     sizes = np.array([len(x) // 4 for x in held], np.int64)
@@ -299,12 +296,6 @@ def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
     return said.select(*(F.col(n).alias(c) for n, c in zip(names, passed, strict=True)), output)
 
 
-def _said_and_gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One Python worker for both steps."""
-    said = _spoken(batches, ["p0", "p1", "p2"], "said")
-    return _gathered((b.rename_columns(["block", "code", "ids", "said"]) for b in said), True)
-
-
 def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool) -> pa.Table:
     """Documents of a block with the ids (and texts) of their words in order of position."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -324,9 +315,8 @@ def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, deco
     for c in rows[codes]:
         at = _long(c.as_py())
         own = size[at]
-        total = int(own.sum())
-        ids.append(flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(own) - own), own)].tobytes())
-        counts.append(total)
+        ids.append(flat[_repeated(start[at], own)].tobytes())
+        counts.append(int(own.sum()))
         if decoded:
             texts.append(b" ".join(said[at[own > 0]].tolist()).decode("utf-8", "replace"))
     made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array(counts, pa.int64())} | ({"decoded": pa.array(texts, pa.string())} if decoded else {})
@@ -341,15 +331,10 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bo
     made = [T.StructField(block, T.LongType()), T.StructField(codes, T.BinaryType()), T.StructField(words, T.ArrayType(T.BinaryType()))]
     rows = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(partial(_blocks, passed=passed, names=names, most_words=block_words), T.StructType([*fields, *made]))
     rows = bucketed(rows, block, shared_dir(spark, "blocks"), buckets(spark), compression="zstd")
-    parts = buckets(spark)
-    entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=parts), "part int, block long, words binary, codes binary")
-    entries = entries.repartitionById(parts, F.col("part")).mapInArrow(_unparted, "word binary, block long, code int")
-    entries = entries.sortWithinPartitions("word").mapInArrow(partial(_resolved, path=path), "block long, code int, ids binary, seq array<int>")
-    packed = "block long, codes binary, sizes binary, ids binary, said binary"
-    if decoded:
-        entries = _joined(entries, "seq", ["block", "code", "ids"], path).mapInArrow(_said_and_gathered, packed)
-    else:
-        entries = entries.mapInArrow(partial(_gathered, said=False), packed)
+    tasks = buckets(spark)
+    entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=TURNS * tasks), "part int, block long, words binary, codes binary")
+    entries = entries.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
+    entries = entries.mapInArrow(partial(_encoded, path=path, decoded=decoded), "block long, codes binary, sizes binary, ids binary, said binary")
     entries = entries.withColumnRenamed("block", block)
     place = partial(_placed, passed=passed, codes=codes, decoded=decoded)
     left = rows.select(block, *passed, codes)
