@@ -299,7 +299,7 @@ def test_a_distinct_word_reaches_the_encoder_once():
     blocks = list(bpe._blocks(iter(docs), ["doc_id"], ["block", "codes", "words"], 60))
     assert len(blocks) > 3
     parts = pa.Table.from_batches(list(bpe._parted((b.select(["block", "words"]).slice(0, 1) for b in blocks), 4))).sort_by("part")
-    out = pa.Table.from_batches(list(bpe._encoded(iter(parts.to_batches(max_chunksize=3)), "", False, Spy)))
+    out = pa.Table.from_batches(list(bpe._encoded(iter(parts.to_batches(max_chunksize=3)), "", Spy)))
     assert sorted(seen) == sorted({w.lower().encode() for t in texts for w in t.split()})
     unpack = zstandard.ZstdDecompressor().decompress
     entries = sum(len(unpack(x.as_py())) // 4 for x in out["codes"])

@@ -3,9 +3,9 @@
 Spark splits every text at white space. A block of documents, bounded in words and bytes, becomes its distinct words and,
 for each document, the numbers of its words in order of position; blocks are written once, in buckets. The
 distinct words of all blocks are brought together by word (packed, as lists of a block's words for each part of the word space; a task takes its parts one after
-another), so each word of the corpus reaches the encoder once, however many blocks have it, its ids are joined to their pieces once, by id in the task's vocabulary,
-and both go back to every block that has the word. Then each block meets its words' ids again, and the ids of every
-document are put together by position. Nothing is left out of the table: frequent, rare and very long words go the same way.
+another), so each word of the corpus reaches the encoder once, however many blocks have it, and its ids go back to every block that has the word. Then each block
+meets its words' ids again, joins them to their pieces, once for each word of the block, by their places in the task's vocabulary, and the ids of every document
+are put together by position. Nothing is left out of the table: frequent, rare and very long words go the same way.
 
 The tokenizer splits at white space before anything else that spans characters, so the ids of a text are
 those of its words in turn; its decoder joins pieces by spaces, so the decoded text is that of its words in turn too.
@@ -162,7 +162,7 @@ def _parted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 
 #: Parts of the word space that a task takes one after another: so much less of it is in memory.
 TURNS = 4
-GATHERED = ("block", "codes", "sizes", "ids", "said")
+GATHERED = ("block", "codes", "sizes", "ids")
 
 
 def _repeated(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -170,22 +170,21 @@ def _repeated(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-class _Pieces:
-    """The vocabulary by id, to which ids are joined by taking them."""
+_vocabularies: dict[str, pa.Array] = {}
 
-    def __init__(self, path: str):
-        tokenizer = tokenizer_of(path)
-        self.held = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], pa.string())
 
-    def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        """Texts of words of so many ids each, pieces joined by spaces."""
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), self.held.take(pa.array(ids)))
-        return pc.binary_join(lists, " ")
+def _spelt(ids: np.ndarray, sizes: np.ndarray, path: str) -> np.ndarray:
+    """Texts of words of so many ids each: every id is joined to its piece by its place in the vocabulary, and pieces are joined by spaces."""
+    if path not in _vocabularies:
+        tokenizer = tokenizer_of(path)
+        _vocabularies[path] = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), _vocabularies[path].take(pa.array(ids)))
+    return pc.binary_join(lists, " ").cast(pa.binary()).to_numpy(zero_copy_only=False)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
-    """For each block and part of the word space, in order of part: codes with the ids (and texts) of their words, packed. Each word of a part is encoded once."""
-    encode, pieces = encoder(path), _Pieces(path) if decoded else None
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, encoder: type = WordEncoder) -> Iterator[pa.RecordBatch]:
+    """For each block and part of the word space, in order of part: codes with the ids of their words, packed. Each word of a part is encoded once."""
+    encode = encoder(path)
     pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
     held, last = [], None
 
@@ -196,16 +195,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, encode
             rows.append((block, np.frombuffer(unpack(codes), np.uint32), numbers))
         ids = [encode(w) for w in table]
         sizes, flat = np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
-        starts, said = np.cumsum(sizes) - sizes, pieces(flat, sizes) if decoded else None
-        made = []
+        starts, made = np.cumsum(sizes) - sizes, []
         for block, codes, numbers in rows:
             order = np.argsort(codes)  # in order of code, so that numbers pack well
             numbers, own = numbers[order], sizes[numbers[order]]
             taken = flat[_repeated(starts[numbers], own)]
             narrow = taken.astype("<u2") if len(taken) == 0 or taken.max() <= 0xFFFF else taken
-            texts = pack("\n".join(said.take(pa.array(numbers)).to_pylist()).encode()) if decoded else None
-            made.append((block, pack(np.diff(codes[order], prepend=np.uint32(0)).tobytes()), pack(own.astype(np.uint32).tobytes()), pack(bytes([narrow.itemsize]) + narrow.tobytes()), texts))
-        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=list(GATHERED))
+            made.append((block, pack(np.diff(codes[order], prepend=np.uint32(0)).tobytes()), pack(own.astype(np.uint32).tobytes()), pack(bytes([narrow.itemsize]) + narrow.tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=list(GATHERED))
 
     for batch in batches:
         for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "codes")), strict=True):
@@ -296,7 +293,7 @@ def with_pieces(df: DataFrame, ids: str, path: str, output: str) -> DataFrame:
     return said.select(*(F.col(n).alias(c) for n, c in zip(names, passed, strict=True)), output)
 
 
-def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool) -> pa.Table:
+def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, decoded: bool, path: str) -> pa.Table:
     """Documents of a block with the ids (and texts) of their words in order of position."""
     unpack = zstandard.ZstdDecompressor().decompress
 
@@ -308,9 +305,7 @@ def _placed(rows: pa.Table, words: pa.Table, passed: list[str], codes: str, deco
     flat = column("ids", lambda b: np.frombuffer(b, f"<u{b[0]}", offset=1), np.uint32).astype("<u4")
     order = np.argsort(at)
     start, size = (np.cumsum(size) - size)[order], size[order]
-    said = np.zeros(0, object)
-    if decoded and len(order):
-        said = np.array([t for x in words["said"] for t in unpack(x.as_py()).split(b"\n")], object)[order]
+    said = _spelt(flat[_repeated(start, size)], size, path) if decoded and len(order) else np.zeros(0, object)
     ids, counts, texts = [], [], []
     for c in rows[codes]:
         at = _long(c.as_py())
@@ -334,9 +329,9 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bo
     tasks = buckets(spark)
     entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=TURNS * tasks), "part int, block long, words binary, codes binary")
     entries = entries.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
-    entries = entries.mapInArrow(partial(_encoded, path=path, decoded=decoded), "block long, codes binary, sizes binary, ids binary, said binary")
+    entries = entries.mapInArrow(partial(_encoded, path=path), "block long, codes binary, sizes binary, ids binary")
     entries = entries.withColumnRenamed("block", block)
-    place = partial(_placed, passed=passed, codes=codes, decoded=decoded)
+    place = partial(_placed, passed=passed, codes=codes, decoded=decoded, path=path)
     left = rows.select(block, *passed, codes)
     return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(lambda a, b: place(a, b), T.StructType([*fields, *added]))
 
