@@ -164,12 +164,15 @@ def norm(df: DataFrame, column: str, output: str, order: float = 2, over: str |
     return df.select(*(F.col(c) for c in df.columns if c != output), made)
 
 
+def _at(x: Column, place: int, depth: int) -> Column:
+    return F.get(x, F.lit(place)) if depth == 0 else F.transform(x, lambda row: F.get(row, F.lit(place)))
+
+
 def pick(df: DataFrame, column: str, output: str, **labels: str) -> DataFrame:
     """df with the part of a labelled array at a label of some of its axes."""
     axes, x = list(axes_of(df, column)), F.col(column)
     for name, label in labels.items():
         at = [a.name for a in axes].index(axis(df, column, name).name)
-        place = F.lit(axes[at].labels.index(label))
-        x = F.get(x, place) if at == 0 else F.transform(x, lambda row, p=place: F.get(row, p))
+        x = _at(x, axes[at].labels.index(label), at)
         axes.pop(at)
     return df.select(*(F.col(c) for c in df.columns if c != output), named(x, output, *axes) if axes else x.alias(output))
