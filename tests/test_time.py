@@ -300,3 +300,33 @@ def test_reserved_names_and_repeated_right_keys_fail(spark):
     left = LaneFrame.of(spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 2.0)], "k string, t double, v double"), ["k"], "t", ["v"])
     with pytest.raises(PySparkException, match="several rows"):
         combine.binary(left, left, lambda a, b: a + b, broadcast=True).df.collect()
+
+
+def test_schema_patches_and_faults(spark):
+    df = spark.createDataFrame([("a", 0, 0.0, 1.0, 2), ("a", 1, 2.0, 2.0, 2), ("a", 2, 1.0, 3.0, 2), ("a", 2, 1.0, 3.0, 2), (None, 0, None, 4.0, 1)], "k string, seq long, t double, v double, n int")
+    f = LaneFrame(df, ("k",), "seq", "t", ("v", "n"), {"speed": ("v",)}, {"parent": "ship", "unit": "m"})
+    assert f.faults() == [("samples", "seq.repeated", 1), ("samples", "key.missing", 1), ("clock", "clock.missing", 1), ("clock", "clock.back", 1), ("clock", "clock.repeated", 1)]
+    assert f.faults(["roles"]) == [] and f.set_roles(clock="k").faults(["roles"]) == [("roles", "clock.dtype.invalid", 1)]
+    got = f.patch_schema({"attrs": {"parent": None, "child": "deck"}, "components": {"speed": None, "size": ["n"]}})
+    assert dict(got.attrs) == {"unit": "m", "child": "deck"} and dict(got.components) == {"size": ("n",)}
+    assert dict(f.patch_schema({"fields": ["n"]}).components) == {} and dict(f.patch_schema({"attrs": None}).attrs) == {}
+    with pytest.raises(RoleError):
+        f.patch_schema({"fields": ["nothing"]})
+    with pytest.raises(RoleError, match="no"):
+        f.patch_schema({"role": 1})
+    assert f.set_validity("n").df.count() == 3 and f.set_validity("n").fields == ("v",) and f.set_validity(F.col("v") > 2).df.count() == 3
+
+
+def test_attributes_combine_and_alignments_follow_one_side(spark):
+    def made(keys, **attrs):
+        return LaneFrame(spark.createDataFrame([(k, n, 1.0) for k, n in keys], "k string, seq long, v double"), ("k",), "seq", None, ("v",), {}, attrs)
+
+    a, b = made([("a", 0), ("a", 1), (None, 0)], unit="m", parent="x"), made([("a", 1), (None, 0), ("c", 0)], unit="m", parent="y").rename(v="w")
+    attrs = {how: dict(combine.merge(a, b, lanes="outer", samples="outer", combine_attrs=how).attrs) for how in ("override", "drop", "drop_conflicts")}
+    assert attrs == {"override": {"unit": "m", "parent": "x"}, "drop": {}, "drop_conflicts": {"unit": "m"}}
+    for how in ("no_conflicts", "identical"):
+        with pytest.raises(ValueError):
+            combine.merge(a, b, lanes="outer", samples="outer", combine_attrs=how)
+    rows = {side: sorted(values(combine.align_many([a, b], side, side)[1].df, "k", "seq", "w"), key=repr) for side in ("left", "right", "inner")}
+    assert rows["left"] == sorted([("a", 0, None), ("a", 1, 1.0), (None, 0, 1.0)], key=repr)
+    assert rows["right"] == sorted([("a", 1, 1.0), (None, 0, 1.0), ("c", 0, 1.0)], key=repr) and rows["inner"] == sorted([("a", 1, 1.0), (None, 0, 1.0)], key=repr)

@@ -123,6 +123,28 @@ class LaneFrame:
         parts = {k: v for k, v in {**other.components, **self.components}.items() if set(v) <= set(self.fields)}
         return replace(self, components=parts, attrs={**other.attrs, **self.attrs})
 
+    def patch_schema(self, patch: Mapping[str, object]) -> LaneFrame:
+        """The frame with its schema patched: keys, seq, clock and fields replaced; components and attrs key by key, where None takes one away. What comes out must be sound."""
+        if unknown := sorted(set(patch) - {"keys", "seq", "clock", "fields", "components", "attrs"}):
+            raise RoleError(f"a schema has no {unknown}")
+        roles = {k: patch[k] for k in ("keys", "seq", "clock", "fields") if k in patch}
+        held = {}
+        for part, now in (("components", self.components), ("attrs", self.attrs)):
+            new = {**now, **(patch.get(part) or {})} if patch.get(part, now) is not None else {}
+            held[part] = {k: tuple(v) if part == "components" else v for k, v in new.items() if v is not None}
+        if "fields" in roles and "components" not in patch:
+            held["components"] = {k: v for k, v in held["components"].items() if set(v) <= set(roles["fields"])}
+        out = replace(self, **held, **({"cuts": None} if {"keys", "clock"} & set(roles) else {}), **{k: tuple(v) if k in ("keys", "fields") else v for k, v in roles.items()})
+        return out
+
+    def set_validity(self, size: str | Column) -> LaneFrame:
+        """Only the samples below a lane's size (a column of it), or where a condition holds, numbered as they are; a column named for it leaves the frame."""
+        if isinstance(size, str):
+            if size not in self.df.columns:
+                raise RoleError(f"no column {size}")
+            return replace(self, df=self.df.where(F.col(self.seq) < F.col(size)), fields=tuple(f for f in self.fields if f != size))
+        return self.over(self.df.where(F.coalesce(size, F.lit(False))))
+
     @classmethod
     def compose_components(cls, parts: Mapping[str, LaneFrame]) -> LaneFrame:
         """Frames of the same lanes and samples as components of one; their fields have names of their own."""
@@ -178,6 +200,31 @@ class LaneFrame:
         parts = {k: tuple(v) for k, v in r["components"].items()}
         return cls(df, tuple(r["keys"]), r["seq"], r["clock"], tuple(r["fields"]), parts, r["attrs"])
 
+    def faults(self, phases: Sequence[str] = ("roles", "samples", "clock")) -> list[tuple[str, str, int]]:
+        """(phase, code, count) of what is wrong, in the order of the phases, which are roles (kinds of columns), samples and clock (values, in one pass).
+
+        Codes: clock.dtype.invalid, seq.dtype.invalid, seq.missing, seq.repeated, key.missing, clock.missing, clock.back, clock.repeated.
+        """
+        if unknown := set(phases) - {"roles", "samples", "clock"}:
+            raise ValueError(f"unknown phases {sorted(unknown)}")
+        out, kinds = [], {f.name: f.dataType for f in self.df.schema}
+        if "roles" in phases:
+            if self.clock and not isinstance(kinds[self.clock], (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+                out.append(("roles", "clock.dtype.invalid", 1))
+            if not isinstance(kinds[self.seq], T.IntegralType):
+                out.append(("roles", "seq.dtype.invalid", 1))
+        order, seq, t = self.ordered, F.col(self.seq), F.col(self.clock or self.seq)
+        held = {
+            "seq.missing": seq.isNull(), "seq.repeated": F.lag(self.seq).over(order) == seq,
+            "key.missing": F.lit(False) if not self.keys else reduce(lambda a, b: a | b, (F.col(k).isNull() for k in self.keys)),
+            "clock.missing": t.isNull(), "clock.back": t < F.lag(t).over(order), "clock.repeated": t == F.lag(t).over(order),
+        }
+        asked = [c for c in held if ("clock" if c.startswith("clock") else "samples") in phases and (self.clock or not c.startswith("clock"))]
+        if asked:
+            row = self.df.select(*(held[c].alias(f"c{i}") for i, c in enumerate(asked))).agg(*(F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(asked)))).first()
+            out += [("clock" if c.startswith("clock") else "samples", c, row[i]) for i, c in enumerate(asked) if row[i]]
+        return out
+
     def validate(self) -> list[str]:
         """Faults of the values, found in one pass: empty when the frame is sound."""
         order = self.ordered

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,16 +96,20 @@ def align_pair(left: LaneFrame, right: LaneFrame, lanes: str = "inner", samples:
 
 
 def align_many(frames: Sequence[LaneFrame], lanes: str = "inner", samples: str = "exact", fill: float | None = None) -> list[LaneFrame]:
-    """All frames over the lanes and samples that all (inner), any (outer) or exactly all (exact) have."""
+    """All frames over the lanes and samples that all (inner), any (outer) or exactly all (exact) have, or that the first (left) or last (right) has."""
+    for join in (lanes, samples):
+        if join not in ("inner", "outer", "exact", "left", "right"):
+            raise ValueError(f"unknown join {join}")
     base, held = frames[0], _common(frames)
     at = [*base.keys, base.seq]
     every = reduce(DataFrame.unionByName, [f.df.select(*at).withColumn("__f", F.lit(i)) for i, f in enumerate(held)])
-    index = every.groupBy(*at).agg(F.count_distinct("__f").alias("__n"))
-    own = every.groupBy(*base.keys).agg(F.count_distinct("__f").alias("__m"))
+    final = len(held) - 1
+    index = every.groupBy(*at).agg(F.count_distinct("__f").alias("__n"), (F.min("__f") == 0).alias("__first"), (F.max("__f") == final).alias("__last"))
+    own = every.groupBy(*base.keys).agg(F.count_distinct("__f").alias("__m"), (F.min("__f") == 0).alias("__lane_first"), (F.max("__f") == final).alias("__lane_last"))
     index = meet(index, own, base.keys, "inner")
     n = len(frames)
-    keep_lane = {"inner": F.col("__m") == n, "outer": F.lit(True), "exact": F.when(F.col("__m") == n, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
-    keep = {"inner": F.col("__n") == F.col("__m"), "outer": F.lit(True), "exact": F.when(F.col("__n") == F.col("__m"), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))}[samples]
+    keep_lane = {"inner": F.col("__m") == n, "outer": F.lit(True), "left": F.col("__lane_first"), "right": F.col("__lane_last"), "exact": F.when(F.col("__m") == n, F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different lanes")))}[lanes]
+    keep = {"inner": F.col("__n") == F.col("__m"), "outer": F.lit(True), "left": F.col("__first"), "right": F.col("__last"), "exact": F.when(F.col("__n") == F.col("__m"), F.lit(True)).otherwise(F.raise_error(F.lit("the frames have different samples")))}[samples]
     index = index.where(keep_lane).where(keep).select(*at)
     out = []
     for f in held:
@@ -121,13 +126,15 @@ def _agreed(a: Column, b: Column, compat: str, name: str, kind: str) -> Column:
     return F.when(bad, F.raise_error(F.lit(f"the frames disagree about {name}")).cast(kind)).otherwise(F.coalesce(a, b))
 
 
-def merge(left: LaneFrame, right: LaneFrame, *more: LaneFrame, lanes: str = "inner", samples: str = "exact", compat: str = "no_conflicts", fill: float | None = None, prealign: dict | None = None) -> LaneFrame:
+def merge(left: LaneFrame, right: LaneFrame, *more: LaneFrame, lanes: str = "inner", samples: str = "exact", compat: str = "no_conflicts", fill: float | None = None, prealign: dict | None = None, combine_attrs: str = "override") -> LaneFrame:
     """The fields of two or more frames over joined lanes and samples, one after another.
 
     A field of several must agree where both have it (no_conflicts), everywhere (equals; broadcast_equals is the same here, where a lane's
     samples always have rows of their own; identical: their attributes too), or the first one wins and later ones fill its holes (override). prealign:
-    options of ``asof.synchronize`` to bring all to one clock first.
+    options of ``asof.synchronize`` to bring all to one clock first. combine_attrs: attributes of the first frame (override), none (drop), those of all, which must agree
+    where several have them (no_conflicts), those that don't disagree (drop_conflicts), or the same in all (identical).
     """
+    attrs = combined_attrs([left, right, *more], combine_attrs)
     if compat not in COMPAT:
         raise ValueError(f"unknown compat {compat}")
     frames = [left, right, *more]
@@ -135,7 +142,28 @@ def merge(left: LaneFrame, right: LaneFrame, *more: LaneFrame, lanes: str = "inn
         frames = asof.synchronize(frames, **prealign)
     if compat == "identical" and any(f.attrs != frames[0].attrs for f in frames):
         raise ValueError("the frames have different attributes")
-    return reduce(lambda a, b: _merged(a, b, lanes, samples, compat, fill), frames)
+    out = reduce(lambda a, b: _merged(a, b, lanes, samples, compat, fill), frames)
+    return replace(out, attrs=attrs)
+
+
+def combined_attrs(frames: Sequence[LaneFrame], how: str) -> dict[str, str]:
+    """Attributes of several frames as one frame's, by the policy of ``merge``."""
+    if how not in ("override", "drop", "no_conflicts", "drop_conflicts", "identical"):
+        raise ValueError(f"unknown way to combine attributes {how}")
+    first = dict(frames[0].attrs)
+    if how in ("override", "drop"):
+        return first if how == "override" else {}
+    if how == "identical":
+        if any(dict(f.attrs) != first for f in frames):
+            raise ValueError("the frames have different attributes")
+        return first
+    said: dict[str, set[str]] = {}
+    for f in frames:
+        for k, v in f.attrs.items():
+            said.setdefault(k, set()).add(v)
+    if how == "no_conflicts" and (differ := sorted(k for k, v in said.items() if len(v) > 1)):
+        raise ValueError(f"the frames disagree about {differ}")
+    return {k: next(iter(v)) for k, v in said.items() if len(v) == 1}
 
 
 def _merged(left: LaneFrame, right: LaneFrame, lanes: str, samples: str, compat: str, fill: float | None) -> LaneFrame:
