@@ -1,4 +1,4 @@
-"""Labelled vectors and matrices, read from a snapshot of their columns."""
+"""Labelled vectors and matrices, read from a snapshot of their columns; projections by code."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import labels as lb
+from wayline.functions import projections as pj
 from wayline.plans.catalog import lanes, query, rounded
+from wayline.plans.q_motion import _places
 from wayline.sources import shared
 
 XYZ, ZXY, AB = lb.Axis("part", ("x", "y", "z")), lb.Axis("part", ("z", "x", "y")), lb.Axis("row", ("a", "b"))
@@ -40,3 +42,27 @@ def labels_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in "ab":
         df = lb.pick(df, "r", c, row=c)
     return rounded(df.select("user_id", "seq", "a", "b", "size"), 3)
+
+
+# projections: formulas of the textbook in SQL, with tangents of half angles
+
+E1 = "0.08181919084262149::DOUBLE"
+HALF = "tan(pi() / 4 - {p} / 2) / pow((1 - {e} * sin({p})) / (1 + {e} * sin({p})), {e} / 2)"
+POLE = f"2 * 6378137.0::DOUBLE * 0.994::DOUBLE / sqrt(pow(1 + {E1}, 1 + {E1}) * pow(1 - {E1}, 1 - {E1})) * ({HALF.format(p='p', e=E1)})"
+
+
+@query(f"""WITH {{e}}, g AS (SELECT user_id, seq, radians(least(value, 80)) AS p, t / 20000 - 60 AS lon FROM e), r AS (SELECT *, {POLE} AS r FROM g)
+SELECT user_id, seq, round(6378137.0::DOUBLE * radians(lon), 2) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + p / 2)), 2) AS y,
+  round(2000000 + r * sin(radians(lon)), 2) AS east, round(2000000 - r * cos(radians(lon)), 2) AS north FROM r""")
+def to_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web Mercator and the northern polar stereographic grid."""
+    df = pj.with_projected(pj.with_projected(_places(spark, sf_dir), "g", "m", 3857), "g", "u", 5041)
+    return rounded(df.select("user_id", "seq", F.col("m.east").alias("x"), F.col("m.north").alias("y"), "u.east", "u.north"), 2)
+
+
+@query("WITH {e} SELECT user_id, seq, round(least(value, 80), 7) AS lat, round(t / 20000 - 60, 7) AS lon FROM e")
+def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the European conic, from there to the northern polar grid, and back to places."""
+    df = pj.with_projected(_places(spark, sf_dir), "g", "c", 3034)
+    df = pj.with_geodetic(pj.transformed(df, "c", 3034, 3413, "n"), "n", "back", 3413)
+    return rounded(df.select("user_id", "seq", "back.lat", "back.lon"), 7)
