@@ -99,14 +99,18 @@ def read_csv_logs(spark: SparkSession, path: str | Sequence[str], options: CsvOp
     df = df.where(~bad) if options.invalid_time == "drop" else df.withColumn("time", F.when(bad, F.raise_error(F.lit("a time is missing")).cast(kind)).otherwise(F.col("time")))
     names = {v: v.replace(".", "_") for v in values}
     out = LaneFrame.of(df.withColumnsRenamed({**names, "__row": "seq"}), keys, "time", list(names.values()))
-    out = out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"]))
+    return in_time(out.renumbered(*(["time", "seq"] if options.sort_time else ["seq"])), options)
+
+
+def in_time(out: LaneFrame, options) -> LaneFrame:
+    """The frame with its times held to the options' order, or an error where they are not."""
     if options.order == "any":
         return out
-    before = F.lag("time").over(out.ordered)
+    before = F.lag(out.clock).over(out.ordered)
     if options.order == "increasing" and options.normalize:
-        out = out.over(out.df.withColumn("__again", F.coalesce(before == F.col("time"), F.lit(False))).where("NOT __again").drop("__again")).renumbered()
-        before = F.lag("time").over(out.ordered)
-    fault = F.coalesce(before > F.col("time") if options.order == "nondecreasing" else before >= F.col("time"), F.lit(False))
+        out = out.over(out.df.withColumn("__again", F.coalesce(before == F.col(out.clock), F.lit(False))).where("NOT __again").drop("__again")).renumbered()
+        before = F.lag(out.clock).over(out.ordered)
+    fault = F.coalesce(before > F.col(out.clock) if options.order == "nondecreasing" else before >= F.col(out.clock), F.lit(False))
     checked = F.when(fault, F.raise_error(F.lit(f"times are not {options.order}")).cast("boolean")).otherwise(F.lit(True))
     return out.over(out.df.withColumn("__good", checked).where("__good").drop("__good"))
 
@@ -145,7 +149,7 @@ def load(spark: SparkSession, path: str) -> LaneFrame:
 def poses_from_messages(messages: DataFrame, lane: str = "trial") -> LaneFrame:
     """Pose samples of decoded pose messages (PoseStamped, Odometry or TransformStamped fields as nested structs).
 
-    The header's stamp in whole nanoseconds is the clock. Reading bag files themselves needs a reader that isn't here.
+    The header's stamp in whole nanoseconds is the clock. ``bags`` reads bag files themselves.
     """
     fields = dict(messages.dtypes)
     if "transform" in fields:
