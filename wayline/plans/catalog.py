@@ -59,4 +59,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the queries register themselves
-from wayline.plans import q_clock, q_combine, q_edges, q_events, q_labels, q_more, q_motion, q_reduce, q_space, q_structure, q_time  # noqa: E402, F401
+from wayline.plans import q_bags, q_clock, q_combine, q_edges, q_events, q_labels, q_more, q_motion, q_reduce, q_sky, q_space, q_structure, q_time  # noqa: E402, F401
