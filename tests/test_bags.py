@@ -183,3 +183,13 @@ def test_written_bags_come_back(spark, tmp_path, child):
         bags.write_bag_logs(f, at)
     with pytest.raises(RoleError):
         bags.write_bag_logs(f.over(f.df.withColumn("time", F.col("time").cast("double"))), at + "2")
+
+
+def test_short_bags_share_tasks_and_long_ones_are_cut(tmp_path):
+    for i in range(40):
+        bag(tmp_path / f"{i:02}.bag", {0: TWO[3]}, [])
+    tasks = bags.BagReader({"path": str(tmp_path)}).partitions()
+    assert len(tasks) == 3 and sorted(p.lane for t in tasks for p in t.held) == [f"{i:02}" for i in range(40)]
+    cut = bags.BagReader({"path": str(tmp_path / "00.bag"), "split": "1000"}).partitions()
+    size = os.path.getsize(tmp_path / "00.bag")
+    assert [(p.begin, p.end) for t in cut for p in t.held] == [(a, min(a + 1000, size)) for a in range(0, size, 1000)] and all(len(t.held) == 1 for t in cut)

@@ -44,8 +44,8 @@ FAMILIES = {"PoseStamped": False, "Odometry": True, "TransformStamped": True}
 SUMS = {"geometry_msgs/PoseStamped": "d3812c3cbc69362b77dc0b19b345f8f5", "geometry_msgs/TransformStamped": "b5764a33bfeb3588febc2682852579b0"}
 NUMBERS = ("x", "y", "z", "qx", "qy", "qz", "qw")
 SECOND = 1_000_000_000
-#: Rows of a batch, and messages of a written chunk.
-ROWS, CHUNK_ROWS = 8192, 4096
+#: Rows of a batch, messages of a written chunk, and what opening a file counts for in bytes, as for Spark's own files.
+ROWS, CHUNK_ROWS, OPENING = 8192, 4096, 4 << 20
 
 SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("lane", "topic", "type", "parent", "child")]
@@ -147,7 +147,7 @@ class Bags(DataSource):
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     """A range of a file's bytes."""
 
     lane: str
@@ -157,30 +157,46 @@ class Part(InputPartition):
     size: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    held: list[Part]
+
+
 class BagReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]) -> None:
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.topic, self.kind, self.split = options.get("topic"), options.get("type"), int(options.get("split", BagOptions.split))
 
     def partitions(self) -> Sequence[InputPartition]:
-        found, seen = [], {}
+        """Ranges of files; short ones are put together in a task, where each file counts as OPENING bytes more."""
+        found, seen, room = [], {}, 0
         for lane, home, path, size in (x for p in self.paths for x in _bags(p)):
             if seen.setdefault(lane, home) != home:
                 raise RoleError(f"two bags are named {lane}")
-            found += [Part(lane, path, a, min(a + self.split, size), size) for a in range(0, size, self.split)]
+            for a in range(0, size, self.split):
+                part = Part(lane, path, a, min(a + self.split, size), size)
+                cost = part.end - part.begin + OPENING
+                if cost > room:
+                    found.append(Parts([]))
+                    room = self.split + OPENING
+                found[-1].held.append(part)
+                room -= cost
         return found
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
         rows, columns = 0, [[] for _ in ARROW]
-        for row in (self._sqlite if partition.path.endswith(".db3") else self._chunked)(partition):
-            for c, x in zip(columns, row, strict=True):
-                c.append(x)
-            rows += 1
-            if rows == ROWS:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
-                rows, columns = 0, [[] for _ in ARROW]
+        for part in partition.held:
+            for row in (self._sqlite if part.path.endswith(".db3") else self._chunked)(part):
+                for c, x in zip(columns, row, strict=True):
+                    c.append(x)
+                rows += 1
+                if rows == ROWS:
+                    yield _batch(columns)
+                    rows, columns = 0, [[] for _ in ARROW]
         if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+            yield _batch(columns)
 
     def _chosen(self, path: str, known: Mapping[int, tuple[str, str]]) -> dict[int, tuple[str, str]]:
         """Numbers of the connections asked for, with topic and type; of one topic and one type, or else an error."""
@@ -234,6 +250,10 @@ class BagReader(DataSourceReader):
             db.close()
 
 
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+
 def _located(path: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"[a-z][a-z0-9+.-]*:/", path):
         return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
