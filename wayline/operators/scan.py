@@ -21,6 +21,19 @@ from wayline.functions.clocks import Clock
 ROWS, RANGES = 4_000_000, 1024
 CUTS, CHUNK = "__cuts", "__chunk"
 
+#: Samples that a task of lanes holds in its sorts at once, about; more of them make more tasks.
+TASK_ROWS = 100_000
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """df dealt by its keys over a task for each ``rows`` of it (default: TASK_ROWS); what one task holds is left to the session's settings.
+
+    For tables that are read as they are, as their rows are counted first. The session's partitions, whose number may be small, and which are joined again
+    by their packed bytes, would give a task more samples the larger the table is.
+    """
+    n = -(-df.count() // (rows or TASK_ROWS))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+
 
 def split_lanes(frame: LaneFrame, rows: int = ROWS) -> LaneFrame:
     """The frame with lanes of more than ``rows`` samples cut into ranges of about so many (no more than RANGES of them); results don't change."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.frame import LaneFrame
+from wayline.operators import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +47,7 @@ def seconds(ts: str) -> Column:
 
 def lanes(spark: SparkSession, sf_dir: str, *more: str) -> LaneFrame:
     """The samples of ``events``, with further payload columns if named."""
-    df = table(spark, sf_dir, "events").withColumn("t", seconds("ts"))
+    df = scan.spread(table(spark, sf_dir, "events"), ["user_id"]).withColumn("t", seconds("ts"))
     return LaneFrame.of(df, ["user_id"], "t", ["value", *more], order=["event_id"])
 
 

@@ -28,7 +28,7 @@ HOUR = datetime.timedelta(hours=1)
 
 def ts_lanes(spark: SparkSession, sf_dir: str, zoned: bool = False, *more: str) -> LaneFrame:
     """Samples of ``events`` on their own timestamps; zoned: as TIMESTAMP instead of TIMESTAMP_NTZ."""
-    df = table(spark, sf_dir, "events")
+    df = scan.spread(table(spark, sf_dir, "events"), ["user_id"])
     df = df.withColumn("ts", F.col("ts").cast("timestamp" if zoned else "timestamp_ntz"))
     return LaneFrame.of(df, ["user_id"], "ts", ["value", *more], order=["event_id"])
 
