@@ -193,3 +193,10 @@ def test_short_bags_share_tasks_and_long_ones_are_cut(tmp_path):
     cut = bags.BagReader({"path": str(tmp_path / "00.bag"), "split": "1000"}).partitions()
     size = os.path.getsize(tmp_path / "00.bag")
     assert [(p.begin, p.end) for t in cut for p in t.held] == [(a, min(a + 1000, size)) for a in range(0, size, 1000)] and all(len(t.held) == 1 for t in cut)
+
+
+def test_the_index_reads_the_bags_once(spark):
+    from wayline.plans import catalog
+
+    plan = catalog.QUERIES["bag_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1 and "Join" not in plan

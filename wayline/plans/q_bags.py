@@ -38,6 +38,4 @@ def bag_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(user_id AS VARCHAR) AS trial, 'map' AS parent, 'base' AS child, count(*) AS messages, min(epoch_us(ts)) * 1000 AS first, max(epoch_us(ts)) * 1000 AS last FROM events GROUP BY user_id")
 def bag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each bag holds: its frames, and its messages with their first and last time."""
-    at = _written(spark, sf_dir, parent="map", child="base")
-    told = bags.messages(spark, at).groupBy(F.col("lane").alias("trial")).agg(F.count("*").alias("messages"), F.min("received").alias("first"), F.max("received").alias("last"))
-    return bags.bag_frames(spark, at).join(told, "trial")
+    return bags.bag_index(spark, _written(spark, sf_dir, parent="map", child="base"))

@@ -100,8 +100,17 @@ def messages(spark: SparkSession, path: str | Sequence[str], options: BagOptions
 
 def bag_frames(spark: SparkSession, path: str | Sequence[str], options: BagOptions = BagOptions()) -> DataFrame:
     """Lane, parent and child frame: null where a bag has none or names several."""
-    one = [F.when(F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c) for c in ("parent", "child")]
-    return messages(spark, path, options).groupBy(F.col("lane").alias(options.lane)).agg(*one)
+    return messages(spark, path, options).groupBy(F.col("lane").alias(options.lane)).agg(*_one_frame())
+
+
+def bag_index(spark: SparkSession, path: str | Sequence[str], options: BagOptions = BagOptions()) -> DataFrame:
+    """``bag_frames`` with the number of messages and their first and last time of receipt, from one reading of the bags."""
+    told = [F.count("*").alias("messages"), F.min("received").alias("first"), F.max("received").alias("last")]
+    return messages(spark, path, options).groupBy(F.col("lane").alias(options.lane)).agg(*_one_frame(), *told)
+
+
+def _one_frame() -> list[Column]:
+    return [F.when(F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c) for c in ("parent", "child")]
 
 
 def write_bag_logs(frame: LaneFrame, path: str, field: str = "pose", topic: str = "/pose", parent: str = "", child: str = "") -> None:
