@@ -57,3 +57,16 @@ def test_labelled_texts_beyond_the_bound_are_cut_and_no_class_is_lost(spark, mon
         assert set(got) == {0.0}
     else:
         assert max(got) < 0.99 and np.mean(got[1::2]) >= np.mean(got[::2])
+
+
+@pytest.mark.parametrize("shard", [16, 16_000])
+def test_every_labelled_document_is_learnt_from_and_calibrates(spark, monkeypatch, shard):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", shard)
+    seen, real = [], toxicity.calibration
+    monkeypatch.setattr(toxicity, "calibration", lambda x, y, w: seen.append(float(w.sum())) or real(x, y, w))
+    rng = random.Random(3)
+    text = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(20)) + (" vile" * 4 if i % 2 else " kind" * 4) for i in range(64)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(text)], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(64)], "doc_id long, label int"))
+    logits = np.array([model.network.logit(toxicity.word_ids(t, toxicity._Buckets())) for t in text])
+    assert seen == [64.0] and logits[1::2].min() > logits[::2].max()
