@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayline.llm import toxicity
@@ -70,3 +71,32 @@ def test_every_labelled_document_is_learnt_from_and_calibrates(spark, monkeypatc
     model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(64)], "doc_id long, label int"))
     logits = np.array([model.network.logit(toxicity.word_ids(t, toxicity._Buckets())) for t in text])
     assert seen == [64.0] and logits[1::2].min() > logits[::2].max()
+
+
+def test_words_of_many_texts_are_hashed_as_one_by_one(monkeypatch):
+    texts = ["", None, "  ", "a", "x" * 64 + " " + "y" * 65 + " z", "é ü" * 5, "a\x00b\x1fc", "ABC deF, abcdefgh", " lead trail  ", "q" * 5000, "漢字かな" * 30, "vile " * 300]
+    want = [toxicity.word_ids(t, toxicity._Buckets()) for t in texts]
+    for at_once in (1, 100, 1 << 20):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        got = list(toxicity.many_word_ids(pa.array(texts)))
+        assert len(got) == len(want) and all(np.array_equal(g, w) for g, w in zip(got, want))
+    assert not list(toxicity.many_word_ids(pa.array([], pa.string())))
+
+
+def test_a_step_moves_words_of_pooled_places_once_for_each_filter():
+    net, docs = network(3)
+    ids = docs[0][-8:]  # with the telling word; short texts lose no words at random
+    pooled, at = net._pool(ids)
+    before, rows, out = net.tables.copy(), [f.copy() for f in net.filters], net.out.copy()
+    g = 1 / (1 + np.exp(-(pooled @ out + net.base)))  # a toxic one, taken for clean
+    want = np.zeros_like(before)
+    back = (g * out * (pooled > 0)).reshape(len(toxicity.WIDTHS), len(toxicity.RANKS), toxicity.FILTERS)
+    for k, f in enumerate(rows):
+        for r in range(len(toxicity.RANKS)):
+            for i in range(toxicity.FILTERS):
+                for j in range(len(f)):
+                    place = at[r, k * toxicity.FILTERS + i] + j
+                    for p in range(toxicity.PARTS if place < len(ids) else 0):
+                        want[p, ids[place, p]] += -0.02 * back[k, r, i] * f[j, p * toxicity.DIM : (p + 1) * toxicity.DIM, i]
+    net.learn([ids], np.array([0]), np.ones(1), 1, 5)
+    assert np.abs(want).max() > 1e-6 and np.allclose(net.tables - before, want, atol=1e-6)

@@ -20,6 +20,7 @@ an empty table gives no rows; further columns pass through ``score_toxicity``, o
 from __future__ import annotations
 
 import copy
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,9 +40,13 @@ SEEDS, STEMS = (0, 0x5BD1E995), (3, 5, 7)
 PARTS = len(SEEDS) + len(STEMS)
 #: Widths of filters, filters of each, and which of the greatest activations of a filter are pooled.
 WIDTHS, FILTERS, RANKS = (1, 2, 3), 12, (1, 3)
-EACH = np.arange(FILTERS)
+SLOTS = len(WIDTHS) * FILTERS
+#: A filter of width w is w rows of the weights; for each row, which filter (of all widths) it belongs to and how many words into it.
+SLOT_OF = np.array([k * FILTERS + i for k, w in enumerate(WIDTHS) for _ in range(w) for i in range(FILTERS)])
+SHIFT_OF = np.array([j for w in WIDTHS for j in range(w) for _ in range(FILTERS)])
+EACH = np.arange(SLOTS)
 #: Where each part's buckets begin in one table of all.
-OFFSETS = np.arange(PARTS, dtype=np.int64) * BUCKETS
+OFFSETS, COLUMN = np.arange(PARTS, dtype=np.int64) * BUCKETS, np.arange(DIM)
 #: Labelled documents and words, about, that a task trains a network on; more of them make more shards.
 SAMPLE_DOCS, SAMPLE_WORDS = 16_000, 6_000_000
 #: Training takes at least about so many steps of one document, within these numbers of passes over all of them, and at most so many rounds of shards.
@@ -55,8 +60,10 @@ RATE, SEED, FOLDS = 0.05, 11, 5
 SHRINK = 3.0
 #: Toxic rows of a language at which its own threshold and the common one count alike.
 LANGUAGE_ROWS = 20
-#: Words that a worker remembers, and bytes of the longest of these.
+#: Words that ``word_ids`` remembers, and bytes of the longest of these; longer words are hashed one by one.
 REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of texts, about, whose words are hashed at once.
+AT_ONCE = 1 << 20
 #: Words in one convolution; longer texts are taken in overlapping parts, all of them.
 PART = 1 << 16
 #: ASCII that is no letter or digit, as spaces.
@@ -82,6 +89,56 @@ def word_ids(text: str | None, buckets: _Buckets) -> np.ndarray:
     return np.frombuffer(b"".join(map(buckets.__getitem__, words)), "<u2").reshape(-1, PARTS)
 
 
+def _shifts(seed: int) -> np.ndarray:
+    """What a seed changes in the hash of a word, by its bytes: the same for all words of a length."""
+    return np.array([zlib.crc32(bytes(n), seed) ^ zlib.crc32(bytes(n)) for n in range(LONGEST + 1)], np.uint32)
+
+
+CRC = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], np.uint32)
+SHIFTS = [_shifts(s) for s in (*SEEDS, *STEMS)]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where the words of a folded text begin, their bucket numbers): the words advance together, byte by byte."""
+    held = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(held != 32, prepend=False, append=False))
+    starts, sizes = edges[::2], np.diff(edges)[::2]
+    short = np.minimum(sizes, LONGEST)
+    order = np.argsort((LONGEST - short).astype(np.uint8), kind="stable")  # longest first, so that words that go on are in front
+    going = len(starts) - np.cumsum(np.bincount(short, minlength=LONGEST + 1))
+    at, state, states = starts[order], np.full(len(starts), 0xFFFFFFFF, np.uint32), {}
+    for n in range(1, LONGEST + 1):
+        m = int(going[n - 1])
+        if m:
+            c = state[:m]
+            state[:m] = CRC[(c ^ held[at[:m] + (n - 1)]) & 255] ^ (c >> 8)
+        elif n > max(STEMS):
+            break
+        if n in STEMS:
+            states[n] = state.copy()
+    sizes_in_order, out = short[order], np.empty((len(starts), PARTS), "<u2")
+    for p, (n, shift) in enumerate(zip([None] * len(SEEDS) + list(STEMS), SHIFTS, strict=True)):
+        ended = states[n] if n else state
+        out[order, p] = (~ended ^ shift[sizes_in_order if n is None else np.minimum(sizes_in_order, n)]) & (BUCKETS - 1)
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        word = raw[starts[i] : starts[i] + sizes[i]]
+        out[i, : len(SEEDS)] = [zlib.crc32(word, s) & (BUCKETS - 1) for s in SEEDS]
+    return starts, out
+
+
+def many_word_ids(texts: pa.Array) -> Iterator[np.ndarray]:
+    """What ``word_ids`` gives for each text; the words of many texts are hashed at once."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        group.append((t.as_py() or "").encode("utf-8", "replace"))
+        size += len(group[-1])
+        if size >= AT_ONCE or i == len(texts) - 1:
+            starts, ids = _hashed(b" ".join(group).translate(FOLD))
+            ends = np.searchsorted(starts, np.cumsum([len(g) + 1 for g in group]))
+            yield from (ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            group, size = [], 0
+
+
 class Convolution:
     """Embeddings, filters and the logistic layer."""
 
@@ -108,14 +165,15 @@ class Convolution:
             return
         rng = np.random.default_rng(SEED)
         self.tables = np.stack([self._start(counts[:, p], totals, rng) for p in range(PARTS)])
-        self.filters = [rng.normal(0, 0.1, (k, PARTS * DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-        for f in self.filters:
+        filters = [rng.normal(0, 0.1, (k, PARTS * DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
+        for f in filters:
             f[:, ::DIM, : FILTERS // 2] += 0.25 / len(f)
             f[:, ::DIM, FILTERS // 2 :] -= 0.25 / len(f)
-        self.bias = [np.full(FILTERS, -0.5, np.float32) for _ in WIDTHS]
+        self.rows = np.concatenate([part.T for f in filters for part in f])
+        self.biases = np.full(SLOTS, -0.5, np.float32)
         n = len(RANKS) * len(WIDTHS) * FILTERS
         self.out, self.base = rng.normal(0, 0.1, n).astype(np.float32), 0.0
-        self.seen = {"out": np.full(n, 1e-2), "base": 1e-2, "filters": [np.full(f.shape, 1e-2) for f in self.filters], "bias": [np.full(FILTERS, 1e-2) for _ in WIDTHS]}
+        self.seen = {"out": np.full(n, 1e-2), "base": 1e-2, "rows": np.full(self.rows.shape, 1e-2), "biases": np.full(SLOTS, 1e-2)}
 
     def _start(self, counts: np.ndarray, totals: tuple[int, int], rng: np.random.Generator) -> np.ndarray:
         rates = (counts + 0.5) / (np.array(totals)[:, None] + 1)
@@ -124,9 +182,21 @@ class Convolution:
         table[:, 0] += surprise
         return table
 
+    @property
+    def filters(self) -> list[np.ndarray]:
+        """The filters of each width, as (words, embedding, filter)."""
+        ends = np.cumsum(WIDTHS) * FILTERS
+        return [self.rows[end - w * FILTERS : end].reshape(w, FILTERS, PARTS * DIM).transpose(0, 2, 1) for w, end in zip(WIDTHS, ends, strict=True)]
+
+    @property
+    def bias(self) -> list[np.ndarray]:
+        """The biases of the filters of each width."""
+        return list(self.biases.reshape(len(WIDTHS), FILTERS))
+
     def flat(self) -> np.ndarray:
         """All that is trained but the embeddings, as one array."""
-        held = [*self.filters, *self.bias, self.out, np.array([self.base]), *self.seen["filters"], *self.seen["bias"], self.seen["out"], np.array([self.seen["base"]])]
+        held, seen = [self.rows, self.biases, self.out, np.array([self.base])], self.seen
+        held += [seen["rows"], seen["biases"], seen["out"], np.array([seen["base"]])]
         return np.concatenate([x.ravel() for x in held]).astype(np.float64)
 
     def unflat(self, values: np.ndarray) -> None:
@@ -138,17 +208,16 @@ class Convolution:
             at += like.size
             return values[at - like.size : at].reshape(like.shape).astype(like.dtype)
 
-        self.filters, self.bias = [taken(f) for f in self.filters], [taken(b) for b in self.bias]
-        self.out, self.base = taken(self.out), float(taken(np.zeros(1))[0])
+        self.rows, self.biases, self.out, self.base = taken(self.rows), taken(self.biases), taken(self.out), float(taken(np.zeros(1))[0])
         seen = self.seen
-        self.seen = {"filters": [taken(f) for f in seen["filters"]], "bias": [taken(b) for b in seen["bias"]], "out": taken(seen["out"]), "base": float(taken(np.zeros(1))[0])}
+        self.seen = {"rows": taken(seen["rows"]), "biases": taken(seen["biases"]), "out": taken(seen["out"]), "base": float(taken(np.zeros(1))[0])}
 
     def _embedded(self, ids: np.ndarray) -> np.ndarray:
         return self.tables.reshape(-1, DIM).take(ids + OFFSETS, axis=0).reshape(len(ids), PARTS * DIM)
 
-    def _pool(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(pooled activations by width, rank and filter; for each width the places of those of each rank and filter). Long texts go part by part, all of them."""
-        most, held = max(RANKS), [[] for _ in WIDTHS]
+    def _pool(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pooled activations by width, rank and filter; the places of those by rank and filter, of all widths). Long texts go part by part, all of them."""
+        most, held = max(RANKS), []
         starts = range(0, max(1, len(ids) - max(WIDTHS) - most + 2), PART)
         for start in starts:
             # the last words of a part come again in the next: only filters that begin in this part count, and all that are left in the last one
@@ -156,60 +225,63 @@ class Convolution:
             x = self._embedded(ids[start:] if final else ids[start : start + PART + max(WIDTHS) - 1])
             if len(x) < max(WIDTHS) + most - 1:  # short texts are filled up with zeros
                 x = np.concatenate([x, np.zeros((max(WIDTHS) + most - 1 - len(x), x.shape[1]), np.float32)])
-            every, first = np.concatenate([part for f in self.filters for part in f], axis=1).T @ x.T, 0
-            for k, f in enumerate(self.filters):
-                n = len(x) - len(f) + 1 if final else PART
-                a = every[first : first + FILTERS, :n].copy()
-                for j in range(1, len(f)):
-                    a += every[first + j * FILTERS : first + (j + 1) * FILTERS, j : j + n]
-                first += len(f) * FILTERS
-                for _ in range(most):
-                    at = a.argmax(axis=1)
-                    held[k].append((a[EACH, at], at + start))
-                    a[EACH, at] = -np.inf
-        best, where = [], []
-        for found, b in zip(held, self.bias, strict=True):
-            values, at = (np.stack([x[i] for x in found]) for i in (0, 1))
-            order = np.argsort(-values, axis=0, kind="stable")[[r - 1 for r in RANKS]] if len(starts) > 1 else np.repeat(np.array([[r - 1] for r in RANKS]), FILTERS, axis=1)
-            where.append(np.take_along_axis(at, order, axis=0))
-            best.append(np.maximum(np.take_along_axis(values, order, axis=0) + b, 0).ravel())
-        return np.concatenate(best), where
+            every, first = self.rows @ x.T, 0
+            a = np.empty((SLOTS, len(x) if final else PART), np.float32)
+            for k, w in enumerate(WIDTHS):
+                n = len(x) - w + 1 if final else PART
+                mine = a[k * FILTERS : (k + 1) * FILTERS]
+                mine[:, n:] = -np.inf
+                mine[:, :n] = every[first : first + FILTERS, :n]
+                for j in range(1, w):
+                    mine[:, :n] += every[first + j * FILTERS : first + (j + 1) * FILTERS, j : j + n]
+                first += w * FILTERS
+            for _ in range(most):
+                at = a.argmax(axis=1)
+                held.append((a[EACH, at], at + start))
+                a[EACH, at] = -np.inf
+        if len(starts) > 1:
+            values, at = (np.stack([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(-values, axis=0, kind="stable")[[r - 1 for r in RANKS]]
+            values, at = np.take_along_axis(values, order, axis=0), np.take_along_axis(at, order, axis=0)
+        else:
+            values, at = (np.array([held[r - 1][i] for r in RANKS]) for i in (0, 1))
+        best = np.maximum(values + self.biases, 0)
+        return best.reshape(len(RANKS), len(WIDTHS), FILTERS).transpose(1, 0, 2).ravel(), at
 
     def learn(self, docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, passes: int, seed: int) -> None:
         """Passes of single steps over the documents, in a random order each."""
         rng, seen = np.random.default_rng(seed), self.seen
-        of_width = len(RANKS) * FILTERS
+        table = self.tables.reshape(-1)
         for _ in range(passes):
             for i in rng.permutation(len(docs)):
                 ids = docs[i]
                 if len(ids) > 8:  # leaving out words at random keeps the filters from learning single documents
-                    ids = ids[rng.random(len(ids)) > 0.2]
-                pooled, where = self._pool(ids)
-                g = weights[i] * (1 / (1 + np.exp(-np.clip(pooled @ self.out + self.base, -30, 30))) - labels[i])
+                    ids = ids.take(np.flatnonzero(rng.random(len(ids)) > 0.2), axis=0)
+                pooled, at = self._pool(ids)
+                g = weights[i] * (1 / (1 + math.exp(-min(max(float(pooled @ self.out) + self.base, -30.0), 30.0))) - labels[i])
                 back = (g * self.out * (pooled > 0)).astype(np.float32)
                 step = g * pooled + 1e-4 * self.out
                 seen["out"] += step * step
                 self.out -= (RATE * step / np.sqrt(seen["out"])).astype(np.float32)
                 seen["base"] += g * g
-                self.base -= RATE * g / np.sqrt(seen["base"])
-                words, moves = [], []
-                for k, (f, at) in enumerate(zip(self.filters, where, strict=True)):
-                    part = back[k * of_width : (k + 1) * of_width].reshape(at.shape)  # by rank and filter
-                    slope = part.sum(axis=0)
-                    seen["bias"][k] += slope * slope
-                    self.bias[k] -= (RATE * slope / np.sqrt(seen["bias"][k])).astype(np.float32)
-                    rows = at[:, :, None] + np.arange(len(f))
-                    real = rows < len(ids)
-                    mine = ids[rows[real]]
-                    x = np.zeros((*rows.shape, PARTS * DIM), np.float32)
-                    x[real] = self._embedded(mine)
-                    change = np.einsum("rfjd,rf->jdf", x, part) + 1e-4 * f
-                    seen["filters"][k] += change * change
-                    words.append(mine)
-                    moves.append((-0.02 * part[:, :, None, None] * f.transpose(2, 0, 1))[real])
-                    f -= (RATE * change / np.sqrt(seen["filters"][k])).astype(np.float32)
-                words, moves = np.concatenate(words), np.concatenate(moves)
-                np.add.at(self.tables.reshape(-1, DIM), (words + OFFSETS).ravel(), moves.reshape(-1, DIM))
+                self.base -= RATE * g / math.sqrt(seen["base"])
+                back = back.reshape(len(WIDTHS), len(RANKS), FILTERS).transpose(1, 0, 2).reshape(len(RANKS), SLOTS)  # by rank and filter
+                slope = back.sum(axis=0)
+                seen["biases"] += slope * slope
+                self.biases -= (RATE * slope / np.sqrt(seen["biases"])).astype(np.float32)
+                # words of the pooled places; what pools to zero moves nothing, and words past the end are not there
+                part, place = back.take(SLOT_OF, axis=1), at.take(SLOT_OF, axis=1) + SHIFT_OF
+                rank, row = np.nonzero((place < len(ids)) & (part != 0))
+                words = ids[place[rank, row]]
+                pull = part[rank, row][:, None]
+                x = np.zeros((len(RANKS), *self.rows.shape), np.float32)
+                x[rank, row] = self._embedded(words) * pull
+                change = x.sum(axis=0) + 1e-4 * self.rows
+                seen["rows"] += change * change
+                moves = -0.02 * pull * self.rows[row]
+                self.rows -= (RATE * change / np.sqrt(seen["rows"])).astype(np.float32)
+                # one index for each number is several times faster here than one for each row
+                np.add.at(table, (((words + OFFSETS) * DIM)[:, :, None] + COLUMN).ravel(), moves.ravel())
 
     def score(self, ids: np.ndarray) -> float:
         if self.constant is not None:
@@ -255,9 +327,8 @@ class ToxicityModel:
 
 
 def _as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    buckets = _Buckets()
     for b in batches:
-        ids = pa.array([word_ids(t.as_py(), buckets).tobytes() for t in b.column("text")], pa.binary())
+        ids = pa.array([d.tobytes() for d in many_word_ids(b.column("text"))], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("nth", "fold", "lang", "label")), ids], names=["nth", "fold", "lang", "label", "ids"])
 
 
@@ -390,9 +461,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: object, passed: list[str]) -> Iterator[pa.RecordBatch]:
-    m, buckets = model.value, _Buckets()
+    m = model.value
     for b in batches:
-        scores = [m.network.score(word_ids(t.as_py(), buckets)) for t in b.column("text")]
+        scores = [m.network.score(d) for d in many_word_ids(b.column("text"))]
         langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
         limits = [m.by_language.get(x or "", m.common) for x in langs]
         made = [pa.array(scores, pa.float64()), pa.array(limits, pa.float64()), pa.array([s >= t for s, t in zip(scores, limits, strict=True)], pa.bool_())]
