@@ -1,12 +1,13 @@
 """The convolution of the toxicity model against plain loops, and samples with very long labelled texts."""
 
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayline.llm import toxicity
+from wayline.llm import common, queries, toxicity
 
 
 def plain_pool(net, ids):
@@ -100,3 +101,58 @@ def test_a_step_moves_words_of_pooled_places_once_for_each_filter():
                         want[p, ids[place, p]] += -0.02 * back[k, r, i] * f[j, p * toxicity.DIM : (p + 1) * toxicity.DIM, i]
     net.learn([ids], np.array([0]), np.ones(1), 1, 5)
     assert np.abs(want).max() > 1e-6 and np.allclose(net.tables - before, want, atol=1e-5)
+
+
+def test_a_training_task_reads_its_own_network_only():
+    class Broadcast:
+        def __init__(self, k):
+            self.k = k
+
+        @property
+        def value(self):
+            read.append(self.k)
+            return net
+
+    (net, docs), read = network(4), []
+    n = len(docs)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([3] * n, pa.int32()), pa.array([i % 2 for i in range(n)], pa.int32()), pa.array(["en"] * n), pa.array([d.tobytes() for d in docs], pa.binary())], names=["network", "label", "lang", "ids"]
+    )
+    before = net.tables.copy()
+    moved = pa.Table.from_batches(toxicity._trained(iter([batch]), [Broadcast(k) for k in range(6)], {(0, "en"): 1.0, (1, "en"): 1.0}, 1, 5))
+    assert set(read) == {3} and set(moved["network"].to_pylist()) == {3} and max(moved["place"].to_pylist()) > 0
+    assert np.array_equal(net.tables, before)  # networks of a broadcast are not changed
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    pins = []
+
+    def work(batches):
+        texts = [bytes(2000) for _ in range(100_000)]
+        pins.append(bytes(1500))  # stays above them, so that the C library can't shrink its heap by itself
+        del texts
+        held.append(resident())
+        yield from batches
+
+    held, before = [], resident()
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    assert list(common.tidy(work)(iter([batch]))) == [batch]
+    if held[0] - before > 100:  # else the C library has given it back already
+        assert resident() - before < 50
+
+
+def test_batches_of_long_texts_are_bounded_and_smaller_settings_stay(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    try:
+        for set_to, want in (((10_000, "64m", 4096), (2_000, 4 << 20, 512)), ((-1, "512kb", 7), (2_000, 512 << 10, 7)), ((5, "100b", 512), (5, 100, 512))):
+            for k, v in zip(keys, set_to, strict=True):
+                spark.conf.set(k, v)
+            queries.for_long_texts(spark)
+            assert tuple(queries._number(spark.conf.get(k)) for k in keys) == want
+    finally:
+        for k in keys:
+            spark.conf.unset(k)

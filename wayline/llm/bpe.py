@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from wayline.llm.common import bucketed, buckets, free, others, shared_dir
+from wayline.llm.common import bucketed, buckets, free, give_back, others, shared_dir, tidy
 
 #: Words, and bytes of text, of a block; a single larger text is a block of its own.
 BLOCK_WORDS, BLOCK_BYTES = 2 << 20, 16 << 20
@@ -324,16 +324,22 @@ def _coded(docs: DataFrame, path: str, keep: tuple[str, ...] | None, decoded: bo
     block, codes, words = names = free([*passed, *(a.name for a in added)], "block", "codes", "words")
     fields = [docs.schema[c] for c in passed]
     made = [T.StructField(block, T.LongType()), T.StructField(codes, T.BinaryType()), T.StructField(words, T.ArrayType(T.BinaryType()))]
-    rows = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(partial(_blocks, passed=passed, names=names, most_words=block_words), T.StructType([*fields, *made]))
+    rows = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(tidy(partial(_blocks, passed=passed, names=names, most_words=block_words)), T.StructType([*fields, *made]))
     rows = bucketed(rows, block, shared_dir(spark, "blocks"), buckets(spark), compression="zstd")
     tasks = buckets(spark)
-    entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(partial(_parted, parts=TURNS * tasks), "part int, block long, words binary, codes binary")
+    entries = rows.where(F.size(words) > 0).select(F.col(block).alias("block"), F.col(words).alias("words")).mapInArrow(tidy(partial(_parted, parts=TURNS * tasks)), "part int, block long, words binary, codes binary")
     entries = entries.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
-    entries = entries.mapInArrow(partial(_encoded, path=path), "block long, codes binary, sizes binary, ids binary")
+    entries = entries.mapInArrow(tidy(partial(_encoded, path=path)), "block long, codes binary, sizes binary, ids binary")
     entries = entries.withColumnRenamed("block", block)
     place = partial(_placed, passed=passed, codes=codes, decoded=decoded, path=path)
+
+    def placed(rows: pa.Table, words: pa.Table) -> pa.Table:
+        made = place(rows, words)
+        give_back()  # a block takes much more than its documents
+        return made
+
     left = rows.select(block, *passed, codes)
-    return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(lambda a, b: place(a, b), T.StructType([*fields, *added]))
+    return left.groupBy(block).cogroup(entries.groupBy(block)).applyInArrow(placed, T.StructType([*fields, *added]))
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:

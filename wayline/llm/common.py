@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +124,25 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
     return int(re.search(r"/manifest/(\d{9})/", newest["f"])[1]), json.loads(newest["value"])
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, after whose end the worker's freed memory goes back to the machine: workers outlive their tasks, and wait with it beside those of later stages."""
+    return partial(_tidied, work)
+
+
+def _tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from work(batches)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library hold goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of GNU's C library only
+        trim(0)
+
+
 def others(columns: Iterable[str], added: Iterable[str]) -> list[str]:
     """Columns whose names are not among the added ones, in any case."""
     taken = {a.casefold() for a in added}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,22 @@ URL_RULES = [
 ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-#: Rows of a batch that Spark hands to Python: texts are long, so batches of Spark's default size would take much memory.
-BATCH_ROWS = 2_000
+#: Rows of a batch that Spark hands to Python, and of one that it reads from Parquet: texts are long, so batches of Spark's default size would take much memory.
+BATCH_ROWS, READ_ROWS = 2_000, 512
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+
+
+def _number(value: str) -> int:
+    """A setting's number, of bytes with a unit (1m, 512kb, 64b) or plain."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", value.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def for_long_texts(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+    """Bound the session's batches of rows; a smaller setting stays."""
+    for key, most in BATCHES.items():
+        now = _number(spark.conf.get(key))
+        spark.conf.set(key, str(min(now, most) if now > 0 else most))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import others, set_aside, written
+from wayline.llm.common import others, set_aside, tidy, written
 
 BUCKETS, DIM = 1 << 16, 4
 #: Seeds of the hashes of a whole word, and bytes of the beginnings that have a part of their own.
@@ -361,7 +361,7 @@ def _shares(counts: dict[tuple[int, str], int]) -> dict[tuple[int, str], float]:
 MOVES = ["v0", "v1", "v2", "v3"]
 
 
-def _trained(batches: Iterator[pa.RecordBatch], networks: object, shares: dict[tuple[int, str], float], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _trained(batches: Iterator[pa.RecordBatch], networks: list[object], shares: dict[tuple[int, str], float], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
     """What a shard changes in the embeddings of its network, by place, and from place -1 downwards all else as it is then."""
     docs, labels, weights, k = [], [], [], None
     for b in batches:
@@ -372,7 +372,7 @@ def _trained(batches: Iterator[pa.RecordBatch], networks: object, shares: dict[t
         k = b.column("network")[0].as_py() if b.num_rows else k
     if k is None:
         return
-    begun = networks.value[k]
+    begun = networks[k].value  # a broadcast is read when its value is asked for: a task holds its own network only
     network = copy.deepcopy(begun)
     network.learn(docs, np.array(labels), np.array(weights), passes, seed)
     moves = (network.tables - begun.tables).reshape(-1, DIM)
@@ -412,9 +412,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         return ToxicityModel(Convolution.begun(np.zeros(0), (0, int(found == {1}))), 0.5, {})
     # a word and its space have six characters, about
     shards = max(-(-n // SAMPLE_DOCS), -(-sum(r["chars"] or 0 for r in told) // (6 * SAMPLE_WORDS)), 1)
-    coded = picked.select("nth", "fold", "lang", "label", "text").mapInArrow(_as_ids, "nth long, fold int, lang string, label int, ids binary")
+    coded = picked.select("nth", "fold", "lang", "label", "text").mapInArrow(tidy(_as_ids), "nth long, fold int, lang string, label int, ids binary")
     sample = written(coded.repartition(shards, "nth").sortWithinPartitions(F.xxhash64("nth")), "sample")
-    had = sample.mapInArrow(_counted, "group int, place int, n long").groupBy("group", "place").agg(F.sum("n").alias("n")).toArrow()
+    had = sample.mapInArrow(tidy(_counted), "group int, place int, n long").groupBy("group", "place").agg(F.sum("n").alias("n")).toArrow()
     having = np.zeros((FOLDS * 2, PARTS * BUCKETS), np.int64)
     having[had["group"].to_numpy(), had["place"].to_numpy()] = had["n"].to_numpy()
     having = having.reshape(FOLDS, 2, PARTS, BUCKETS)
@@ -423,11 +423,11 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rounds = 1 if shards == 1 else min(ROUNDS, passes_of(n))
     shares, passes = _shares(counts), -(-passes_of(n) // rounds)
     for turn in range(rounds):
-        held = spark.sparkContext.broadcast(networks)
+        held = [spark.sparkContext.broadcast(x) for x in networks]
         # files are read without a shuffle, a shard or more of them in a task
         parts = [sample.where(F.col("fold") != k - 1).coalesce(shards).select(F.lit(k).alias("network"), "label", "lang", "ids") for k, x in enumerate(networks) if x.constant is None]
         work = partial(_trained, networks=held, shares=shares, passes=passes, seed=SEED + turn)
-        moved = reduce(DataFrame.unionAll, parts).mapInArrow(work, "network int, place int, " + ", ".join(f"{v} double" for v in MOVES))
+        moved = reduce(DataFrame.unionAll, parts).mapInArrow(tidy(work), "network int, place int, " + ", ".join(f"{v} double" for v in MOVES))
         # an embedding moves by the mean of the shards that moved it
         moved = moved.groupBy("network", "place").agg(*(F.avg(v).cast("float" if v != MOVES[0] else "double").alias(v) for v in MOVES)).toArrow()
         whose, place, values = moved["network"].to_numpy(), moved["place"].to_numpy(), np.stack([moved[v].to_numpy() for v in MOVES], axis=1)
@@ -437,9 +437,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 network.unflat(values[rest[np.argsort(-place[rest])], 0])
                 table = np.flatnonzero((whose == k) & (place >= 0))
                 network.tables.reshape(-1, DIM)[place[table]] += values[table].astype(np.float32)
-        held.unpersist()
+        for x in held:
+            x.unpersist()
     held = spark.sparkContext.broadcast(networks)
-    judged = sample.mapInArrow(partial(_held_back, networks=held), "label int, lang string, step long").groupBy("label", "lang", "step").count().toArrow()
+    judged = sample.mapInArrow(tidy(partial(_held_back, networks=held)), "label int, lang string, step long").groupBy("label", "lang", "step").count().toArrow()
     network, y, langs = networks[0], judged["label"].to_numpy(), np.array(judged["lang"].to_pylist(), object)
     logits, weights = judged["step"].to_numpy() / BINS, judged["count"].to_numpy().astype(float)
     network.slope, network.shift = calibration(logits, y, weights)
@@ -479,7 +480,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     names = [c for c in others(docs.columns, ADDED) if keep is None or c in keep]
     added = [T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
     read = docs.select(*dict.fromkeys([*names, "text", *(["lang"] if "lang" in docs.columns else [])]))
-    return read.mapInArrow(partial(_scored, model=held, passed=names), T.StructType([*(docs.schema[c] for c in names), *added]))
+    return read.mapInArrow(tidy(partial(_scored, model=held, passed=names)), T.StructType([*(docs.schema[c] for c in names), *added]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
