@@ -156,3 +156,11 @@ def test_batches_of_long_texts_are_bounded_and_smaller_settings_stay(spark):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_networks_of_training_leave_the_driver_with_it(spark, monkeypatch):
+    made, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(real(self, value)) or made[-1])
+    docs = spark.createDataFrame([(i, "vile " * 4 if i % 2 else "kind " * 4, "en") for i in range(20)], "doc_id long, text string, lang string")
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int"))
+    assert len(made) > 6 and not any(os.path.exists(b._path) for b in made)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import others, set_aside, tidy, written
+from wayline.llm.common import give_back, others, set_aside, tidy, written
 
 BUCKETS, DIM = 1 << 16, 4
 #: Seeds of the hashes of a whole word, and bytes of the beginnings that have a part of their own.
@@ -420,6 +420,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     having = having.reshape(FOLDS, 2, PARTS, BUCKETS)
     # the first network learns from all rows, the others each without a fold
     networks = [Convolution.begun(having.sum(axis=0) - left, tuple((totals.sum(axis=0) - gone).tolist())) for left, gone in [(0, 0), *zip(having, totals)]]
+    del had, having
+    give_back()
     rounds = 1 if shards == 1 else min(ROUNDS, passes_of(n))
     shares, passes = _shares(counts), -(-passes_of(n) // rounds)
     for turn in range(rounds):
@@ -437,10 +439,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 network.unflat(values[rest[np.argsort(-place[rest])], 0])
                 table = np.flatnonzero((whose == k) & (place >= 0))
                 network.tables.reshape(-1, DIM)[place[table]] += values[table].astype(np.float32)
+        # the driver's copies of broadcasts go too
         for x in held:
-            x.unpersist()
+            x.destroy()
+        del moved, whose, place, values
+        give_back()
     held = spark.sparkContext.broadcast(networks)
     judged = sample.mapInArrow(tidy(partial(_held_back, networks=held)), "label int, lang string, step long").groupBy("label", "lang", "step").count().toArrow()
+    held.destroy()
     network, y, langs = networks[0], judged["label"].to_numpy(), np.array(judged["lang"].to_pylist(), object)
     logits, weights = judged["step"].to_numpy() / BINS, judged["count"].to_numpy().astype(float)
     network.slope, network.shift = calibration(logits, y, weights)
