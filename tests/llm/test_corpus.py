@@ -353,6 +353,36 @@ def test_long_words_are_counted_alike():
     assert not counts.words and not counts.tree or max(map(len, counts.words), default=0) <= token_counts.LONGEST
 
 
+def invented(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    parts = ["on", "tion", "th", "er", "an", "ciö", "sh", "ü", "ent", "heit", "wh", "ly", "eau", "Q", "st", "ing"]
+    return ["".join(rng.choices(parts, k=rng.randint(4, 7))) + rng.choice(["", ",", ".", "!?", "'s", "...", "7"]) for _ in range(n)]
+
+
+def test_new_words_share_what_is_known_of_others(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, counts = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    texts = [" ".join(invented(k, 1000)) for k in range(12)]
+    asked = []
+    follows = counts._follows
+    monkeypatch.setattr(counts, "_follows", lambda a, b: asked.append(1) or follows(a, b))
+    for k, text in enumerate(texts):
+        asked.clear()
+        assert counts.changes(text).sum(dtype=int) == len(tokenizer.encode(text, add_special_tokens=False).ids), k
+    assert len(asked) < 1500  # pairs of tokens looked at for 1,000 words, nearly all new
+
+
+def test_counts_with_steps_forgotten_inside_words(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, counts = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    monkeypatch.setattr(token_counts, "STEPS", 5, raising=False)
+    for text in (" ".join(invented(1, 60)), "aGVsbG8gd29ybGQ" * 40, "=-" * 70 + "-" * 200 + "!", " don't 'reo we're 've  \n\n 'll", "ªa, µm. ×y ÷z Ñandú! º1 ÿ-ß a²"):
+        held = np.cumsum(counts.changes(text), dtype=int)
+        for j in range(1, len(text) + 1):
+            assert held[len(text[:j].encode()) - 1] == len(tokenizer.encode(text[:j], add_special_tokens=False).ids), (text[:j], j)
+    assert len(counts.steps) <= 5 and len(counts.states) <= 7 and counts.held <= 5 * token_counts.WIDTH + 400
+
+
 # classifiers
 
 

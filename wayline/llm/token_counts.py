@@ -2,7 +2,8 @@
 
 The last token of the encoding of each prefix of a word follows from those of shorter prefixes: a
 vocabulary token t that ends the prefix is the last one exactly if the last token before it and t, merged
-together, stay these two tokens. So one pass over a word gives its token count at every prefix. A text's counts
+together, stay these two tokens. So one pass over a word gives its token count at every prefix. What the pass needs of the
+bytes behind it is a state that many words share, and a step from a state by a byte is worked out once. A text's counts
 are stored as one byte per byte of text: twice the change of the count, plus one where a character ends. Running sums
 over the stored bytes answer how many tokens a prefix has (``tokens_at``) and where a budget cuts (``cut_at``), without the text and
 without encoding again.
@@ -39,17 +40,22 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Contractions of three characters, which have no two-character beginning: fixed values.
 CONTRACTIONS = ("'re", "'ve", "'ll")
-#: Chunks, words and prefixes of words that a Python worker remembers, about 0.4 GB; it starts afresh beyond.
-CHUNKS, REMEMBERED, PREFIXES = 300_000, 1_000_000, 800_000
-#: Longest chunk or word that it remembers, and longest word whose prefixes it keeps in its tree.
+#: A word of Latin letters and what ASCII marks follow it, which make two words: fixed value.
+PLAIN = r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+#: Chunks, words, steps and pairs of tokens that a Python worker remembers, about 0.4 GB; it starts afresh beyond.
+CHUNKS, REMEMBERED, STEPS, PAIRS = 300_000, 600_000, 800_000, 800_000
+#: Numbers that the states of a step may have on average; those of long runs of one character have some hundreds.
+WIDTH = 20
+#: Longest chunk or word that it remembers.
 LONGEST = 256
 BATCH_BYTES = 8 << 20
+TOO_FAR = "a token count changes by more than 63 at one byte"
 
 
 def signed(changes: np.ndarray) -> bytes:
     """Changes as signed bytes of which one bit stays free; larger ones, which no token could make, are an error."""
     if len(changes) and (changes.max() > 63 or changes.min() < -64):
-        raise OverflowError("a token count changes by more than 63 at one byte")
+        raise OverflowError(TOO_FAR)
     return changes.astype(np.int8).tobytes()
 
 
@@ -68,18 +74,25 @@ class PrefixCounter:
         self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.made = {t: (a, b, r) for (a, b), (r, t) in self.ranks.items()}
         self.sizes = {i: len(t) for t, i in self.ids.items()}
-        ends: dict[bytes, set[int]] = {}
-        for t in self.ids:
-            if len(t) > 2:
-                ends.setdefault(t[-3:], {2} if t[-2:] in self.ids else set()).add(len(t))
-        self.lengths = {e: sorted(ns, reverse=True) for e, ns in ends.items()}  # of tokens that end in these three bytes
+        self.below: dict[int, int] = {}  # tree of tokens: node * 256 + byte to node
+        self.ending: dict[int, int] = {}  # node to the token of two bytes or more that ends there
+        for t, i in self.ids.items():
+            node = 0
+            for byte in t:
+                node = self.below.setdefault(node << 8 | byte, len(self.below) + 1)
+            if len(t) > 1:
+                self.ending[node] = i
+        self.goes_on = {key >> 8 for key in self.below}
         self.spines: tuple[dict, dict] = ({}, {})
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.split = regex.compile(WORDS).findall
+        self.split, self.plain = regex.compile(WORDS).findall, re.compile(PLAIN).fullmatch
         self.chunks_of = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.runs, self.runs_in = (getattr(re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])"), f) for f in ("search", "finditer"))
         self.pair: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
         self._forget()
         self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
@@ -121,7 +134,7 @@ class PrefixCounter:
         """
         known = self.pair.get(a << 32 | b)
         if known is None:
-            if len(self.pair) > PREFIXES:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
             ranks, left = self.ranks, self._spine(b, 0)
             known = not any((q := ranks.get((x, y))) and q[0] < gone and q[0] <= end for x, gone in self._spine(a, 1) for y, end in left)
@@ -135,55 +148,65 @@ class PrefixCounter:
         return known
 
     def _forget(self) -> None:
-        """An empty tree of prefixes: node * 256 + byte to node; of each node the last token and the count."""
-        self.tree: dict[int, int] = {}
-        self.last, self.count = [-1], [0]
-
-    def prefix_counts(self, word: bytes) -> list[int]:
-        """Tokens of word[:0], word[:1], ... word; words share what is known of their common prefixes."""
-        if len(word) > LONGEST:
-            return self._long_counts(word)
-        if len(self.tree) > PREFIXES:
+        """An empty table of steps, in which state 0 is the beginning of a word."""
+        self.steps.clear()
+        self.numbers.clear()
+        self.states.clear()
+        self.held = 0
+        self._number((0, -1, 0))
+
+    def _number(self, state: tuple[int, ...]) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+            self.held += len(state)
+        return number
+
+    def _step(self, at: int, byte: int) -> int:
+        """The next state * 256 + the change of the count as a byte, after one more byte.
+
+        A state is what later bytes depend on: of each place where a token that is not over may have begun, the first
+        place first, the node of its bytes so far, the last token before it (-1: none) and the count there less the
+        count here. Words that begin differently soon come to the same states, so new words need few new steps.
+        """
+        state = self.states[at]
+        if len(self.steps) >= STEPS or self.held >= STEPS * WIDTH:
             self._forget()
-        tree, last, count, path, node = self.tree, self.last, self.count, [0], 0
-        for stop, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = tree.get(key, -1)
-            if node < 0:
-                for n in self.lengths.get(word[stop - 3 : stop], (2,)) if stop > 2 else (2,):
-                    if n <= stop and (t := self.ids.get(word[stop - n : stop])) is not None:
-                        before = path[stop - n]
-                        if self._follows(last[before], t) if before else self._whole(t):
-                            break
-                else:  # no longer token fits: the byte itself
-                    t, before = self.ids[word[stop - 1 : stop]], path[stop - 1]
-                node = tree[key] = len(last)
-                last.append(t)
-                count.append(count[before] + 1)
-            path.append(node)
-        return [count[k] for k in path]
-
-    def _long_counts(self, word: bytes) -> np.ndarray:
-        """The same for a long word, in two arrays that go when it is done."""
-        last, count = np.full(len(word) + 1, -1, np.int32), np.zeros(len(word) + 1, np.int32)
-        for stop in range(1, len(word) + 1):
-            for n in self.lengths.get(word[stop - 3 : stop], (2,)) if stop > 2 else (2,):
-                if n <= stop and (t := self.ids.get(word[stop - n : stop])) is not None:
-                    before = stop - n
-                    if self._follows(int(last[before]), t) if before else self._whole(t):
-                        break
-            else:
-                t, before = self.ids[word[stop - 1 : stop]], stop - 1
-            last[stop], count[stop] = t, count[before] + 1
-        return count
+            at = self._number(state)
+        last, change, begun = -1, 0, []
+        for node, before, count in zip(state[::3], state[1::3], state[2::3]):
+            node = self.below.get(node << 8 | byte)
+            if node is None:
+                continue
+            if last < 0 and (t := self.ending.get(node)) is not None and (self._follows(before, t) if before >= 0 else self._whole(t)):
+                last, change = t, count + 1
+            if node in self.goes_on:
+                begun.append((node, before, count))
+        if last < 0:  # no longer token fits: the byte itself
+            last, change = self.ids[bytes((byte,))], 1
+        if not -64 <= change <= 63:
+            raise OverflowError(TOO_FAR)
+        after = self._number((*(x for node, before, count in begun for x in (node, before, count - change)), 0, last, 0))
+        step = self.steps[at << 8 | byte] = after << 8 | change & 255
+        return step
+
+    def word_changes(self, word: bytes) -> bytes:
+        """Change of the token count at every byte of a word."""
+        steps, out, at = self.steps, bytearray(), 0
+        for byte in word:
+            step = steps.get(at << 8 | byte)
+            if step is None:
+                step = self._step(at, byte)
+            out.append(step & 255)
+            at = step >> 8
+        return bytes(out)
 
     def _word(self, word: str) -> bytes:
         known = self.words.get(word)
         if known is None:
-            counts = self.prefix_counts(word.encode("utf-8", "replace"))
+            known = self.word_changes(word.encode("utf-8", "replace"))
             if word in CONTRACTIONS:  # cut after two characters it is an apostrophe and a letter
-                counts[2] = 2
-            known = signed(np.diff(counts))
+                known = bytes((1, 1, (sum(known) - 2) & 255))
             if len(word) <= LONGEST:
                 if len(self.words) > REMEMBERED:
                     self.words.clear()
@@ -193,7 +216,8 @@ class PrefixCounter:
     def _chunk(self, chunk: str) -> bytes:
         known = self.chunks.get(chunk)
         if known is None:
-            known = b"".join(map(self._word, self.split(chunk)))
+            plain = self.plain(chunk)
+            known = b"".join(map(self._word, plain.groups() if plain else self.split(chunk)))
             if len(chunk) <= LONGEST:
                 if len(self.chunks) > CHUNKS:
                     self.chunks.clear()
